@@ -1,0 +1,181 @@
+"""Secret scans: base patterns, and an assignment-aware lexer that follows names, literals and constants.
+
+``scan(text)`` gives spans ``(start, end, kind)`` in code points, end exclusive. The three base kinds are the leftmost
+non-overlapping matches of fixed patterns. The lexer reads source and configuration syntax (``name = "literal"``,
+``"name": "literal"``, ``export NAME=value``, ``<add key="name" value="literal"/>``, ``--name value``, ``setenv("NAME",
+"literal")``) into name-literal pairs, carries constants from name to name and through ``+`` joins, and scores each
+literal by the sensitivity of every name that it reaches. Literals over the threshold and not inside a base match become
+spans of kind ``lexed``, at the literal's own place.
+
+Null and empty texts have no spans; very long texts are scanned whole; rows are handled one by one, so ties, repeated
+rows and empty tables need no special care, and other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import DataFrame
+
+from ._spark import by_slice, slim
+
+KINDS = ("assign", "access", "hex", "lexed")
+# Fixed patterns.
+ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run of 16 or more
+KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+
+_NAME = r"[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*|\[(?:\"[^\"\n]{1,80}\"|'[^'\n]{1,80}')\])*"
+_LIT = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
+_PAIR = re.compile(
+    rf"""(?:(?P<q>["'])(?P<qname>[^"'\n]{{1,80}})(?P=q)|(?P<name>{_NAME}))[ \t]*(?::[ \t]*[A-Za-z][\w<>\[\]]*[ \t]*(?==[^=]))?(?P<op>:=|=>|\+=|=(?!=)|:(?![:/]))[ \t]*(?P<rhs>(?:{_LIT}|[^\s"'`,;{{}}()<>]+)(?:[ \t]*[+.][ \t]*(?:{_LIT}|{_NAME}))*)"""
+)
+_CALL = re.compile(rf"""(?:set|put|setenv|putenv|define|setProperty|add|header)\w*[ \t]*\([ \t]*["'](?P<name>[^"'\n]{{1,80}})["'][ \t]*,[ \t]*(?P<rhs>{_LIT})""")
+_ATTR = re.compile(r"""(?:key|name)[ \t]*=[ \t]*["'](?P<name>[^"'\n]{1,80})["'][ \t]+value[ \t]*=[ \t]*(?P<rhs>"[^"\n]*"|'[^'\n]*')""")
+_FLAG = re.compile(r"""(?<!\S)--?(?P<name>[A-Za-z][\w-]{2,60})[ \t]+(?P<rhs>"[^"\n]*"|'[^'\n]*'|[^\s-]\S*)""")
+_PART = re.compile(rf"(?P<lit>{_LIT})|(?P<ref>{_NAME})|(?P<raw>[^\s+]+)")
+_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+
+#: How strongly a word in a name says that its value is secret.
+SENSITIVE = {
+    "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "passcode": 0.9, "pass": 0.7, "secret": 1.0, "secrets": 1.0, "token": 0.9, "apikey": 1.0,
+    "credential": 0.9, "credentials": 0.9, "creds": 0.9, "bearer": 0.8, "authorization": 0.8, "auth": 0.5, "signature": 0.4, "dsn": 0.6, "jwt": 0.8, "otp": 0.6, "salt": 0.5, "privatekey": 1.0, "cookie": 0.4, "session": 0.3,
+}
+#: Words that make a following "key" secret.
+_KEYED = {"api", "private", "access", "secret", "signing", "encryption", "master", "service", "client", "auth", "account", "storage", "deploy", "ssh"}
+_BENIGN = {"type", "name", "file", "path", "url", "field", "label", "length", "policy", "hint", "expiry", "expires", "ttl", "count", "endpoint", "prefix", "header", "id"}
+_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|<.*>|\$\{.*|\{\{.*|%\w+%?|your.*|change.?me.*|example.*|dummy.*|test|todo|none|null|nil|true|false|undefined|password|secret|token|redacted|placeholder.*|process\.env.*|os\.environ.*|env\..*|getenv.*)$")
+THRESHOLD = 0.6
+
+
+def name_weight(name: str) -> float:
+    """Sensitivity of an identifier, 0 to 1."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    best = max((SENSITIVE.get(w, 0.0) for w in words), default=0.0)
+    for a, b in zip(words, words[1:]):
+        if b in ("key", "keys") and a in _KEYED:
+            best = max(best, 1.0)
+        if a + b in SENSITIVE:
+            best = max(best, SENSITIVE[a + b])
+    if words and words[-1] in _BENIGN:
+        best *= 0.3
+    return best
+
+
+def literal_weight(value: str) -> float:
+    """How much a literal looks like key material, 0 to 1."""
+    n = len(value)
+    if n < 6 or n > 4096 or _PLACEHOLDER.match(value) or len(set(value)) < 4:
+        return 0.0
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
+    if re.search(r"\s", value) and n / (1 + len(value.split())) < 12:
+        return 0.1  # prose
+    return min(1.0, 0.15 * kinds + min(entropy, 4.5) / 4.5 * 0.6 + min(n, 32) / 32 * 0.2)
+
+
+def lex(text: str) -> list[tuple[int, int]]:
+    """Spans of literals that sensitive names receive, directly or through constants, in order."""
+    found: list[tuple[int, str, int, str]] = []
+    for rx in (_PAIR, _CALL, _ATTR, _FLAG):
+        if rx is _FLAG and "--" not in text and " -" not in text:
+            continue
+        if rx is _CALL and "(" not in text:
+            continue
+        for m in rx.finditer(text):
+            g = m.groupdict()
+            found.append((m.start(), g.get("qname") or g["name"], m.start("rhs"), g["rhs"]))
+    found.sort()
+    held: dict[str, list[tuple[int, int, str]]] = {}  # name -> literal pieces that its value is made of
+    score: dict[tuple[int, int], float] = {}
+    for _, name, at, rhs in found:
+        pieces: list[tuple[int, int, str]] = []
+        joined = False
+        for m in _PART.finditer(rhs):
+            a, b = at + m.start(), at + m.end()
+            if m["lit"]:
+                pieces.append((a + 1, b - 1, m["lit"][1:-1]))
+            elif m["ref"] and m["ref"] in held:
+                pieces += held[m["ref"]]
+                joined = True
+            elif not m["ref"] or not joined and len(rhs) == len(m[0]):
+                pieces.append((a, b, m[0]))
+        pieces = pieces[:64]
+        held[name] = pieces
+        weight = name_weight(name)
+        if not pieces or weight < 0.3:
+            continue
+        value = "".join(x[2] for x in pieces)
+        total = weight * (0.35 + 0.65 * literal_weight(value)) if literal_weight(value) > 0 else 0.0
+        for a, b, part in pieces:
+            if len(part) >= 6:
+                score[a, b] = max(score.get((a, b), 0.0), total)
+    return sorted(k for k, v in score.items() if v >= THRESHOLD)
+
+
+def base(text: str) -> list[tuple[int, int, str]]:
+    spans = []
+    low = text.lower()
+    if any(k in low for k in KEYWORDS):
+        spans += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= 12]
+    if "AKIA" in text:
+        spans += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    spans += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
+
+
+def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """Base spans, and all spans, each by start and then kind as listed."""
+    own = base(text)
+    more = []
+    if "=" in text or ":" in text or "--" in text:
+        more = [(a, b, "lexed") for a, b in lex(text) if not any(s < b and a < e for s, e, _ in own)]
+    return own, sorted(own + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else own
+
+
+def joined(spans) -> str:
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+
+
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """One row per document: counts of base kinds, digest of base spans, and all spans."""
+
+    def kernel(part):
+        rows = [scan(t) for t in part.column("text").to_pylist()]
+        return {
+            "doc_id": part.column("doc_id"),
+            **{f"n_{k}": [sum(s[2] == k for s in own) for own, _ in rows] for k in KINDS[:3]},
+            "base_sha256": [hashlib.sha256(joined(own).encode()).hexdigest() for own, _ in rows],
+            "spans": [joined(all_) for _, all_ in rows],
+            "n_lexed": [len(all_) - len(own) for own, all_ in rows],
+        }
+
+    return by_slice(slim(docs), kernel, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_lexed long")
+
+
+def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+    """The documents with every span's text replaced by ``mask``; ``n_chars``, where present, follows. Null texts stay null."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    @pandas_udf("string")
+    def clean(texts):
+        def one(t):
+            if t is None:
+                return None
+            out, at = [], 0
+            for a, b, _ in scan(t)[1]:
+                if b <= at:
+                    continue
+                out += [t[at : max(a, at)], mask]
+                at = b
+            return "".join([*out, t[at:]])
+
+        return texts.map(one, na_action="ignore")
+
+    out = docs.withColumn("text", clean("text"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
