@@ -5,14 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, packing, quality, secrets
+from . import bpe, fingerprints, ngram_join, packing, quality, secrets, substrings
 from ._spark import documents
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(documents(spark, sf_dir))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(documents(spark, sf_dir))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(documents(spark, sf_dir))
 
@@ -29,5 +37,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secrets, op6_fingerprints, op7_quality, op8_bpe, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_secrets, op5_ngram_join, op6_fingerprints, op7_quality, op8_bpe, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
