@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, ngram_join, packing, quality, secrets, substrings
+from . import bpe, fingerprints, ngram_join, packing, quality, rnnlm, secretscan, substrings, toxicity
 from ._spark import documents
 
 
@@ -14,7 +14,15 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(documents(spark, sf_dir))
+    return secretscan.find_secrets(documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rnnlm.score(documents(spark, sf_dir))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +45,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_secrets, op5_ngram_join, op6_fingerprints, op7_quality, op8_bpe, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_secrets, op3_toxicity, op4_lm, op5_ngram_join, op6_fingerprints, op7_quality, op8_bpe, op9_packing)}
 ORACLE_SQL: dict[str, str] = {}
