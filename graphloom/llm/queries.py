@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, ngram_join, packing, quality, rnnlm, secretscan, substrings, toxicity
+from . import bpe, fingerprints, ngram_join, packing, pii, quality, rnnlm, secretscan, substrings, toxicity
 from ._spark import documents
 
 
@@ -45,5 +45,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substrings, op2_secrets, op3_toxicity, op4_lm, op5_ngram_join, op6_fingerprints, op7_quality, op8_bpe, op9_packing)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.protect(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_substrings, op2_secrets, op3_toxicity, op4_lm, op5_ngram_join, op6_fingerprints, op7_quality, op8_bpe, op9_packing, op10_pii)}
 ORACLE_SQL: dict[str, str] = {}
