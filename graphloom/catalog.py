@@ -2,5 +2,233 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import model as M
+from .fixtures import CUSTOMER_SUPPLIER, NATION_TRADE, NATIONS, PART_PAIRS, busy_sql, busy_trade, customer_supplier, nation_trade, nations, part_pairs
+from .functions import scalars
+from .operators import clustering, components, degree, paths, reciprocity, spectral, triads
+
+QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to so many digits, and no negative zero: sums have no fixed order."""
+    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r(x: str, name: str) -> str:
+    return f"round({x}, 6) + 0.0 AS {name}"
+
+
+BUSY = busy_sql()
+_ENDS = "SELECT n.id, coalesce(i.n, 0.0) in_degree, coalesce(o.n, 0.0) out_degree FROM nodes n LEFT JOIN (SELECT dst id, CAST(count(*) AS DOUBLE) n FROM busy GROUP BY 1) i USING (id) LEFT JOIN (SELECT src id, CAST(count(*) AS DOUBLE) n FROM busy GROUP BY 1) o USING (id)"
+
+
+@query(f"""WITH {NATION_TRADE}, {NATIONS}, i AS (SELECT dst id, CAST(count(*) AS DOUBLE) d, sum(weight) s FROM trade GROUP BY 1), o AS (SELECT src id, CAST(count(*) AS DOUBLE) d, sum(weight) s FROM trade GROUP BY 1), l AS (SELECT src id, CAST(count(*) AS DOUBLE) d, sum(weight) s FROM trade WHERE src = dst GROUP BY 1)
+SELECT id, coalesce(i.d, 0) in_degree, coalesce(o.d, 0) out_degree, coalesce(i.d, 0) + coalesce(o.d, 0) - coalesce(l.d, 0) total_degree, coalesce(i.s, 0) in_strength, coalesce(o.s, 0) out_strength, coalesce(i.s, 0) + coalesce(o.s, 0) - coalesce(l.s, 0) total_strength FROM nodes LEFT JOIN i USING (id) LEFT JOIN o USING (id) LEFT JOIN l USING (id)""")
+def degree_all(spark, d):
+    return degree.degrees(nation_trade(spark, d), nations(spark, d))
+
+
+@query(f"WITH {NATION_TRADE}, {NATIONS} SELECT id, coalesce(sum(weight), 0.0) in_degree FROM nodes LEFT JOIN trade ON dst = id GROUP BY id")
+def degree_in(spark, d):
+    return degree.in_degree(nation_trade(spark, d), nations(spark, d))
+
+
+@query(f"WITH {NATION_TRADE}, {NATIONS} SELECT id, coalesce(sum(weight), 0.0) out_degree FROM nodes LEFT JOIN trade ON src = id GROUP BY id")
+def degree_out(spark, d):
+    return degree.out_degree(nation_trade(spark, d), nations(spark, d))
+
+
+@query(f"WITH {PART_PAIRS}, e AS (SELECT src id, weight FROM pairs UNION ALL SELECT dst, weight FROM pairs) SELECT id, sum(weight) total_degree FROM e GROUP BY 1")
+def degree_total_undirected(spark, d):
+    return degree.total_degree(part_pairs(spark, d), directed=False)
+
+
+@query(f"WITH {NATION_TRADE}, e AS (SELECT src id, weight FROM trade WHERE src <> dst UNION ALL SELECT dst, weight FROM trade WHERE src <> dst), s AS (SELECT id, sum(weight) x FROM e GROUP BY 1) SELECT id, {r('x / (2 * (SELECT max(weight) FROM trade WHERE src <> dst) * ((SELECT count(*) FROM s) - 1))', 'score')} FROM s")
+def freeman_normalized(spark, d):
+    return degree.freeman_normalized(nation_trade(spark, d), drop_self_loops=True)
+
+
+@query(f"WITH {BUSY}, {NATIONS}, x AS ({_ENDS}) SELECT {r('(max(in_degree + out_degree) * count(*) - sum(in_degree + out_degree)) / ((count(*) - 1) * (count(*) - 2))', 'freeman')} FROM x")
+def freeman_centralization(spark, d):
+    return degree.freeman_centralization(busy_trade(spark, d), nations(spark, d))
+
+
+@query(f"WITH {PART_PAIRS}, e AS (SELECT src id, weight FROM pairs UNION ALL SELECT dst, weight FROM pairs), s AS (SELECT id, sum(weight) x FROM e GROUP BY 1), k AS (SELECT x, row_number() OVER (ORDER BY x) i, count(*) OVER () n FROM s) SELECT {r('sum((2 * i - n - 1) * x) / (max(n) * sum(x))', 'gini')} FROM k")
+def gini(spark, d):
+    return scalars.gini(degree.total_degree(part_pairs(spark, d), directed=False), "total_degree")
+
+
+@query(f"WITH {NATION_TRADE}, s AS (SELECT dst, sum(weight) x FROM trade GROUP BY 1) SELECT {r('stddev_samp(x)', 'centralization')} FROM s")
+def centralization(spark, d):
+    return scalars.centralization(degree.in_degree(nation_trade(spark, d)), "in_degree")
+
+
+@query(f"WITH {NATION_TRADE}, k AS (SELECT weight x, row_number() OVER (ORDER BY weight) i, count(*) OVER () n FROM trade) SELECT min(x) min, max(x) max, {r('quantile_cont(x, 0.5)', 'median')}, {r('quantile_cont(x, 0.75) - quantile_cont(x, 0.25)', 'iqr')}, {r('sum((2 * i - n - 1) * x) / (max(n) * sum(x))', 'gini')} FROM k")
+def weight_summary(spark, d):
+    return scalars.weight_summary(nation_trade(spark, d))
+
+
+@query("SELECT round((count_if((a.p_size % 5 = b.p_size % 5) = (a.p_brand = b.p_brand))) / count(*), 6) + 0.0 AS rand_index FROM part a JOIN part b ON a.p_partkey < b.p_partkey")
+def rand_index(spark, d):
+    from .fixtures import table
+
+    return scalars.rand_index(table(spark, d, "part").withColumn("a", F.col("p_size") % 5), "a", "p_brand")
+
+
+@query(f"WITH {NATION_TRADE}, x AS (SELECT src, dst, CASE WHEN b.weight IS NULL THEN 0.0 ELSE least(a.weight, b.weight) END m, a.weight w, b.weight IS NOT NULL AS rec, coalesce(a.weight = b.weight, false) eq FROM trade a LEFT JOIN trade b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst)".replace("SELECT src, dst, CASE", "SELECT a.src, a.dst, CASE") + f" SELECT {r('avg(CASE WHEN rec THEN 1.0 ELSE 0.0 END)', 'arc')}, {r('sum(CASE WHEN rec THEN w ELSE 0.0 END) / sum(w)', 'arc_weighted')}, {r('(count_if(rec) / 2) / (count_if(rec) / 2 + count_if(NOT rec))', 'dyad')}, {r('sum(m) / sum(w)', 'squartini')}, {r('(count_if(eq) / 2) / (count_if(rec) / 2 + count_if(NOT rec))', 'ora_mutual')} FROM x")
+def reciprocity_all(spark, d):
+    return reciprocity.reciprocity(nation_trade(spark, d))
+
+
+_LOCAL = f"WITH {BUSY}, {NATIONS}, x AS (SELECT a.src id, sum(CASE WHEN b.weight IS NULL THEN 0.0 ELSE least(a.weight, b.weight) END) / sum(a.weight) q FROM busy a LEFT JOIN busy b ON a.src = b.dst AND a.dst = b.src GROUP BY 1), l AS (SELECT id, coalesce(q, 0.0) q FROM nodes LEFT JOIN x USING (id) WHERE id IN (SELECT src FROM busy UNION SELECT dst FROM busy))"
+
+
+@query(f"{_LOCAL} SELECT id, {r('q', 'reciprocity')} FROM l")
+def local_reciprocity(spark, d):
+    return reciprocity.local_reciprocity(busy_trade(spark, d))
+
+
+@query(f"{_LOCAL} SELECT id, {r('(q - avg(q) OVER ()) / stddev_samp(q) OVER ()', 'reciprocity')} FROM l")
+def local_reciprocity_zscore(spark, d):
+    return reciprocity.local_reciprocity(busy_trade(spark, d), normalize="zscore")
+
+
+@query(f"{_LOCAL}, k AS (SELECT id, dense_rank() OVER (ORDER BY q) k FROM l) SELECT id, {r('(k - 1) / ((SELECT max(k) FROM k) - 1)', 'reciprocity')} FROM k")
+def local_reciprocity_rank(spark, d):
+    return reciprocity.local_reciprocity(busy_trade(spark, d), normalize="rank")
+
+
+@query(f"WITH {PART_PAIRS}, p AS (SELECT least(src, dst) a, greatest(src, dst) b FROM pairs), t AS (SELECT x.a a, x.b b, y.b c FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b) SELECT a, b, c FROM t")
+def triangles(spark, d):
+    return clustering.triangles(part_pairs(spark, d))
+
+
+@query(f"WITH {PART_PAIRS}, p AS (SELECT src a, dst b FROM pairs UNION ALL SELECT dst, src FROM pairs), k AS (SELECT a id, count(*) degree FROM p GROUP BY 1), t AS (SELECT x.a id, count(*) n FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = y.b AND z.b = x.a GROUP BY 1) SELECT id, degree, CAST(coalesce(n, 0) / 2 AS BIGINT) triangles, {r('CASE WHEN degree >= 2 THEN coalesce(n, 0) / (degree * (degree - 1)) ELSE 0 END', 'clustering')} FROM k LEFT JOIN t USING (id)")
+def local_clustering(spark, d):
+    return clustering.local_clustering(part_pairs(spark, d))
+
+
+@query(f"WITH {PART_PAIRS}, p AS (SELECT src a, dst b FROM pairs UNION ALL SELECT dst, src FROM pairs), k AS (SELECT a id, count(*) degree FROM p GROUP BY 1), t AS (SELECT count(*) n FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = y.b AND z.b = x.a) SELECT {r('(SELECT n FROM t) / (SELECT sum(degree * (degree - 1)) FROM k)', 'clustering')}")
+def transitivity_undirected(spark, d):
+    return clustering.global_clustering(part_pairs(spark, d), directed=False, method="transitivity")
+
+
+@query(f"WITH {BUSY}, p AS (SELECT x.src j, x.dst i, y.dst k FROM busy x JOIN busy y ON x.dst = y.src AND x.src <> y.dst) SELECT {r('count(z.src) / count(*)', 'clustering')} FROM p LEFT JOIN busy z ON z.src = j AND z.dst = k")
+def transitivity_directed(spark, d):
+    return clustering.global_clustering(busy_trade(spark, d), method="transitivity")
+
+
+@query(f"WITH {BUSY}, nb AS (SELECT src a, dst b FROM busy UNION SELECT dst, src FROM busy), k AS (SELECT a id, count(*) k FROM nb GROUP BY 1), c AS (SELECT x.a id, count(*) m FROM nb x JOIN nb y ON x.a = y.a JOIN busy e ON e.src = x.b AND e.dst = y.b GROUP BY 1) SELECT {r('avg(coalesce(m, 0) / (k * (k - 1)))', 'clustering')} FROM k LEFT JOIN c USING (id) WHERE k >= 2")
+def clustering_average(spark, d):
+    return clustering.global_clustering(busy_trade(spark, d))
+
+
+_CODES = "c AS (SELECT a.id a, b.id b, CASE WHEN x.src IS NOT NULL AND y.src IS NOT NULL THEN 3 WHEN x.src IS NOT NULL THEN 1 WHEN y.src IS NOT NULL THEN 2 ELSE 0 END k FROM nodes a JOIN nodes b ON a.id < b.id LEFT JOIN {t} x ON x.src = a.id AND x.dst = b.id LEFT JOIN {t} y ON y.src = b.id AND y.dst = a.id)"
+_CENSUS = """t AS (SELECT x.a a, x.b b, y.b c, x.k ab, y.k ac, z.k bc FROM c x JOIN c y ON x.a = y.a AND x.b < y.b JOIN c z ON z.a = x.b AND z.b = y.b),
+u AS (SELECT (ab = 3)::INT + (ac = 3)::INT + (bc = 3)::INT m, (ab IN (1, 2))::INT + (ac IN (1, 2))::INT + (bc IN (1, 2))::INT s,
+ [(ab & 1) + (ac & 1), (ab >> 1) + (bc & 1), (ac >> 1) + (bc >> 1)] o, [(ab >> 1) + (ac >> 1), (ab & 1) + (bc >> 1), (ac & 1) + (bc & 1)] i, ab, ac, bc FROM t),
+v AS (SELECT CASE WHEN m = 0 AND s = 0 THEN '003' WHEN m = 0 AND s = 1 THEN '012' WHEN m = 1 AND s = 0 THEN '102'
+ WHEN m = 0 AND s = 2 THEN CASE WHEN list_max(o) = 2 THEN '021D' WHEN list_max(i) = 2 THEN '021U' ELSE '021C' END
+ WHEN m = 1 AND s = 1 THEN CASE WHEN list_max(i) = 2 THEN '111D' ELSE '111U' END
+ WHEN m = 0 AND s = 3 THEN CASE WHEN list_max(o) = 1 THEN '030C' ELSE '030T' END WHEN m = 2 AND s = 0 THEN '201'
+ WHEN m = 1 AND s = 2 THEN CASE WHEN list_min(i) = 0 THEN '120D' WHEN list_min(o) = 0 THEN '120U' ELSE '120C' END WHEN m = 2 THEN '210' ELSE '300' END triad FROM u),
+names AS (SELECT unnest(['003', '012', '102', '021D', '021U', '021C', '111D', '111U', '030T', '030C', '201', '120D', '120U', '120C', '210', '300']) triad)"""
+
+
+@query(f"WITH {BUSY}, {NATIONS}, {_CODES.format(t='busy')}, {_CENSUS} SELECT names.triad, count(v.triad) \"count\" FROM names LEFT JOIN v USING (triad) GROUP BY 1")
+def triad_census(spark, d):
+    return triads.triad_census(busy_trade(spark, d), nations(spark, d))
+
+
+@query(f"WITH {BUSY}, sym AS (SELECT src, dst FROM busy UNION SELECT dst, src FROM busy), {NATIONS}, {_CODES.format(t='sym')}, {_CENSUS} SELECT names.triad, count(v.triad) \"count\" FROM names LEFT JOIN v USING (triad) GROUP BY 1")
+def triad_census_undirected(spark, d):
+    return triads.triad_census(busy_trade(spark, d), nations(spark, d), directed=False)
+
+
+@query(f"WITH {BUSY}, {NATIONS}, {_CODES.format(t='busy')} SELECT CAST(count_if(k = 3) AS BIGINT) M, CAST(count_if(k IN (1, 2)) AS BIGINT) A, CAST(count_if(k = 0) AS BIGINT) N FROM c")
+def dyad_census(spark, d):
+    return triads.dyad_census(busy_trade(spark, d), nations(spark, d))
+
+
+def _bfs_sql(table: str) -> str:
+    hops = ["d0 AS (SELECT id s, id t, 0 d, 1.0 g FROM nodes)", "seen0 AS (SELECT s, t FROM d0)"]
+    for k in range(1, 7):
+        hops.append(f"d{k} AS (SELECT s, dst t, {k} d, sum(g) g FROM d{k - 1} JOIN {table} ON src = t WHERE NOT EXISTS (SELECT 1 FROM seen{k - 1} z WHERE z.s = d{k - 1}.s AND z.t = dst) GROUP BY 1, 2)")
+        hops.append(f"seen{k} AS (SELECT * FROM seen{k - 1} UNION ALL SELECT s, t FROM d{k})")
+    return ", ".join(hops) + ", apd AS (" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(7)) + ")"
+
+
+_APD = f"WITH {BUSY}, {NATIONS}, {_bfs_sql('busy')}"
+
+
+@query(f"{_APD}, o AS (SELECT s id, sum(1.0 / d) x FROM apd WHERE d > 0 GROUP BY 1), i AS (SELECT t id, sum(1.0 / d) x FROM apd WHERE d > 0 GROUP BY 1) SELECT id, {r('greatest(coalesce(o.x, 0), coalesce(i.x, 0)) / ((SELECT count(*) FROM nodes) - 1)', 'closeness')} FROM nodes LEFT JOIN o USING (id) LEFT JOIN i USING (id)")
+def closeness(spark, d):
+    return paths.closeness(busy_trade(spark, d), nations(spark, d))
+
+
+@query(f"{_APD}, b AS (SELECT x.t id, sum(x.g * y.g / z.g) b FROM apd x JOIN apd y ON x.t = y.s JOIN apd z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY 1) SELECT id, {r('coalesce(b, 0.0)', 'betweenness')} FROM nodes LEFT JOIN b USING (id)")
+def betweenness(spark, d):
+    return paths.betweenness(busy_trade(spark, d), nations(spark, d))
+
+
+@query(f"{_APD}, o AS (SELECT s id, sum(1.0 / d) x FROM apd WHERE d > 0 GROUP BY 1), n AS (SELECT count(*) n FROM nodes) SELECT {r('(SELECT sum(x) FROM o) / (n * (n - 1)) / ln(n)', 'mid')} FROM n")
+def mean_inverse_distance(spark, d):
+    return paths.mean_inverse_distance(busy_trade(spark, d), nations(spark, d), direction="out")
+
+
+@query(f"{_APD} SELECT s source, t id, d dist, g sigma FROM apd")
+def bfs_levels(spark, d):
+    return paths.bfs_levels(busy_trade(spark, d), nations(spark, d))
+
+
+_SIX = " ".join(f"x{k} AS (SELECT src id, sum(weight * x) / 2000 x FROM busy JOIN x{k - 1} ON dst = id GROUP BY 1)," for k in range(1, 61))
+
+
+@query(f"WITH {BUSY}, {NATIONS}, x0 AS (SELECT src id, sum(weight) x FROM busy GROUP BY 1), {_SIX} s AS ({' UNION ALL '.join(f'SELECT * FROM x{k}' for k in range(61))}) SELECT id, {r('coalesce(sum(x), 0.0)', 'bonacich')}, 0.0005 AS beta_used FROM nodes LEFT JOIN s USING (id) GROUP BY id")
+def bonacich_fixed_beta(spark, d):
+    return spectral.bonacich(busy_trade(spark, d), nations(spark, d), beta=0.0005)
+
+
+@query()
+def bonacich(spark, d):
+    return spectral.bonacich(busy_trade(spark, d), nations(spark, d), direction="symmetric", normalize="max")
+
+
+@query(f"WITH RECURSIVE {PART_PAIRS}, p AS (SELECT src a, dst b FROM pairs UNION SELECT dst, src FROM pairs), w(a, b) AS (SELECT a, a FROM p UNION SELECT w.a, p.b FROM w JOIN p ON p.a = w.b) SELECT a id, min(b) component FROM w GROUP BY 1".replace("pairs AS (", "pairs AS (", 1))
+def weak_components(spark, d):
+    return components.weak_components(part_pairs(spark, d, 3))
+
+
+ORACLE_SQL["weak_components"] = ORACLE_SQL["weak_components"].replace("count(*) >= 2", "count(*) >= 3")
+
+
+@query(f"WITH RECURSIVE {PART_PAIRS}, p AS (SELECT src a, dst b FROM pairs UNION SELECT dst, src FROM pairs), w(a, b) AS (SELECT a, a FROM p UNION SELECT w.a, p.b FROM w JOIN p ON p.a = w.b), c AS (SELECT a, min(b) c FROM w GROUP BY 1), s AS (SELECT c, count(*) n FROM c GROUP BY 1) SELECT {r('max(n) / sum(n)', 'largest_component')} FROM s".replace("count(*) >= 2", "count(*) >= 3"))
+def largest_component(spark, d):
+    return components.largest_component(part_pairs(spark, d, 3))
+
+
+@query(f"WITH RECURSIVE {BUSY}, {NATIONS}, w(a, b) AS (SELECT id, id FROM nodes UNION SELECT w.a, dst FROM w JOIN busy ON src = b) SELECT x.a id, min(x.b) component FROM w x JOIN w y ON x.a = y.b AND x.b = y.a GROUP BY 1")
+def strong_components(spark, d):
+    return components.strong_components(busy_trade(spark, d), nations(spark, d))
+
+
+@query()
+def largest_bicomponent(spark, d):
+    return components.largest_bicomponent(part_pairs(spark, d, 3))
