@@ -232,3 +232,86 @@ def strong_components(spark, d):
 @query()
 def largest_bicomponent(spark, d):
     return components.largest_bicomponent(part_pairs(spark, d, 3))
+
+
+from .operators import blockmodel as _blocks  # noqa: E402
+from .operators import community  # noqa: E402
+
+
+@query(f"WITH {NATION_TRADE}, {NATIONS}, e AS (SELECT t.*, a.community cs, b.community cd FROM trade t JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id), m AS (SELECT sum(weight) m FROM e), o AS (SELECT cs c, sum(weight) o FROM e GROUP BY 1), i AS (SELECT cd c, sum(weight) i FROM e GROUP BY 1) SELECT {r('(SELECT sum(weight) FROM e WHERE cs = cd) / m - 1.2 * (SELECT sum(o * i) FROM o JOIN i USING (c)) / (m * m)', 'modularity')} FROM m")
+def modularity_directed(spark, d):
+    return community.modularity(nation_trade(spark, d), nations(spark, d), directed=True, gamma=1.2)
+
+
+_PARTS = "labels AS (SELECT CAST(p_partkey AS VARCHAR) id, p_brand community FROM part)"
+
+
+def part_labels(spark, d):
+    from .fixtures import table
+
+    return table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("community"))
+
+
+@query(f"WITH {PART_PAIRS}, {_PARTS}, e AS (SELECT p.*, a.community cs, b.community cd FROM pairs p JOIN labels a ON src = a.id JOIN labels b ON dst = b.id), m AS (SELECT sum(weight) m FROM e), k AS (SELECT c, sum(weight) k FROM (SELECT cs c, weight FROM e UNION ALL SELECT cd, weight FROM e) GROUP BY 1) SELECT {r('(SELECT sum(weight) FROM e WHERE cs = cd) / m - (SELECT sum(k * k) FROM k) / (4 * m * m)', 'modularity')} FROM m")
+def modularity_undirected(spark, d):
+    return community.modularity(part_pairs(spark, d), part_labels(spark, d))
+
+
+@query()
+def leiden(spark, d):
+    return community.leiden(part_pairs(spark, d, 3), directed=False)
+
+
+@query()
+def champ(spark, d):
+    return community.champ(part_pairs(spark, d, 3), directed=False, n_resolutions=8, n_runs=2)["membership"]
+
+
+@query()
+def blockmodel(spark, d):
+    return _blocks.blockmodel(busy_trade(spark, d), nations(spark, d), n_blocks=4)
+
+
+@query(f"WITH {NATION_TRADE}, {NATIONS} SELECT CAST(a.community AS VARCHAR) src, CAST(b.community AS VARCHAR) dst, sum(weight) weight FROM trade JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id GROUP BY 1, 2")
+def contract_communities(spark, d):
+    return M.contract(nation_trade(spark, d), nations(spark, d).withColumn("community", F.col("community").cast("string")))
+
+
+@query(f"WITH {CUSTOMER_SUPPLIER} SELECT a.l src, b.l dst, sum(a.weight * b.weight) weight FROM links a JOIN links b ON a.r = b.r AND a.l < b.l GROUP BY 1, 2 HAVING sum(a.weight * b.weight) >= 100")
+def project_bipartite(spark, d):
+    return M.project(customer_supplier(spark, d), min_weight=100.0)
+
+
+@query(f"WITH {NATION_TRADE} SELECT least(src, dst) src, greatest(src, dst) dst, max(weight) weight FROM trade GROUP BY 1, 2")
+def undirected_max(spark, d):
+    return M.undirected(nation_trade(spark, d))
+
+
+@query(f"WITH {BUSY}, x AS (SELECT src, dst, weight FROM busy UNION ALL SELECT dst, src, weight FROM busy) SELECT src, dst, sum(weight) / 2 weight FROM x GROUP BY 1, 2")
+def symmetrize_mean(spark, d):
+    return M.symmetrize(busy_trade(spark, d))
+
+
+@query(f"WITH {BUSY}, x AS (SELECT src, dst, weight w FROM busy UNION ALL SELECT dst, src, -weight FROM busy), y AS (SELECT sum(w) d FROM x GROUP BY src, dst) SELECT {r('sum(abs(d))', 'gap')} FROM y")
+def symmetry_gap(spark, d):
+    return M.symmetry_gap(busy_trade(spark, d))
+
+
+@query(f"WITH {BUSY} SELECT a.src, a.dst, 1.0 AS weight FROM busy a JOIN busy b ON a.src = b.dst AND a.dst = b.src".replace("1.0 AS weight", "CAST(1.0 AS DOUBLE) AS weight"))
+def mutual_arcs(spark, d):
+    return M.binarize(M.mutual_only(busy_trade(spark, d)))
+
+
+@query(f"WITH {NATION_TRADE} SELECT src, dst, CAST(round_even((SELECT max(weight) FROM trade) / weight, 0) AS DOUBLE) weight FROM trade")
+def distance_scaled_reciprocal(spark, d):
+    return M.distance_to_counts(nation_trade(spark, d))
+
+
+@query(f"WITH {NATION_TRADE} SELECT src, dst, (SELECT max(weight) FROM trade) - weight weight FROM trade WHERE weight < (SELECT max(weight) FROM trade)")
+def distance_max_minus(spark, d):
+    return M.distance_to_counts(nation_trade(spark, d), "max_minus")
+
+
+@query(f"WITH {NATION_TRADE}, q AS (SELECT quantile_cont(exp(-weight / 50.0), 0.5) m FROM trade) SELECT src, dst, CAST(round_even(10 / m * exp(-weight / 50.0), 0) AS DOUBLE) weight FROM trade, q WHERE round_even(10 / m * exp(-weight / 50.0), 0) > 0")
+def distance_exp_decay(spark, d):
+    return M.distance_to_counts(nation_trade(spark, d), "exp_decay", tau=50.0)
