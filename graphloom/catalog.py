@@ -315,3 +315,212 @@ def distance_max_minus(spark, d):
 @query(f"WITH {NATION_TRADE}, q AS (SELECT quantile_cont(exp(-weight / 50.0), 0.5) m FROM trade) SELECT src, dst, CAST(round_even(10 / m * exp(-weight / 50.0), 0) AS DOUBLE) weight FROM trade, q WHERE round_even(10 / m * exp(-weight / 50.0), 0) > 0")
 def distance_exp_decay(spark, d):
     return M.distance_to_counts(nation_trade(spark, d), "exp_decay", tau=50.0)
+
+
+from .operators import degrade, intervals, reconstruct  # noqa: E402
+
+_EI = f"WITH {PART_PAIRS}, {_PARTS}, x AS (SELECT src id, dst o FROM pairs UNION ALL SELECT dst, src FROM pairs), ei AS (SELECT x.id, avg(CASE WHEN a.community = b.community THEN -1 ELSE 1 END) ei, CAST(count(*) AS DOUBLE) degree FROM x JOIN labels a ON x.id = a.id JOIN labels b ON x.o = b.id GROUP BY 1)"
+
+
+@query(f"{_EI} SELECT id, {r('ei', 'ei')} FROM labels LEFT JOIN ei USING (id)")
+def ei_scores(spark, d):
+    return degrade.ei_scores(part_pairs(spark, d), part_labels(spark, d))
+
+
+def _ei_nodes(spark, d):
+    e = part_pairs(spark, d)
+    return degrade.ei_scores(e, part_labels(spark, d)).filter("ei is not null").join(degree.total_degree(e, weighted=False, directed=False).withColumnRenamed("total_degree", "degree"), "id")
+
+
+_PROFILE = "b AS (SELECT ceil(row_number() OVER (ORDER BY degree, id) * 4.0 / count(*) OVER ()) rank_bin, least(floor((ei + 1) / 2 * 3) + 1, 3) ei_bin FROM {t})"
+
+
+@query(f"{_EI}, {_PROFILE.format(t='ei')} SELECT CAST(rank_bin AS INTEGER) rank_bin, CAST(ei_bin AS INTEGER) ei_bin, {r('count(*) / sum(count(*)) OVER (PARTITION BY rank_bin)', 'share')}, CAST(sum(count(*)) OVER (PARTITION BY rank_bin) AS BIGINT) n FROM b GROUP BY rank_bin, ei_bin")
+def ei_profile(spark, d):
+    return degrade.ei_profile(_ei_nodes(spark, d))
+
+
+@query(f"{_EI}, {_PROFILE.format(t='ei')}, h AS (SELECT * FROM ei WHERE CAST(id AS BIGINT) % 3 <> 0), {_PROFILE.format(t='h').replace('b AS', 'b2 AS')}, p AS (SELECT rank_bin, ei_bin, count(*) / sum(count(*)) OVER (PARTITION BY rank_bin) s FROM b GROUP BY 1, 2), q AS (SELECT rank_bin, ei_bin, count(*) / sum(count(*)) OVER (PARTITION BY rank_bin) s FROM b2 GROUP BY 1, 2), t AS (SELECT coalesce(p.rank_bin, q.rank_bin) k, sum(abs(coalesce(p.s, 0) - coalesce(q.s, 0))) / 2 d FROM p FULL JOIN q ON p.rank_bin = q.rank_bin AND p.ei_bin = q.ei_bin GROUP BY 1) SELECT {r('max(d)', 'tvd')} FROM t")
+def profile_distortion(spark, d):
+    n = _ei_nodes(spark, d)
+    return degrade.profile_distortion(degrade.ei_profile(n), degrade.ei_profile(n.filter("cast(id as bigint) % 3 <> 0")))
+
+
+@query(f"WITH {PART_PAIRS}, s AS (SELECT id, CAST(count(*) AS DOUBLE) y, CAST(id AS BIGINT) % 4 = 0 AS m FROM (SELECT src id FROM pairs UNION ALL SELECT dst FROM pairs) GROUP BY 1), g AS (SELECT y, count_if(m) m, count_if(NOT m) o FROM s GROUP BY 1), x AS (SELECT sum(a.m * b.o * sign(a.y - b.y)) cd FROM g a, g b), t AS (SELECT sum(m) m, sum(o) o, sum((m + o) * (m + o - 1) / 2) n2, sum(m + o) * (sum(m + o) - 1) / 2 n0 FROM g) SELECT {r('cd / sqrt((n0 - m * (m - 1) / 2 - o * (o - 1) / 2) * (n0 - n2))', 'tau_b')} FROM x, t")
+def tau_b(spark, d):
+    s = degree.total_degree(part_pairs(spark, d), weighted=False, directed=False)
+    return scalars.tau_b(s.withColumn("m", F.col("id").cast("long") % 4 == 0), "total_degree", "m")
+
+
+@query(f"WITH {BUSY}, k AS (SELECT id FROM (SELECT src id FROM busy UNION SELECT dst FROM busy) WHERE CAST(id AS INTEGER) % 4 = 1) SELECT src, dst, weight FROM busy WHERE src NOT IN (SELECT id FROM k)")
+def missing_nodes_edges(spark, d):
+    e = busy_trade(spark, d)
+    n = M.roster(e)
+    return degrade.materialize_missing(e, n, n.filter("cast(id as int) % 4 = 1"))[0]
+
+
+@query(f"WITH {BUSY}, n AS (SELECT src id FROM busy UNION SELECT dst FROM busy), k AS (SELECT id FROM n WHERE CAST(id AS INTEGER) % 4 = 1) SELECT id FROM n WHERE id NOT IN (SELECT id FROM k) OR id IN (SELECT dst FROM busy WHERE src NOT IN (SELECT id FROM k))")
+def missing_nodes_roster(spark, d):
+    e = busy_trade(spark, d)
+    n = M.roster(e)
+    return degrade.materialize_missing(e, n, n.filter("cast(id as int) % 4 = 1"))[1]
+
+
+@query(f"WITH {NATION_TRADE} SELECT src, dst, greatest(weight - CASE WHEN CAST(src AS INTEGER) % 2 = 0 THEN 80 ELSE 0 END, 0.0) weight FROM trade")
+def weight_removal(spark, d):
+    e = nation_trade(spark, d)
+    return degrade.apply_weight_removal(e, e.filter("cast(src as int) % 2 = 0").select("src", "dst", F.lit(80).alias("units")))
+
+
+_BINS = f"WITH {BUSY}, {NATIONS}, s AS (SELECT n.id, n.community, CAST(count(b.src) AS DOUBLE) score FROM nodes n LEFT JOIN busy b ON b.dst = n.id GROUP BY 1, 2), e AS (SELECT id, avg(x) ei FROM (SELECT b.src id, CASE WHEN p.community = q.community THEN -1 ELSE 1 END x FROM busy b JOIN nodes p ON b.src = p.id JOIN nodes q ON b.dst = q.id UNION ALL SELECT b.dst, CASE WHEN p.community = q.community THEN -1 ELSE 1 END FROM busy b JOIN nodes p ON b.src = p.id JOIN nodes q ON b.dst = q.id) GROUP BY 1), bins AS (SELECT s.id, score, ei, CAST(greatest(1, ceil((rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2) / count(*) OVER () * 4)) AS INTEGER) bin, CASE WHEN ei < -0.33 THEN 1 WHEN ei > 0.33 THEN 3 ELSE 2 END ei_bin FROM s LEFT JOIN e USING (id))"
+_GRID = "cells AS (SELECT a.b ds, c.b es, e.b dt, f.b et FROM (SELECT unnest([1, 2, 3, 4]) b) a, (SELECT unnest([1, 2, 3]) b) c, (SELECT unnest([1, 2, 3, 4]) b) e, (SELECT unnest([1, 2, 3]) b) f)"
+
+
+def _bins(spark, d):
+    return reconstruct.binned(busy_trade(spark, d), nations(spark, d), nations(spark, d), True, 4)
+
+
+@query(f"{_BINS} SELECT id, score, {r('ei', 'ei')}, bin, ei_bin FROM bins")
+def node_bins(spark, d):
+    return _bins(spark, d)
+
+
+@query(f"{_BINS}, {_GRID}, t AS (SELECT p.bin ds, p.ei_bin es, q.bin dt, q.ei_bin et, count(*) n, avg(weight) w FROM busy JOIN bins p ON src = p.id JOIN bins q ON dst = q.id GROUP BY 1, 2, 3, 4), m AS (SELECT bin, ei_bin, count(*) m FROM bins GROUP BY 1, 2) SELECT ds, es, dt, et, {r('(coalesce(n, 0) + 1) / (coalesce(x.m, 0) * CASE WHEN ds = dt AND es = et THEN greatest(coalesce(y.m, 0) - 1, 0) ELSE coalesce(y.m, 0) END + 2)', 'p')}, {r('coalesce(w, 0.0)', 'w')} FROM cells LEFT JOIN t USING (ds, es, dt, et) LEFT JOIN m x ON x.bin = ds AND x.ei_bin = es LEFT JOIN m y ON y.bin = dt AND y.ei_bin = et")
+def tie_probabilities(spark, d):
+    return reconstruct.tie_probabilities(busy_trade(spark, d), _bins(spark, d), 4, 3, True)
+
+
+@query(f"{_BINS}, {_GRID}, t AS (SELECT p.bin ds, p.ei_bin es, q.bin dt, q.ei_bin et, count(*) n, count(z.src) m FROM busy JOIN bins p ON busy.src = p.id JOIN bins q ON busy.dst = q.id LEFT JOIN busy z ON z.src = busy.dst AND z.dst = busy.src GROUP BY 1, 2, 3, 4) SELECT ds, es, dt, et, {r('(coalesce(m, 0) + 1) / (coalesce(n, 0) + 2)', 'r')} FROM cells LEFT JOIN t USING (ds, es, dt, et)")
+def reciprocation(spark, d):
+    return reconstruct.reciprocation(busy_trade(spark, d), _bins(spark, d), 4, 3)
+
+
+@query(f"{_BINS}, c AS (SELECT * FROM (SELECT unnest([1, 2, 3, 4]) bin) a, (SELECT unnest([1, 2, 3]) ei_bin) b), n AS (SELECT bin, ei_bin, count(*) n FROM bins GROUP BY 1, 2), sh AS (SELECT bin, ei_bin, coalesce(n, 0) n, sum(coalesce(n, 0)) OVER (PARTITION BY bin) t FROM c LEFT JOIN n USING (bin, ei_bin)) SELECT bin, ei_bin, {r('CASE WHEN t > 0 THEN n / t ELSE 1 / 3.0 END', 'share')} FROM sh")
+def ei_conditional(spark, d):
+    return reconstruct.ei_conditional(_bins(spark, d), 4, 3)
+
+
+@query(f"{_BINS}, x AS (SELECT src id, 1 o, weight FROM busy UNION ALL SELECT dst, 0, weight FROM busy), own AS (SELECT id, count(*) t, sum(o) o, sum(weight) s FROM x GROUP BY 1), b AS (SELECT bin, coalesce(t, 0) t, coalesce(o, 0) o, coalesce(s, 0) s FROM bins LEFT JOIN own USING (id)), g AS (SELECT avg(t) t, avg(s) s, sum(o) / sum(t) o FROM b), k AS (SELECT bin, avg(t) t, avg(s) s, CASE WHEN sum(t) > 0 THEN sum(o) / sum(t) END o FROM b GROUP BY 1) SELECT a.bin, {r('coalesce(k.t, g.t)', 'degree')}, {r('coalesce(k.s, g.s)', 'strength')}, {r('coalesce(k.o, g.o)', 'out_share')} FROM (SELECT unnest([1, 2, 3, 4]) bin) a LEFT JOIN k ON a.bin = k.bin, g")
+def bin_tendencies(spark, d):
+    return reconstruct.bin_tendencies(busy_trade(spark, d), _bins(spark, d), 4)
+
+
+@query(f"WITH {NATION_TRADE}, {NATIONS}, x AS (SELECT community metric, weight v FROM trade JOIN nodes ON src = id) SELECT metric, {r('quantile_cont(v, 0.055)', 'lower')}, {r('quantile_cont(v, 0.5)', 'median')}, {r('quantile_cont(v, 0.945)', 'upper')}, {r('avg(v)', 'mean')}, {r('stddev_samp(v)', 'sd')}, CAST(0.89 AS DOUBLE) prob, count(*) n_valid FROM x GROUP BY 1")
+def credible_interval(spark, d):
+    e = nation_trade(spark, d).join(nations(spark, d), F.col("src") == F.col("id")).select(F.col("community").alias("metric"), "weight")
+    return scalars.credible_interval(e, "weight", by=["metric"])
+
+
+@query("SELECT n.x network_name, CAST(r.x AS DOUBLE) nominal_rho, CAST(p.x AS DOUBLE) nominal_pi_node, CAST(e.x AS DOUBLE) nominal_pi_edge, CAST(i.x AS INTEGER) replicate_idx FROM (SELECT unnest(['a', 'b']) x) n, (SELECT unnest([-0.5, 0.0, 0.5]) x) r, (SELECT unnest([0.1, 0.2]) x) p, (SELECT unnest([0.0, 0.1]) x) e, (SELECT unnest(range(1, 4)) x) i")
+def experiment_grid(spark, d):
+    return degrade.grid(spark, ["a", "b"], [-0.5, 0.0, 0.5], [0.1, 0.2], [0.0, 0.1], 3)
+
+
+@query()
+def degeneration_corpus(spark, d):
+    e = busy_trade(spark, d).withColumn("network", F.lit("trade"))
+    n = nations(spark, d).withColumn("network", F.lit("trade"))
+    return degrade.degeneration_corpus(e, n, {"trade": (True, True)}, rhos=(-0.25, 0.25), pi_nodes=(0.1, 0.25), pi_edges=(0.0, 0.25), replicates=5)
+
+
+@query()
+def reconstruction_corpus(spark, d):
+    s = reconstruct.compute_setup(busy_trade(spark, d), nations(spark, d), nations(spark, d), pi_node=0.2, pi_edge=0.4, rho=0.2)
+    return reconstruct.reconstruction_corpus(spark, s, 50, 0.2, metrics=intervals.METRICS)
+
+
+@query()
+def network_intervals(spark, d):
+    return intervals.network_intervals(busy_trade(spark, d), nations(spark, d), pi_node=0.1, pi_edge=0.3, n_replicates=100)
+
+
+@query()
+def weight_bootstrap(spark, d):
+    return intervals.summarize(intervals.weight_bootstrap(busy_trade(spark, d), 0.2, b=200), list(intervals.METRICS))
+
+
+@query()
+def interval_validation(spark, d):
+    return intervals.validation(busy_trade(spark, d), "top_strength", [0.0, 0.1, 0.2], b=50, repetitions=4)
+
+
+@query()
+def layered_census(spark, d):
+    return triads.layered_census(nation_trade(spark, d), nations(spark, d), triads.tau_grid(nation_trade(spark, d), 6))
+
+
+@query()
+def layer_summary(spark, d):
+    return triads.layer_summary(triads.layered_census(nation_trade(spark, d), nations(spark, d), triads.tau_grid(nation_trade(spark, d), 6)))
+
+
+@query(f"WITH {NATION_TRADE}, taus AS (SELECT CAST(unnest([60, 90, 120]) AS DOUBLE) tau), p AS (SELECT DISTINCT tau, least(src, dst) a, greatest(src, dst) b FROM trade, taus WHERE src <> dst AND weight >= tau), t AS (SELECT x.tau, count(*) n FROM p x JOIN p y ON x.b = y.a AND x.tau = y.tau JOIN p z ON z.a = x.a AND z.b = y.b AND z.tau = x.tau GROUP BY 1) SELECT tau, coalesce(n, 0) triangles FROM taus LEFT JOIN t USING (tau)")
+def triangle_profile(spark, d):
+    return triads.triangle_profile(nation_trade(spark, d), [60.0, 90.0, 120.0])
+
+
+@query()
+def tau_statistic(spark, d):
+    return triads.tau_statistic(busy_trade(spark, d), nations(spark, d), n_samples=50)
+
+
+from .plans import summary  # noqa: E402
+from .streaming import windows  # noqa: E402
+
+
+@query("SELECT date_trunc('hour', ts) \"start\", CAST(user_id AS VARCHAR) src, event_type dst, CAST(count(*) AS DOUBLE) weight FROM events GROUP BY 1, 2, 3")
+def windowed_edges(spark, d):
+    from .fixtures import table
+
+    return windows.windowed_edges(table(spark, d, "events"))
+
+
+def _two_networks(spark, d):
+    return busy_trade(spark, d).withColumn("network", F.lit("busy")).unionByName(busy_trade(spark, d, 1.1).withColumn("network", F.lit("busier")))
+
+
+@query()
+def network_summary(spark, d):
+    return summary.network_summary(_two_networks(spark, d))
+
+
+@query()
+def network_summary_weighted(spark, d):
+    return summary.network_summary(_two_networks(spark, d), weighted=True)
+
+
+@query(f"WITH {BUSY}, {NATIONS}, {_CODES.format(t='busy')}, {_CENSUS}, k AS (SELECT names.triad, count(v.triad) n FROM names LEFT JOIN v USING (triad) GROUP BY 1) SELECT 'busy' AS network, " + ", ".join(f"max(CASE WHEN triad = '{c}' THEN n END) AS \"{c}\"" for c in triads.CLASSES) + " FROM k")
+def triad_table(spark, d):
+    return summary.triad_table(busy_trade(spark, d).withColumn("network", F.lit("busy")), nations(spark, d).withColumn("network", F.lit("busy")))
+
+
+@query()
+def block_model(spark, d):
+    from .sources.synthetic import block_model
+
+    return block_model(spark, 200, 4, weighted=True).edges
+
+
+@query()
+def preferential_attachment(spark, d):
+    from .sources.synthetic import preferential_attachment
+
+    return preferential_attachment(spark, seeds=[1, 2, 3]).edges
+
+
+@query()
+def random_weighted(spark, d):
+    from .sources.synthetic import random_weighted
+
+    return random_weighted(spark).edges
+
+
+@query()
+def point_conditions(spark, d):
+    pool = QUERIES["degeneration_corpus"](spark, d)
+    return summary.point_conditions(pool, [-0.25, 0.0, 0.25], n_per_cell=5)[1]
+
+
+@query()
+def sign_bins(spark, d):
+    return summary.sign_bins(QUERIES["degeneration_corpus"](spark, d)).groupBy("sign_bin").agg(F.count("*").alias("n"))

@@ -179,8 +179,6 @@ def tau_statistic(edges: DataFrame, nodes=None, weights: str | list[float] = "RC
 
     Each sample draws its dyads from pair numbers by seeded hashes: N(N-1)/2 numbers are ranked for each sample, in its own group.
     """
-    from .triads import dyad_census  # noqa: PLW0406
-
     spark = edges.sparkSession
     w = weighting(weights)
     r = cut(roster(edges, nodes))
@@ -199,7 +197,7 @@ def tau_statistic(edges: DataFrame, nodes=None, weights: str | list[float] = "RC
     ends = chosen.select("sample", "k", i.alias("i"), j.alias("j"), (uniform(seed + 1, "sample", "pair") < 0.5).alias("up"))
     up = ends.filter((F.col("k") <= m) | F.col("up")).select("sample", F.col("i").cast("string").alias("src"), F.col("j").cast("string").alias("dst"))
     down = ends.filter((F.col("k") <= m) | ~F.col("up")).select("sample", F.col("j").cast("string").alias("src"), F.col("i").cast("string").alias("dst"))
-    ids = spark.range(n_samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).cast("string").alias("node")).select("sample", F.col("node").alias("id"))
+    ids = spark.range(n_samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("node")).select("sample", F.col("node").cast("string").alias("id"))
     t = score(triad_census(up.union(down), ids, by=["sample"]), ["sample"])
     s = t.agg(F.avg("t").alias("mean"), F.coalesce(F.stddev_samp("t"), F.lit(0.0)).alias("sd"))
     return s.select(F.lit(float(seen)).alias("observed"), "mean", "sd", F.when(F.col("sd") > 0, (F.lit(float(seen)) - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("tau"), F.lit(n_samples).alias("n_samples"), F.lit(m).alias("M"), F.lit(a).alias("A"), F.lit(d["N"]).alias("N"))
