@@ -178,7 +178,7 @@ def _bfs_sql(table: str) -> str:
 _APD = f"WITH {BUSY}, {NATIONS}, {_bfs_sql('busy')}"
 
 
-@query(f"{_APD}, o AS (SELECT s id, sum(1.0 / d) x FROM apd WHERE d > 0 GROUP BY 1), i AS (SELECT t id, sum(1.0 / d) x FROM apd WHERE d > 0 GROUP BY 1) SELECT id, {r('greatest(coalesce(o.x, 0), coalesce(i.x, 0)) / ((SELECT count(*) FROM nodes) - 1)', 'closeness')} FROM nodes LEFT JOIN o USING (id) LEFT JOIN i USING (id)")
+@query(f"WITH {BUSY}, {NATIONS}, sym AS (SELECT src, dst FROM busy UNION SELECT dst, src FROM busy), {_bfs_sql('sym')}, o AS (SELECT s id, sum(1.0 / d) x FROM apd WHERE d > 0 GROUP BY 1) SELECT id, {r('coalesce(o.x, 0) / ((SELECT count(*) FROM nodes) - 1)', 'closeness')} FROM nodes LEFT JOIN o USING (id)")
 def closeness(spark, d):
     return paths.closeness(busy_trade(spark, d), nations(spark, d))
 
@@ -198,12 +198,12 @@ def bfs_levels(spark, d):
     return paths.bfs_levels(busy_trade(spark, d), nations(spark, d))
 
 
-_SIX = " ".join(f"x{k} AS (SELECT src id, sum(weight * x) / 2000 x FROM busy JOIN x{k - 1} ON dst = id GROUP BY 1)," for k in range(1, 61))
+_SIX = " ".join(f"x{k} AS (SELECT src id, sum(x) / 20 x FROM busy JOIN x{k - 1} ON dst = id GROUP BY 1)," for k in range(1, 61))
 
 
-@query(f"WITH {BUSY}, {NATIONS}, x0 AS (SELECT src id, sum(weight) x FROM busy GROUP BY 1), {_SIX} s AS ({' UNION ALL '.join(f'SELECT * FROM x{k}' for k in range(61))}) SELECT id, {r('coalesce(sum(x), 0.0)', 'bonacich')}, 0.0005 AS beta_used FROM nodes LEFT JOIN s USING (id) GROUP BY id")
+@query(f"WITH {BUSY}, {NATIONS}, x0 AS (SELECT src id, CAST(count(*) AS DOUBLE) x FROM busy GROUP BY 1), {_SIX} s AS ({' UNION ALL '.join(f'SELECT * FROM x{k}' for k in range(61))}) SELECT id, {r('coalesce(sum(x), 0.0)', 'bonacich')}, CAST(0.05 AS DOUBLE) AS beta_used FROM nodes LEFT JOIN s USING (id) GROUP BY id")
 def bonacich_fixed_beta(spark, d):
-    return spectral.bonacich(busy_trade(spark, d), nations(spark, d), beta=0.0005)
+    return spectral.bonacich(busy_trade(spark, d), nations(spark, d), beta=0.05)
 
 
 @query()

@@ -136,9 +136,9 @@ def _sized(df: DataFrame, by: By) -> DataFrame:
 
 
 def closeness(edges: DataFrame, nodes=None, directed: bool = True, direction: str = "symmetric", interpretation: str = "ignore", normalize: bool = True, by: By = ()) -> DataFrame:
-    """Harmonic closeness; ``symmetric``: the larger of the two directions."""
-    d = _sized(all_pairs(edges, nodes, directed, interpretation, by=by), by)
-    c = {"out": F.col("inv_out"), "in": F.col("inv_in"), "symmetric": F.greatest("inv_out", "inv_in")}[direction]
+    """Harmonic closeness; ``symmetric``: over the graph in which each pair has the larger weight of its two directions."""
+    d = _sized(all_pairs(edges, nodes, directed and direction != "symmetric", interpretation, by=by), by)
+    c = F.col("inv_in" if direction == "in" else "inv_out")
     return d.select(*by, "id", (F.when(F.col("_n") > 1, c / (F.col("_n") - 1)).otherwise(0.0) if normalize else c).alias("closeness"))
 
 
@@ -150,9 +150,9 @@ def betweenness(edges: DataFrame, nodes=None, directed: bool = True, interpretat
 
 
 def mean_inverse_distance(edges: DataFrame, nodes=None, directed: bool = True, interpretation: str = "ignore", direction: str = "symmetric", scale_by_log_n: bool = True, by: By = ()) -> DataFrame:
-    """``[*by, mid]``: mean 1/d over ordered pairs, over ln N if scaled. ``symmetric`` sums each node's larger direction."""
-    d = _sized(all_pairs(edges, nodes, directed, interpretation, by=by), by)
-    c = {"out": F.col("inv_out"), "in": F.col("inv_in"), "symmetric": F.greatest("inv_out", "inv_in")}[direction]
+    """``[*by, mid]``: mean 1/d over ordered pairs, over ln N if scaled; ``direction`` as for closeness."""
+    d = _sized(all_pairs(edges, nodes, directed and direction != "symmetric", interpretation, by=by), by)
+    c = F.col("inv_in" if direction == "in" else "inv_out")
     a = d.groupBy(*by).agg(F.sum(c).alias("s"), F.first("_n").alias("n"))
     v = F.col("s") / (F.col("n") * (F.col("n") - 1))
     return a.select(*by, F.when(F.col("n") > 1, v / F.log("n") if scale_by_log_n else v).otherwise(0.0).alias("mid"))

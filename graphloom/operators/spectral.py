@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rand import uniform
-from ..model import By, aggregate, cut, roster, symmetrize
+from ..model import By, aggregate, binarize, cut, roster, symmetrize
 
 TOLERANCE = 1e-10
 #: Nodes of all graphs together up to which each graph is solved densely in one group.
@@ -39,13 +39,13 @@ def lambda_max(matrix: DataFrame, ids: DataFrame, by: By = (), rounds: int = 200
     return held.withColumnRenamed("norm", "lambda")
 
 
-def bonacich(edges: DataFrame, nodes=None, directed: bool = True, direction: str = "out", beta: float | None = None, normalize: str = "none", agg: str = "sum", by: By = ()) -> DataFrame:
-    """``[*by, id, bonacich, beta_used]``: the sum of beta^k A^(k+1) 1, with beta half the inverse of the largest eigenvalue if not given.
+def bonacich(edges: DataFrame, nodes=None, directed: bool = True, direction: str = "out", beta: float | None = None, normalize: str = "none", by: By = ()) -> DataFrame:
+    """``[*by, id, bonacich, beta_used]`` of the binary graph: the sum of beta^k A^(k+1) 1, with beta half the inverse of the largest eigenvalue if not given.
 
-    ``direction``: out (rows), in (columns) or symmetric (larger weight of the two directions). At half the inverse eigenvalue
+    ``direction``: out (rows), in (columns) or symmetric (a tie in either direction). At half the inverse eigenvalue
     each term is about half of the one before, so some forty joins give double precision, whatever the graph's size.
     """
-    e = aggregate(edges, agg, by)
+    e = binarize(aggregate(edges, "sum", by))
     if not directed or direction == "symmetric":
         e = symmetrize(e, False, by)
     elif direction == "in":

@@ -29,8 +29,9 @@ def network_summary(edges: DataFrame, nodes: DataFrame | None = None, directed:
     row = [d.groupBy(*BY).agg(F.avg("total_degree").alias("mean_degree"), F.coalesce(F.stddev_samp("total_degree"), F.lit(0.0)).alias("sd_degree")), scalars.gini(d, "total_degree", BY).withColumnRenamed("gini", "gini_degree"), degree.freeman_centralization(e, r, directed=directed, by=BY)]
     p = paths.all_pairs(e, r, directed, how, by=BY)
     n = F.count("*")
-    best = F.greatest("inv_out", "inv_in")
-    row += [p.groupBy(*BY).agg((F.avg(best) / (n - 1)).alias("mean_closeness"), (F.avg("between") / (1 if directed else 2)).alias("mean_betweenness"), (F.coalesce(F.stddev_samp("between"), F.lit(0.0)) / (1 if directed else 2)).alias("sd_betweenness"), (F.sum(best) / (n * (n - 1)) / F.log(n)).alias("mean_inverse_distance"))]
+    near = paths.all_pairs(e, r, False, how, by=BY)
+    row += [near.groupBy(*BY).agg((F.avg("inv_out") / (n - 1)).alias("mean_closeness"), (F.sum("inv_out") / (n * (n - 1)) / F.log(n)).alias("mean_inverse_distance"))]
+    row += [p.groupBy(*BY).agg((F.avg("between") / (1 if directed else 2)).alias("mean_betweenness"), (F.coalesce(F.stddev_samp("between"), F.lit(0.0)) / (1 if directed else 2)).alias("sd_betweenness"))]
     row += [spectral.bonacich(e, r, directed, "symmetric", normalize="max", by=BY).groupBy(*BY).agg(F.avg("bonacich").alias("mean_bonacich"), F.coalesce(F.stddev_samp("bonacich"), F.lit(0.0)).alias("sd_bonacich"))]
     row += [components.largest_component(e, r, BY), components.largest_bicomponent(e, r, BY), clustering.global_clustering(e, r, directed, "average", BY), clustering.global_clustering(e, r, directed, "transitivity", BY).withColumnRenamed("clustering", "transitivity")]
     if directed:
