@@ -31,18 +31,21 @@ GIVEN = {
 SYLLABLES = {"latin": "bar bel cor dan del fal gar hol jen kar lan lor mar mer nor pal ran ros sel tan ter val wen zor", "cyrillic": "бар вел гор дан кол лар мор нов пал рос сел тар", "greek": "βαλ γαρ δελ καρ λαν μαρ νικ παλ ροδ σελ ταρ φιλ"}
 _TITLE = "|".join(t for own in TITLES.values() for t in own.split())
 _FIRST = "|".join(n for own in GIVEN.values() for n in own.split())
+# What a title or a given name starts with: a capital, or the first letter of a lower-case title.
+_INITIAL = r"\p{Lu}гκ"
 _CAP = r"\p{Lu}[\p{L}'’-]+"
+# Each pattern first looks at what a place starts with, so that most places of a text cost one look.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
-    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\p{L}\d])",
-    "card": r"(?<![\p{L}\d])(?:\d{4}[ -]?){3}\d{1,7}(?![\p{L}\d])",
-    "ssn": r"(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d-])",
-    "name": rf"(?<![\p{{L}}])(?:(?:{_TITLE})\.?[  ]{_CAP}(?:[  ]{_CAP})?|(?:{_FIRST})[  ]{_CAP})",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
+    "phone": r"(?=[\d+(])(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\p{L}\d])",
+    "card": r"(?=\d)(?<![\p{L}\d])(?:\d{4}[ -]?){3}\d{1,7}(?![\p{L}\d])",
+    "ssn": r"(?=\d)(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d-])",
+    "iban": r"(?=[A-Z])(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
+    "name": rf"(?=[{_INITIAL}])(?<![\p{{L}}])(?:(?:{_TITLE})\.?[ \u00a0]{_CAP}(?:[ \u00a0]{_CAP})?|(?:{_FIRST})[ \u00a0]{_CAP})",
 }
 KINDS = tuple(PATTERNS)
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+ANY = rf"{PATTERNS['email']}|(?=[\d+({_INITIAL}])(?:" + "|".join(p for k, p in PATTERNS.items() if k != "email") + ")"
 
 
 def _whole(kind: str) -> str:
