@@ -1,0 +1,380 @@
+"""Each corpus operator against a brute-force version, an exact round trip or held-out accuracy."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from graphloom.llm import bpe, fingerprints, ngram_join, packing, pii, quality, rnnlm, secretscan, substrings, toxicity
+from graphloom.llm._text import Words, slices
+
+P = pytest.importorskip("public_tokenizers")
+WORD, BYTE, BYTE_RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
+ODD = [None, "", " ", "\n\n", "One", "one TWO", "same text here", "same text here", "a\x1cb\x85c d", "ΑΣ ΣΑΣ İ ½ ²", "<|endoftext|>x <|startoftext|> y", "x" * 3000, "ab" * 700 + " é" * 10, "日本語 😀👍🏽 ­", "don't  stop \t ok ", " lead", "ſecret=abcdefghijklmnop"]
+
+
+def frame(spark, texts, first=0):
+    """Documents with extra columns whose names clash with the operators' own."""
+    rows = [(first + i, t, "en", "s", len(t or ""), 1, "x") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node int, band string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def base(spark, sf_dir):
+    return [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, base):
+    return frame(spark, ODD + base).cache()
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def words(t):
+    return t.encode().split()
+
+
+def test_words_and_slices(base):
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(ODD + base)})
+    for limit in (1, 5000):
+        got = []
+        for part in slices(iter([batch]), limit=limit):
+            w = Words(part.column("text"), True)
+            got += [bytes(w.data[a:b]) for a, b in zip(w.start, w.end)]
+            h = w.hashes()
+            assert len(set(zip(h.tolist(), [bytes(w.data[a:b]) for a, b in zip(w.start, w.end)]))) == len(set(h.tolist()))
+        assert got == [x for t in ODD + base for x in (t or "").encode().lower().split()]
+
+
+def test_empty_tables(spark):
+    none = frame(spark, ["x"]).limit(0)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for df in (substrings.repeats(none), substrings.remove(none), secretscan.find_secrets(none), toxicity.assess(none, labels), rnnlm.score(none), ngram_join.classes(none), ngram_join.keep_first(none), fingerprints.with_next(none), fingerprints.near_pairs(none), quality.assess(none), bpe.encode_documents(none, WORD), packing.pack(none, BYTE_RANKS), pii.surrogates(none)):
+        assert df.count() == 0
+
+
+def test_repeated_passages(spark, base):
+    words_ = " ".join(f"word{i}x{i * 7 % 13}" for i in range(55))
+    texts = [f"{b} {i} {words_} {b[::-1]}" if i in (3, 9, 20) else b for i, b in enumerate(dict.fromkeys(base))]
+    texts = [t if i in (3, 9, 20) else f"{i} clean " + hashlib.sha256(str(i).encode()).hexdigest() * 4 for i, t in enumerate(texts[:30])]
+    found = substrings.repeats(frame(spark, [*texts, None, ""])).collect()
+    assert {r["doc_id"] for r in found} == {9, 20}
+    for r in found:
+        assert texts[r["doc_id"]][r["start"] : r["stop"]] in texts[r["first_doc_id"]]
+    kept = by_id(substrings.remove(frame(spark, [*texts, None, ""])))
+    assert kept[3]["text"] == texts[3] and kept[0]["text"] == texts[0] and kept[30]["text"] is None
+    assert len(kept[9]["text"]) < len(texts[9]) - 140 and kept[9]["n_chars"] == len(kept[9]["text"])
+
+
+def test_cuts_depend_on_what_is_near(base):
+    t = base[0].encode()
+    before, after = substrings.cuts(np.frombuffer(t, np.uint8)), substrings.cuts(np.frombuffer(b"inserted " + t, np.uint8))
+    assert before[-1] == len(t) and all(b - a <= substrings.MOST + 4 for a, b in zip([0, *before], before))
+    assert len(set(before) & {x - 9 for x in after}) >= len(before) * 0.8
+
+
+SECRETS = [
+    ('password = "abcdefghijkl"', 1), ('Token:abc', 0), ("PASSWD='ABCDEFGHIJKLMN'", 1), ("api_key => x", 0), ("api-key = abcdefghijklmnop", 0), ("secret: secret: abcdefghijklmnopq", 0), ("ſecret=abcdefghijklmnop", 0),
+]
+
+
+@pytest.mark.parametrize(("text", "n"), SECRETS)
+def test_base_secrets(text, n):
+    assert sum(k == "assign" for _, _, k in secretscan.base(text)) == n
+
+
+def test_lexed_secrets_follow_constants():
+    t = 'K = "q8Zt4LmP0vXw2RbN"\nname = "plain words here"\nclient.secret_value = K\ncolor: "blue"\n'
+    assert [t[a:b] for a, b in secretscan.lex(t)] == ["q8Zt4LmP0vXw2RbN"]
+    assert secretscan.lex('setenv("DB_PASSPHRASE", "x9!kQ2#vLp8Z")') and not secretscan.lex('token_type = "bearer-token-type"\npassword = "changeme"')
+
+
+def test_secret_digests(docs, rows):
+    for i, r in by_id(secretscan.find_secrets(docs)).items():
+        t = rows[i]
+        spans = [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        assert (r["n_hex"], r["n_access"]) == (sum(k == 2 for _, k, _ in spans), sum(k == 1 for _, k, _ in spans))
+        if not r["n_assign"]:
+            text = ",".join(f"{secretscan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+            assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert by_id(secretscan.redact(docs))[0]["text"] is None
+
+
+def test_toxicity_learns_and_restores(spark):
+    rng = random.Random(3)
+    plain = [f"{a}{b}" for a in ("lor", "mip", "dol", "sit", "con", "ad") for b in ("em", "sum", "or", "amet", "sec", "ip")] + ["idea", "idle", "riot"]
+    texts = [" ".join(rng.choices(plain, k=40) + ["idiot", "scumbag"] * (i % 4 == 0)) for i in range(400)]
+    docs = frame(spark, [*texts, "you i d i o t and idea", "1d10t here", "idiooot", None, ""])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    out = by_id(toxicity.assess(docs, labels))
+    assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(405))
+    held = [i for i in range(400) if out[i]["held_out"]]
+    assert all(out[i]["predicted"] == (i % 4 == 0) for i in held)
+    assert [out[i]["predicted"] for i in range(400, 405)] == [1, 1, 1, 0, 0]
+    assert set(by_id(toxicity.drop_toxic(docs, labels))) == {i for i in range(405) if not out[i]["predicted"]}
+    flat = by_id(toxicity.assess(docs, labels.filter("toxic = 0")))
+    assert len({r["score"] for r in flat.values()}) == 1
+
+
+def test_language_model(spark, base, monkeypatch):
+    texts = [*ODD, *base * 3]
+    docs = frame(spark, texts)
+    train = [t or "" for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for t in train for w in [*t.encode().lower().split(), "end"])
+    n, v = sum(c.values()), len(c)
+    for table in (rnnlm.TABLE, 200):
+        monkeypatch.setattr(rnnlm, "TABLE", table)
+        out = by_id(rnnlm.score(docs))
+        for i, t in enumerate(texts):
+            own = [*(t or "").encode().lower().split(), "end"]
+            r = out[i]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(c[w] > 0 for w in own), n)
+            assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own))
+            assert r["base_score"] - 0.302 <= r["score"] <= 0
+    assert sum(r["score"] for r in out.values()) > sum(r["base_score"] for r in out.values())
+
+
+def test_network_gradients():
+    t = rnnlm.Table(np.arange(5, dtype=np.uint64), np.arange(5) + 1, 15, 5, np.ones(rnnlm.TAILS), np.ones(rnnlm.TAILS))
+    net = rnnlm.Network.start(t)
+    net = rnnlm.Network(net.flat.astype(np.float64))
+    rng = np.random.default_rng(0)
+    ids, y = rng.integers(0, 300, (4, 3)), rng.integers(0, rnnlm.FREQUENT + rnnlm.TAILS, (4, 3))
+    fresh, h0, valid = rng.random((4, 3)) < 0.3, rng.normal(size=(3, rnnlm.HIDDEN)), np.ones((4, 3), bool)
+    grad = rnnlm.Network(np.zeros_like(net.flat))
+    net.gradient(ids, fresh, h0, y, valid, grad)
+    loss = lambda: -net.output(net.states(ids, fresh, h0).reshape(-1, rnnlm.HIDDEN), y.ravel())[0].sum()
+    for k in rng.permutation(np.flatnonzero(np.abs(grad.flat) > 1e-3))[:40]:
+        was, step = net.flat[k], 1e-3
+        net.flat[k] = was + step
+        up = loss()
+        net.flat[k] = was - step
+        down = loss()
+        net.flat[k] = was
+        assert (up - down) / (2 * step) == pytest.approx(grad.flat[k], rel=2e-2, abs=2e-3)
+
+
+def test_ngram_components(spark, base, monkeypatch):
+    rng = random.Random(5)
+    texts = [*ODD, *base]
+    for t in base[:25]:
+        for n in (1, 2, 4):
+            w = t.split(" ")
+            for _ in range(n):
+                w[rng.randrange(len(w))] = f"zz{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = {}
+    for i, t in enumerate(texts):
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[j : j + 3]) for j in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    at = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            at[x].append(i)
+    both = Counter((a, b) for own in at.values() for k, b in enumerate(own) for a in own[:k])
+    for (a, b), n in both.items():
+        if 100 * n >= 90 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    for block in (ngram_join.BLOCK, 2):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        got = {i: (r["n_shingles"], r["component_id"]) for i, r in by_id(ngram_join.classes(frame(spark, texts))).items()}
+        assert got == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert set(by_id(ngram_join.keep_first(frame(spark, texts)))) == {i for i in sets if find(i) == i}
+
+
+def test_parts_are_enough():
+    for bound in (2, 10, 40, 500):
+        n, spare = ngram_join.parts_of(90, bound)
+        worst = max(a + b - 2 * math.ceil(90 * (a + b) / 190) for a in range(1, bound) for b in (a, min(bound - 1, a * 10 // 9)))
+        assert (n == 0 and worst == 0) or n - spare == worst + 1
+
+
+def test_fingerprints(docs, rows, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 20)
+    out = by_id(fingerprints.with_next(docs))
+    ids = sorted(rows)
+    for i, j in zip(ids, [*ids[1:], ids[0]]):
+        e = fingerprints.edited(rows[i], rows[j])
+        r = out[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(rows[i]), hashlib.sha256(e.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == tuple(fingerprints.shown(fingerprints.fingerprint(t)) for t in (rows[i], e))
+        assert r["near_next"] == fingerprints.likeness(fingerprints.fingerprint(rows[i]), fingerprints.fingerprint(rows[j]))
+    assert out[6]["fingerprint"] == out[7]["fingerprint"] and out[6]["near_next"] == 1
+    long = [r["near_edited"] for i, r in out.items() if len(rows[i]) > 400]
+    assert 0.5 < np.mean(long) < 0.75
+
+
+def test_near_pairs(spark, base):
+    w = base[0].split(" ")
+    pairs = fingerprints.near_pairs(frame(spark, [base[0], base[1], " ".join(w[:-1] + ["other"]), base[0]])).collect()
+    assert {(r["doc_a"], r["doc_b"]) for r in pairs} == {(0, 2), (0, 3)}
+
+
+def test_quality_measures(docs, rows):
+    for i, r in by_id(quality.assess(docs)).items():
+        t = rows[i]
+        w = words(t)
+        c = Counter(zip(w, w[1:], w[2:]))
+        cover = {k + j for k, x in enumerate(zip(w, w[1:], w[2:])) if c[x] > 1 for j in range(3)}
+        lines = t.split("\n")
+        dup = sum(bool(x.strip(" \t\n\x0b\x0c\r")) and x in lines[:k] for k, x in enumerate(lines))
+        want = (len(w), sum(len(x.decode()) for x in w), len(re.findall(r"[#*$%&|<>]", t)), dup, len(cover))
+        assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r["kept"] and r["base_failed"])
+
+
+def test_quality_votes_agree_with_labels(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    q = quality.assess(docs).withColumnRenamed("quality", "q").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("not base_failed")
+    a = {(r["quality"], r["kept"]): r["count"] for r in q.groupBy("quality", "kept").count().collect()}
+    assert a.get((1, False), 0) <= 0.05 * a.get((1, True), 1)
+
+
+def test_em_finds_planted_accuracies():
+    rng = np.random.default_rng(1)
+    good = rng.random(20000) < 0.7
+    votes = np.stack([np.where(rng.random(20000) < 0.3, 0, np.where(rng.random(20000) < acc, good, ~good) + 1) for acc in (0.9, 0.8, 0.85, 0.75, 0.9, 0.8, 0.85, 0.9, 0.8)], axis=1)
+    pats, n = np.unique(votes, axis=0, return_counts=True)
+    prior, like = quality.fit(pats, n.astype(float))
+    assert prior == pytest.approx(0.7, abs=0.1)
+    assert ((quality.posterior(votes, prior, like) >= 0.5) == good).mean() > 0.95
+
+
+def test_bpe_equals_the_library(docs, rows):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(WORD)
+    for i, r in by_id(bpe.encode_documents(docs, WORD)).items():
+        ids = t.encode(rows[i], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_transducer_streams(path):
+    v = bpe.Vocabulary(path)
+    rng = random.Random(2)
+    for _ in range(4):
+        data = "".join(rng.choice(["th", "e", "an", "ing", "é", "zz", "0"]) for _ in range(3 * v.lookahead + 999)).encode()
+        run, got, most = bpe.Transducer(v), [], 0
+        for k in range(0, len(data), 7):
+            got += run.feed(data[k : k + 7])
+            most = max(most, len(run.held))
+        whole = bpe.Transducer(v)
+        whole.held = data
+        assert got + run.end() == whole.end() and most <= run.window + 7
+    some = rng.sample(sorted(v.ranks, key=v.ranks.get), 1500)
+    for a, b in some:  # a token, alone, is made by its own merge: ranking pairs by their token is the merge list's order
+        t = a + b
+        parts = list(t.removesuffix(v.suffix)) if v.suffix and t.endswith(v.suffix) else list(t)
+        if v.suffix and t.endswith(v.suffix):
+            parts[-1] += v.suffix
+        assert bpe.merge(parts, v.ranks) == [t]
+
+
+def test_byte_decoding():
+    v = bpe.Vocabulary(BYTE)
+    text = "Grüße, 世界 😀 \n ok"
+    assert bpe.decode_bytes(np.frombuffer(packing.ByteEncoder(BYTE_RANKS).encode(text), np.uint32).tolist(), v) == text
+    m = bpe.TextMachine()
+    assert "".join(m.feed(bytes([b])) for b in "é😀".encode() + b"\xff") + m.end() == "é😀�"
+
+
+def test_packing(spark, base, docs, rows):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(BYTE)
+    more = frame(spark, [" ".join(base[:k]) for k in range(1, 30)], first=1000).union(docs)
+    text = {r["doc_id"]: r["text"] or "" for r in more.collect()}
+    out = packing.pack(more, BYTE_RANKS).collect()
+    at, seqs = defaultdict(list), defaultdict(list)
+    for r in out:
+        at[r["doc_id"]].append(r)
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+    total = 0
+    for i, x in text.items():
+        ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+        total += len(ids)
+        own = sorted(at[i], key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(-(-len(ids) // 2048)))
+        assert all(r["length"] == 2048 for r in own[1:]) and sum(r["length"] for r in own) == len(ids)
+        for r in own:
+            assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    for own in seqs.values():
+        end = 0
+        for offset, n in sorted(own):
+            assert offset == end
+            end += n
+        assert end <= 2048
+    assert len(seqs) <= total / 2048 * 1.03 + 2
+
+
+def test_plan_places_everything():
+    rng = np.random.default_rng(0)
+    counts = np.zeros(2049, np.int64)
+    np.add.at(counts, np.minimum(rng.lognormal(6, 1, 50000).astype(int) + 1, 2048), 1)
+    table, n = packing.plan(counts)
+    assert np.bincount(table[:, 0], table[:, 2], minlength=2049).tolist() == counts.tolist()
+    assert n <= 1.01 * (counts @ np.arange(2049)) / 2048
+    assert packing.plan(np.zeros(2049, np.int64))[1] == 0
+
+
+def test_surrogates(spark):
+    texts = ["Mr. John Smith wrote to j.smith@mail5.example.com, +1 (743) 555-3824; Mrs. Smith did not.", "JOHN: John Smith, 4111 1111 1111 1111, 8.196.197.208, г-жа Иванова", None, "", "Version 2.0. of 4.0. in 2024"]
+    docs = frame(spark, texts)
+    out = by_id(pii.surrogates(docs))
+    a, b = out[0]["text"], out[1]["text"]
+    assert not re.search("Smith|743|j.smith|4111|8.196|Иванова", a + b)
+    surname = re.search(r"Mrs\. (\w+)", a)[1]
+    assert a.count(surname) == 2 and surname in b and re.search(r"г-жа [А-Яа-я]+", b)
+    card = re.search(r"4\d{3} \d{4} \d{4} \d{4}", b)[0].replace(" ", "")
+    assert sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(card))) % 10 == 0
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", a) and [out[i]["text"] for i in (2, 3, 4)] == texts[2:]
+    assert out[0]["n_name"] == 2 and out[0]["n_email"] == 1 and out[1]["band"] == "x"
+
+
+def test_surrogates_stay_distinct(spark):
+    names = spark.createDataFrame([(f"{a}.{b}.{c}.{d}",) for a in range(1, 3) for b in range(10) for c in range(10) for d in range(1, 11)] + [(f"555-{i:03d}-{i:04d}",) for i in range(300)], "entity string")
+    m = pii.mapping(names.union(names))
+    assert m.count() == names.count() == m.select("surrogate").distinct().count() and m.join(names.toDF("surrogate"), "surrogate").isEmpty()
+
+
+def test_pipeline_against_its_stages(spark, sf_dir, tmp_path, base):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seen = docs.columns
+    for k, (name, stage) in enumerate(cp.STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if k + 1 < len(cp.STAGES):
+            assert docs.columns == seen, name
+    kept = spark.read.parquet(str(tmp_path / "3"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    toxic = labels.filter("toxic = 1")
+    assert kept.join(toxic, "doc_id").count() <= 0.1 * toxic.count()
+    again = cp.run(spark, sf_dir)
+    assert again.agg(F.sum("length")).first()[0] == docs.agg(F.sum("length")).first()[0]
+    assert not any(secretscan.base(r["text"] or "") for r in kept.limit(50).collect())
