@@ -50,4 +50,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substrings, op2_secrets, op3_toxicity, op4_lm, op5_ngram_join, op6_fingerprints, op7_quality, op8_bpe, op9_packing, op10_pii)}
-ORACLE_SQL: dict[str, str] = {}
+#: The rest is beyond SQL (fitted models, decoding, packing, keyed surrogates): tests hold it against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END s FROM w),
+rows AS (SELECT doc_id, unnest(s) x FROM sets),
+met AS (SELECT a.doc_id a, b.doc_id b, count(*) n FROM rows a JOIN rows b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM met JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * n >= 90 * (len(p.s) + len(q.s) - n)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) n_shingles, min(reach.b) component_id FROM sets JOIN reach ON reach.a = sets.doc_id GROUP BY 1, 2""",
+}
