@@ -26,8 +26,8 @@ from ._text import Words, mix, shingles
 PERMUTATIONS = 64
 #: Characters of a fingerprint's shingle.
 WIDTH = 8
-#: Rows of one range of ids, about.
-RANGE_ROWS = 4000
+#: Rows of one range of ids, about, and ranges at most; a range is streamed, so its length costs no memory.
+RANGE_ROWS, RANGES = 4000, 20_000
 BANDS, ROWS, MIN_JACCARD, WORDS = 20, 5, 0.8, 5
 _BLOCK = 1024
 _LEAST = -(2**63)
@@ -136,7 +136,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     range also goes to the range before it. Only the bounds and first ids of the ranges come to the driver.
     """
     d = slim(docs).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_key", F.coalesce("doc_id", F.lit(_LEAST)))
-    parts = max(1, d.count() // RANGE_ROWS)
+    parts = max(1, min(RANGES, d.count() // RANGE_ROWS))
     bounds = np.unique(np.array(d.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else [], float))
     held = d.sparkSession.sparkContext.broadcast(bounds)
 

@@ -32,7 +32,7 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _NAME = r"[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*|\[(?:\"[^\"\n]{1,80}\"|'[^'\n]{1,80}')\])*"
 _LIT = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
 _PAIR = re.compile(
-    rf"""(?:(?P<q>["'])(?P<qname>[^"'\n]{{1,80}})(?P=q)|(?P<name>{_NAME}))[ \t]*(?::[ \t]*[A-Za-z][\w<>\[\]]*[ \t]*(?==[^=]))?(?P<op>:=|=>|\+=|=(?!=)|:(?![:/]))[ \t]*(?P<rhs>(?:{_LIT}|[^\s"'`,;{{}}()<>]+)(?:[ \t]*[+.][ \t]*(?:{_LIT}|{_NAME}))*)"""
+    rf"""(?:(?P<q>["'])(?P<qname>[^"'\n]{{1,80}})(?P=q)|(?<![\w$-])(?P<name>{_NAME}))[ \t]*(?::[ \t]*[A-Za-z][\w<>\[\]]*[ \t]*(?==[^=]))?(?P<op>:=|=>|\+=|=(?!=)|:(?![:/]))[ \t]*(?P<rhs>(?:{_LIT}|[^\s"'`,;{{}}()<>]+)(?:[ \t]*[+.][ \t]*(?:{_LIT}|{_NAME}))*)"""
 )
 _CALL = re.compile(rf"""(?:set|put|setenv|putenv|define|setProperty|add|header)\w*[ \t]*\([ \t]*["'](?P<name>[^"'\n]{{1,80}})["'][ \t]*,[ \t]*(?P<rhs>{_LIT})""")
 _ATTR = re.compile(r"""(?:key|name)[ \t]*=[ \t]*["'](?P<name>[^"'\n]{1,80})["'][ \t]+value[ \t]*=[ \t]*(?P<rhs>"[^"\n]*"|'[^'\n]*')""")
