@@ -48,7 +48,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     held = worker_cache("powers", lambda: [np.ones(1, np.uint64), np.ones(1, np.uint64)])
     if len(held[0]) < n:
-        size = 1 << int(n).bit_length()
+        size = n + n // 4
         for i, step in enumerate((_STEP, _STEP_INV)):
             a = np.full(size, step, np.uint64)
             a[0] = 1

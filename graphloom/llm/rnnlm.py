@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from ._spark import cut, slim
 from ._text import Words, mix, slices, worker_cache
 
-FREQUENT, WIDTH = 2048, 64  # frequent words, words of a class
+FREQUENT, WIDTH = 1024, 32  # frequent words, words of a class
 TAILS = 32
-HIDDEN, EMBED = 24, 16
+HIDDEN, EMBED = 16, 12
 #: Words whose counts travel to the tasks, at most.
 TABLE = 1 << 19
-LANES, STEPS = 160, 32
-SLICE = 4 << 20
+LANES, STEPS = 160, 64
+SLICE = 3 << 20
 UNIGRAM = 0.05
 RATES = (4e-3, 1.5e-3)
 END = int(mix(np.array([0xE0D], np.uint64))[0])
@@ -61,7 +61,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n, tail) over all given documents, ends included."""
 
     def run(batches):
-        for part in slices(batches, limit=2 * SLICE):
+        for part in slices(batches, limit=SLICE):
             h, cls, _ = _tokens(part)
             u, first, n = np.unique(h, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n), pa.array(cls[first].astype(np.int32))], names=["word", "n", "tail"])
@@ -81,6 +81,8 @@ class Table:
         top = np.lexsort((self.words, -self.n))[:FREQUENT]
         ids[top] = np.arange(len(top))
         self.ids = ids
+        few = np.sort(top)
+        self.few, self.few_ids = self.words[few], ids[few]
         self.frequent = np.zeros(FREQUENT)
         self.frequent[: len(top)] = self.n[top]
         self.tail_log = -np.log(tail_tokens + tail_distinct + 1.0)
@@ -92,6 +94,13 @@ class Table:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return at, self.words[at] == h
 
+    def classes_of(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Output ids: of frequent words their own, of others that of their tail class."""
+        if not len(self.few):
+            return FREQUENT + tail
+        at = np.minimum(np.searchsorted(self.few, h), len(self.few) - 1)
+        return np.where(self.few[at] == h, self.few_ids[at], FREQUENT + tail)
+
 
 def table(counts: DataFrame) -> Table:
     """From the counts; what comes to the driver is bounded by TABLE, the count values in use and the tail classes."""
@@ -146,27 +155,39 @@ class Network:
 
     def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each step [steps, lanes, HIDDEN], from the steps' input ids; ``fresh``: the step starts a document."""
-        x = self.E[ids] @ self.Wx + self.bx
-        out = np.empty((*ids.shape, HIDDEN), np.float32)
+        x = self.E[ids] @ self.Wx
+        x += self.bx
+        out = np.empty((*ids.shape, HIDDEN), x.dtype)
+        stay, begins = (~fresh).astype(x.dtype)[:, :, None], fresh.any(axis=1)
+        k = 2 * HIDDEN
         for t in range(len(ids)):
-            h = h * ~fresh[t][:, None]
+            if begins[t]:
+                h = h * stay[t]
             g = h @ self.Wh
-            zr = 0.5 * np.tanh(0.5 * (x[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])) + 0.5
+            zr = x[t, :, :k] + g[:, :k]
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(x[t, :, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-            new = n + z * (h - n)
+            n = r * g[:, k:]
+            n += x[t, :, k:]
+            np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, z, r, n, g[:, 2 * HIDDEN :]))
+                keep.append((h, z, r, n, g[:, k:]))
+            new = h - n
+            new *= z
+            new += n
             out[t] = h = new
         return out
 
     def output(self, h: np.ndarray, y: np.ndarray, grad: "Network | None" = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target (of its class, for tail words) given states [rows, HIDDEN]; with ``grad``, adds gradients of the negative sum."""
         cls = np.where(y < FREQUENT, y // WIDTH, _CLASSES + y - FREQUENT)
-        logit = h @ self.Wc + self.bc
-        logit -= logit.max(axis=1, keepdims=True)
+        logit = h @ self.Wc
+        logit += self.bc - (np.abs(self.Wc).sum(axis=0) + self.bc).max()  # states lie within [-1, 1], so no logit is above 0
         p = np.exp(logit)
-        total = p.sum(axis=1)
+        total = p @ np.ones(p.shape[1], p.dtype)
         rows = np.arange(len(y))
         logp = logit[rows, cls] - np.log(total)
         dh = None
@@ -176,16 +197,17 @@ class Network:
             grad.Wc += h.T @ p
             grad.bc += p.sum(axis=0)
             dh = p @ self.Wc.T
-        order = np.argsort(cls, kind="stable")
+        ones = np.ones(WIDTH, h.dtype)
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
         edge = np.searchsorted(cls[order], np.arange(_CLASSES + 1))
         for c in np.flatnonzero(np.diff(edge)):
             own = order[edge[c] : edge[c + 1]]
             hc, w = h[own], y[own] % WIDTH
-            logit = hc @ self.Ww[c] + self.bw[c]
-            logit -= logit.max(axis=1, keepdims=True)
+            logit = hc @ self.Ww[c]
+            logit += self.bw[c] - (np.abs(self.Ww[c]).sum(axis=0) + self.bw[c]).max()
             p = np.exp(logit)
-            total = p.sum(axis=1)
-            k = np.arange(len(own))
+            total = p @ ones
+            k = rows[: len(own)]
             logp[own] += logit[k, w] - np.log(total)
             if grad is not None:
                 p /= total[:, None]
@@ -199,30 +221,44 @@ class Network:
         """Adds the window's gradients, by backpropagation to its first step; gives the state after it."""
         keep: list = []
         states = self.states(ids, fresh, h0, keep)
-        flat = np.zeros((ids.size, HIDDEN), np.float32)
+        flat = np.zeros((ids.size, HIDDEN), states.dtype)
         on = np.flatnonzero(valid.ravel())
         flat[on] = self.output(states.reshape(-1, HIDDEN)[on], y.ravel()[on], grad)[1]
         dout = flat.reshape(states.shape)
-        dx = np.empty((*ids.shape, 3 * HIDDEN), np.float32)
-        dh = np.zeros_like(h0)
+        k = 2 * HIDDEN
+        dx = np.empty((*ids.shape, 3 * HIDDEN), states.dtype)
+        dg = np.empty_like(dx)
+        stay, begins = (~fresh).astype(states.dtype)[:, :, None], fresh.any(axis=1)
+        dh = np.zeros_like(states[0])
         for t in range(len(ids) - 1, -1, -1):
             h, z, r, n, gn = keep[t]
-            dh = dh + dout[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], axis=1)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            grad.Wh += h.T @ dg
-            dh = (dh * z + dg @ self.Wh.T) * ~fresh[t][:, None]
+            dh += dout[t]
+            u = 1 - z
+            dn = dx[t, :, k:]
+            np.multiply(dh, u, out=dn)
+            dn *= 1 - n * n
+            u *= z
+            u *= h - n
+            np.multiply(dh, u, out=dx[t, :, :HIDDEN])
+            v = r * (1 - r)
+            v *= gn
+            np.multiply(dn, v, out=dx[t, :, HIDDEN:k])
+            dg[t, :, :k] = dx[t, :, :k]
+            np.multiply(dn, r, out=dg[t, :, k:])
+            dh *= z
+            dh += dg[t] @ self.Wh.T
+            if begins[t]:
+                dh *= stay[t]
+        grad.Wh += np.concatenate([own[0] for own in keep]).T @ dg.reshape(-1, 3 * HIDDEN)
         dx = dx.reshape(-1, 3 * HIDDEN)
         e = self.E[ids.ravel()]
         grad.Wx += e.T @ dx
         grad.bx += dx.sum(axis=0)
         de = dx @ self.Wx.T
-        o = np.argsort(ids.ravel(), kind="stable")
-        u, first = np.unique(ids.ravel()[o], return_index=True)
-        grad.E[u] += np.add.reduceat(de[o], first, axis=0)
+        o = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
+        own = ids.ravel()[o]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        grad.E[own[first]] += np.add.reduceat(de[o], first, axis=0)
         return states[-1]
 
 
@@ -253,12 +289,6 @@ def windows(at: np.ndarray, steps: int, n: int):
         yield place, first[place] & (place >= 0)
 
 
-def _inputs(t: Table, h: np.ndarray, cls: np.ndarray):
-    at, there = t.find(h)
-    y = np.where(there, t.ids[at] if len(t.ids) else -1, -1)
-    return at, there, np.where(y >= 0, y, FREQUENT + cls)
-
-
 def train(docs: DataFrame, t, weights: np.ndarray, rate: float) -> np.ndarray:
     """Averaged weights of networks that each task trains on its own rows, from the given ones."""
     sc = docs.sparkSession.sparkContext
@@ -270,7 +300,7 @@ def train(docs: DataFrame, t, weights: np.ndarray, rate: float) -> np.ndarray:
         m, v, k, seen = np.zeros_like(net.flat), np.zeros_like(net.flat), 0, 0
         for part in slices(batches, limit=SLICE):
             h, cls, at = _tokens(part)
-            _, _, y = _inputs(t.value, h, cls)
+            y = t.value.classes_of(h, cls)
             before = np.concatenate([[0], y[:-1]])
             before[at[:-1]] = FREQUENT  # a text's first input
             state = np.zeros((LANES, HIDDEN), np.float32)
@@ -325,16 +355,19 @@ def score(docs: DataFrame) -> DataFrame:
         uni = math.log(UNIGRAM) - math.log(voc.tokens + voc.distinct + 1)
         for part in slices(batches, limit=SLICE):
             h, cls, at = _tokens(part)
-            place_in, there, y = _inputs(voc, h, cls)
+            place_in, there = voc.find(h)
+            y = voc.classes_of(h, cls)
             before = np.concatenate([[0], y[:-1]])
             before[at[:-1]] = FREQUENT
-            logp = np.empty(len(h))
+            logp, states_of = np.empty(len(h)), np.empty((len(h), HIDDEN), np.float32)
             state = np.zeros((2 * LANES, HIDDEN), np.float32)
             for place, fresh in windows(at, STEPS, 2 * LANES):
                 states = net.states(before[place], fresh, state[: place.shape[1]])
                 state = states[-1]
                 on = place >= 0
-                logp[place[on]] = net.output(states[on], y[place[on]])[0]
+                states_of[place[on]] = states[on]
+            for a in range(0, len(h), 1 << 16):
+                logp[a : a + (1 << 16)] = net.output(states_of[a : a + (1 << 16)], y[a : a + (1 << 16)])[0]
             c_log = np.where(there, table_log[place_in] if len(table_log) else 0.0, 0.0)
             frequent = y < FREQUENT
             # natural logs of the mixture; a tail word's own count comes as a factor (c + 1)
