@@ -41,7 +41,8 @@ def size_classes(percent: int, top: int = 1 << 40) -> list[int]:
 def parts_of(percent: int, bound: int) -> tuple[int, int]:
     """Parts into which sets of fewer than ``bound`` shingles are cut, and how many of them may be left out. 0: such sets link only if equal."""
     most = 2 * (bound - 1)
-    d = most - 2 * -(-percent * most // (100 + percent))
+    # not monotone in the sum of both sizes, but 100 + percent more of it never allow less, so the largest is among the last so many
+    d = max(s - 2 * -(-percent * s // (100 + percent)) for s in range(max(0, most - 99 - percent), most + 1))
     spare = 1 + (d + 1) // 32
     return (d + 1 + spare, spare) if d else (0, 0)
 

@@ -212,6 +212,26 @@ def test_parts_are_enough():
         assert (n == 0 and worst == 0) or n - spare == worst + 1
 
 
+def test_parts_hold_for_every_pair_of_sizes():
+    for bound in [*range(2, 400), 1000, 4321]:
+        n, spare = ngram_join.parts_of(90, bound)
+        worst = max(s - 2 * math.ceil(90 * s / 190) for s in range(2 * bound - 1))
+        assert (n == 0 and worst == 0) or n - spare == worst + 1
+
+
+def test_nested_sets_link(spark):
+    texts = {}
+    for size in (*range(1, 60), *range(60, 330, 30)):  # shingles of the smaller set
+        w = [f"s{size}w{j}" for j in range(size + 3)]
+        texts[10 * size], texts[10 * size + 1], texts[10 * size + 2] = " ".join(w[:-1]), " ".join(w), " ".join(w[1:])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {i: r["component_id"] for i, r in by_id(ngram_join.classes(docs)).items()}
+    for i in range(0, max(texts) + 1, 10):
+        if i in texts:
+            linked = 100 * (i // 10) >= 90 * (i // 10 + 1)
+            assert [got[i + k] for k in range(3)] == ([i] * 3 if linked else [i, i + 1, i + 2]), i
+
+
 def test_fingerprints(docs, rows, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 20)
     out = by_id(fingerprints.with_next(docs))
