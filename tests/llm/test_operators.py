@@ -81,6 +81,22 @@ def test_repeated_passages(spark, base):
     assert len(kept[9]["text"]) < len(texts[9]) - 140 and kept[9]["n_chars"] == len(kept[9]["text"])
 
 
+def test_passages_of_51_words_are_found_whole(spark, base):
+    rng = random.Random(11)
+    pool = [w for t in base for w in t.split() if w.isalpha() and w.isascii()]
+    unlike = lambda: " ".join(hashlib.sha256(rng.randbytes(8)).hexdigest()[: rng.randint(3, 9)] for _ in range(40))
+    texts, planted = [], []
+    for _ in range(300):
+        passage = " ".join(rng.choices(pool, k=51))
+        planted.append(passage)
+        texts += [f"{unlike()} {passage} {unlike()}", f"{unlike()}\n{passage}\n{unlike()}"]
+    found = {r["doc_id"]: r for r in substrings.repeats(frame(spark, texts)).collect()}
+    assert set(found) == set(range(1, 600, 2))
+    for i, r in found.items():
+        at = texts[i].index(planted[i // 2])
+        assert r["start"] <= at and r["stop"] >= at + len(planted[i // 2]) and r["n_chars"] <= len(planted[i // 2]) + 8 and r["first_doc_id"] == i - 1
+
+
 def test_cuts_depend_on_what_is_near(base):
     t = base[0].encode()
     before, after = substrings.cuts(np.frombuffer(t, np.uint8)), substrings.cuts(np.frombuffer(b"inserted " + t, np.uint8))
