@@ -66,16 +66,51 @@ def name_weight(name: str) -> float:
     return best
 
 
+class Value:
+    """What a name holds: literals and other values, in order. Only sums over their characters are kept, so a constant's literals are neither copied nor counted again where it is used, however many there are."""
+
+    __slots__ = ("literals", "parts", "n", "chars", "words", "head", "opens", "ends", "total")
+
+    def __init__(self):
+        self.literals: list[tuple[int, int]] = []
+        self.parts: list[Value] = []
+        self.n, self.chars, self.words, self.head, self.opens, self.ends, self.total = 0, Counter(), 0, "", True, True, 0.0
+
+    def _append(self, n: int, chars: Counter, words: int, head: str, opens: bool, ends: bool) -> None:
+        if not n:
+            return
+        self.words += words - (self.n > 0 and not self.ends and not opens)
+        self.opens, self.ends = opens if not self.n else self.opens, ends
+        self.n += n
+        self.chars.update(chars)
+        self.head = (self.head + head)[:4096] if len(self.head) < 4096 else self.head
+
+    def add(self, a: int, b: int, text: str) -> "Value":
+        if len(text) >= 6:
+            self.literals.append((a, b))
+        self._append(len(text), Counter(text), len(text.split()), text[:4096], text[:1].isspace(), text[-1:].isspace())
+        return self
+
+    def join(self, other: "Value") -> None:
+        self.parts.append(other)
+        self._append(other.n, other.chars, other.words, other.head, other.opens, other.ends)
+
+    def weight(self) -> float:
+        """How much the joined literals look like key material, 0 to 1."""
+        n = self.n
+        if n < 6 or len(self.chars) < 4 or _PLACEHOLDER.match(self.head):
+            return 0.0
+        entropy = -sum(c / n * math.log2(c / n) for c in self.chars.values() if c / n)
+        seen = "".join(self.chars)
+        kinds = sum(bool(re.search(p, seen)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
+        if re.search(r"\s", seen) and n / (1 + self.words) < 12:
+            return 0.1  # prose
+        return min(1.0, 0.15 * kinds + min(entropy, 4.5) / 4.5 * 0.6 + min(n, 32) / 32 * 0.2)
+
+
 def literal_weight(value: str) -> float:
     """How much a literal looks like key material, 0 to 1."""
-    n = len(value)
-    if n < 6 or n > 4096 or _PLACEHOLDER.match(value) or len(set(value)) < 4:
-        return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9\s]"))
-    if re.search(r"\s", value) and n / (1 + len(value.split())) < 12:
-        return 0.1  # prose
-    return min(1.0, 0.15 * kinds + min(entropy, 4.5) / 4.5 * 0.6 + min(n, 32) / 32 * 0.2)
+    return Value().add(0, len(value), value).weight()
 
 
 def lex(text: str) -> list[tuple[int, int]]:
@@ -90,30 +125,31 @@ def lex(text: str) -> list[tuple[int, int]]:
             g = m.groupdict()
             found.append((m.start(), g.get("qname") or g["name"], m.start("rhs"), g["rhs"]))
     found.sort()
-    held: dict[str, list[tuple[int, int, str]]] = {}  # name -> literal pieces that its value is made of
+    held: dict[str, Value] = {}
+    values: list[Value] = []
     score: dict[tuple[int, int], float] = {}
     for _, name, at, rhs in found:
-        pieces: list[tuple[int, int, str]] = []
+        value = Value()
         joined = False
         for m in _PART.finditer(rhs):
             a, b = at + m.start(), at + m.end()
             if m["lit"]:
-                pieces.append((a + 1, b - 1, m["lit"][1:-1]))
+                value.add(a + 1, b - 1, m["lit"][1:-1])
             elif m["ref"] and m["ref"] in held:
-                pieces += held[m["ref"]]
+                value.join(held[m["ref"]])
                 joined = True
             elif not m["ref"] or not joined and len(rhs) == len(m[0]):
-                pieces.append((a, b, m[0]))
-        pieces = pieces[:64]
-        held[name] = pieces
+                value.add(a, b, m[0])
+        held[name] = value
+        values.append(value)
         weight = name_weight(name)
-        if not pieces or weight < 0.3:
-            continue
-        value = "".join(x[2] for x in pieces)
-        total = weight * (0.35 + 0.65 * literal_weight(value)) if literal_weight(value) > 0 else 0.0
-        for a, b, part in pieces:
-            if len(part) >= 6:
-                score[a, b] = max(score.get((a, b), 0.0), total)
+        if weight >= 0.3 and (own := value.weight()) > 0:
+            value.total = weight * (0.35 + 0.65 * own)
+    for value in reversed(values):  # a value's parts were there before it
+        for part in value.parts:
+            part.total = max(part.total, value.total)
+        for k in value.literals:
+            score[k] = max(score.get(k, 0.0), value.total)
     return sorted(k for k, v in score.items() if v >= THRESHOLD)
 
 

@@ -120,6 +120,20 @@ def test_lexed_secrets_follow_constants():
     assert secretscan.lex('setenv("DB_PASSPHRASE", "x9!kQ2#vLp8Z")') and not secretscan.lex('token_type = "bearer-token-type"\npassword = "changeme"')
 
 
+def test_long_secrets_and_many_pieces():
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    for n in (4000, 4324, 50_000):
+        own = key(n)
+        t = f"client-key-data: {own}\nkind: Config\n"
+        assert [t[a:b] for a, b in secretscan.lex(t)] == [own]
+    pieces = [key(12) for _ in range(200)]
+    t = "blob = " + " + ".join(f'"{p}"' for p in pieces) + "\nprivate_key = blob\n"
+    assert [t[a:b] for a, b in secretscan.lex(t)] == pieces
+    doubled = f'v = "{pieces[0]}"\n' + "v = v + v\n" * 3000 + "password = v\n"
+    assert [doubled[a:b] for a, b in secretscan.lex(doubled)] == [pieces[0]]
+
+
 def test_secret_digests(docs, rows):
     for i, r in by_id(secretscan.find_secrets(docs)).items():
         t = rows[i]
