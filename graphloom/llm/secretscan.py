@@ -37,6 +37,7 @@ _PAIR = re.compile(
 _CALL = re.compile(rf"""(?:set|put|setenv|putenv|define|setProperty|add|header)\w*[ \t]*\([ \t]*["'](?P<name>[^"'\n]{{1,80}})["'][ \t]*,[ \t]*(?P<rhs>{_LIT})""")
 _ATTR = re.compile(r"""(?:key|name)[ \t]*=[ \t]*["'](?P<name>[^"'\n]{1,80})["'][ \t]+value[ \t]*=[ \t]*(?P<rhs>"[^"\n]*"|'[^'\n]*')""")
 _FLAG = re.compile(r"""(?<!\S)--?(?P<name>[A-Za-z][\w-]{2,60})[ \t]+(?P<rhs>"[^"\n]*"|'[^'\n]*'|[^\s-]\S*)""")
+_DASH = re.compile(r"-(?<!\S-)")  # one that starts a flag
 _PART = re.compile(rf"(?P<lit>{_LIT})|(?P<ref>{_NAME})|(?P<raw>[^\s+]+)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -117,9 +118,11 @@ def lex(text: str) -> list[tuple[int, int]]:
     """Spans of literals that sensitive names receive, directly or through constants, in order."""
     found: list[tuple[int, str, int, str]] = []
     for rx in (_PAIR, _CALL, _ATTR, _FLAG):
-        if rx is _FLAG and "--" not in text and " -" not in text:
+        if rx is _PAIR and "=" not in text and ":" not in text or rx is _ATTR and "=" not in text:
             continue
-        if rx is _CALL and "(" not in text:
+        if rx is _FLAG and not _DASH.search(text):
+            continue
+        if rx is _CALL and ("(" not in text or '"' not in text and "'" not in text):
             continue
         for m in rx.finditer(text):
             g = m.groupdict()
@@ -167,9 +170,7 @@ def base(text: str) -> list[tuple[int, int, str]]:
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans, each by start and then kind as listed."""
     own = base(text)
-    more = []
-    if "=" in text or ":" in text or "--" in text:
-        more = [(a, b, "lexed") for a, b in lex(text) if not any(s < b and a < e for s, e, _ in own)]
+    more = [(a, b, "lexed") for a, b in lex(text) if not any(s < b and a < e for s, e, _ in own)]
     return own, sorted(own + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else own
 
 

@@ -120,6 +120,11 @@ def test_lexed_secrets_follow_constants():
     assert secretscan.lex('setenv("DB_PASSPHRASE", "x9!kQ2#vLp8Z")') and not secretscan.lex('token_type = "bearer-token-type"\npassword = "changeme"')
 
 
+@pytest.mark.parametrize("text", ['os.putenv("DB_PASSWORD", "q8Zt4LmP0vXw2RbN")', "run -token q8Zt4LmP0vXw2RbN now", "-token q8Zt4LmP0vXw2RbN", "run\n-token q8Zt4LmP0vXw2RbN"])
+def test_lexed_secrets_need_no_other_sign(text):
+    assert [text[a:b] for a, b, k in secretscan.scan(text)[1] if k == "lexed"] == ["q8Zt4LmP0vXw2RbN"]
+
+
 def test_long_secrets_and_many_pieces():
     rng = random.Random(4)
     key = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
