@@ -37,7 +37,12 @@ _WORD = re.compile(r"[^\s]+")
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_"
 _SPACED = re.compile(r"(?<![^\s.,;:!?\"'(])(?:[A-Za-z0-9@$!|+(€£¡](?:[ .\-_*~]|\s(?=\S(?:\s|$)))){3,}[A-Za-z0-9@$!|+(€£¡](?![A-Za-z0-9])")
 _STRETCH = re.compile(r"([a-z])\1\1")
-_MASKED = re.compile(r"[a-z][0-9@$!|+(€£¡.\-_*~]+[a-z]|^[0-9@$!|+(€£¡]+[a-z]{2,}|[a-z]{2,}[0-9@$|+(€£¡]+$")
+_MASKED = re.compile(r"[a-z][.\-_*~]+[a-z]")
+_SIGN = re.compile("[" + re.escape("".join(LOOKS)) + "]")
+#: Numbers and amounts, which stay what they are, and words without a letter or a sign that only disguises.
+_PLAIN = re.compile(r"[^a-z@!|*¡]*")
+#: Signs at an end that the decode may take with or without, counted from the word; the whole run is tried as well.
+_NEAR = 4
 #: Log costs of the channel: a sign read as a letter, a sign or repeat dropped, a letter kept.
 SUBSTITUTE, DROP, REPEAT = -1.0, -0.5, -0.7
 _LETTERS = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
@@ -101,14 +106,33 @@ def restore(token: str, lm: np.ndarray) -> str:
     return max((p + lm[a * SYMBOLS + b, 26], w) for (a, b), (p, w) in states.items())[1] if states else ""
 
 
+def disguises(token: str) -> set[str]:
+    """The forms of a token that hold a sign which may stand for a letter: signs at its ends may be letters or punctuation, so each is tried as both."""
+    if not _SIGN.search(token) or _PLAIN.fullmatch(token):
+        return set()
+    core = token.strip(_EDGE)
+    if not core:
+        return {token}
+    a = token.index(core)
+    b = a + len(core)
+    starts = {0, *range(max(0, a - _NEAR), a + 1)} if a else {0}
+    ends = {len(token), *range(b, min(len(token), b + _NEAR) + 1)} if b < len(token) else {b}
+    # a form starts and ends with the word itself or with a sign that is a letter
+    starts = [i for i in starts if i == a or token[i] in LOOKS]
+    ends = [j for j in ends if j == b or token[j - 1] in LOOKS]
+    return {w for i in starts for j in ends if _SIGN.search(w := token[i:j]) and not _PLAIN.fullmatch(w)}
+
+
 def readings(text: str, lm: np.ndarray) -> set[str]:
     """A text's plain words in lower case, and what its disguised ones restore to."""
     low = text.lower()
-    words = {w.strip(_EDGE) for w in low.split()}
+    tokens = set(low.split())
+    words = {w.strip(_EDGE) for w in tokens}
     held = worker_cache("restored", dict)
     out = {w for w in words if w}
-    odd = [w for w in words if len(w) > 3 and not w.isalpha() and _MASKED.search(w)] + [w for w in words if _STRETCH.search(w)]
-    odd += [m.group(0) for m in _SPACED.finditer(low)]
+    odd = {w for w in words if _STRETCH.search(w) or len(w) > 3 and not w.isalpha() and _MASKED.search(w)}
+    odd |= {w for t in tokens if not t.isalpha() for w in disguises(t)}
+    odd |= {m.group(0) for m in _SPACED.finditer(low)}
     for w in odd:
         if w not in held:
             if len(held) > 200_000:

@@ -166,6 +166,20 @@ def test_toxicity_learns_and_restores(spark):
     assert len({r["score"] for r in flat.values()}) == 1
 
 
+def test_disguised_ends_are_restored(spark):
+    rng = random.Random(3)
+    plain = [f"{a}{b}" for a in ("lor", "mip", "dol", "sit", "con", "pur") for b in ("em", "sum", "or", "amet", "sec", "ip")] + ["idea", "stupor"]
+    texts = [" ".join(rng.choices(plain, k=40) + ["idiot", "stupid", "shit"] * (i % 4 == 0)) for i in range(400)]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    for word, want in (("$tupid", "stupid"), ("!diot", "idiot"), ("*diot", "idiot"), ("5h17", "shit"), ('("$tupid!"),', "stupid"), ("(!diot)", "idiot"), ("idio+", "idiot"), ("idio+!", "idiot")):
+        assert want in toxicity.readings(f"lorem {word} dolor", model.lm), word
+        assert model.score(f"lorem {word} dolor") >= 0.5, word
+    assert model.score("lorem! (dolor) *sitor* $455 1,000 2024") < 0.5
+    assert toxicity.readings("$455 1,000 2024-07-05", model.lm) == {"455", "1,000", "2024-07-05"}
+
+
 def test_language_model(spark, base, monkeypatch):
     texts = [*ODD, *base * 3]
     docs = frame(spark, texts)
