@@ -34,6 +34,9 @@ _FIRST = "|".join(n for own in GIVEN.values() for n in own.split())
 # What a title or a given name starts with: a capital, or the first letter of a lower-case title.
 _INITIAL = r"\p{Lu}гκ"
 _CAP = r"\p{Lu}[\p{L}'’-]+"
+_INITIALS = r"(?:\p{Lu}\.?[ \u00a0])*+"
+# a further word of a name, behind any initials; the title of the next name is none
+_MORE = rf"[ \u00a0]{_INITIALS}(?!(?:{_TITLE})(?![\p{{L}}'’-])){_CAP}"
 # Each pattern first looks at what a place starts with, so that most places of a text cost one look.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -42,7 +45,7 @@ PATTERNS = {
     "card": r"(?=\d)(?<![\p{L}\d])(?:\d{4}[ -]?){3}\d{1,7}(?![\p{L}\d])",
     "ssn": r"(?=\d)(?<![\p{L}\d-])\d{3}-\d{2}-\d{4}(?![\p{L}\d-])",
     "iban": r"(?=[A-Z])(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
-    "name": rf"(?=[{_INITIAL}])(?<![\p{{L}}])(?:(?:{_TITLE})\.?[ \u00a0]{_CAP}(?:[ \u00a0]{_CAP})?|(?:{_FIRST})[ \u00a0]{_CAP})",
+    "name": rf"(?=[{_INITIAL}])(?<![\p{{L}}])(?:(?:{_TITLE})\.?[ \u00a0]{_INITIALS}{_CAP}(?:{_MORE})*+|(?:{_FIRST})(?:{_MORE})++)",
 }
 KINDS = tuple(PATTERNS)
 ANY = rf"{PATTERNS['email']}|(?=[\d+({_INITIAL}])(?:" + "|".join(p for k, p in PATTERNS.items() if k != "email") + ")"
@@ -116,15 +119,21 @@ def _name(entity: Column, attempt: Column) -> Column:
     women, men = (" ".join(v for (_, g), v in GIVEN.items() if g == sex) for sex in "fm")
     g_stream = _stream(F.lit("given"), F.lower(given))
     s_stream = _stream(F.lit("surname"), F.lower(surname), F.when(attempt > 0, F.concat(entity, attempt.cast("string"))).otherwise(F.lit("")))
+    middle = F.slice(words, F.when(titled, 3).otherwise(2), F.greatest(F.size(words) - F.when(titled, 3).otherwise(2), F.lit(0)))
     sex = F.when(inside(bare, TITLES["f"]), "f").when(inside(bare, TITLES["m"]), "m").when(inside(given, women), "f").when(inside(given, men), "m").otherwise(F.when(_number(g_stream, 40, 4, 2) == 0, "f").otherwise("m"))
-    new_given, new_surname = F.lit(""), F.lit("")
+    new_given, new_surname, between = F.lit(""), F.lit(""), lambda w: F.lit("")
     for (s, g), names in GIVEN.items():
         new_given = F.when((script == s) & (sex == g), _draw(names, g_stream, 1)).otherwise(new_given)
+        between = lambda w, s=s, g=g, names=names, other=between: F.when((script == s) & (sex == g), _draw(names, _stream(F.lit("given"), F.lower(w)), 1)).otherwise(other(w))
+    initial = r"^\p{Lu}\.?$"
+    shape = lambda w, name: F.when(w.rlike(initial), F.concat(F.substring(name, 1, 1), F.when(w.endswith("."), ".").otherwise(""))).otherwise(name)
+    new_given = shape(given, new_given)
+    middle = F.transform(middle, lambda w: shape(w, between(w)))
     for s, parts in SYLLABLES.items():
         new_surname = F.when(script == s, F.concat(*(_draw(parts, s_stream, 1 + 8 * i) for i in range(4)))).otherwise(new_surname)
     new_surname = F.concat(F.upper(F.substring(new_surname, 1, 1)), F.substring(new_surname, 2, 64))
     new_surname = F.when((F.upper(surname) == surname) & (F.length(surname) > 1), F.upper(new_surname)).otherwise(new_surname)
-    return F.concat_ws(" ", F.when(titled, words[0]), F.when(given.isNotNull(), new_given), new_surname)
+    return F.concat_ws(" ", F.when(titled, words[0]), F.when(given.isNotNull(), new_given), middle, new_surname)
 
 
 def surrogate(entity: Column, kind: Column, attempt: Column) -> Column:

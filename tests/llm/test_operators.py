@@ -423,6 +423,16 @@ def test_surrogates(spark):
     assert out[0]["n_name"] == 2 and out[0]["n_email"] == 1 and out[1]["band"] == "x"
 
 
+def test_names_of_many_parts(spark):
+    texts = ["John Michael Smith met Dr. Mary Jane Watson. Mr. Smith left.", "John Q. Smith and John Q. R. Smith and Dr. J. Watson", "Mr. Smith Mrs. Watson", "Anna Maria Luisa Lopez, John Smith"]
+    out = by_id(pii.surrogates(frame(spark, texts)))
+    whole = "\n".join(out[i]["text"] for i in range(4))
+    assert not re.search("Smith|Watson|Lopez|Jane|Luisa|Q\\.", whole), whole
+    surname = re.search(r"Mr\. (\w+) left", out[0]["text"])[1]
+    assert out[0]["text"].split(" met ")[0].split(" ")[-1] == surname and len(out[0]["text"].split(" met ")[0].split(" ")) == 3
+    assert out[1]["text"].count(surname) == 2 and [out[i]["n_name"] for i in range(4)] == [3, 3, 2, 2]
+
+
 def test_surrogates_stay_distinct(spark):
     names = spark.createDataFrame([(f"{a}.{b}.{c}.{d}",) for a in range(1, 3) for b in range(10) for c in range(10) for d in range(1, 11)] + [(f"555-{i:03d}-{i:04d}",) for i in range(300)], "entity string")
     m = pii.mapping(names.union(names))
