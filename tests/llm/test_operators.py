@@ -198,6 +198,14 @@ def test_language_model(spark, base, monkeypatch):
     assert sum(r["score"] for r in out.values()) > sum(r["base_score"] for r in out.values())
 
 
+def test_the_network_knows_2048_words():
+    words_ = np.arange(3000, dtype=np.uint64)
+    t = rnnlm.Table(words_, 4000 - np.arange(3000), int((4000 - np.arange(3000)).sum()), 3000, np.ones(rnnlm.TAILS), np.ones(rnnlm.TAILS))
+    own = t.classes_of(words_, np.zeros(3000, np.int64))
+    assert own[:2048].tolist() == list(range(2048)) and (own[2048:] >= rnnlm.FREQUENT).all()
+    assert (rnnlm.HIDDEN, rnnlm.EMBED, rnnlm.STEPS) == (24, 16, 32)
+
+
 def test_network_gradients():
     t = rnnlm.Table(np.arange(5, dtype=np.uint64), np.arange(5) + 1, 15, 5, np.ones(rnnlm.TAILS), np.ones(rnnlm.TAILS))
     net = rnnlm.Network.start(t)
