@@ -4,13 +4,19 @@ an R-tree, summed coordinate minima bound the overlap, and surviving pairs are v
 Before any tree is built, texts are brought together losslessly. Sets of a similar size that link differ in at most d shingles,
 so of d + 1 + e parts that a hash cuts them into, e + 1 are equal. Parts of fewer than two shingles say little: a set that has
 no more than e of them leaves them out, and still shares another part with each set that it links with. Equal parts are found
-by one hash exchange. Texts that are connected by equal parts form a cluster, outside of which none of them has a link. Trees are built within clusters; a large
-cluster is cut into blocks, and each pair of blocks is one task. Within a task, pairs already connected are not verified
-again, and only links that connect something are returned, so no group's pairs are written out.
-
-Equal sets are one node from the start, however many documents have them. Null and empty texts, and texts without a word,
-have an empty set and link with nothing; a text of fewer words than a shingle is one shingle. Ties and repeated rows fall
-together in one component. Rows of null ``doc_id`` are left out. Empty tables give empty results.
+by one aggregate and a join. Texts that are connected by equal parts form a cluster, outside of which none of them has a link.
+
+Trees are built within clusters, in blocks of bounded size. Within a block, sets already connected are not compared again, and
+what is returned is each set's component, not its pairs. A cluster of several blocks goes on through representatives: the sets
+with most links of each block's largest component meet in blocks of their own, until one block is left. Then only the sets
+outside the cluster's largest component are sent to its blocks (those of neighbouring size classes), and looked up in their
+trees, so no link is lost, and a group of near copies costs what its copies and its strays cost, not its square.
+
+Equal sets are one set from the start, by a 128-bit digest, however many documents have them. Null and empty texts, and texts
+without a word, have an empty set and link with nothing; a text of fewer words than a shingle is one shingle. Every row counts
+as a document: rows of a null ``doc_id`` link like others, but give no component its id (a component of such rows alone has a
+null one), and rows that repeat a ``doc_id`` each have their own set. Very long texts are one set like others. Empty tables
+give empty results. Other columns, whatever their names, are ignored by ``classes`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -22,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import by_slice, cut, slim
-from ._text import Words, mix, shingles
+from ._text import Words, mix, shingles, slices
 from .components import components
 
 SHINGLE, PERCENT = 3, 90
-#: Groups that shingles are hashed into, entries of a tree's leaf, nodes of a block.
-GROUPS, LEAF, BLOCK = 64, 16, 2000
+#: Groups that shingles are hashed into, entries of a tree's leaf.
+GROUPS, LEAF = 64, 16
+#: Bytes of a block's sets, about, what a set costs besides its shingles, and representatives of a block.
+BLOCK, SET_BYTES, HEADS = 12 << 20, 4096, 16
 
 
 def size_classes(percent: int, top: int = 1 << 40) -> list[int]:
@@ -47,8 +55,8 @@ def parts_of(percent: int, bound: int) -> tuple[int, int]:
     return (d + 1 + spare, spare) if d else (0, 0)
 
 
-def text_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted within each text; the texts' bounds in them; and each set's own hash."""
+def text_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes, sorted within each text; the texts' bounds in them; and each set's 128-bit digest in two halves."""
     w = Words(column, lower=True)
     h, doc = shingles(w, w.hashes(), k)
     o = np.lexsort((h, doc))
@@ -57,63 +65,79 @@ def text_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     h, doc = h[keep], doc[keep]
     at = np.searchsorted(doc, np.arange(w.n + 1))
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mix(h ^ np.uint64(0x5851F42D4C957F2D)), out=total[1:])
-    return h, at, mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64))
-
-
-def nodes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    def kernel(part):
-        _, at, own = text_sets(part.column("text"), k)
-        return {"doc_id": part.column("doc_id"), "n_shingles": np.diff(at), "node": own.astype(np.int64)}
-
-    return by_slice(slim(docs).filter("doc_id is not null"), kernel, "doc_id long, n_shingles long, node long")
+    own = []
+    for salt in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h ^ np.uint64(salt)), out=total[1:])
+        own.append(mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).astype(np.int64))
+    return h, at, *own
+
+
+def part_hashes(x: np.ndarray, size: np.ndarray, schemes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of the sets that follow each other in x, and their owners, in the sets' order."""
+    bounds, parts, spare = schemes
+    rows = np.repeat(np.arange(len(size)), size)
+    kind = np.searchsorted(bounds, size, "right") - 1
+    sigs, owners = [], []
+    for step in (1, 0):  # the scheme shared with the class below, and the one shared with the class above
+        scheme = kind - step
+        ok = scheme >= 0
+        n = parts[np.maximum(scheme, 0)]
+        first = np.concatenate([[0], np.cumsum(np.where(ok, n, 0))])
+        ok &= n > 0
+        mine = ok[rows]
+        slot = first[rows[mine]] + ((x[mine] >> np.uint64(20)) % n[rows[mine]].astype(np.uint64)).astype(np.int64)
+        # a sum of mixed hashes: the part's hash in any order
+        o = np.argsort(slot, kind="stable")
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(x[mine][o] + np.uint64(77)))])
+        edge = np.searchsorted(slot[o], np.arange(first[-1] + 1))
+        value = total[edge[1:]] - total[edge[:-1]]
+        owner = np.repeat(np.arange(len(size)), np.where(ok, n, 0))
+        full = np.diff(edge) >= 2
+        out = full | (np.bincount(owner[~full], minlength=len(size)) > spare[np.maximum(scheme, 0)])[owner]
+        within = np.arange(first[-1]) - first[owner]
+        sig = mix(value + mix(scheme[owner].astype(np.uint64) * np.uint64(1 << 32) + within.astype(np.uint64) + np.uint64(1)))
+        sigs.append(sig[out])
+        owners.append(owner[out])
+    sig, owner = np.concatenate(sigs), np.concatenate(owners)
+    o = np.argsort(owner, kind="stable")
+    return sig[o].astype(np.int64), owner[o]
+
+
+def schemes(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size classes, and by class the parts of a set and how many of them may be left out."""
+    bounds = np.array(size_classes(percent))
+    parts, spare = np.array([parts_of(percent, int(bounds[min(i + 2, len(bounds) - 1)])) for i in range(len(bounds))]).T
+    return bounds, parts, spare
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key) of every row; equal rows have equal keys."""
+    return slim(docs).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(signature, node): hashes of the parts of each set, once for each task that has the set."""
-    classes = np.array(size_classes(percent))
-    parts, spare = np.array([parts_of(percent, int(classes[min(i + 2, len(classes) - 1)])) for i in range(len(classes))]).T
+    """(row, doc_id, key, n_shingles, h1, h2, sigs) of every row; sigs: hashes of its set's parts, once for each task that has the set."""
+    known = schemes(percent)
 
     def run(batches):
-        from ._text import slices
-
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for part in slices(batches):
-            h, at, own = text_sets(part.column("text"), k)
-            fresh = []
-            for i, (a, b, s) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), own.tolist())):
-                if b > a and s not in seen:
+            h, at, h1, h2 = text_sets(part.column("text"), k)
+            fresh = np.zeros(len(part), bool)
+            for i, s in enumerate(zip(h1.tolist(), h2.tolist())):
+                if at[i + 1] > at[i] and s not in seen:
                     seen.add(s)
-                    fresh.append(i)
-            if not fresh:
-                continue
-            fresh = np.array(fresh)
-            size = np.diff(at)[fresh]
-            rows = np.repeat(np.arange(len(fresh)), size)
-            x = h[np.concatenate([np.arange(at[i], at[i + 1]) for i in fresh])]
-            kind = np.searchsorted(classes, size, "right") - 1
-            for step in (1, 0):  # the scheme shared with the class below, and the one shared with the class above
-                scheme = kind - step
-                ok = scheme >= 0
-                n = parts[np.maximum(scheme, 0)]
-                first = np.concatenate([[0], np.cumsum(np.where(ok, n, 0))])
-                ok &= n > 0
-                mine = ok[rows]
-                slot = first[rows[mine]] + ((x[mine] >> np.uint64(20)) % n[rows[mine]].astype(np.uint64)).astype(np.int64)
-                # a sum of mixed hashes: the part's hash in any order
-                o = np.argsort(slot, kind="stable")
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(x[mine][o] + np.uint64(77)))])
-                edge = np.searchsorted(slot[o], np.arange(first[-1] + 1))
-                value = total[edge[1:]] - total[edge[:-1]]
-                owner = np.repeat(np.arange(len(fresh)), np.where(ok, n, 0))
-                full = np.diff(edge) >= 2
-                out = full | (np.bincount(owner[~full], minlength=len(fresh)) > spare[np.maximum(scheme, 0)])[owner]
-                within = np.arange(first[-1]) - first[owner]
-                sig = mix(value + mix(scheme[owner].astype(np.uint64) * np.uint64(1 << 32) + within.astype(np.uint64) + np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(sig[out].astype(np.int64)), pa.array(own[fresh][owner][out].astype(np.int64))], names=["sig", "node"])
-
-    return slim(docs).filter("doc_id is not null and text <> ''").mapInArrow(run, "sig long, node long")
+                    fresh[i] = True
+            size = np.diff(at)
+            sig, owner = part_hashes(h[np.repeat(fresh, size)], size[fresh], known)
+            ends = np.zeros(len(part) + 1, np.int32)
+            ends[1:] = np.cumsum(np.bincount(np.flatnonzero(fresh)[owner], minlength=len(part)))
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(size.astype(np.int64)), pa.array(h1), pa.array(h2), lists], names=["doc_id", "key", "n_shingles", "h1", "h2", "sigs"])
+
+    out = texts(docs).mapInArrow(run, "doc_id long, key long, n_shingles long, h1 long, h2 long, sigs array<long>")
+    return out.withColumn("row", F.monotonically_increasing_id())
 
 
 class CountTree:
@@ -146,66 +170,175 @@ def group_counts(sets: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.bincount((s >> np.uint64(8)) % np.uint64(GROUPS), minlength=GROUPS) for s in sets]).astype(np.int32) if sets else np.zeros((0, GROUPS), np.int32)
 
 
-def connect(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Verified links that connect the sets' components; where there are two sides, between them and within the first of equal ones."""
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets link."""
+    if len(a) > len(b):
+        a, b = b, a
+    if 100 * len(a) < percent * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def connect(sets: list[np.ndarray], labels: np.ndarray, asked: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's component, and how many links of it were verified. ``labels``: components known so far, as numbers.
+
+    The sets that are ``asked`` are looked up in the tree of the others; where all are, in the tree of all.
+    """
     sizes = np.array([len(s) for s in sets])
     counts = group_counts(sets)
-    parent = list(range(len(sets)))
+    labels, links = labels.copy(), np.zeros(len(sets), np.int64)
+    pool = np.arange(len(sets)) if asked.all() else np.flatnonzero(~asked)
+    tree = CountTree(counts[pool], sizes[pool], percent)
+    for i in np.flatnonzero(asked).tolist():
+        near = pool[tree.search(counts[i], len(sets[i]))]
+        if asked.all():
+            near = near[near > i]
+        near = near[labels[near] != labels[i]]
+        while len(near):
+            j, near = int(near[0]), near[1:]
+            if linked(sets[i], sets[j], percent):
+                links[[i, j]] += 1
+                labels[labels == labels[j]] = labels[i]
+                near = near[labels[near] != labels[i]]
+    return labels, links
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    two = len(set(sides.tolist())) > 1
-    pool = np.flatnonzero(sides == sides.max()) if two else np.arange(len(sets))
-    tree = CountTree(counts[pool], sizes[pool], percent)
-    links = []
-    for i in np.flatnonzero(sides == sides.min()) if two else range(len(sets)):
-        i = int(i)
-        for j in pool[tree.search(counts[i], len(sets[i]))].tolist():
-            if (not two and j <= i) or root(i) == root(j):
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                parent[root(j)] = root(i)
-                links.append((i, j))
-    return links
+def _unpack(column) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in column]
 
 
-def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; component_id: the smallest id reachable by links."""
-    held = cut(nodes(docs, k))
-    own = held.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    from pyspark.sql import Window
-
-    least = F.min("node").over(Window.partitionBy("sig"))
-    near = signatures(docs, k, percent).withColumn("a", least).filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    clusters = components(near)
-    # texts of one document for each node of a cluster, dealt to blocks and then to pairs of blocks
-    members = cut(own.join(clusters, "node").select("doc_id", "node", F.col("label").alias("cluster")))
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    chosen = slim(docs).join(placed, "doc_id").dropDuplicates(["doc_id"])
-    pair = lambda x: F.struct(F.least("block", x).alias("p"), F.greatest("block", x).alias("q"))
-    spread = chosen.select("cluster", "node", "block", "text", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("_pair"))
-    spread = spread.select("cluster", "_pair.p", "_pair.q", "node", "block", "text")
+def _block_links(percent: int):
+    """Within a block: (a, b) of each set b and the first set a of its component; with ``many``, also (row, row) of representatives."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, at, _ = text_sets(pa.array(pdf["text"], pa.large_string()), k)
-        links = connect([h[a:b] for a, b in zip(at[:-1], at[1:])], pdf["block"].to_numpy(), percent)
-        n = pdf["node"].to_numpy()
-        return pd.DataFrame({"a": [n[i] for i, _ in links], "b": [n[j] for _, j in links]}, dtype="int64")
+        pdf = pdf.sort_values("row", ignore_index=True)
+        row = pdf["row"].to_numpy()
+        own, links = connect(_unpack(pdf["own"]), np.arange(len(row)), np.ones(len(row), bool), percent)
+        least = pd.Series(row).groupby(own).transform("min").to_numpy()
+        a, b = least[least != row], row[least != row]
+        if pdf["many"].iloc[0]:
+            groups, n = np.unique(least, return_counts=True)
+            inside = np.flatnonzero(least == groups[n.argmax()])
+            heads = row[inside[np.argsort(-links[inside], kind="stable")[: max(1, min(HEADS, len(row) // 4))]]]
+            a, b = np.concatenate([a, heads]), np.concatenate([b, heads])
+        return pd.DataFrame({"a": a, "b": b})
+
+    return kernel
 
-    links = cut(spread.groupBy("cluster", "p", "q").applyInPandas(kernel, "a long, b long"))
-    joined = components(links)
-    rep = own.join(joined, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_node = own.join(joined, "node", "left").join(rep, "label", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return held.join(by_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+def _stray_links(percent: int):
+    """Between a block and strays: (a, b) of labels that turn out to be one component."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["asked", "row"], ignore_index=True)
+        names, was = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+        now, _ = connect(_unpack(pdf["own"]), was, pdf["asked"].to_numpy(), percent)
+        pairs = pd.DataFrame({"a": names[was], "now": now}).drop_duplicates()
+        pairs["b"] = pairs.groupby("now")["a"].transform("min")
+        return pairs.loc[pairs["a"] != pairs["b"], ["b", "a"]].set_axis(["a", "b"], axis=1)
+
+    return kernel
+
+
+def _cost():
+    return F.sum(8 * F.col("n_shingles") + SET_BYTES)
+
+
+def _placed(members: DataFrame, block: int) -> DataFrame:
+    """(row, cluster, kind, block, many, _blocks): a cluster that fits is one block; others have blocks of their own for each size class."""
+    whole = members.groupBy("cluster").agg((_cost() > block).alias("many"))
+    by_kind = members.groupBy("cluster", "kind").agg(F.ceil(_cost() / block).cast("long").alias("_blocks"))
+    sized = by_kind.join(whole, "cluster")
+    own = F.when(F.col("many"), F.col("kind") * F.lit(1 << 32) + F.pmod(F.xxhash64("row"), F.col("_blocks"))).otherwise(F.lit(0).cast("long"))
+    return members.join(sized, ["cluster", "kind"]).select("row", "cluster", "kind", own.alias("block"), "many", "_blocks")
+
+
+def _gathered(heads: DataFrame, block: int) -> DataFrame:
+    """(row, cluster, block, many) of representatives; some block has several of them if there are several, so they grow fewer."""
+    blocks = heads.groupBy("cluster").agg(F.least(F.ceil(_cost() / block), F.ceil(F.count("*") / 4)).cast("long").alias("_blocks"))
+    return heads.join(blocks, "cluster").select("row", "cluster", F.pmod(F.xxhash64("row"), F.col("_blocks")).alias("block"), (F.col("_blocks") > 1).alias("many"))
+
+
+def verified(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) among rows whose components are those of all links; sets: (row, cluster, kind, n_shingles, own)."""
+    members = sets.select("row", "cluster", "kind", "n_shingles")
+    first = cut(_placed(members, block))
+    placed, found = first, []
+    while True:
+        dealt = sets.select("row", "own").join(placed.select("row", "cluster", "block", "many"), "row")
+        out = cut(dealt.groupBy("cluster", "block").applyInPandas(_block_links(percent), "a long, b long"))
+        found.append(out.filter("a <> b"))
+        heads = members.join(out.filter("a = b").select(F.col("a").alias("row")), "row")
+        if heads.isEmpty():
+            break
+        placed = cut(_gathered(heads, block))
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.union(more)
+    large = first.filter("many")
+    if large.isEmpty():
+        return edges
+    joined = large.join(components(edges), F.col("row") == F.col("node"), "left").select("row", "cluster", "kind", "block", "_blocks", F.coalesce("label", "row").alias("label"))
+    joined = cut(joined.join(members.select("row", "n_shingles"), "row"))
+    most = joined.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("_top")).select("cluster", F.col("_top.label").alias("_most"))
+    told = cut(joined.join(most, "cluster").withColumn("stray", F.col("label") != F.col("_most")))
+    chunks = told.filter("stray").groupBy("cluster").agg(F.ceil(_cost() / block).cast("long").alias("_chunks"))
+    blocks = told.select("cluster", "kind", "_blocks").distinct().groupBy("cluster").agg(F.collect_list(F.struct("kind", "_blocks")).alias("_all"))  # one entry a size class
+    answer = told.join(chunks, "cluster").select("row", "cluster", "label", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("chunk"), F.lit(False).alias("asked"))
+    close = F.filter("_all", lambda x: F.abs(x["kind"] - F.col("kind")) <= 1)
+    every = F.flatten(F.transform(close, lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["_blocks"] - 1), lambda i: x["kind"] * F.lit(1 << 32) + i)))
+    ask = told.filter("stray").join(chunks, "cluster").join(blocks, "cluster").select("row", "cluster", "label", F.explode(every).alias("block"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("_chunks")).alias("chunk"), F.lit(True).alias("asked"))
+    # a block also gets strays that are its own: it answers those with all its other sets
+    dealt = sets.select("row", "own").join(answer.select(*ask.columns).union(ask), "row")
+    return edges.union(cut(dealt.groupBy("cluster", "block", "chunk").applyInPandas(_stray_links(percent), "a long, b long")))
+
+
+def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Every row with its digest, and for each digest its component's smallest id and the key of the row that stands for it."""
+    held = cut(signatures(docs, k, percent))
+    parts = held.filter("size(sigs) > 0").select("row", F.explode("sigs").alias("sig"))
+    shared = parts.groupBy("sig").agg(F.min("row").alias("a"), F.max("row").alias("_last")).filter("a < _last").select("sig", "a")
+    clusters = components(parts.join(shared, "sig").select("a", F.col("row").alias("b")))
+    kinds = F.array(*map(F.lit, size_classes(percent)))
+    alike = held.join(clusters, F.col("row") == F.col("node")).groupBy("h1", "h2").agg(F.min("row").alias("row"), F.min("label").alias("cluster"), F.min("n_shingles").alias("n_shingles"))
+    several = alike.groupBy("cluster").agg(F.count("*").alias("_n")).filter("_n > 1").select("cluster")
+    members = cut(alike.join(several, "cluster").join(held.select("row", "key"), "row"))
+    wanted = members.withColumn("kind", F.size(F.filter(kinds, lambda x: x <= F.col("n_shingles"))).cast("long"))
+
+    def kernel(part):
+        h, at, h1, h2 = text_sets(part.column("text"), k)
+        same = (h1 == part.column("h1").to_numpy()) & (h2 == part.column("h2").to_numpy())
+        at = at.tolist()
+        out = part.filter(pa.array(same))
+        own = pa.array([h[at[i] : at[i + 1]].tobytes() for i in np.flatnonzero(same)], pa.binary())
+        return {c: out.column(c) for c in ("row", "cluster", "kind", "n_shingles")} | {"own": own}
+
+    sets = by_slice(texts(docs).select("key", "text").join(wanted, "key"), kernel, "row long, cluster long, kind long, n_shingles long, own binary")
+    joined = components(verified(cut(sets.dropDuplicates(["row"])), percent))
+    digests = held.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    digests = digests.join(joined, F.col("row") == F.col("node"), "left").select("h1", "h2", "first", F.coalesce("label", "row").alias("label"))
+    digests = cut(digests)
+    least = digests.groupBy("label").agg(F.min("first").alias("first"), F.count("*").alias("_sets")).select("label", "first")
+    named = digests.select("h1", "h2", "label").join(least, "label").select("h1", "h2", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key"))
+    return held.select("doc_id", "key", "n_shingles", "h1", "h2"), named
+
+
+def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; component_id: the smallest id reachable by links."""
+    held, named = _labelled(docs, k, percent)
+    out = held.join(named, ["h1", "h2"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents but those that link, directly or through others, with one of a smaller id."""
-    gone = classes(docs, k, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_doc"), "left_anti")
+    """The documents but those that link, directly or through others, with another one that stays: that of the smallest id.
+
+    Of a component of null ids alone one stays. Rows that repeat id and text are one document, and stay or go together.
+    """
+    held, named = _labelled(docs, k, percent)
+    spare = (n for i in range(len(docs.columns) + 3) if (n := f"_k{i}") not in docs.columns)
+    own, key, doc = next(spare), next(spare), next(spare)
+    gone = held.filter("n_shingles > 0").join(named, ["h1", "h2"]).filter("key <> first_key").select(F.col("key").alias(key), F.col("doc_id").alias(doc)).distinct()
+    hashed = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return hashed.join(gone, (F.col(own) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left_anti").drop(own)

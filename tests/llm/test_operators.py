@@ -255,8 +255,9 @@ def test_ngram_components(spark, base, monkeypatch):
         if 100 * n >= 90 * (len(sets[a]) + len(sets[b]) - n):
             x, y = sorted((find(a), find(b)))
             root[y] = x
-    for block in (ngram_join.BLOCK, 2):
-        monkeypatch.setattr(ngram_join, "BLOCK", block)
+    whole = ngram_join.verified
+    for block in (ngram_join.BLOCK, 12_000):
+        monkeypatch.setattr(ngram_join, "verified", lambda sets, percent, b=block: whole(sets, percent, b))
         got = {i: (r["n_shingles"], r["component_id"]) for i, r in by_id(ngram_join.classes(frame(spark, texts))).items()}
         assert got == {i: (len(s), find(i)) for i, s in sets.items()}
     assert set(by_id(ngram_join.keep_first(frame(spark, texts)))) == {i for i in sets if find(i) == i}
