@@ -1,18 +1,25 @@
 """Language-model scoring with a gated recurrent network: numpy, truncated backpropagation, class-factored output.
 
-Word counts of all training documents are summed in Spark, keyed by 64-bit word hashes. The ``FREQUENT`` most frequent words
-are split into classes by frequency; all other words, seen or not, fall into tail classes by their first and last bytes. A
-word's probability is that of its class given the state, times that of the word in its class: a softmax given the state for
-frequent words, the smoothed training counts for tail words. A little of the unigram model is mixed in for each word, and the
-document's probability is the mean of what this gives and what the unigram model alone gives. The state is carried across
-windows from a document's first word to its end, so the score is that of the complete document.
-
-Every training document is trained on once. Each task trains on its own rows, and the tasks' weights are averaged, weighted
-by their tokens (twice: over a seventh of the training documents, then over the rest). Counts of the ``TABLE`` most frequent
-words travel to the tasks; the rarer words of a document meet their counts in a join.
+Three things are gathered from all training documents in Spark: the counts of their words, by 64-bit word hash; how often each
+pair of neighbouring letters occurs in a word behind a word of each ending; and, once words have classes, the tokens of each
+class. The pair table (of fixed size) is factored into ``GROUPS`` groups, which come out as languages and kinds of text, and
+gives every word a group by its letters, words never seen included. The ``FREQUENT`` most frequent words are split into
+classes by group and frequency; all other words fall into a tail class for each group.
+
+A word's probability is that of its class given the state, times that of the word in its class: a softmax given the state for
+frequent words, its share of the class's training tokens for tail words (unseen words share one token's place). ``UNIGRAM``
+of the corpus's unigram distribution is mixed in for each word. The state is carried across windows from a document's first
+word to its end, so the score is that of the complete document.
+
+Documents are encoded once, to two bytes a token. Training documents are dealt to shards by a hash; there is a shard for every
+``SHARD`` tokens of the corpus, whatever the cluster. In each of ``len(RATES)`` rounds every shard trains from the common
+weights on its share of the round's documents, in hash order, and the shards' weights are averaged by tokens: every training
+document is trained on once, and neither partitioning nor the number of executors enters (but for rounding). Counts of the
+``TABLE`` most frequent words travel to the tasks; the rarer words of a document meet their counts in a join.
 
 Null and empty texts have one token, the end. Null ids are training documents. Repeated rows are repeated training text and
-give repeated results. Empty tables give empty results. Other columns are ignored.
+give repeated results. Very long texts are trained on in pieces of ``PIECE`` tokens and scored whole. Empty tables give empty
+results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,66 +33,127 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut, slim
-from ._text import Words, mix, slices, worker_cache
+from ._text import Words, mix, slices
 
 FREQUENT, WIDTH = 2048, 64  # frequent words, words of a class
-TAILS = 32
-HIDDEN, EMBED = 24, 16
+GROUPS = TAILS = 16
+HIDDEN = 24
 #: Words whose counts travel to the tasks, at most.
 TABLE = 1 << 19
-LANES, STEPS = 160, 32
-SLICE = 3 << 20
-UNIGRAM = 0.05
-RATES = (4e-3, 1.5e-3)
+LANES, STEPS, PIECE = 320, 32, 1024
+#: Training tokens of a shard, about; tokens that are handled at a time.
+SHARD, BUFFER = 2_000_000, 1_500_000
+UNIGRAM = 0.02
+RATES = (6e-3, 5e-3, 4e-3, 2e-3, 1e-3)
 END = int(mix(np.array([0xE0D], np.uint64))[0])
 _CLASSES = FREQUENT // WIDTH
+_IDS = FREQUENT + TAILS  # the end and the start of a text are tokens like others
+_SYMBOL = np.full(256, 27, np.int64)  # a to z, digits, other signs, and four kinds of bytes of other characters
+_SYMBOL[97:123], _SYMBOL[48:58], _SYMBOL[128:] = np.arange(26), 26, 28 + np.arange(128) % 4
+_PAIRS = 32 * 32
 
 
 def held_out(column="doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def _tokens(part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes with an end after each text's words, their tail classes, and the texts' bounds."""
-    w = Words(part.column("text"), lower=True)
-    h = w.hashes()
-    tail = (w.data[w.start].astype(np.int64) * 31 + w.data[np.maximum(w.end - 1, 0)] * 7) % TAILS if len(h) else np.zeros(0, np.int64)
+def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes with an end after each text's words, the places of the words among them, and the texts' bounds."""
     at = np.concatenate([[0], np.cumsum(w.count + 1)])
-    out, cls = np.full(at[-1], END, np.uint64), np.zeros(at[-1], np.int64)
-    place = np.arange(len(h)) + w.doc
-    out[place], cls[place] = h, tail
-    return out, cls, at
+    out = np.full(at[-1], END, np.uint64)
+    place = np.arange(len(w.start)) + w.doc
+    out[place] = w.hashes()
+    return out, place, at
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n, tail) over all given documents, ends included."""
+def _letter_pairs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of neighbouring symbols inside the given words, and the words that they stand in; one symbol alone is a pair with itself."""
+    size = np.maximum(end - start - 1, 1)
+    owner = np.repeat(np.arange(len(size)), size)
+    first = np.cumsum(size) - size
+    at = np.arange(len(owner)) - first[owner] + start[owner]
+    s = _SYMBOL[data]
+    return s[at] * 32 + s[np.minimum(at + 1, end[owner] - 1)], owner
 
-    def run(batches):
-        for part in slices(batches, limit=SLICE):
-            h, cls, _ = _tokens(part)
-            u, first, n = np.unique(h, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(n), pa.array(cls[first].astype(np.int32))], names=["word", "n", "tail"])
 
-    return slim(docs).mapInArrow(run, "word long, n long, tail int").groupBy("word").agg(F.sum("n").alias("n"), F.min("tail").alias("tail"))
+def gather(docs: DataFrame) -> DataFrame:
+    """(kind, word, n) over all given documents: word counts, ends included (kind 0), and letter pairs behind a word of each ending (kind 1)."""
+
+    def run(batches):
+        pairs, held, size = np.zeros(_PAIRS * _PAIRS, np.int64), [], 0
+
+        def out():
+            u, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(u), np.int8)), pa.array(u.astype(np.int64)), pa.array(n)], names=["kind", "word", "n"])
+
+        for part in slices(batches):
+            w = Words(part.column("text"), lower=True)
+            held.append(_tokens(w)[0])
+            size += len(held[-1])
+            if len(w.start):
+                code, owner = _letter_pairs(w.data, w.start, w.end)
+                s = _SYMBOL[w.data]
+                ending = s[np.maximum(w.end - 2, w.start)] * 32 + s[w.end - 1]
+                follows = np.append(False, w.doc[1:] == w.doc[:-1])
+                before = np.append(0, ending[:-1])
+                ok = follows[owner]
+                pairs += np.bincount(code[ok] * _PAIRS + before[owner[ok]], minlength=len(pairs))
+            if size >= BUFFER:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+        k = np.flatnonzero(pairs)
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(k), np.int8)), pa.array(k), pa.array(pairs[k])], names=["kind", "word", "n"])
+
+    return slim(docs).mapInArrow(run, "kind byte, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+
+
+def factor(pairs: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Log weights of groups, and log probabilities [letter pair, group], by EM on the table of pairs and endings (a mixture of products)."""
+    if not pairs.sum():
+        return np.zeros(GROUPS), np.zeros((_PAIRS, GROUPS))
+    rng = np.random.default_rng(0)
+    y = (pairs / pairs.sum()).astype(np.float32)
+    a = y.sum(axis=1, keepdims=True) * rng.uniform(0.5, 1.5, (_PAIRS, GROUPS)).astype(np.float32)
+    b = y.sum(axis=0) * rng.uniform(0.5, 1.5, (GROUPS, _PAIRS)).astype(np.float32)
+    b /= b.sum(axis=1, keepdims=True)
+    for _ in range(rounds):
+        ratio = y / (a @ b + np.float32(1e-12))
+        a, b = a * (ratio @ b.T), b * (a.T @ ratio)
+        b /= b.sum(axis=1, keepdims=True) + np.float32(1e-12)
+    weight = a.sum(axis=0, dtype=np.float64) + 1e-9
+    p = a + 1e-7
+    return np.log(weight / weight.sum()), np.log(p / p.sum(axis=0))
 
 
 class Table:
-    """The bounded part of the vocabulary: hashes in order with their counts, ids of frequent words, and the totals."""
+    """The bounded part of the vocabulary: hashes in order with their counts, the totals, groups by letters, and ids of frequent words."""
 
-    def __init__(self, words: np.ndarray, n: np.ndarray, tokens: int, distinct: int, tail_tokens: np.ndarray, tail_distinct: np.ndarray):
+    def __init__(self, words: np.ndarray, n: np.ndarray, tokens: int, distinct: int, groups: tuple[np.ndarray, np.ndarray]):
         o = np.argsort(words)
         self.words, self.n = words[o], n[o]
         self.tokens, self.distinct = tokens, distinct
         self.whole = distinct <= len(words)  # every word is here: others were never seen
-        ids = np.full(len(words), -1, np.int32)
+        self.weight, self.pair = groups[0].astype(np.float32), np.ascontiguousarray(groups[1].T.astype(np.float32))
         top = np.lexsort((self.words, -self.n))[:FREQUENT]
-        ids[top] = np.arange(len(top))
-        self.ids = ids
-        few = np.sort(top)
-        self.few, self.few_ids = self.words[few], ids[few]
-        self.frequent = np.zeros(FREQUENT)
+        self.ids = np.full(len(self.words), -1, np.int32)  # of frequent words, by frequency
+        self.ids[top] = np.arange(len(top))
+        self.frequent, self.tail = np.zeros(FREQUENT), np.zeros(TAILS)
         self.frequent[: len(top)] = self.n[top]
-        self.tail_log = -np.log(tail_tokens + tail_distinct + 1.0)
+        self.order, self.end = np.arange(_IDS), FREQUENT
+        at, there = self.find(np.array([END], np.uint64))
+        if there[0] and self.ids[at[0]] >= 0:
+            self.end = int(self.ids[at[0]])
+
+    def settle(self, group: np.ndarray) -> None:
+        """Output places of the ids: frequent words stand by group and then by frequency."""
+        m = int((self.frequent > 0).sum())
+        o = np.argsort(group[:m], kind="stable")
+        self.order[o] = np.arange(m)
+        self.frequent[:m] = self.frequent[:m][o]
+        self.end = int(self.order[self.end])
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each hash in the table, and whether it is there."""
@@ -94,36 +162,105 @@ class Table:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return at, self.words[at] == h
 
-    def classes_of(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        """Output ids: of frequent words their own, of others that of their tail class."""
-        if not len(self.few):
-            return FREQUENT + tail
-        at = np.minimum(np.searchsorted(self.few, h), len(self.few) - 1)
-        return np.where(self.few[at] == h, self.few_ids[at], FREQUENT + tail)
+    def group_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The likeliest group of each word, by its letter pairs."""
+        if not len(start):
+            return np.zeros(0, np.int64)
+        code, _ = _letter_pairs(data, start, end)
+        first = np.append(0, np.cumsum(np.maximum(end - start - 1, 1))[:-1])
+        best = np.full(len(start), -np.inf, np.float32)
+        out = np.zeros(len(start), np.int64)
+        for g in range(GROUPS):
+            s = np.add.reduceat(self.pair[g][code], first) + self.weight[g]
+            better = s > best
+            best[better], out[better] = s[better], g
+        return out
 
 
 def table(counts: DataFrame) -> Table:
-    """From the counts; what comes to the driver is bounded by TABLE, the count values in use and the tail classes."""
-    total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    by_n = np.array([(r["n"], r["count"]) for r in counts.groupBy("n").count().collect()] or [(1, 0)], np.int64)
-    by_n = by_n[np.argsort(-by_n[:, 0])]
-    fits = np.cumsum(by_n[:, 1]) <= TABLE
-    least = int(by_n[fits][-1, 0]) if fits.any() else int(by_n[0, 0]) + 1
-    rows = counts.filter(F.col("n") >= least).select("word", "n").toPandas()
-    words, n = rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-    top = set(words[np.lexsort((words, -n))[:FREQUENT]].astype(np.int64).tolist())
-    held = counts.sparkSession.createDataFrame([(x,) for x in top] or [(0,)], "word long")
-    tails = counts.join(F.broadcast(held), "word", "left_anti").groupBy("tail").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    tail_n, tail_v = np.zeros(TAILS), np.zeros(TAILS)
-    for r in tails:
-        tail_n[r["tail"]], tail_v[r["tail"]] = r["n"], r["v"]
-    return Table(words, n, int(total["n"] or 0), int(total["v"]), tail_n, tail_v)
+    """From what was gathered; what comes to the driver is bounded by TABLE, the pair table and a histogram of counts by magnitude."""
+    words = counts.filter("kind = 0")
+    magnitude = F.floor(F.log2("n") * 16).cast("int")
+    total = {r["m"]: (r["n"], r["v"]) for r in words.groupBy(magnitude.alias("m")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}  # 64 * 16 rows at most
+    room, least = TABLE, 1 << 20
+    for m in sorted(total, reverse=True):
+        room -= total[m][1]
+        if room < 0:
+            break
+        least = m
+    rows = words.filter(magnitude >= least).select("word", "n").toPandas()
+    cells = counts.filter("kind = 1").select("word", "n").toPandas()  # _PAIRS ** 2 rows at most
+    pairs = np.zeros(_PAIRS * _PAIRS)
+    pairs[cells["word"].to_numpy(np.int64)] = cells["n"].to_numpy()
+    return Table(rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), sum(int(n) for n, _ in total.values()), sum(int(v) for _, v in total.values()), factor(pairs.reshape(_PAIRS, _PAIRS)))
+
+
+def encode(docs: DataFrame, t) -> DataFrame:
+    """Every document as ids of two bytes, with its sums over counts and the words whose counts are not in the table.
+
+    ids: of frequent words their own, of others FREQUENT and the tail class. Rows of ``stat`` 1 and 2 give the training tokens of
+    each tail class, and the groups of frequent words.
+    """
+
+    def run(batches):
+        voc = t.value
+        log1, log0 = np.log10(voc.n + 1.0), np.log10(np.maximum(voc.n, 1.0))
+        tails, tops = np.zeros(TAILS, np.int64), np.full(FREQUENT, -1, np.int64)
+
+        def rows(stat, doc_id, key, learn, n, known, base, model, words, times, ids):
+            return pa.RecordBatch.from_arrays([stat, doc_id, key, learn, n, known, base, model, words, times, ids], names=["stat", "doc_id", "key", "learn", "n_tokens", "known", "base", "model", "words", "times", "ids"])
+
+        for part in slices(batches, limit=3 << 20):
+            w = Words(part.column("text"), lower=True)
+            h, place, at = _tokens(w)
+            u, first, which = np.unique(h, return_index=True, return_inverse=True)
+            word = np.full(len(h), -1, np.int64)
+            word[place] = np.arange(len(place))
+            own = word[first]  # a word of the slice for each distinct hash, -1 for the end
+            real = own >= 0
+            spot, there = voc.find(u)
+            group = np.zeros(len(u), np.int64)
+            group[real] = voc.group_of(w.data, w.start[own[real]], w.end[own[real]])
+            rank = voc.ids[spot] if len(voc.ids) else np.full(len(u), -1)
+            frequent = there & (rank >= 0)
+            ids = np.where(frequent, rank, FREQUENT + group)
+            tops[ids[frequent]] = group[frequent]
+            l1, l0 = np.where(there, log1[spot] if len(log1) else 0.0, 0.0), np.where(there & ~frequent, log0[spot] if len(log0) else 0.0, 0.0)
+            y = ids[which]
+            per = lambda x: np.add.reduceat(x, at[:-1])
+            learn = part.column("learn").to_numpy(zero_copy_only=False)
+            tails += np.bincount(y[np.repeat(learn, np.diff(at)) & (y >= FREQUENT)] - FREQUENT, minlength=TAILS)
+            missing = np.flatnonzero((~there)[which]) if not voc.whole else np.zeros(0, np.int64)
+            doc = np.searchsorted(at, missing, "right") - 1
+            o = np.lexsort((which[missing], doc))
+            doc, kind = doc[o], which[missing][o]
+            new = np.append(True, (doc[1:] != doc[:-1]) | (kind[1:] != kind[:-1])) if len(doc) else np.zeros(0, bool)
+            lead = np.flatnonzero(new)
+            ends = pa.array(np.searchsorted(doc[lead], np.arange(len(part) + 1)).astype(np.int32))
+            raw = y.astype("<u2").tobytes()
+            yield rows(
+                pa.array(np.zeros(len(part), np.int8)), part.column("doc_id"), part.column("key"), part.column("learn"), pa.array(np.diff(at)), pa.array(per(there[which].astype(np.int64))), pa.array(per(l1[which])), pa.array(per(l0[which])),
+                pa.ListArray.from_arrays(ends, pa.array(u[kind[lead]].astype(np.int64))), pa.ListArray.from_arrays(ends, pa.array(np.diff(np.append(lead, len(doc))).astype(np.int64))),
+                pa.array([raw[2 * a : 2 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()),
+            )
+        for stat, k, n in ((1, np.arange(TAILS), tails), (2, np.flatnonzero(tops >= 0), tops[tops >= 0])):
+            m, zero = len(k), pa.array(np.zeros(len(k)))
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(m + 1, np.int32)), pa.array([], pa.int64()))
+            yield rows(pa.array(np.full(m, stat, np.int8)), pa.array(k), pa.array(k), pa.array(np.zeros(m, bool)), pa.array(n), pa.array(n), zero, zero, none, none, pa.array([b""] * m, pa.binary()))
+
+    d = slim(docs).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("learn", ~held_out())
+    return d.mapInArrow(run, "stat byte, doc_id long, key long, learn boolean, n_tokens long, known long, base double, model double, words array<long>, times array<long>, ids binary")
 
 
 class Network:
-    """Weights of the recurrent network and the class-factored output; 32-bit floats."""
+    """Weights of the recurrent network and the class-factored output; 32-bit floats.
 
-    SHAPES = {"E": (FREQUENT + TAILS, EMBED), "Wx": (EMBED, 3 * HIDDEN), "bx": (3 * HIDDEN,), "Wh": (HIDDEN, 3 * HIDDEN), "Wc": (HIDDEN, _CLASSES + TAILS), "bc": (_CLASSES + TAILS,), "Ww": (_CLASSES, HIDDEN, WIDTH), "bw": (_CLASSES, WIDTH)}
+    ``X`` has each id's input to the gates (update, reset, candidate): its embedding, seen through the gates' input weights. Gates
+    are hard sigmoids. Features come before lanes in memory, so that each gate is one block.
+    """
+
+    SHAPES = {"X": (3 * HIDDEN, _IDS), "Wh": (3 * HIDDEN, HIDDEN), "Wc": (HIDDEN, _CLASSES + TAILS), "bc": (_CLASSES + TAILS,), "Ww": (_CLASSES, HIDDEN, WIDTH), "bw": (_CLASSES, WIDTH)}
+    SLOPE = 0.25
 
     def __init__(self, flat: np.ndarray):
         self.flat, at = flat, 0
@@ -141,256 +278,347 @@ class Network:
         """Small random weights; biases are the log frequencies of classes and of words in them."""
         rng = np.random.default_rng(1)
         net = cls(np.zeros(cls.size(), np.float32))
-        net.E[:] = rng.normal(0, 0.3, net.E.shape)
-        for w in (net.Wx, net.Wh):
-            w[:] = rng.normal(0, 1 / math.sqrt(len(w)), w.shape)
-        net.Wc[:] = rng.normal(0, 0.02, net.Wc.shape)
+        net.X[:] = rng.normal(0, 0.3, net.X.shape)
+        net.X[:HIDDEN] += 0.5  # states begin by lasting
+        net.Wh[:] = rng.normal(0, 1 / math.sqrt(HIDDEN), net.Wh.shape)
+        net.Wc[:] = rng.normal(0, 0.05, net.Wc.shape)
         net.Ww[:] = rng.normal(0, 0.02, net.Ww.shape)
         n = t.frequent.reshape(_CLASSES, WIDTH)
-        tails = np.exp(-t.tail_log)
-        mass = np.concatenate([n.sum(axis=1) + 1e-3, tails])
+        mass = np.concatenate([n.sum(axis=1) + 1e-3, t.tail + 1])
         net.bc[:] = np.log(mass / mass.sum())
         net.bw[:] = np.log((n + 1e-6) / (n + 1e-6).sum(axis=1, keepdims=True))
         return net
 
-    def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each step [steps, lanes, HIDDEN], from the steps' input ids; ``fresh``: the step starts a document."""
-        x = self.E[ids] @ self.Wx
-        x += self.bx
-        out = np.empty((*ids.shape, HIDDEN), x.dtype)
-        stay, begins = (~fresh).astype(x.dtype)[:, :, None], fresh.any(axis=1)
+    def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """States [steps, HIDDEN, lanes] after each step, from the steps' input ids and a state [HIDDEN, lanes]; ``fresh``: the step starts a document."""
         k = 2 * HIDDEN
-        for t in range(len(ids)):
+        scale = np.ones((3 * HIDDEN, 1), h.dtype)
+        scale[:k] = self.SLOPE
+        inputs, wh = self.X * scale, self.Wh * scale
+        inputs[:k] += 0.5
+        steps, m = ids.shape
+        x = np.take(inputs, ids.ravel(), axis=1).reshape(3 * HIDDEN, steps, m)
+        out = np.empty((steps, HIDDEN, m), x.dtype)
+        gates, candidate, inner, before = (np.empty((steps if keep is not None else 1, n, m), x.dtype) for n in (k, HIDDEN, HIDDEN, HIDDEN))
+        g = np.empty((3 * HIDDEN, m), x.dtype)
+        begins = fresh.any(axis=1)
+        for t in range(steps):
+            i = t if keep is not None else 0
             if begins[t]:
-                h = h * stay[t]
-            g = h @ self.Wh
-            zr = x[t, :, :k] + g[:, :k]
-            zr *= 0.5
-            np.tanh(zr, out=zr)
-            zr += 1
-            zr *= 0.5
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = r * g[:, k:]
-            n += x[t, :, k:]
+                h = h * ~fresh[t]
+            np.dot(wh, h, out=g)
+            zr, n = gates[i], candidate[i]
+            np.add(x[:k, t], g[:k], out=zr)
+            np.maximum(zr, 0, out=zr)
+            np.minimum(zr, 1, out=zr)
+            np.multiply(zr[HIDDEN:], g[k:], out=n)
+            n += x[k:, t]
             np.tanh(n, out=n)
             if keep is not None:
-                keep.append((h, z, r, n, g[:, k:]))
-            new = h - n
-            new *= z
+                inner[t] = g[k:]
+                before[t] = h
+            new = out[t]
+            np.subtract(h, n, out=new)
+            new *= zr[:HIDDEN]
             new += n
-            out[t] = h = new
+            h = new
+        if keep is not None:
+            keep |= {"gates": gates, "candidate": candidate, "inner": inner, "before": before}
         return out
 
     def output(self, h: np.ndarray, y: np.ndarray, grad: "Network | None" = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target (of its class, for tail words) given states [rows, HIDDEN]; with ``grad``, adds gradients of the negative sum."""
         cls = np.where(y < FREQUENT, y // WIDTH, _CLASSES + y - FREQUENT)
-        logit = h @ self.Wc
-        logit += self.bc - (np.abs(self.Wc).sum(axis=0) + self.bc).max()  # states lie within [-1, 1], so no logit is above 0
-        p = np.exp(logit)
-        total = p @ np.ones(p.shape[1], p.dtype)
-        rows = np.arange(len(y))
-        logp = logit[rows, cls] - np.log(total)
-        dh = None
-        if grad is not None:
-            p /= total[:, None]
-            p[rows, cls] -= 1
-            grad.Wc += h.T @ p
-            grad.bc += p.sum(axis=0)
-            dh = p @ self.Wc.T
-        ones = np.ones(WIDTH, h.dtype)
         order = np.argsort(cls.astype(np.uint8), kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(_CLASSES + 1))
-        for c in np.flatnonzero(np.diff(edge)):
-            own = order[edge[c] : edge[c + 1]]
-            hc, w = h[own], y[own] % WIDTH
-            logit = hc @ self.Ww[c]
-            logit += self.bw[c] - (np.abs(self.Ww[c]).sum(axis=0) + self.bw[c]).max()
-            p = np.exp(logit)
-            total = p @ ones
-            k = rows[: len(own)]
-            logp[own] += logit[k, w] - np.log(total)
+        edge = np.searchsorted(cls[order], np.arange(_CLASSES + 1)).tolist()
+        h, y, cls = h[order], y[order], cls[order]
+        logp, dh = np.empty(len(y), h.dtype), np.empty_like(h) if grad is not None else None
+        bias = self.bc - (np.abs(self.Wc).sum(axis=0) + self.bc).max()  # states lie within [-1, 1], so no logit is above 0
+        jobs = [(a, min(a + 2048, len(y)), cls, self.Wc, bias, None) for a in range(0, len(y), 2048)]
+        word = y % WIDTH
+        jobs += [(edge[c], edge[c + 1], word, self.Ww[c], self.bw[c] - (np.abs(self.Ww[c]).sum(axis=0) + self.bw[c]).max(), c) for c in range(_CLASSES) if edge[c] < edge[c + 1]]
+        rows = np.arange(len(y))
+        for a, b, targets, weight, bias, c in jobs:
+            own, k, target = h[a:b], rows[: b - a], targets[a:b]
+            logit = own @ weight
+            logit += bias
+            hit = logit[k, target]
+            p = np.exp(logit, out=logit)
+            total = p @ np.ones(p.shape[1], p.dtype)
+            hit -= np.log(total)
+            if c is None:
+                logp[a:b] = hit
+            else:
+                logp[a:b] += hit
             if grad is not None:
-                p /= total[:, None]
-                p[k, w] -= 1
-                grad.Ww[c] += hc.T @ p
-                grad.bw[c] += p.sum(axis=0)
-                dh[own] += p @ self.Ww[c].T
-        return logp, dh
+                p *= (1 / total)[:, None]
+                p[k, target] -= 1
+                gw, gb = (grad.Wc, grad.bc) if c is None else (grad.Ww[c], grad.bw[c])
+                gw += own.T @ p
+                gb += np.ones(b - a, p.dtype) @ p
+                if c is None:
+                    np.dot(p, weight.T, out=dh[a:b])
+                else:
+                    dh[a:b] += p @ weight.T
+        back = np.empty_like(order)
+        back[order] = rows
+        return logp[back], dh[back] if grad is not None else None
 
     def gradient(self, ids, fresh, h0, y, valid, grad: "Network") -> np.ndarray:
         """Adds the window's gradients, by backpropagation to its first step; gives the state after it."""
-        keep: list = []
+        keep: dict = {}
         states = self.states(ids, fresh, h0, keep)
+        steps, m = ids.shape
         flat = np.zeros((ids.size, HIDDEN), states.dtype)
         on = np.flatnonzero(valid.ravel())
-        flat[on] = self.output(states.reshape(-1, HIDDEN)[on], y.ravel()[on], grad)[1]
-        dout = flat.reshape(states.shape)
+        flat[on] = self.output(states.transpose(0, 2, 1).reshape(-1, HIDDEN)[on], y.ravel()[on], grad)[1]
+        dout = flat.reshape(steps, m, HIDDEN).transpose(0, 2, 1)
         k = 2 * HIDDEN
-        dx = np.empty((*ids.shape, 3 * HIDDEN), states.dtype)
-        dg = np.empty_like(dx)
-        stay, begins = (~fresh).astype(states.dtype)[:, :, None], fresh.any(axis=1)
-        dh = np.zeros_like(states[0])
-        for t in range(len(ids) - 1, -1, -1):
-            h, z, r, n, gn = keep[t]
+        gates, n, inner, before = keep["gates"], keep["candidate"], keep["inner"], keep["before"]
+        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        # what a change of the state does to the candidate's, the update gate's and the reset gate's argument
+        slope = ((gates > 0) & (gates < 1)) * states.dtype.type(self.SLOPE)
+        to_n = (1 - z) * (1 - n * n)
+        to_z = (before - n) * slope[:, :HIDDEN]
+        to_r = inner * slope[:, HIDDEN:]
+        dg, dn = np.empty((steps, 3 * HIDDEN, m), states.dtype), np.empty((steps, HIDDEN, m), states.dtype)
+        begins = fresh.any(axis=1)
+        wt = np.ascontiguousarray(self.Wh.T)
+        dh, back = np.zeros_like(states[0]), np.empty_like(states[0])
+        for t in range(steps - 1, -1, -1):
             dh += dout[t]
-            u = 1 - z
-            dn = dx[t, :, k:]
-            np.multiply(dh, u, out=dn)
-            dn *= 1 - n * n
-            u *= z
-            u *= h - n
-            np.multiply(dh, u, out=dx[t, :, :HIDDEN])
-            v = r * (1 - r)
-            v *= gn
-            np.multiply(dn, v, out=dx[t, :, HIDDEN:k])
-            dg[t, :, :k] = dx[t, :, :k]
-            np.multiply(dn, r, out=dg[t, :, k:])
-            dh *= z
-            dh += dg[t] @ self.Wh.T
+            own = dg[t]
+            np.multiply(dh, to_n[t], out=dn[t])
+            np.multiply(dh, to_z[t], out=own[:HIDDEN])
+            np.multiply(dn[t], to_r[t], out=own[HIDDEN:k])
+            np.multiply(dn[t], r[t], out=own[k:])
+            dh *= z[t]
+            dh += np.dot(wt, own, out=back)
             if begins[t]:
-                dh *= stay[t]
-        grad.Wh += np.concatenate([own[0] for own in keep]).T @ dg.reshape(-1, 3 * HIDDEN)
-        dx = dx.reshape(-1, 3 * HIDDEN)
-        e = self.E[ids.ravel()]
-        grad.Wx += e.T @ dx
-        grad.bx += dx.sum(axis=0)
-        de = dx @ self.Wx.T
-        o = np.argsort(ids.ravel().astype(np.uint16), kind="stable")
-        own = ids.ravel()[o]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        grad.E[own[first]] += np.add.reduceat(de[o], first, axis=0)
+                dh *= ~fresh[t]
+        wide = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+        dg = wide(dg)
+        grad.Wh += dg @ wide(before).T
+        dg[k:] = wide(dn)
+        place = ids.ravel()
+        for f in range(3 * HIDDEN):
+            grad.X[f] += np.bincount(place, dg[f], _IDS)
         return states[-1]
 
 
+class Trainer:
+    """Adam on a network's weights."""
+
+    def __init__(self, flat: np.ndarray, rate: float):
+        self.net, self.rate, self.k = Network(flat), rate, 0
+        self.grad = Network(np.zeros_like(flat))
+        self.m, self.v, self.held = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+
+    def step(self, ids, fresh, state, y, valid) -> np.ndarray:
+        g = self.grad.flat
+        g[:] = 0
+        state = self.net.gradient(ids, fresh, state, y, valid, self.grad)
+        self.k += 1
+        g *= 1 / max(1, int(valid.sum()))
+        self.m *= 0.9
+        self.m += np.multiply(g, 0.1, out=self.held)
+        self.v *= 0.99
+        g *= g
+        self.v += np.multiply(g, 0.01, out=self.held)
+        np.sqrt(self.v, out=self.held)
+        self.held += 1e-6
+        np.divide(self.m, self.held, out=self.held)
+        self.held *= self.rate * math.sqrt(1 - 0.99**self.k) / (1 - 0.9**self.k)
+        self.net.flat -= self.held
+        return state
+
+
 def lanes(lengths: np.ndarray, n: int) -> list[list[int]]:
     """Texts dealt to at most n lanes of about equal length, the longest lane first."""
     heap = [(0, i) for i in range(max(1, min(n, len(lengths))))]
     out: list[list[int]] = [[] for _ in heap]
+    total = [0] * len(heap)
     for d in np.argsort(-lengths, kind="stable").tolist():
-        total, i = heapq.heappop(heap)
+        size, i = heapq.heappop(heap)
         out[i].append(d)
-        heapq.heappush(heap, (total + int(lengths[d]), i))
-    return sorted(out, key=lambda own: -int(lengths[own].sum()))
+        total[i] = size + int(lengths[d])
+        heapq.heappush(heap, (total[i], i))
+    return [out[i] for i in sorted(range(len(out)), key=lambda i: -total[i])]
 
 
 def windows(at: np.ndarray, steps: int, n: int):
-    """Windows (places [steps, lanes] or -1, is a text's first token) over a slice's tokens; lanes that have ended drop out."""
+    """Windows (places [steps, lanes] or -1, is a text's first token) over texts' tokens; lanes that have ended drop out."""
     own = lanes(np.diff(at), n)
-    runs = [np.concatenate([np.arange(at[d], at[d + 1]) for d in docs]) for docs in own]
+    runs = [np.concatenate([np.arange(at[d], at[d + 1]) for d in docs]) if docs else np.zeros(0, np.int64) for docs in own]
     first = np.zeros(at[-1], bool)
-    first[at[:-1]] = True
-    size = [len(r) for r in runs]
-    for t in range(0, size[0] if size else 0, steps):
-        live = sum(s > t for s in size)
-        place = np.full((min(steps, size[0] - t), live), -1)
+    first[at[:-1][np.diff(at) > 0]] = True
+    size = np.array([len(r) for r in runs])
+    for t in range(0, int(size[0]) if len(size) else 0, steps):
+        live = int((size > t).sum())
+        place = np.full((min(steps, int(size[0]) - t), live), -1)
         for i in range(live):
             piece = runs[i][t : t + steps]
             place[: len(piece), i] = piece
         yield place, first[place] & (place >= 0)
 
 
-def train(docs: DataFrame, t, weights: np.ndarray, rate: float) -> np.ndarray:
-    """Averaged weights of networks that each task trains on its own rows, from the given ones."""
-    sc = docs.sparkSession.sparkContext
+def _inputs(y: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
+    """The id before each token; before a text's first one, that of an end."""
+    before = np.append(end, y[:-1])
+    before[at[:-1]] = end
+    return before
+
+
+def train(dealt: DataFrame, parts: int, voc: Table, weights: np.ndarray, k: int) -> np.ndarray:
+    """The weights after round ``k``: those of all shards, averaged by tokens. dealt: (shard, key, ids), by shard and key in each partition."""
+    sc = dealt.sparkSession.sparkContext
     held = sc.broadcast(weights)
+    end, order, rate = voc.end, voc.order, RATES[k]
 
     def run(batches):
-        net = Network(held.value.copy())
-        grad = Network(np.zeros_like(net.flat))
-        m, v, k, seen = np.zeros_like(net.flat), np.zeros_like(net.flat), 0, 0
-        for part in slices(batches, limit=SLICE):
-            h, cls, at = _tokens(part)
-            y = t.value.classes_of(h, cls)
-            before = np.concatenate([[0], y[:-1]])
-            before[at[:-1]] = FREQUENT  # a text's first input
-            state = np.zeros((LANES, HIDDEN), np.float32)
+        n, total = 0, None
+
+        def shard(texts: list[bytes]):
+            y = order[np.frombuffer(b"".join(texts), "<u2")]
+            size = np.array([len(x) // 2 for x in texts])
+            whole = np.concatenate([[0], np.cumsum(size)])
+            at = np.union1d(whole, np.concatenate([np.arange(a, b, PIECE) for a, b in zip(whole[:-1], whole[1:])]))
+            before = _inputs(y, whole, end)
+            trainer = Trainer(held.value.copy(), rate)
+            state, seen = np.zeros((HIDDEN, LANES), np.float32), 0
             for place, fresh in windows(at, STEPS, LANES):
                 valid = place >= 0
-                grad.flat[:] = 0
-                state = net.gradient(before[place], fresh, state[: place.shape[1]], y[place], valid, grad)
-                k += 1
+                state = trainer.step(before[place], fresh, state[:, : place.shape[1]], y[place], valid)
                 seen += int(valid.sum())
-                g = grad.flat / max(1, int(valid.sum()))
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                net.flat -= rate * math.sqrt(1 - 0.999**k) / (1 - 0.9**k) * m / (np.sqrt(v) + 1e-8)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([net.flat.astype(np.float64).tobytes()], pa.binary())], names=["n", "w"])
+            return seen, trainer.net.flat
+
+        own, texts = None, []
+        for b in batches:
+            for s, x in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()):
+                if s != own and texts:
+                    seen, flat = shard(texts)
+                    n, total, texts = n + seen, flat * float(seen) if total is None else total + flat * float(seen), []
+                own = s
+                texts.append(x)
+        if texts:
+            seen, flat = shard(texts)
+            n, total = n + seen, flat * float(seen) if total is None else total + flat * float(seen)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
     def add(batches):
         n, total = 0, None
         for b in batches:
             for k, w in zip(b.column("n").to_pylist(), b.column("w").to_pylist()):
-                w = np.frombuffer(w)
-                total = w * k if total is None else total * 1.0 + w * k
+                w = np.frombuffer(w, np.float32) * float(k)
+                total = w if total is None else total + w
                 n += k
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).tobytes()], pa.binary())], names=["n", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "w"])
 
-    out = slim(docs).mapInArrow(run, "n long, w binary")
-    for parts in (max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4), 1):
+    out = dealt.filter(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(len(RATES))) == k).select("shard", "ids").mapInArrow(run, "n long, w binary")
+    while parts > 8:  # means of means, so that neither a task nor the driver reads very many
+        parts = max(8, parts // 16)
         out = out.repartition(parts).mapInArrow(add, "n long, w binary")
     rows = out.collect()
-    return np.frombuffer(rows[0]["w"]).astype(np.float32) if rows else weights
+    if not rows:
+        return weights
+    n = np.array([r["n"] for r in rows], float)
+    return sum(np.frombuffer(r["w"], np.float32) * (x / n.sum()) for r, x in zip(rows, n)).astype(np.float32)
+
+
+def fit(docs: DataFrame) -> tuple[DataFrame, Table, np.ndarray, DataFrame]:
+    """Word counts, the table, the network's weights, and all documents encoded."""
+    sc = docs.sparkSession.sparkContext
+    counts = cut(gather(docs.filter(~held_out())))
+    voc = table(counts)
+    encoded = cut(encode(docs, sc.broadcast(voc)))
+    group = np.zeros(FREQUENT, np.int64)
+    for r in encoded.filter("stat > 0").groupBy("stat", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("group")).collect():  # TAILS + FREQUENT rows
+        if r["stat"] == 1:
+            voc.tail[r["doc_id"]] = r["n"]
+        else:
+            group[r["doc_id"]] = r["group"]
+    voc.settle(group)
+    weights = Network.start(voc).flat
+    shards = max(1, round(voc.tokens / SHARD))
+    parts = min(shards, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    learned = encoded.filter("stat = 0 and learn").select(F.pmod("key", F.lit(shards)).alias("shard"), "key", "ids")
+    dealt = cut(learned.repartition(parts, "shard").sortWithinPartitions("shard", "key"))
+    for k in range(len(RATES)):
+        weights = train(dealt, parts, voc, weights, k)
+    return counts.filter("kind = 0"), voc, weights, encoded
 
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    d = slim(docs)
-    sc = d.sparkSession.sparkContext
-    learned = d.filter(~held_out())
-    counts = cut(word_counts(learned))
-    vocabulary = table(counts)
-    t = sc.broadcast(vocabulary)
-    weights = Network.start(vocabulary).flat
-    some = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 3, F.lit(True))
-    for part, rate in ((learned.filter(some), RATES[0]), (learned.filter(~some), RATES[1])):
-        weights = train(part, t, weights, rate)
-    held = sc.broadcast(weights)
-    base = math.log10(vocabulary.tokens + vocabulary.distinct + 1)
+    counts, voc, weights, encoded = fit(docs)
+    sc = docs.sparkSession.sparkContext
+    held = sc.broadcast((weights, np.log(voc.tail + 1), math.log(voc.tokens + TAILS), voc.end, voc.order, np.log(np.maximum(voc.frequent, 1))))
 
     def run(batches):
-        net, voc = Network(held.value), t.value
-        table_log = np.log10(voc.n + 1.0)
-        uni = math.log(UNIGRAM) - math.log(voc.tokens + voc.distinct + 1)
-        for part in slices(batches, limit=SLICE):
-            h, cls, at = _tokens(part)
-            place_in, there = voc.find(h)
-            y = voc.classes_of(h, cls)
-            before = np.concatenate([[0], y[:-1]])
-            before[at[:-1]] = FREQUENT
-            logp, states_of = np.empty(len(h)), np.empty((len(h), HIDDEN), np.float32)
-            state = np.zeros((2 * LANES, HIDDEN), np.float32)
+        flat, tail, all_, end, order, frequent = held.value
+        net = Network(flat)
+
+        def scores(ids: list[bytes]) -> np.ndarray:
+            y = order[np.frombuffer(b"".join(ids), "<u2")]
+            at = np.concatenate([[0], np.cumsum([len(x) // 2 for x in ids])])
+            before = _inputs(y, at, end)
+            logp = np.empty(len(y))
+            state = np.zeros((HIDDEN, 2 * LANES), np.float32)
+            kept, places, size = [], [], 0
+
+            def flush():
+                place = np.concatenate(places)
+                logp[place] = net.output(np.concatenate(kept), y[place])[0]
+
             for place, fresh in windows(at, STEPS, 2 * LANES):
-                states = net.states(before[place], fresh, state[: place.shape[1]])
+                states = net.states(before[place], fresh, np.ascontiguousarray(state[:, : place.shape[1]]))
                 state = states[-1]
                 on = place >= 0
-                states_of[place[on]] = states[on]
-            for a in range(0, len(h), 1 << 16):
-                logp[a : a + (1 << 16)] = net.output(states_of[a : a + (1 << 16)], y[a : a + (1 << 16)])[0]
-            c_log = np.where(there, table_log[place_in] if len(table_log) else 0.0, 0.0)
-            frequent = y < FREQUENT
-            # natural logs of the mixture; a tail word's own count comes as a factor (c + 1)
-            own = np.where(frequent, logp, logp + voc.tail_log[cls])
-            mixed = np.logaddexp(math.log(1 - UNIGRAM) + own, uni + np.where(frequent, c_log * math.log(10), 0.0)) / math.log(10) + np.where(frequent, 0.0, c_log)
-            per = lambda x: np.add.reduceat(x, at[:-1])
-            missing = np.zeros(len(h), bool) if voc.whole else ~there
-            tails, times = [], []
-            for a, b in zip(at[:-1], at[1:]):
-                u, n = np.unique(h[a:b][missing[a:b]], return_counts=True)
-                tails.append(u.astype(np.int64))
-                times.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(np.diff(at)), pa.array(per(there.astype(np.int64))), pa.array(per(c_log)), pa.array(per(mixed)), pa.array(tails, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                names=["doc_id", "n_tokens", "known", "base", "mixed", "words", "times"],
-            )
-
-    own = cut(d.mapInArrow(run, "doc_id long, n_tokens long, known long, base double, mixed double, words array<long>, times array<long>")).withColumn("_row", F.monotonically_increasing_id())
+                kept.append(states.transpose(0, 2, 1)[on])
+                places.append(place[on])
+                size += len(places[-1])
+                if size > 1 << 15:
+                    flush()
+                    kept, places, size = [], [], 0
+            if size:
+                flush()
+            known = y < FREQUENT
+            own = logp - np.where(known, 0.0, tail[np.maximum(y - FREQUENT, 0)])
+            uni = np.where(known, frequent[np.minimum(y, FREQUENT - 1)], 0.0) - all_  # of a tail word its count comes as a factor of both
+            mixed = np.logaddexp(math.log(1 - UNIGRAM) + own, math.log(UNIGRAM) + uni)
+            return np.add.reduceat(mixed, at[:-1]) / math.log(10)
+
+        def out(rows: list[pa.RecordBatch]):
+            t = pa.Table.from_batches(rows).combine_chunks()
+            s = scores(t.column("ids").to_pylist())
+            return t.drop_columns(["ids"]).append_column("net", pa.array(s)).to_batches()
+
+        rows, size = [], 0
+        for b in batches:
+            at = 0
+            n = np.cumsum(b.column("n_tokens").to_numpy())
+            while at < len(b):
+                to = max(at + 1, int(np.searchsorted(n, (n[at - 1] if at else 0) + BUFFER - size, "right")))
+                rows.append(b.slice(at, to - at))
+                size += int(n[to - 1] - (n[at - 1] if at else 0))
+                at = to
+                if size >= BUFFER or at < len(b):
+                    yield from out(rows)
+                    rows, size = [], 0
+        if rows:
+            yield from out(rows)
+
+    plain = encoded.filter("stat = 0").select("doc_id", "n_tokens", "known", "base", "model", "words", "times", "ids")
+    scored = plain.mapInArrow(run, "doc_id long, n_tokens long, known long, base double, model double, words array<long>, times array<long>, net double")
+    own = cut(scored).withColumn("_row", F.monotonically_increasing_id())
     rare = own.filter("size(words) > 0").select("_row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("_row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    more = rare.join(counts.select("word", "n"), "word").groupBy("_row").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("l"))
-    out = own.select("doc_id", "n_tokens", "known", "base", "mixed", "_row").join(more, "_row", "left").withColumn("l", F.coalesce("l", F.lit(0.0)))
-    out = out.withColumn("b", F.col("base") + F.col("l") - F.col("n_tokens") * F.lit(base)).withColumn("m", F.col("mixed") + F.col("l"))
+    more = rare.join(counts.select("word", "n"), "word").groupBy("_row").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("l1"), F.sum(F.col("times") * F.log10("n")).alias("l0"))
+    out = own.select("doc_id", "n_tokens", "known", "base", "model", "net", "_row").join(more, "_row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    base = math.log10(voc.tokens + voc.distinct + 1)
     return out.select(
-        "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-        F.col("b").alias("base_score"), (F.greatest("b", "m") + F.log10(0.5 + 0.5 * F.pow(F.lit(10.0), -F.abs(F.col("b") - F.col("m"))))).alias("score"),
+        "doc_id", held_out().alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(voc.tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + zero("l1") - F.col("n_tokens") * F.lit(base)).alias("base_score"), (F.col("net") + F.col("model") + zero("l0")).alias("score"),
     )
