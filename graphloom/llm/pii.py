@@ -2,22 +2,30 @@
 
 Entities are found in whole texts by one pattern. Each distinct entity gets a surrogate from a keyed hash that keeps its type
 and form: digits for digits in the same layout (card numbers that pass the Luhn check get surrogates that pass it), addresses
-for addresses, names of the same gender, script and letter case behind the same title. The same entity gets the same surrogate
-everywhere, and a surname gets the same surrogate behind any title or given name. Surrogates that coincide with one another or
-with a real entity are drawn again, so distinct entities stay distinct.
-
-Null texts stay null and empty ones empty. Null ids are kept. Rows that repeat give repeated results. Texts are read whole.
-An empty table gives an empty result. ``surrogates`` keeps other columns, whatever their names.
+for addresses, names of the same gender, script and letter case behind the same title. Whoever has the key can make the same
+surrogates again, so it comes from the caller.
+
+Names are replaced word by word: a surname has one surrogate behind any title, given name or initial, a given name one before any
+surname, and no two surnames, given names or initials share one, so distinct names stay distinct and mentions of one person
+agree. Listed given names take turns within their gender and script; other given names and surnames are made of syllables.
+In a document, capitalised words that are a surname or given name of one of its names, and stand alone, are replaced too.
+Surrogates that coincide with one another or with a real entity or name are drawn again, and grow while they do: words by
+syllables, from the third draw on, numbers by an extension, from the twentieth draw on (where a layout is used up).
+
+Null texts stay null and empty ones empty. Null ids are kept. Rows that repeat give repeated results. Texts are read whole, in
+time proportional to their length. An empty table gives an empty result. ``surrogates`` keeps other columns, whatever their
+names; those named like one of its counts are replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import cut, slim
 
-KEY = "graphloom"
 # Titles by gender, given names by gender and script, and syllables of invented surnames.
 TITLES = {"m": "Mr Mister Sir Herr Monsieur Señor Sr Don г-н господин κύριος", "f": "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Sra Srta Doña г-жа госпожа κυρία", "n": "Dr Prof Mx"}
 GIVEN = {
@@ -39,7 +47,7 @@ _INITIALS = r"(?:\p{Lu}\.?[ \u00a0])*+"
 _MORE = rf"[ \u00a0]{_INITIALS}(?!(?:{_TITLE})(?![\p{{L}}'’-])){_CAP}"
 # Each pattern first looks at what a place starts with, so that most places of a text cost one look.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}",
     "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "phone": r"(?=[\d+(])(?<![\p{L}\d])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![\p{L}\d])",
     "card": r"(?=\d)(?<![\p{L}\d])(?:\d{4}[ -]?){3}\d{1,7}(?![\p{L}\d])",
@@ -51,20 +59,27 @@ KINDS = tuple(PATTERNS)
 ANY = rf"{PATTERNS['email']}|(?=[\d+({_INITIAL}])(?:" + "|".join(p for k, p in PATTERNS.items() if k != "email") + ")"
 
 
+# A capitalised word, for bare mentions of names.
+_WORD = r"(?<![\p{L}])\p{Lu}\p{L}++(?![\p{L}\d._%+'-]{0,64}@)"
+WIDE = f"{ANY}|{_WORD}"
+# Capital letters that initials take turns in.
+CAPITALS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+
+
 def _whole(kind: str) -> str:
     return f"^(?:{PATTERNS[kind]})$"
 
 
 def kind_of(entity: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
+    out = F.when(entity.rlike(r"^\p{Lu}\p{L}+$"), F.lit("word"))
     for k in KINDS:
         out = out.when(entity.rlike(_whole(k)), F.lit(k))
     return out.otherwise(F.lit("name"))
 
 
-def _stream(*parts: Column) -> Column:
+def _stream(key: str, *parts: Column) -> Column:
     """192 keyed hexadecimal digits."""
-    seed = F.concat_ws("\u0001", F.lit(KEY), *parts)
+    seed = F.concat_ws("\u0001", F.lit(key), *parts)
     return F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("\u0002")), 256), F.sha2(F.concat(seed, F.lit("\u0003")), 256))
 
 
@@ -108,85 +123,136 @@ def _card(entity: Column, stream: Column) -> Column:
     return F.when(_luhn(own) == 0, F.concat(F.substring(drawn, F.lit(1), F.length(drawn) - 1), last)).otherwise(drawn)
 
 
-def _name(entity: Column, attempt: Column) -> Column:
-    words = F.split(entity, "[  ]")
-    titled = words[0].rlike(f"^(?:{_TITLE})\\.?$")
-    bare = F.regexp_replace(words[0], "\\.", "")
-    surname = F.element_at(words, -1)
-    given = F.when(titled & (F.size(words) > 2), words[1]).when(~titled, words[0])
-    script = F.when(surname.rlike("\\p{IsCyrillic}"), "cyrillic").when(surname.rlike("\\p{IsGreek}"), "greek").otherwise("latin")
-    inside = lambda column, text: column.isin(text.split())
-    women, men = (" ".join(v for (_, g), v in GIVEN.items() if g == sex) for sex in "fm")
-    g_stream = _stream(F.lit("given"), F.lower(given))
-    s_stream = _stream(F.lit("surname"), F.lower(surname), F.when(attempt > 0, F.concat(entity, attempt.cast("string"))).otherwise(F.lit("")))
-    middle = F.slice(words, F.when(titled, 3).otherwise(2), F.greatest(F.size(words) - F.when(titled, 3).otherwise(2), F.lit(0)))
-    sex = F.when(inside(bare, TITLES["f"]), "f").when(inside(bare, TITLES["m"]), "m").when(inside(given, women), "f").when(inside(given, men), "m").otherwise(F.when(_number(g_stream, 40, 4, 2) == 0, "f").otherwise("m"))
-    new_given, new_surname, between = F.lit(""), F.lit(""), lambda w: F.lit("")
-    for (s, g), names in GIVEN.items():
-        new_given = F.when((script == s) & (sex == g), _draw(names, g_stream, 1)).otherwise(new_given)
-        between = lambda w, s=s, g=g, names=names, other=between: F.when((script == s) & (sex == g), _draw(names, _stream(F.lit("given"), F.lower(w)), 1)).otherwise(other(w))
-    initial = r"^\p{Lu}\.?$"
-    shape = lambda w, name: F.when(w.rlike(initial), F.concat(F.substring(name, 1, 1), F.when(w.endswith("."), ".").otherwise(""))).otherwise(name)
-    new_given = shape(given, new_given)
-    middle = F.transform(middle, lambda w: shape(w, between(w)))
-    for s, parts in SYLLABLES.items():
-        new_surname = F.when(script == s, F.concat(*(_draw(parts, s_stream, 1 + 8 * i) for i in range(4)))).otherwise(new_surname)
-    new_surname = F.concat(F.upper(F.substring(new_surname, 1, 1)), F.substring(new_surname, 2, 64))
-    new_surname = F.when((F.upper(surname) == surname) & (F.length(surname) > 1), F.upper(new_surname)).otherwise(new_surname)
-    return F.concat_ws(" ", F.when(titled, words[0]), F.when(given.isNotNull(), new_given), middle, new_surname)
-
-
-def surrogate(entity: Column, kind: Column, attempt: Column) -> Column:
-    stream = _stream(kind, entity, attempt.cast("string"))
+def surrogate(key: str, entity: Column, kind: Column, attempt: Column) -> Column:
+    """Another entity of the kind and form (of all kinds but names)."""
+    stream = _stream(key, kind, entity, attempt.cast("string"))
     octets = F.concat_ws(".", *(((_number(stream, 1 + 8 * i, 8, 254) + 1).cast("string")) for i in range(4)))
     at = F.instr(entity, "@")
     mail = F.concat(_form(F.substring(entity, F.lit(1), at - 1), stream), F.lit("@mail"), _number(stream, 150, 8, 10_000).cast("string"), F.lit(".example."), _draw("com org net", stream, 160))
     phone_kept = F.regexp_extract(entity, r"^(\+\d{1,3}(?=[ .(-])|\+?)", 1)
     phone = F.concat(phone_kept, _form(F.substring(entity, F.length(phone_kept) + 1, F.lit(64)), stream))
     iban = F.concat(F.substring(entity, 1, 2), _form(F.substring(entity, 3, 64), stream))
-    return F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "card", _card(entity, stream)).when(kind == "iban", iban).when(kind == "name", _name(entity, attempt)).otherwise(_form(entity, stream))
+    new = F.when(kind == "email", mail).when(kind == "ip", octets).when(kind == "phone", phone).when(kind == "card", _card(entity, stream)).when(kind == "iban", iban).otherwise(_form(entity, stream))
+    return F.when(attempt < 20, new).otherwise(F.concat(new, F.lit("x"), _number(stream, 100, 8, 1 << 30).cast("string")))
+
+
+def script_of(word: Column) -> Column:
+    return F.when(word.rlike("\\p{IsCyrillic}"), "cyrillic").when(word.rlike("\\p{IsGreek}"), "greek").otherwise("latin")
+
 
+def listed(key: str) -> dict[str, str]:
+    """Each listed given name and the one that stands for it: the next in keyed order of its gender and script, so none stands for itself or for two."""
+    out = {}
+    for group, names in GIVEN.items():
+        order = sorted(names.split(), key=lambda n: hashlib.sha256(f"{key}\u0001{group}\u0001{n}".encode()).digest())
+        out |= {a.lower(): b for a, b in zip(order, [*order[1:], order[0]])}
+    return out
 
-def mapping(entities: DataFrame) -> DataFrame:
-    """(entity, kind, surrogate) of each distinct entity; no surrogate occurs twice or is itself an entity."""
-    held = cut(entities.groupBy("entity").agg(F.count("*").alias("n")).select("entity", kind_of(F.col("entity")).alias("kind"), F.lit(0).alias("attempt")))
-    real = held.select(F.col("entity").alias("surrogate"), F.lit(True).alias("_real"))
-    make = surrogate(F.col("entity"), F.col("kind"), F.col("attempt"))
-    current = cut(held.withColumn("surrogate", make))
+
+def invented(key: str, role: Column, script: Column, low: Column, attempt: Column) -> Column:
+    """A capitalised word of syllables: three of them for given names and four for surnames, and one more for each draw from the third on."""
+    seed = F.concat_ws("\u0001", F.lit(key), role, script, low, attempt.cast("string"))
+    n = F.when(role == "given", 3).otherwise(4) + F.greatest(attempt - 1, F.lit(0))
+    which = lambda i, size: (F.conv(F.substring(F.sha2(F.concat(seed, F.lit("\u0002"), i.cast("string")), 256), 1, 8), 16, 10).cast("long") % size + 1).cast("int")
+    make = lambda parts: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(F.array(*map(F.lit, parts)), which(i, len(parts)))), "")
+    word = F.when(script == "cyrillic", make(SYLLABLES["cyrillic"].split())).when(script == "greek", make(SYLLABLES["greek"].split())).otherwise(make(SYLLABLES["latin"].split()))
+    return F.initcap(word)
+
+
+def _settle(held: DataFrame, within: list[str], draw: Column, real: DataFrame) -> DataFrame:
+    """``held`` with attempt and ``new``, drawn again until no two rows that agree on ``within`` share one and none is in ``real`` (_low, _real)."""
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = held.columns
+    current = cut(held.withColumn("attempt", F.lit(0)).repartition(parts, *keys).withColumn("new", draw))
     while True:
-        order = Window.partitionBy("surrogate").orderBy("attempt", "entity")
-        seen = current.withColumn("_nth", F.row_number().over(order)).join(real, "surrogate", "left")
-        clash = seen.withColumn("_clash", (F.col("_nth") > 1) | F.coalesce("_real", F.lit(False))).select("entity", "kind", "attempt", "surrogate", "_clash")
+        order = Window.partitionBy(*within, "new").orderBy("attempt", *keys)
+        seen = current.withColumn("_nth", F.row_number().over(order)).withColumn("_low", F.lower("new")).join(real, "_low", "left")
+        clash = cut(seen.select(*keys, "attempt", "new", ((F.col("_nth") > 1) | F.coalesce("_real", F.lit(False))).alias("_clash")))
         if clash.filter("_clash").isEmpty():
             return current
         again = clash.withColumn("attempt", F.when(F.col("_clash"), F.col("attempt") + 1).otherwise(F.col("attempt")))
-        current = cut(again.withColumn("surrogate", F.when(F.col("_clash"), make).otherwise(F.col("surrogate"))).drop("_clash"))
-
-
-def surrogates(docs: DataFrame) -> DataFrame:
-    """The documents with every entity replaced, and the number of entities of each kind as ``n_<kind>``.
-
-    Only documents that have entities meet their surrogates in a join; the others pass through.
+        current = cut(again.withColumn("new", F.when(F.col("_clash"), draw).otherwise(F.col("new"))).drop("_clash"))
+
+
+def words_of(names: DataFrame) -> DataFrame:
+    """(id, i, role, core, tail, low, script) of each word of each name (id, entity); tail: a genitive ending or sign."""
+    words = F.split("entity", "[ \u00a0]")
+    out = names.select("id", F.size(words).alias("_n"), words.alias("_words")).select("id", "_n", F.posexplode("_words").alias("i", "_w"))
+    tail = F.regexp_extract("_w", "(?:['’]s)?['’-]*$", 0)
+    role = F.when((F.col("i") == 0) & F.col("_w").rlike(f"^(?:{_TITLE})\\.?$"), "title").when(F.col("_w").rlike(r"^\p{Lu}\.?$"), "initial").when(F.col("i") == F.col("_n") - 1, "surname").otherwise("given")
+    out = out.withColumn("role", role).withColumn("tail", F.when(F.col("role").isin("surname", "given"), tail).otherwise(""))
+    out = out.withColumn("core", F.substring(F.col("_w"), F.lit(1), F.length("_w") - F.length("tail")))
+    return out.select("id", "i", "role", "core", "tail", F.lower("core").alias("low"), script_of(F.col("core")).alias("script"))
+
+
+def name_words(words: DataFrame, key: str) -> DataFrame:
+    """(role, script, low, new) of each distinct given name and surname."""
+    every = words.filter(F.col("role").isin("given", "surname")).groupBy("role", "script", "low").agg(F.count("*").alias("_n")).select("role", "script", "low")
+    known = listed(key)
+    names = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    every = cut(every.withColumn("_own", F.when(F.col("role") == "given", F.element_at(names, F.col("low")))))
+    taken = every.select(F.col("low").alias("_low")).union(words.sparkSession.createDataFrame([(x,) for x in known], "_low string")).distinct().withColumn("_real", F.lit(True))
+    draw = invented(key, F.col("role"), F.col("script"), F.col("low"), F.col("attempt"))
+    made = _settle(every.filter("_own is null").select("role", "script", "low"), ["role"], draw, taken)
+    return made.select("role", "script", "low", "new").union(every.filter("_own is not null").select("role", "script", "low", "_own"))
+
+
+def initial(key: str, core: Column) -> Column:
+    """Another initial of the same alphabet."""
+    a, b = "", ""
+    for letters in CAPITALS:
+        by = 1 + int(hashlib.sha256(f"{key}\u0001{letters}".encode()).hexdigest(), 16) % (len(letters) - 1)
+        a, b = a + letters, b + letters[by:] + letters[:by]
+    return F.translate(core, a, b)
+
+
+def mapping(entities: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(id, entity, kind, surrogate) of each distinct entity, no surrogate twice and none itself an entity; and (id, role, low, new) of the words of names."""
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = entities.groupBy("entity").agg(F.count("*").alias("_n")).select("entity")
+    held = cut(distinct.repartition(parts, "entity").withColumn("kind", kind_of(F.col("entity"))).filter("kind <> 'word'").withColumn("id", F.monotonically_increasing_id()))
+    real = held.select(F.lower("entity").alias("_low"), F.lit(True).alias("_real")).distinct()
+    made = _settle(held.filter("kind <> 'name'"), [], surrogate(key, F.col("entity"), F.col("kind"), F.col("attempt")), real)
+    named = held.filter("kind = 'name'")
+    words = cut(words_of(named))
+    new = name_words(words, key)
+    shaped = F.when((F.upper("core") == F.col("core")) & (F.length("core") > 1), F.upper("new")).otherwise(F.col("new"))
+    piece = F.when(F.col("role") == "initial", initial(key, F.col("core"))).otherwise(F.coalesce(shaped, F.col("core")))
+    pieces = cut(words.join(new, ["role", "script", "low"], "left").select("id", "i", "role", "low", "new", F.concat(piece, "tail").alias("piece")))
+    whole = pieces.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "piece"))).alias("_w"))
+    gaps = F.concat(F.array(F.lit("")), F.regexp_extract_all("entity", F.lit("[ \u00a0]"), F.lit(0)))
+    both = F.arrays_zip(gaps.alias("g"), F.transform("_w", lambda w: w["piece"]).alias("p"))
+    names = named.join(whole, "id").select("id", "entity", "kind", F.array_join(F.transform(both, lambda z: F.concat(z["g"], z["p"])), "").alias("surrogate"))
+    return made.select("id", "entity", "kind", F.col("new").alias("surrogate")).union(names), pieces.filter("new is not null").select("id", "role", "low", "new")
+
+
+def surrogates(docs: DataFrame, key: str) -> DataFrame:
+    """The documents with every entity replaced, the number of entities of each kind as ``n_<kind>``, and that of bare names as ``n_bare``.
+
+    Only documents that have entities meet their surrogates, in joins; the others pass through.
     """
-    found = F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0))
-    spare = lambda name: next(n for i in range(99) if (n := f"_{name}{i}") not in docs.columns)
-    row = spare("row")
     has = F.col("text").rlike(ANY)
-    marked = docs.filter(has).withColumn(row, F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256))
-    places = marked.dropDuplicates([row]).select(F.col(row).alias("_r"), F.posexplode(found).alias("_at", "entity"))
-    places = cut(places)
-    known = mapping(places.select("entity"))
-    done = places.join(known.select("entity", "kind", "surrogate"), "entity").groupBy("_r").agg(F.sort_array(F.collect_list(F.struct("_at", "surrogate"))).alias("_new"), *(F.count_if(F.col("kind") == k).alias(f"_n_{k}") for k in KINDS))
-    parts = F.split(F.col("text"), ANY, -1)
-    text = F.array_join(F.transform(F.arrays_zip(parts.alias("p"), F.transform("_new", lambda s: s["surrogate"]).alias("s")), lambda z: F.concat(z["p"], F.coalesce(z["s"], F.lit("")))), "")
-    joined = marked.join(done, F.col(row) == F.col("_r"))
-    counts = lambda c: [c(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    keep = [F.col(c) for c in docs.columns if c != "text" and c not in {f"n_{k}" for k in KINDS}]
-    changed = joined.withColumn("text", text).select(*keep, "text", *counts(lambda k: F.col(f"_n_{k}")))
-    same = docs.filter(F.col("text").isNull() | ~has).select(*keep, "text", *counts(lambda k: F.lit(0)))
+    hits = cut(docs.filter(has).select(F.struct(*docs.columns).alias("d"), F.split("text", WIDE, -1).alias("parts"), F.regexp_extract_all("text", F.lit(WIDE), F.lit(0)).alias("found")).withColumn("row", F.monotonically_increasing_id()))
+    places = hits.select("row", F.posexplode("found").alias("at", "entity"))
+    known, words = mapping(places.select("entity"), key)
+    known = cut(known)
+    single = F.col("entity").rlike(r"^\p{Lu}\p{L}+$")
+    whole = cut(places.filter(~single).join(known, "entity").select("row", "at", "id", "kind", "surrogate"))
+    own = whole.filter("kind = 'name'").select("row", "id").distinct().join(words, "id").groupBy("row", "low").agg(F.max(F.struct("role", "new"))["new"].alias("new"))
+    shaped = F.when(F.upper("entity") == F.col("entity"), F.upper("new")).otherwise(F.col("new"))
+    bare = places.filter(single).withColumn("low", F.lower("entity")).join(own, ["row", "low"], "left")
+    bare = bare.select("row", "at", F.when(F.col("new").isNotNull(), "bare").otherwise("word").alias("kind"), F.coalesce(shaped, "entity").alias("surrogate"))
+    kinds = [*KINDS, "bare"]
+    count = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds]
+    done = whole.select("row", "at", "kind", "surrogate").union(bare).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "surrogate"))).alias("new"), *count)
+    pieces = F.arrays_zip(F.col("parts").alias("p"), F.transform("new", lambda s: s["surrogate"]).alias("s"))
+    text = F.array_join(F.transform(pieces, lambda z: F.concat(z["p"], F.coalesce(z["s"], F.lit("")))), "")
+    keep = [c for c in docs.columns if c != "text" and c not in {f"n_{k}" for k in kinds}]
+    changed = hits.join(done, "row").select(*(F.col("d")[c].alias(c) for c in keep), text.alias("text"), *(f"n_{k}" for k in kinds))
+    same = docs.filter(F.col("text").isNull() | ~has).select(*keep, "text", *(F.lit(0).cast("long").alias(f"n_{k}") for k in kinds))
     return changed.unionByName(same)
 
 
-def protect(docs: DataFrame) -> DataFrame:
+def protect(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_<kind>...) of every document."""
-    return surrogates(slim(docs))
+    return surrogates(slim(docs), key)

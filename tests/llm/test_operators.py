@@ -64,7 +64,7 @@ def test_words_and_slices(base):
 def test_empty_tables(spark):
     none = frame(spark, ["x"]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, toxic int")
-    for df in (substrings.repeats(none), substrings.remove(none), secretscan.find_secrets(none), toxicity.assess(none, labels), rnnlm.score(none), ngram_join.classes(none), ngram_join.keep_first(none), fingerprints.with_next(none), fingerprints.near_pairs(none), quality.assess(none), bpe.encode_documents(none, WORD), packing.pack(none, BYTE_RANKS), pii.surrogates(none)):
+    for df in (substrings.repeats(none), substrings.remove(none), secretscan.find_secrets(none), toxicity.assess(none, labels), rnnlm.score(none), ngram_join.classes(none), ngram_join.keep_first(none), fingerprints.with_next(none), fingerprints.near_pairs(none), quality.assess(none), bpe.encode_documents(none, WORD), packing.pack(none, BYTE_RANKS), pii.surrogates(none, "k")):
         assert df.count() == 0
 
 
@@ -484,33 +484,55 @@ def test_plan_places_everything():
 def test_surrogates(spark):
     texts = ["Mr. John Smith wrote to j.smith@mail5.example.com, +1 (743) 555-3824; Mrs. Smith did not.", "JOHN: John Smith, 4111 1111 1111 1111, 8.196.197.208, г-жа Иванова", None, "", "Version 2.0. of 4.0. in 2024"]
     docs = frame(spark, texts)
-    out = by_id(pii.surrogates(docs))
+    out = by_id(pii.surrogates(docs, "k"))
     a, b = out[0]["text"], out[1]["text"]
-    assert not re.search("Smith|743|j.smith|4111|8.196|Иванова", a + b)
+    assert not re.search("Smith|743|j.smith|4111|8.196|Иванова|JOHN", a + b)
     surname = re.search(r"Mrs\. (\w+)", a)[1]
     assert a.count(surname) == 2 and surname in b and re.search(r"г-жа [А-Яа-я]+", b)
     card = re.search(r"4\d{3} \d{4} \d{4} \d{4}", b)[0].replace(" ", "")
     assert sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(card))) % 10 == 0
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", a) and [out[i]["text"] for i in (2, 3, 4)] == texts[2:]
-    assert out[0]["n_name"] == 2 and out[0]["n_email"] == 1 and out[1]["band"] == "x"
+    assert out[0]["n_name"] == 2 and out[0]["n_email"] == 1 and out[1]["band"] == "x" and out[1]["n_bare"] == 1
+    assert by_id(pii.surrogates(docs, "k"))[0]["text"] == a != by_id(pii.surrogates(docs, "other"))[0]["text"]
 
 
 def test_names_of_many_parts(spark):
-    texts = ["John Michael Smith met Dr. Mary Jane Watson. Mr. Smith left.", "John Q. Smith and John Q. R. Smith and Dr. J. Watson", "Mr. Smith Mrs. Watson", "Anna Maria Luisa Lopez, John Smith"]
-    out = by_id(pii.surrogates(frame(spark, texts)))
-    whole = "\n".join(out[i]["text"] for i in range(4))
-    assert not re.search("Smith|Watson|Lopez|Jane|Luisa|Q\\.", whole), whole
+    texts = ["John Michael Smith met Dr. Mary Jane Watson. Mr. Smith left.", "John Q. Smith and John Q. R. Smith and Dr. J. Watson", "Mr. Smith Mrs. Watson", "Anna Maria Luisa Lopez, John Smith", "Mr. Smith's house. Then Smith left, and John Smith-Hall stayed. Smithson too.", "Mr\u00a0Smith"]
+    out = by_id(pii.surrogates(frame(spark, texts), "k"))
+    whole = "\n".join(out[i]["text"] for i in range(6))
+    assert not re.search("Smith\\b|Watson|Lopez|Jane|Luisa", whole), whole
     surname = re.search(r"Mr\. (\w+) left", out[0]["text"])[1]
     assert out[0]["text"].split(" met ")[0].split(" ")[-1] == surname and len(out[0]["text"].split(" met ")[0].split(" ")) == 3
-    assert out[1]["text"].count(surname) == 2 and [out[i]["n_name"] for i in range(4)] == [3, 3, 2, 2]
+    assert out[1]["text"].count(surname) == 2 and [out[i]["n_name"] for i in range(6)] == [3, 3, 2, 2, 2, 1]
+    assert out[4]["text"].startswith(f"Mr. {surname}'s house. Then {surname} left") and "Smithson" in out[4]["text"] and out[5]["text"] == f"Mr\u00a0{surname}"
 
 
 def test_surrogates_stay_distinct(spark):
     names = spark.createDataFrame([(f"{a}.{b}.{c}.{d}",) for a in range(1, 3) for b in range(10) for c in range(10) for d in range(1, 11)] + [(f"555-{i:03d}-{i:04d}",) for i in range(300)], "entity string")
-    m = pii.mapping(names.union(names))
+    m, _ = pii.mapping(names.union(names), "k")
     assert m.count() == names.count() == m.select("surrogate").distinct().count() and m.join(names.toDF("surrogate"), "surrogate").isEmpty()
 
 
+def test_many_names_stay_distinct_and_agree(spark):
+    """50,000 Cyrillic surnames, more than there are words of four syllables, behind two titles each, and given names before them."""
+    letters = "абвгдежзиклмнопрст"
+    rows = [f"{a}{b}{c}{d}ов" for a in letters for b in letters for c in letters for d in letters][:50_000]
+    names = spark.createDataFrame([(f"{t} {n.capitalize()}",) for n in rows for t in ("г-н", "г-жа")] + [(f"{g} {n.capitalize()}",) for n in rows[:300] for g in ("Иван", "Анна", "г-н Иван")], "entity string").repartition(4)
+    m = {r["entity"]: r["surrogate"] for r in pii.mapping(names, "k")[0].collect()}
+    assert len(m) == len(set(m.values())) == 2 * len(rows) + 900
+    for n in rows[:2000]:
+        n = n.capitalize()
+        assert m[f"г-н {n}"].split(" ")[1] == m[f"г-жа {n}"].split(" ")[1] != n
+    assert all(m[f"г-н Иван {n.capitalize()}"] == "г-н " + m[f"Иван {n.capitalize()}"] for n in rows[:300])
+    assert {m[f"Анна {n.capitalize()}"].split(" ")[0] for n in rows[:300]} <= set(pii.GIVEN["cyrillic", "f"].split()) - {"Анна"}
+
+
+def test_long_texts_for_surrogates(spark):
+    texts = ["x@" + "a." * 4000 + "com", "x@" + "a." * 250_000 + "com", "Mr " + "Aa " * 100_000, "1" * 500_000, "Aa." * 200_000, "x@a." * 100_000, "John " * 100_000, "4111 " * 50_000]
+    out = by_id(pii.surrogates(frame(spark, texts), "k"))
+    assert len(out) == len(texts) and out[3]["text"] == texts[3]
+
+
 def test_pipeline_against_its_stages(spark, sf_dir, tmp_path, base):
     import corpus_pipeline as cp
 
