@@ -3,8 +3,8 @@ an R-tree, summed coordinate minima bound the overlap, and surviving pairs are v
 
 Before any tree is built, texts are brought together losslessly. Sets of a similar size that link differ in at most d shingles,
 so of d + 1 + e parts that a hash cuts them into, e + 1 are equal. Parts of fewer than two shingles say little: a set that has
-no more than e of them leaves them out, and still shares another part with each set that it links with. Equal parts are found
-by one aggregate and a join. Texts that are connected by equal parts form a cluster, outside of which none of them has a link.
+no more than e of them leaves them out, and still shares another part with each set that it links with. Equal parts are found by
+aggregating them in each task and then in one exchange. Texts that are connected by equal parts form a cluster, outside of which none of them has a link.
 
 Trees are built within clusters, in blocks of bounded size. Within a block, sets already connected are not compared again, and
 what is returned is each set's component, not its pairs. A cluster of several blocks goes on through representatives: the sets
@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import by_slice, cut, slim
@@ -36,6 +36,8 @@ SHINGLE, PERCENT = 3, 90
 GROUPS, LEAF = 64, 16
 #: Bytes of a block's sets, about, what a set costs besides its shingles, and representatives of a block.
 BLOCK, SET_BYTES, HEADS = 12 << 20, 4096, 16
+#: Part hashes that a task aggregates at a time.
+BATCH = 400_000
 
 
 def size_classes(percent: int, top: int = 1 << 40) -> list[int]:
@@ -117,27 +119,67 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(row, doc_id, key, n_shingles, h1, h2, sigs) of every row; sigs: hashes of its set's parts, once for each task that has the set."""
+    """(row, doc_id, key, n_shingles, h1, h2) of every row, and with some rows the hashes of sets' parts.
+
+    Those stand together for ``BATCH`` hashes at a time: each once (sigs), with the first row of the batch that has it (row less
+    ``back``), and the edges (a, b) from that row to the others that have it. So a hash that very many sets share is aggregated
+    before it is shuffled. Sets that the task has seen before have no hashes.
+    """
     known = schemes(percent)
 
     def run(batches):
+        from pyspark import TaskContext
+
         seen: set[tuple[int, int]] = set()
+        row = TaskContext.get().partitionId() << 33
+        held, size = [], 0
+        none = pa.array([], pa.int64())
+
+        def rows(part, sizes, h1, h2, ids, at_end):
+            """The rows of a part; the last one has the batch's hashes, where it ends one."""
+            m = len(part)
+            out = [pa.array(ids), part.column("doc_id"), part.column("key"), pa.array(sizes), pa.array(h1), pa.array(h2)]
+            for values in at_end or [none] * 4:
+                ends = np.zeros(m + 1, np.int32)
+                ends[-1] = len(values)
+                out.append(pa.ListArray.from_arrays(pa.array(ends), values))
+            return pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "key", "n_shingles", "h1", "h2", "sigs", "back", "a", "b"])
+
+        def batch(last: int):
+            """Each hash with its first row, and the edges from it."""
+            sig, own = (np.concatenate(x) for x in zip(*held))
+            o = np.lexsort((own, sig))
+            sig, own = sig[o], own[o]
+            new = np.append(True, sig[1:] != sig[:-1]) if len(sig) else np.zeros(0, bool)
+            least = own[np.flatnonzero(new)][np.cumsum(new) - 1] if len(sig) else own
+            more = least != own
+            pairs = np.unique(np.stack([least[more], own[more]], axis=1), axis=0) if more.any() else np.zeros((0, 2), np.int64)
+            return [pa.array(sig[new]), pa.array(last - own[new]), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
+
+        waiting = None
         for part in slices(batches):
+            if waiting is not None:
+                yield rows(*waiting, None)
             h, at, h1, h2 = text_sets(part.column("text"), k)
             fresh = np.zeros(len(part), bool)
             for i, s in enumerate(zip(h1.tolist(), h2.tolist())):
                 if at[i + 1] > at[i] and s not in seen:
                     seen.add(s)
                     fresh[i] = True
-            size = np.diff(at)
-            sig, owner = part_hashes(h[np.repeat(fresh, size)], size[fresh], known)
-            ends = np.zeros(len(part) + 1, np.int32)
-            ends[1:] = np.cumsum(np.bincount(np.flatnonzero(fresh)[owner], minlength=len(part)))
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(sig))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(size.astype(np.int64)), pa.array(h1), pa.array(h2), lists], names=["doc_id", "key", "n_shingles", "h1", "h2", "sigs"])
-
-    out = texts(docs).mapInArrow(run, "doc_id long, key long, n_shingles long, h1 long, h2 long, sigs array<long>")
-    return out.withColumn("row", F.monotonically_increasing_id())
+            sizes = np.diff(at).astype(np.int64)
+            sig, owner = part_hashes(h[np.repeat(fresh, sizes)], sizes[fresh], known)
+            ids = row + np.arange(len(part))
+            row += len(part)
+            held.append((sig, ids[np.flatnonzero(fresh)[owner]]))
+            size += len(sig)
+            waiting = (part, sizes, h1, h2, ids)
+            if size >= BATCH:
+                yield rows(*waiting, batch(row - 1))
+                waiting, held, size = None, [], 0
+        if waiting is not None:
+            yield rows(*waiting, batch(row - 1))
+
+    return texts(docs).mapInArrow(run, "row long, doc_id long, key long, n_shingles long, h1 long, h2 long, sigs array<long>, back array<long>, a array<long>, b array<long>")
 
 
 class CountTree:
@@ -297,13 +339,15 @@ def verified(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> Dat
 def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Every row with its digest, and for each digest its component's smallest id and the key of the row that stands for it."""
     held = cut(signatures(docs, k, percent))
-    parts = held.filter("size(sigs) > 0").select("row", F.explode("sigs").alias("sig"))
-    shared = parts.groupBy("sig").agg(F.min("row").alias("a"), F.max("row").alias("_last")).filter("a < _last").select("sig", "a")
-    clusters = components(parts.join(shared, "sig").select("a", F.col("row").alias("b")))
+    parts = held.filter("size(sigs) > 0").select("row", F.explode(F.arrays_zip("sigs", "back")).alias("_s")).select(F.col("_s.sigs").alias("sig"), (F.col("row") - F.col("_s.back")).alias("b"))
+    among = parts.withColumn("a", F.min("b").over(Window.partitionBy("sig"))).filter("a <> b").select("a", "b")
+    within = held.filter("size(a) > 0").select(F.explode(F.arrays_zip("a", "b")).alias("_s")).select("_s.a", "_s.b")
+    clusters = components(among.union(within))
+    rows = held.select("row", "doc_id", "key", "n_shingles", "h1", "h2")
     kinds = F.array(*map(F.lit, size_classes(percent)))
-    alike = held.join(clusters, F.col("row") == F.col("node")).groupBy("h1", "h2").agg(F.min("row").alias("row"), F.min("label").alias("cluster"), F.min("n_shingles").alias("n_shingles"))
+    alike = cut(rows.join(clusters, F.col("row") == F.col("node")).groupBy("h1", "h2").agg(F.min_by("key", "row").alias("key"), F.min("row").alias("row"), F.min("label").alias("cluster"), F.min("n_shingles").alias("n_shingles")))
     several = alike.groupBy("cluster").agg(F.count("*").alias("_n")).filter("_n > 1").select("cluster")
-    members = cut(alike.join(several, "cluster").join(held.select("row", "key"), "row"))
+    members = alike.join(several, "cluster")
     wanted = members.withColumn("kind", F.size(F.filter(kinds, lambda x: x <= F.col("n_shingles"))).cast("long"))
 
     def kernel(part):
@@ -316,12 +360,12 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
 
     sets = by_slice(texts(docs).select("key", "text").join(wanted, "key"), kernel, "row long, cluster long, kind long, n_shingles long, own binary")
     joined = components(verified(cut(sets.dropDuplicates(["row"])), percent))
-    digests = held.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    digests = rows.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("row").alias("row"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
     digests = digests.join(joined, F.col("row") == F.col("node"), "left").select("h1", "h2", "first", F.coalesce("label", "row").alias("label"))
     digests = cut(digests)
     least = digests.groupBy("label").agg(F.min("first").alias("first"), F.count("*").alias("_sets")).select("label", "first")
     named = digests.select("h1", "h2", "label").join(least, "label").select("h1", "h2", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key"))
-    return held.select("doc_id", "key", "n_shingles", "h1", "h2"), named
+    return rows, named
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

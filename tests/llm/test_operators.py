@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, fingerprints, ngram_join, packing, pii, quality, rnnlm, secretscan, substrings, toxicity
+from graphloom.llm import bpe, components, fingerprints, ngram_join, packing, pii, quality, rnnlm, secretscan, substrings, toxicity
 from graphloom.llm._text import Words, slices
 
 P = pytest.importorskip("public_tokenizers")
@@ -326,6 +326,36 @@ def test_ngram_components(spark, base, monkeypatch):
     assert set(by_id(ngram_join.keep_first(frame(spark, texts)))) == {i for i in sets if find(i) == i}
 
 
+@pytest.mark.parametrize("last", [0, 10**6])
+def test_components_of_odd_graphs(spark, last):
+    rng = random.Random(1)
+    path = [(i, i + 1) for i in range(300)]
+    star = [(1000, 1000 + i) for i in range(1, 400)] + [(1399, 1500), (1500, 1501)]
+    tree = [(2000 + (i - 1) // 2, 2000 + i) for i in range(1, 127)]
+    some = [tuple(sorted(rng.sample(range(3000, 3400), 2))) for _ in range(300)]
+    edges = path + star + tree + some + some[:50] + [(5000, 5000)]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = spark_components(spark, edges, last)
+    assert set(got) == set(root)
+    assert {frozenset(n for n in got if got[n] == x) for x in set(got.values())} == {frozenset(n for n in root if find(n) == x) for x in {find(n) for n in root}}
+
+
+def spark_components(spark, edges, last):
+    rows = components.components(spark.createDataFrame(edges, "a long, b long"), last=last).collect()
+    assert len(rows) == len({r["node"] for r in rows})
+    return {r["node"]: r["label"] for r in rows}
+
+
 def test_parts_are_enough():
     for bound in (2, 10, 40, 500):
         n, spare = ngram_join.parts_of(90, bound)
