@@ -1,14 +1,22 @@
 """Secret scans: base patterns, and an assignment-aware lexer that follows names, literals and constants.
 
 ``scan(text)`` gives spans ``(start, end, kind)`` in code points, end exclusive. The three base kinds are the leftmost
-non-overlapping matches of fixed patterns. The lexer reads source and configuration syntax (``name = "literal"``,
-``"name": "literal"``, ``export NAME=value``, ``<add key="name" value="literal"/>``, ``--name value``, ``setenv("NAME",
-"literal")``) into name-literal pairs, carries constants from name to name and through ``+`` joins, and scores each
-literal by the sensitivity of every name that it reaches. Literals over the threshold and not inside a base match become
-spans of kind ``lexed``, at the literal's own place.
-
-Null and empty texts have no spans; very long texts are scanned whole; rows are handled one by one, so ties, repeated
-rows and empty tables need no special care, and other columns are ignored.
+non-overlapping matches of fixed patterns.
+
+The lexer goes through a text once, token by token: strings (with prefixes, triple quotes and escapes), comments, names and paths
+of names, operators, brackets. It reads ``name = "literal"`` in source and shell syntax, with type annotations, ``"name": "literal"``
+and ``name: literal`` (also YAML blocks of several lines and values behind ``<<`` markers), ``name => literal``, keyword arguments,
+``<add key="name" value="literal"/>``, ``<name>literal</name>``, ``--name value``, ``setenv("NAME", "literal")``, and the pairs of
+connection strings inside a literal. Literals that are joined by ``+``, ``.``, ``..``, ``||``, ``&`` or that just follow each other
+are one value. Constants go from name to name; a name is looked up in the scopes that its place is in, innermost first: braces open
+a scope, and so does a function head that ends in a colon, until a line of no greater indentation. What stands in a comment is read,
+but nothing is carried out of it. Names inside strings or prose are no targets.
+
+Each literal is scored by the sensitivity of every name that it reaches. Literals over the threshold and not inside a base match
+become spans of kind ``lexed``, at the literal's own place.
+
+Null and empty texts have no spans; very long texts are scanned whole, in time proportional to their length; rows are handled one
+by one, so ties, repeated rows and empty tables need no special care, and other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +24,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from functools import lru_cache
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -29,16 +40,32 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run of 16 or more
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_NAME = r"[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*|\[(?:\"[^\"\n]{1,80}\"|'[^'\n]{1,80}')\])*"
-_LIT = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"
-_PAIR = re.compile(
-    rf"""(?:(?P<q>["'])(?P<qname>[^"'\n]{{1,80}})(?P=q)|(?<![\w$-])(?P<name>{_NAME}))[ \t]*(?::[ \t]*[A-Za-z][\w<>\[\]]*[ \t]*(?==[^=]))?(?P<op>:=|=>|\+=|=(?!=)|:(?![:/]))[ \t]*(?P<rhs>(?:{_LIT}|[^\s"'`,;{{}}()<>]+)(?:[ \t]*[+.][ \t]*(?:{_LIT}|{_NAME}))*)"""
+#: Only texts with one of these can have a name that says that its value is secret.
+_STEMS = re.compile(r"pass|pwd|secret|token|key|cred|bearer|auth|signature|dsn|jwt|otp|salt|cookie|session")
+_TOKEN = re.compile(
+    r"""(?P<space>[ \t\r]++)|(?P<line>\n)
+    |(?P<comment>//|/\*|\#|<!--|\*/|-->)
+    |(?P<string>(?<![A-Za-z0-9_])(?:[fFbBrRuU]{1,2})?(?:\"{3}(?:[^"\\]|\\.|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3})
+      |(?:(?<![A-Za-z0-9_])[fFbBrRuU]{1,2})?"(?:[^"\\\n]|\\.)*+"|(?:(?<![A-Za-z0-9_])[fFbBrRuU]{1,2})?(?<![A-Za-z0-9_])'(?:[^'\\\n]|\\.)*+'|`[^`]*+`)
+    |(?P<flag>(?<!\S)--?[A-Za-z][\w-]*+(?==|[ \t]))
+    |(?P<tag><(?P<element>[A-Za-z_][\w.:-]*+)(?:[ \t][^<>\n]*+)?>(?P<content>[^<>\n]++)</(?P=element)>)
+    |(?P<name>[A-Za-z_$][\w$]*+(?:-[A-Za-z_$][\w$]*+)*+)
+    |(?P<op>:=|=>|->|::|\+=|===|==|!=|<=|>=|\|\||<<-?|\.\.|[=:+.,;&|()\[\]{}<>])
+    |(?P<other>.)""",
+    re.X | re.S,
 )
-_CALL = re.compile(rf"""(?:set|put|setenv|putenv|define|setProperty|add|header)\w*[ \t]*\([ \t]*["'](?P<name>[^"'\n]{{1,80}})["'][ \t]*,[ \t]*(?P<rhs>{_LIT})""")
-_ATTR = re.compile(r"""(?:key|name)[ \t]*=[ \t]*["'](?P<name>[^"'\n]{1,80})["'][ \t]+value[ \t]*=[ \t]*(?P<rhs>"[^"\n]*"|'[^'\n]*')""")
-_FLAG = re.compile(r"""(?<!\S)--?(?P<name>[A-Za-z][\w-]{2,60})[ \t]+(?P<rhs>"[^"\n]*"|'[^'\n]*'|[^\s-]\S*)""")
-_DASH = re.compile(r"-(?<!\S-)")  # one that starts a flag
-_PART = re.compile(rf"(?P<lit>{_LIT})|(?P<ref>{_NAME})|(?P<raw>[^\s+]+)")
+_RAW = re.compile(r"[^\s\"'`,;{}()<>]++")
+_BLOCK = re.compile(r"[|>][+-]?[ \t]*\n")
+_MARKER = re.compile(r"<<-?[ \t]*[\"']?([A-Za-z_]\w*+)[\"']?[^\n]*+\n")
+_TYPE = re.compile(r"[ \t]*[A-Za-z_][\w.]*+(?:[<\[][\w ,.|]*+[>\]])?[?*&]?[ \t]*(?==[^=])")
+_PATH = re.compile(r"[A-Za-z_$][\w$]*+(?:(?:\.|->|::)[A-Za-z_$][\w$]*+)*+")
+_SETTER = re.compile(r"(?:set|put|setenv|putenv|define|setproperty|add|header|export)\w*", re.I)
+_QUOTED = re.compile(r"(?:[A-Za-z]{0,2})(\"{3}|'{3}|[\"'`])")
+_WITHIN = re.compile(r"(?:^|[;&?,\s])([A-Za-z_][\w .-]{0,40}?)[ ]?=[ ]?([^;&,\s\"']+)")
+_SCHEME = re.compile(r"(?i:bearer|basic|token) +(?=\S+$)")
+#: Unquoted words of prose.
+_PLAIN = re.compile(r"[^\W\d_]?[^\W\d_A-Z]{0,23}[.!?]?")
+_HEAD = re.compile(r"[ \t]*(?:async[ \t]+)?def[ \t]")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 #: How strongly a word in a name says that its value is secret.
@@ -49,10 +76,11 @@ SENSITIVE = {
 #: Words that make a following "key" secret.
 _KEYED = {"api", "private", "access", "secret", "signing", "encryption", "master", "service", "client", "auth", "account", "storage", "deploy", "ssh"}
 _BENIGN = {"type", "name", "file", "path", "url", "field", "label", "length", "policy", "hint", "expiry", "expires", "ttl", "count", "endpoint", "prefix", "header", "id"}
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|<.*>|\$\{.*|\{\{.*|%\w+%?|your.*|change.?me.*|example.*|dummy.*|test|todo|none|null|nil|true|false|undefined|password|secret|token|redacted|placeholder.*|process\.env.*|os\.environ.*|env\..*|getenv.*)$")
+_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|<.*>|\$\{.*|\{\{.*|%\w+%?|your.*|change.?me.*|example.*|dummy.*|test|todo|none|null|nil|true|false|undefined|password|secret|token|redacted|placeholder.*|process\.env.*|os\.environ.*|env\..*|getenv.*|\$\(.*|[\d.,:/ -]{1,12}|\d{4}-\d\d-\d\d.{0,16}|[a-z][a-z0-9+.-]*://[^\s@]*)$")
 THRESHOLD = 0.6
 
 
+@lru_cache(100_000)
 def name_weight(name: str) -> float:
     """Sensitivity of an identifier, 0 to 1."""
     words = [w.lower() for w in _WORDS.findall(name)]
@@ -114,41 +142,269 @@ def literal_weight(value: str) -> float:
     return Value().add(0, len(value), value).weight()
 
 
+class Lexer:
+    """One pass over a text: assignments in order, with what each name holds in its scope."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+        self.scopes: list[tuple[int | None, dict[str, Value]]] = [(None, {})]  # indentation of a function head, None for braces
+        self.values: list[tuple[float, Value]] = []
+        self.last: tuple[str, str, int] | None = None  # name, literal and end of the last pair
+
+    def find(self, name: str) -> Value | None:
+        for _, held in reversed(self.scopes):
+            if name in held:
+                return held[name]
+        return None
+
+    def settle(self, path: str, value: Value, comment: bool = False, name: str = "") -> None:
+        if not comment:
+            self.scopes[-1][1][path] = value
+        self.values.append((max(name_weight(path), name_weight(name)), value))
+
+    def literal(self, m: re.Match, value: Value) -> None:
+        """Adds a string token's literal; what it holds as a connection string are pairs of their own."""
+        q = _QUOTED.match(m[0])
+        a, b = m.start() + q.end(), m.end() - len(q[1])
+        body = self.text[a:b]
+        if scheme := _SCHEME.match(body):
+            value.add(a + scheme.end(), b, body[scheme.end() :])
+        else:
+            value.add(a, b, body)
+        if "=" in body and len(body) >= 12:
+            for k in _WITHIN.finditer(body):
+                if name_weight(k[1]) >= 0.3 and not _PLAIN.fullmatch(k[2]):
+                    self.values.append((name_weight(k[1]), Value().add(a + k.start(2), a + k.end(2), k[2])))
+
+    def quoted(self, m: re.Match) -> str:
+        q = _QUOTED.match(m[0])
+        return m[0][q.end() : len(m[0]) - len(q[1])]
+
+    def block(self, m: re.Match) -> Value:
+        """The lines behind a YAML block sign that are indented further than the line that it stands in."""
+        start = self.text.rfind("\n", 0, m.start()) + 1
+        own = re.compile(r"[ \t]*").match(self.text, start).end() - start
+        return self.lines(m.end(), lambda line: line.strip() and len(line) - len(line.lstrip(" \t")) <= own)
+
+    def lines(self, at: int, ends) -> Value:
+        value = Value()
+        while at < len(self.text):
+            to = self.text.find("\n", at)
+            to = len(self.text) if to < 0 else to
+            line = self.text[at:to]
+            if ends(line):
+                break
+            body = line.strip()
+            if body:
+                a = at + line.index(body)
+                value.add(a, a + len(body), body)
+            at = to + 1
+        self.at = min(at, len(self.text))
+        return value
+
+    def value(self, op: str) -> tuple[Value, bool]:
+        """What stands on the right of an assignment, and whether it is more than a name; ``self.at`` is behind it."""
+        value, text, deep, empty = Value(), self.text, 0, True
+        while True:
+            m = _TOKEN.match(text, self.at)
+            if not m:
+                return value, not empty
+            kind = m.lastgroup if m.lastgroup not in ("element", "content") else "tag"
+            if kind == "space" or kind == "line" and deep and empty is not None and (empty or deep):
+                self.at = m.end()
+                continue
+            if kind == "string":
+                self.literal(m, value)
+                self.at, empty = m.end(), False
+            elif kind == "op" and m[0] == "(" and empty:
+                self.at, deep = m.end(), deep + 1
+                continue
+            elif empty and op in (":", "=") and (b := _BLOCK.match(text, self.at)):
+                return self.block(b), True
+            elif empty and (b := _MARKER.match(text, self.at)):
+                return self.lines(b.end(), lambda line, end=b[1]: line.strip() == end), True
+            elif (raw := _RAW.match(text, self.at)) and kind not in ("comment", "flag"):
+                path = _PATH.match(text, self.at)
+                name = path[0] if path else None
+                held = self.find(name) if name else None
+                after = text[path.end() : path.end() + 1] if path else ""
+                if held is not None and (path.end() == raw.end() or after in "+.|&"):
+                    value.join(held)
+                    self.at = path.end()
+                elif path and after == "(":  # a call: its arguments are read as assignments of their own
+                    self.at = path.end()
+                    return value, True
+                elif not empty:
+                    return value, True
+                else:
+                    pieces = raw[0].split("+")
+                    parts = [self.find(p) for p in pieces]
+                    if len(pieces) > 1 and all(p is not None for p in parts):
+                        for p in parts:
+                            value.join(p)
+                    elif not _PLAIN.fullmatch(raw[0]):
+                        value.add(raw.start(), raw.end(), raw[0])
+                    self.at = raw.end()
+                empty = False
+            else:
+                return value, not empty
+            # what joins on: an operator, or a string that just follows
+            while (m := _TOKEN.match(text, self.at)) and (m.lastgroup == "space" or deep and m.lastgroup == "line"):
+                self.at = m.end()
+            if not m:
+                return value, True
+            if m.lastgroup == "op" and m[0] in ("+", ".", "..", "||", "&"):
+                self.at = m.end()
+                while (m := _TOKEN.match(text, self.at)) and m.lastgroup in ("space", "line"):
+                    self.at = m.end()
+            elif m.lastgroup == "op" and m[0] == ")" and deep:
+                self.at, deep = m.end(), deep - 1
+                return value, True
+            elif m.lastgroup != "string":
+                return value, True
+
+    def run(self) -> list[tuple[float, Value]]:
+        text, n = self.text, len(self.text)
+        target: list[str] = []  # a path of names so far
+        joint = False  # whether a sign that continues it came last
+        call: list[str] = []
+        comment = 0  # 1: to the line's end, 2: to its own end
+        line = 0
+        if _HEAD.match(text):
+            self.scopes.append((len(text) - len(text.lstrip(" \t")), {}))
+        while self.at < n:
+            m = _TOKEN.match(text, self.at)
+            kind = m.lastgroup if m.lastgroup not in ("element", "content") else "tag"
+            start, self.at = self.at, m.end()
+            if kind == "space":
+                if target and not joint and text[self.at : self.at + 1] not in ":=+-<[":
+                    target = []
+                continue
+            if kind == "line":
+                target, joint, line = [], False, self.at
+                comment = 0 if comment == 1 else comment
+                if len(self.scopes) > 1 and self.scopes[-1][0] is not None:
+                    rest = text[line : line + 400]
+                    bare = rest.lstrip(" \t")
+                    if bare and bare[0] != "\n":
+                        while len(self.scopes) > 1 and self.scopes[-1][0] is not None and len(rest) - len(bare) <= self.scopes[-1][0]:
+                            self.scopes.pop()
+                if (head := _HEAD.match(text, line)) and not comment:
+                    self.scopes.append((len(head[0]) - len(head[0].lstrip(" \t")), {}))
+                continue
+            if kind == "comment":
+                target = []
+                comment = {"/*": 2, "<!--": 2, "*/": 0, "-->": 0}.get(m[0], comment or 1)
+                if m[0] == "//" and text[start - 1 : start] == ":":
+                    comment = 0  # an address
+                continue
+            if kind == "tag":
+                value = Value().add(m.start("content"), m.end("content"), m["content"])
+                self.settle(m["element"], value, bool(comment))
+                continue
+            if kind == "flag":
+                name = m[0].lstrip("-")
+                self.at += text[self.at : self.at + 1] in ("=", " ", "\t")
+                while text[self.at : self.at + 1] in (" ", "\t"):
+                    self.at += 1
+                if name_weight(name) >= 0.3 and text[self.at : self.at + 1] not in ("-", "", "\n"):
+                    value = Value()
+                    s = _TOKEN.match(text, self.at)
+                    if s.lastgroup == "string":
+                        self.literal(s, value)
+                        self.at = s.end()
+                    elif raw := _RAW.match(text, self.at):
+                        if not _PLAIN.fullmatch(raw[0]):
+                            value.add(raw.start(), raw.end(), raw[0])
+                        self.at = raw.end()
+                    self.settle(name, value, True)
+                continue
+            if kind == "name":
+                if not joint:
+                    target = []
+                target.append(m[0])
+                joint = False
+                continue
+            if kind == "string":
+                body = self.quoted(m) if len(m[0]) < 200 else ""
+                if joint and target and target[-1] == "[":
+                    target.append(body)
+                    joint = False
+                else:
+                    target = [] if not body.strip() or "\n" in body else [body]
+                    if call and text[self.at : self.at + 20].lstrip(" \t").startswith(",") and _SETTER.fullmatch(call[-1]) and call[-1] != "":
+                        comma = text.index(",", self.at)
+                        follows = _TOKEN.match(text, comma + 1)
+                        while follows and follows.lastgroup in ("space", "line"):
+                            follows = _TOKEN.match(text, follows.end())
+                        if follows and follows.lastgroup == "string":
+                            self.at = follows.end()
+                            value = Value()
+                            self.literal(follows, value)
+                            self.settle(body, value, bool(comment))
+                            target = []
+                    self._plain(m)
+                continue
+            if kind == "op":
+                op = m[0]
+                if op in (".", "->", "::", "[") and target:
+                    target.append("[" if op == "[" else ".")
+                    joint = True
+                    continue
+                if op == "]" and len(target) > 1 and target[-2] == "[":
+                    target.append("]")
+                    continue
+                if op in ("=", ":=", "=>", ":", "+=") and target and not joint:
+                    if op == ":" and text[self.at : self.at + 2] == "//":
+                        target = []
+                        continue
+                    path = "".join(target)
+                    if op == ":" and (t := _TYPE.match(text, self.at)):
+                        self.at = t.end() + 1
+                    before = self.at
+                    value, any_ = self.value(op)
+                    if not any_:
+                        self.at = max(before, self.at)
+                    if op == "+=" and (held := self.find(path)) is not None:
+                        own, value = value, Value()
+                        value.join(held)
+                        value.join(own)
+                    name = target[-2] if target[-1] == "]" else path
+                    self.settle(path, value, bool(comment), name)
+                    if name.lower() == "value" and self.last and self.last[0] in ("key", "name") and not text[self.last[2] : start].replace(name, "", 1).strip():
+                        self.values.append((name_weight(self.last[1]), value))
+                    self.last = (name.lower(), text[value.literals[0][0] : value.literals[0][1]] if value.literals else text[before : self.at].strip(" \t\"'"), self.at)
+                    target = []
+                    continue
+                if op == "(":
+                    call.append(target[-1] if target else "")
+                elif op == ")" and call:
+                    call.pop()
+                elif op == "{":
+                    self.scopes.append((None, {}))
+                elif op == "}":
+                    while len(self.scopes) > 1:
+                        if self.scopes.pop()[0] is None:
+                            break
+            target, joint = [], False
+        return self.values
+
+    def _plain(self, m: re.Match) -> None:
+        """Pairs of a connection string that nothing is assigned."""
+        if "=" in m[0] and len(m[0]) >= 14:
+            self.literal(m, Value())
+
+
 def lex(text: str) -> list[tuple[int, int]]:
     """Spans of literals that sensitive names receive, directly or through constants, in order."""
-    found: list[tuple[int, str, int, str]] = []
-    for rx in (_PAIR, _CALL, _ATTR, _FLAG):
-        if rx is _PAIR and "=" not in text and ":" not in text or rx is _ATTR and "=" not in text:
-            continue
-        if rx is _FLAG and not _DASH.search(text):
-            continue
-        if rx is _CALL and ("(" not in text or '"' not in text and "'" not in text):
-            continue
-        for m in rx.finditer(text):
-            g = m.groupdict()
-            found.append((m.start(), g.get("qname") or g["name"], m.start("rhs"), g["rhs"]))
-    found.sort()
-    held: dict[str, Value] = {}
-    values: list[Value] = []
+    if not _STEMS.search(text.lower()):
+        return []
     score: dict[tuple[int, int], float] = {}
-    for _, name, at, rhs in found:
-        value = Value()
-        joined = False
-        for m in _PART.finditer(rhs):
-            a, b = at + m.start(), at + m.end()
-            if m["lit"]:
-                value.add(a + 1, b - 1, m["lit"][1:-1])
-            elif m["ref"] and m["ref"] in held:
-                value.join(held[m["ref"]])
-                joined = True
-            elif not m["ref"] or not joined and len(rhs) == len(m[0]):
-                value.add(a, b, m[0])
-        held[name] = value
-        values.append(value)
-        weight = name_weight(name)
+    values = Lexer(text).run()
+    for weight, value in values:
         if weight >= 0.3 and (own := value.weight()) > 0:
-            value.total = weight * (0.35 + 0.65 * own)
-    for value in reversed(values):  # a value's parts were there before it
+            value.total = max(value.total, weight * (0.35 + 0.65 * own))
+    for _, value in reversed(values):  # a value's parts were there before it
         for part in value.parts:
             part.total = max(part.total, value.total)
         for k in value.literals:
@@ -170,7 +426,9 @@ def base(text: str) -> list[tuple[int, int, str]]:
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans, each by start and then kind as listed."""
     own = base(text)
-    more = [(a, b, "lexed") for a, b in lex(text) if not any(s < b and a < e for s, e, _ in own)]
+    starts, ends = [s for s, _, _ in own], list(accumulate((e for _, e, _ in own), max))
+    # of the base spans that start before a literal's end, one reaches into it if the farthest one does
+    more = [(a, b, "lexed") for a, b in lex(text) if not (k := bisect_left(starts, b)) or ends[k - 1] <= a]
     return own, sorted(own + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else own
 
 
