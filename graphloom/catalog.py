@@ -115,7 +115,7 @@ def local_reciprocity_rank(spark, d):
     return reciprocity.local_reciprocity(busy_trade(spark, d), normalize="rank")
 
 
-@query(f"WITH {PART_PAIRS}, p AS (SELECT least(src, dst) a, greatest(src, dst) b FROM pairs), t AS (SELECT x.a a, x.b b, y.b c FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b) SELECT a, b, c FROM t")
+@query(f"WITH {PART_PAIRS}, p AS MATERIALIZED (SELECT least(src, dst) a, greatest(src, dst) b FROM pairs), w AS MATERIALIZED (SELECT x.a a, x.b b, y.b c FROM p x JOIN p y ON x.b = y.a) SELECT w.a, w.b, w.c FROM w JOIN p ON p.a = w.a AND p.b = w.c")
 def triangles(spark, d):
     return clustering.triangles(part_pairs(spark, d))
 
@@ -524,3 +524,258 @@ def point_conditions(spark, d):
 @query()
 def sign_bins(spark, d):
     return summary.sign_bins(QUERIES["degeneration_corpus"](spark, d)).groupBy("sign_bin").agg(F.count("*").alias("n"))
+
+
+def _sum_of(classes: str) -> str:
+    return f"WITH {BUSY}, {NATIONS}, {_CODES.format(t='busy')}, {_CENSUS} SELECT CAST(count(*) AS DOUBLE) total FROM v WHERE triad IN ({classes})"
+
+
+@query(_sum_of("'003', '102', '021D', '021U', '030T', '120D', '120U', '300'"))
+def ranked_clusters(spark, d):
+    return triads.weighted_census(triads.triad_census(busy_trade(spark, d), nations(spark, d)), "RC")
+
+
+@query(_sum_of("'003', '012', '102', '021D', '021U', '030T', '120D', '120U', '210', '300'"))
+def transitivity_weighted(spark, d):
+    return triads.weighted_census(triads.triad_census(busy_trade(spark, d), nations(spark, d)), "transitivity")
+
+
+def _dijkstra_sql(cost: str) -> str:
+    """Least costs, the arcs on least-cost paths from each source, and the numbers of such paths, in as many rounds as a path has arcs."""
+    out = [f"arcs AS MATERIALIZED (SELECT src s, dst t, {cost} c FROM busy)", "m0 AS MATERIALIZED (SELECT id s, id t, CAST(0 AS DOUBLE) d FROM nodes)"]
+    for k in range(1, 13):
+        out.append(f"m{k} AS MATERIALIZED (SELECT s, t, min(d) d FROM (SELECT * FROM m{k - 1} UNION ALL SELECT x.s, a.t, x.d + a.c FROM m{k - 1} x JOIN arcs a ON x.t = a.s) GROUP BY 1, 2)")
+    out.append("dag AS MATERIALIZED (SELECT x.s r, a.s u, a.t v FROM m12 x JOIN arcs a ON a.s = x.t JOIN m12 y ON y.s = x.s AND y.t = a.t WHERE abs(x.d + a.c - y.d) <= 1e-12 * greatest(1, y.d))")
+    out.append("p0 AS MATERIALIZED (SELECT id r, id t, CAST(1 AS DOUBLE) g FROM nodes)")
+    for k in range(1, 13):
+        out.append(f"p{k} AS MATERIALIZED (SELECT dag.r, v t, sum(g) g FROM p{k - 1} JOIN dag ON dag.r = p{k - 1}.r AND u = p{k - 1}.t GROUP BY 1, 2)")
+    out.append("sigma AS MATERIALIZED (SELECT r s, t, sum(g) g FROM (" + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(13)) + ") GROUP BY 1, 2)")
+    return ", ".join(out) + ", apd AS MATERIALIZED (SELECT s, t, d, g FROM m12 JOIN sigma USING (s, t))"
+
+
+_TIES, _FAR = (f"WITH {BUSY}, {NATIONS}, {_dijkstra_sql(cost)}" for cost in ("1 / weight", "weight"))
+
+
+@query(f"{_TIES}, o AS (SELECT s id, sum(1 / d) x FROM apd WHERE s <> t GROUP BY 1) SELECT id, {r('coalesce(o.x, 0) / ((SELECT count(*) FROM nodes) - 1)', 'closeness')} FROM nodes LEFT JOIN o USING (id)")
+def closeness_tie_strength(spark, d):
+    return paths.closeness(busy_trade(spark, d), nations(spark, d), direction="out", interpretation="tie_strength")
+
+
+def _between_sql(paths_: str) -> str:
+    return f"{paths_}, b AS (SELECT x.t id, sum(x.g * y.g / z.g) b FROM apd x JOIN apd y ON x.t = y.s AND x.s <> x.t AND y.s <> y.t JOIN apd z ON z.s = x.s AND z.t = y.t AND abs(z.d - x.d - y.d) <= 1e-12 * greatest(1, z.d) GROUP BY 1) SELECT id, {r('coalesce(b, 0.0)', 'betweenness')} FROM nodes LEFT JOIN b USING (id)"
+
+
+@query(_between_sql(_TIES))
+def betweenness_tie_strength(spark, d):
+    return paths.betweenness(busy_trade(spark, d), nations(spark, d), interpretation="tie_strength")
+
+
+@query(_between_sql(_FAR))
+def betweenness_distance(spark, d):
+    return paths.betweenness(busy_trade(spark, d), nations(spark, d), interpretation="distance")
+
+
+@query(f"{_FAR}, o AS (SELECT sum(1 / d) x FROM apd WHERE s <> t), n AS (SELECT count(*) n FROM nodes) SELECT {r('(SELECT x FROM o) / (n * (n - 1)) / ln(n)', 'mid')} FROM n")
+def mean_inverse_distance_weighted(spark, d):
+    return paths.mean_inverse_distance(busy_trade(spark, d), nations(spark, d), interpretation="distance", direction="out")
+
+
+def _grid_sql(layers: int, lo: str = "quantile_cont(weight, 0.005)", hi: str = "max(weight)") -> str:
+    return f"ends AS (SELECT greatest({lo}, min(weight)) a, least({hi}, max(weight)) b FROM trade WHERE weight > 0), taus AS MATERIALIZED (SELECT pow(10, log10(a) + k * ((log10(b) - log10(a)) / {layers - 1})) tau FROM ends, (SELECT unnest(range({layers})) k))"
+
+
+_LAYERS = _CENSUS
+for _old, _new in (("SELECT x.a a,", "SELECT x.tau tau, x.a a,"), ("ON x.a = y.a AND", "ON x.tau = y.tau AND x.a = y.a AND"), ("ON z.a = x.b AND", "ON z.tau = x.tau AND z.a = x.b AND"), ("u AS (SELECT (ab", "u AS (SELECT tau, (ab"), ("v AS (SELECT CASE", "v AS (SELECT tau, CASE")):
+    _LAYERS = _LAYERS.replace(_old, _new)
+_LAYERS = f"""WITH {NATION_TRADE}, {NATIONS}, {_grid_sql(6)}, lay AS MATERIALIZED (SELECT tau, src, dst FROM trade, taus WHERE src <> dst AND weight >= tau),
+c AS MATERIALIZED (SELECT g.tau, a.id a, b.id b, CASE WHEN x.src IS NOT NULL AND y.src IS NOT NULL THEN 3 WHEN x.src IS NOT NULL THEN 1 WHEN y.src IS NOT NULL THEN 2 ELSE 0 END k FROM taus g JOIN nodes a ON true JOIN nodes b ON a.id < b.id LEFT JOIN lay x ON x.tau = g.tau AND x.src = a.id AND x.dst = b.id LEFT JOIN lay y ON y.tau = g.tau AND y.src = b.id AND y.dst = a.id),
+{_LAYERS}, census AS MATERIALIZED (SELECT g.tau, names.triad, count(v.triad) n FROM taus g JOIN names ON true LEFT JOIN v ON v.tau = g.tau AND v.triad = names.triad GROUP BY 1, 2), dense AS MATERIALIZED (SELECT *, n / sum(n) OVER (PARTITION BY tau) density FROM census)"""
+ORACLE_SQL["layered_census"] = f"{_LAYERS} SELECT {r('tau', 'tau')}, triad, n \"count\", {r('density', 'density')} FROM dense"
+ORACLE_SQL["layer_summary"] = f"{_LAYERS}, s AS (SELECT *, (lead(log10(tau)) OVER w - log10(tau)) * (lead(density) OVER w + density) / 2 area FROM dense WINDOW w AS (PARTITION BY triad ORDER BY tau)), top AS (SELECT triad, max(density) peak FROM dense GROUP BY 1) SELECT triad, {r('coalesce(sum(area), 0.0)', 'aumc')}, {r('min(CASE WHEN density = peak THEN tau END)', 'tau_peak')}, {r('max(peak)', 'peak')} FROM s JOIN top USING (triad) GROUP BY 1"
+
+
+@query(f"WITH {NATION_TRADE}, {_grid_sql(12)} SELECT {r('tau', 'tau')} FROM taus")
+def tau_grid(spark, d):
+    return spark.createDataFrame([(t,) for t in triads.tau_grid(nation_trade(spark, d), 12)], "tau double")
+
+
+_PLAN = f"""WITH {NATION_TRADE}, b AS (SELECT quantile_cont(weight, 0.01) lo, quantile_cont(weight, 0.99) hi FROM trade WHERE weight > 0), {_grid_sql(16, '(SELECT lo FROM b)', '(SELECT hi FROM b)')},
+p AS MATERIALIZED (SELECT DISTINCT tau, least(src, dst) a, greatest(src, dst) b FROM trade, taus WHERE src <> dst AND weight >= tau), t AS (SELECT x.tau, count(*) n FROM p x JOIN p y ON x.b = y.a AND x.tau = y.tau JOIN p z ON z.a = x.a AND z.b = y.b AND z.tau = x.tau GROUP BY 1),
+f AS (SELECT tau, coalesce(n, 0) n FROM taus LEFT JOIN t USING (tau)), top AS (SELECT max(n) top FROM f), e AS (SELECT coalesce(min(CASE WHEN n <= exp(-1) * top THEN tau END), (SELECT lo FROM b)) a, coalesce(max(CASE WHEN n >= 9 THEN tau END), (SELECT hi FROM b)) z FROM f, top), g AS (SELECT CASE WHEN a >= z THEN (SELECT lo FROM b) ELSE a END a, CASE WHEN a >= z THEN (SELECT hi FROM b) ELSE z END z FROM e)"""
+
+
+@query(f"{_PLAN} SELECT CAST(least(greatest(ceil(8 * log10(z / a)), 8), 64) AS BIGINT) \"L\", {r('a', 'tau_min')}, {r('z', 'tau_max')}, top \"T_max\", {r('log10(hi / lo)', 'decades')} FROM g, b, top")
+def recommended_layers(spark, d):
+    plan = triads.recommend_layers(nation_trade(spark, d), nations(spark, d), method="analytic")
+    return spark.createDataFrame([(plan["L"], plan["tau_min"], plan["tau_max"], plan["T_max"], plan["decades"])], "L long, tau_min double, tau_max double, T_max long, decades double")
+
+
+_POOL = "pool AS (SELECT o_orderpriority network_name, (o_orderkey % 2) / 10.0 nominal_pi_node, (o_orderkey % 41 - 20) / 40.0 realized_rho, o_orderkey % 11 = 0 gc_collapse, o_orderkey % 3 full_, o_orderkey % 2 named, o_orderkey % 5 removed FROM orders)"
+
+
+def _pool(spark, d):
+    """Orders as rows of a degradation corpus."""
+    from .fixtures import table
+
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("network_name"), (k % 2 / 10).alias("nominal_pi_node"), ((k % 41 - 20) / 40).alias("realized_rho"), (k % 11 == 0).alias("gc_collapse"), (k % 7).alias("replicate_idx"), k.alias("seed"),
+        (k % 3).alias("n_full_removal"), (k % 2).alias("n_nominations"), (k % 5).alias("W_removed"),
+    )
+
+
+_NEAR = f"WITH {_POOL}, targets AS (SELECT CAST(unnest([-0.25, 0.0, 0.9]) AS DOUBLE) target_rho), near AS (SELECT * FROM pool, targets WHERE NOT gc_collapse AND abs(realized_rho - target_rho) <= 0.03)"
+
+
+@query(f"{_NEAR}, got AS (SELECT network_name, nominal_pi_node, target_rho, count(*) n, avg(realized_rho) a FROM near GROUP BY 1, 2, 3) SELECT c.network_name, CAST(c.nominal_pi_node AS DOUBLE) nominal_pi_node, target_rho, coalesce(n, 0) n_available, coalesce(n, 0) n_selected, {r('a', 'achieved_rho')}, CASE WHEN n IS NULL THEN 'EMPTY' WHEN n < 1000000 THEN 'UNDER' ELSE 'ok' END status FROM (SELECT DISTINCT network_name, nominal_pi_node FROM pool) c JOIN targets ON true LEFT JOIN got USING (network_name, nominal_pi_node, target_rho)")
+def conditions_report(spark, d):
+    return summary.point_conditions(_pool(spark, d), [-0.25, 0.0, 0.9], n_per_cell=1_000_000)[1]
+
+
+@query(f"{_NEAR} SELECT network_name, CAST(nominal_pi_node AS DOUBLE) nominal_pi_node, target_rho, least(count(*), 20) n FROM near GROUP BY 1, 2, 3")
+def conditions_chosen(spark, d):
+    return summary.point_conditions(_pool(spark, d), [-0.25, 0.0, 0.9], n_per_cell=20)[0].groupBy("network_name", "nominal_pi_node", "target_rho").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_POOL} SELECT CASE WHEN full_ + named = 0 AND removed = 0 THEN 'baseline' WHEN full_ + named = 0 THEN 'no_loss' WHEN realized_rho < -0.05 THEN 'negative' WHEN realized_rho > 0.05 THEN 'positive' ELSE 'core' END sign_bin, count(*) n FROM pool GROUP BY 1")
+def loss_signs(spark, d):
+    return summary.sign_bins(_pool(spark, d)).groupBy("sign_bin").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_brand, CAST(count_if(p_size > 25) AS BIGINT) n_true, CAST(count_if(p_size <= 25) AS BIGINT) n_false FROM part GROUP BY 1")
+def bipartite_counts(spark, d):
+    from .fixtures import table
+
+    return M.bipartite_counts(table(spark, d, "part").withColumn("type", F.col("p_size") > 25), by=["p_brand"])
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) id, CAST(dense_rank() OVER (ORDER BY p_brand) AS INTEGER) community FROM part")
+def relabelled(spark, d):
+    return M.relabel(part_labels(spark, d))
+
+
+@query(f"WITH {PART_PAIRS}, {_PARTS}, e AS (SELECT p.*, a.community cs, b.community cd FROM pairs p JOIN labels a ON src = a.id JOIN labels b ON dst = b.id), m AS (SELECT sum(weight) m FROM e), k AS (SELECT c, sum(weight) k FROM (SELECT cs c, weight FROM e UNION ALL SELECT cd, weight FROM e) GROUP BY 1) SELECT {r('(SELECT sum(weight) FROM e WHERE cs = cd) / m', 'a')}, {r('(SELECT sum(k * k) FROM k) / (4 * m * m)', 'p')} FROM m")
+def partition_line(spark, d):
+    return community.partition_line(part_pairs(spark, d), part_labels(spark, d))
+
+
+@query(f"WITH {NATION_TRADE}, {NATIONS}, e AS (SELECT t.*, a.community cs, b.community cd FROM trade t JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id), m AS (SELECT sum(weight) m FROM e), o AS (SELECT cs c, sum(weight) o FROM e GROUP BY 1), i AS (SELECT cd c, sum(weight) i FROM e GROUP BY 1) SELECT {r('(SELECT sum(weight) FROM e WHERE cs = cd) / m', 'a')}, {r('(SELECT sum(o * i) FROM o JOIN i USING (c)) / (m * m)', 'p')} FROM m")
+def partition_line_directed(spark, d):
+    return community.partition_line(nation_trade(spark, d), nations(spark, d), directed=True)
+
+
+_SCORES = f"WITH {NATION_TRADE}, s AS (SELECT dst id, quantile_cont(weight, 0.5) m, sum(weight) t FROM trade GROUP BY 1)"
+
+
+def _scores(spark, d):
+    t = nation_trade(spark, d)
+    return t.select(F.col("src").alias("sample_id"), F.col("dst").alias("id"), F.col("weight").alias("score")), t.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("score"))
+
+
+@query(f"{_SCORES} SELECT {r('1 - corr(m, t)', 'bias')}, count(*) n FROM s")
+def node_bias(spark, d):
+    return intervals.node_bias(*_scores(spark, d))
+
+
+@query(f"{_SCORES}, k AS (SELECT rank() OVER (ORDER BY m) + (count(*) OVER (PARTITION BY m) - 1) / 2 m, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2 t FROM s) SELECT {r('1 - corr(m, t)', 'bias')}, count(*) n FROM k")
+def node_bias_spearman(spark, d):
+    return intervals.node_bias(*_scores(spark, d), spearman=True)
+
+
+@query(f"WITH {NATION_TRADE}, {NATIONS}, x AS (SELECT CAST(community AS VARCHAR) metric, quantile_cont(weight, 0.5) m FROM trade JOIN nodes ON src = id GROUP BY 1), t AS (SELECT CAST(k AS VARCHAR) metric, 20.0 * k truth FROM (SELECT unnest([0, 1, 2, 3, 4]) k)) SELECT metric, {r('m', 'median')}, CAST(truth AS DOUBLE) truth, {r('CASE WHEN truth <> 0 THEN (m - truth) / abs(truth) END', 'bias')} FROM x JOIN t USING (metric)")
+def metric_bias(spark, d):
+    return intervals.bias(credible_interval(spark, d).withColumn("metric", F.col("metric").cast("string")), {str(k): 20.0 * k for k in range(5)})
+
+
+def _folder(spark) -> str:
+    """A new folder beside the checkpoints, for files that a query writes and reads back."""
+    from uuid import uuid4
+
+    M.cut(spark.range(1))
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/files-{uuid4().hex}"
+
+
+def _write(lines: DataFrame, path: str, encoding: str = "UTF-8") -> str:
+    """(n, line) as the lines of one file."""
+    lines.repartition(1).sortWithinPartitions("n", "line").select("line").write.option("encoding", encoding).text(path)
+    return path
+
+
+def _head(spark, *lines: str) -> DataFrame:
+    return spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "n int, line string")
+
+
+_SHIFTED = f"WITH {NATION_TRADE} SELECT CAST(CAST(src AS BIGINT) + 1 AS VARCHAR) src, CAST(CAST(dst AS BIGINT) + 1 AS VARCHAR) dst, weight FROM trade"
+
+
+@query(_SHIFTED)
+def konect_file(spark, d):
+    from .sources.text import read_konect
+
+    t = nation_trade(spark, d)
+    rows = t.select(F.lit(9).alias("n"), F.concat_ws("\t", F.col("src").cast("long") + 1, F.col("dst").cast("long") + 1, F.col("weight").cast("long")).alias("line"))
+    return read_konect(spark, _write(_head(spark, "% asym posweighted", "% 625 25 25").union(rows), _folder(spark))).edges
+
+
+_MODES = f"WITH {CUSTOMER_SUPPLIER}, n AS (SELECT CAST(CAST(l AS BIGINT) + 1 AS VARCHAR) l, r, weight FROM links) SELECT a.l src, b.l dst, sum(a.weight * b.weight) weight FROM n a JOIN n b ON a.r = b.r AND a.l < b.l GROUP BY 1, 2"
+
+
+@query(_MODES)
+def pajek_two_mode(spark, d):
+    from .sources.text import read_pajek, two_mode_projection
+
+    links = customer_supplier(spark, d).select((F.col("left").cast("long") + 1).alias("a"), (F.col("right").cast("long") + 26).alias("b"), "weight")
+    v = links.select(F.col("a").alias("v")).union(links.select("b")).distinct().select(F.lit(2).alias("n"), F.concat(F.col("v").cast("string"), F.lit(' "node '), F.col("v").cast("string"), F.lit('"')).alias("line"))
+    e = links.select(F.lit(4).alias("n"), F.concat_ws(" ", "a", "b", "weight").alias("line"))
+    total = int(links.agg(F.max("b")).first()[0])
+    lines = _head(spark, "% two modes", f"*Vertices {total} 25").union(v).union(spark.createDataFrame([(3, "*Edges"), (4, "not an edge")], "n int, line string")).union(e)
+    return two_mode_projection(read_pajek(spark, _write(lines, _folder(spark))))
+
+
+@query(f"WITH {NATIONS} SELECT CAST(CAST(id AS BIGINT) + 1 AS VARCHAR) id, 'nation ' || id AS label FROM nodes")
+def pajek_vertices(spark, d):
+    from .sources.text import read_pajek
+
+    v = nations(spark, d).select(F.lit(2).alias("n"), F.concat(F.col("id").cast("long") + 1, F.lit(' "nation '), "id", F.lit('"')).alias("line"))
+    return read_pajek(spark, _write(_head(spark, "", "*Vertices 25").union(v).union(spark.createDataFrame([(3, "*Arcs"), (4, "1 2 3.5")], "n int, line string")), _folder(spark))).nodes
+
+
+@query(f"WITH {NATION_TRADE} SELECT src, dst, weight, src = dst AS is_loop FROM trade")
+def ora_file(spark, d):
+    from .sources.text import read_ora
+
+    at = _folder(spark)
+    t = nation_trade(spark, d).select(F.col("src").alias("Source Node ID"), F.col("dst").alias("Target Node ID"), F.col("weight").cast("long").alias("Link Value"), (F.col("src") == F.col("dst")).alias("Is Loop"))
+    t.write.option("header", True).csv(f"{at}/e")
+    nations(spark, d).toDF("Node ID", "Region Key").write.option("header", True).csv(f"{at}/n")
+    return read_ora(spark, f"{at}/n", f"{at}/e").edges
+
+
+@query(f"WITH {NATION_TRADE}, l AS (SELECT DISTINCT k, least(src, dst) src, greatest(src, dst) dst FROM trade, (SELECT unnest([0.9, 1.0, 1.2]) k) WHERE src <> dst AND weight > k * (SELECT avg(weight) FROM trade)) SELECT src, dst, CAST(count(*) AS DOUBLE) weight FROM l GROUP BY 1, 2")
+def layer_files(spark, d):
+    from .sources.text import read_layers
+
+    at = _folder(spark)
+    names = {"low": 0.9, "middle": 1.0, "high": 1.2}
+    for name, share in names.items():
+        busy_trade(spark, d, share).select(F.col("src").alias("source"), F.col("dst").alias("target")).write.option("header", True).option("sep", ";").csv(f"{at}/edges_{name}.csv")
+    return read_layers(spark, at, tuple(names)).edges
+
+
+def _graphml(spark, d):
+    from .sources.graphml import read_graphml, write_graphml
+
+    n = nations(spark, d).select("id", F.concat(F.lit("nation <&> "), "id").alias("label"), "community", (F.col("community") > 2).alias("far"))
+    at = f"{_folder(spark)}.graphml"
+    write_graphml(M.Network(busy_trade(spark, d), n, {"directed": True, "network_name": "trade"}), at)
+    return read_graphml(spark, at)
+
+
+@query(f"WITH {BUSY} SELECT src, dst, weight FROM busy")
+def graphml_edges(spark, d):
+    return _graphml(spark, d).edges.select("src", "dst", "weight")
+
+
+@query(f"WITH {NATIONS} SELECT id, 'nation <&> ' || id AS label, CAST(community AS BIGINT) community, community > 2 AS far FROM nodes")
+def graphml_nodes(spark, d):
+    return _graphml(spark, d).nodes.select("id", "label", "community", "far")

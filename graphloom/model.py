@@ -21,11 +21,19 @@ class Network:
     meta: dict = field(default_factory=dict)
 
 
+def checkpoint_folder(spark) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only in local mode, where one machine is all there is."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="graphloom-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Computed once and kept in the shared checkpoint folder; for loops whose plans would grow with their rounds."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

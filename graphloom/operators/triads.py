@@ -170,22 +170,27 @@ def weighting(name: str | list[float]) -> list[float]:
         if len(name) != 16:
             raise ValueError("a weighting has sixteen numbers")
         return list(name)
-    own = {"RC": {"003", "102", "021D", "021U", "030T", "120D", "120U", "300"}, "transitivity": {"030T", "120D", "120U", "300"}}[name]
+    own = {"RC": {"003", "102", "021D", "021U", "030T", "120D", "120U", "300"}, "transitivity": {"003", "012", "102", "021D", "021U", "030T", "120D", "120U", "210", "300"}}[name]
     return [1.0 if c in own else 0.0 for c in CLASSES]
 
 
+def weighted_census(census: DataFrame, weights: str | list[float] = "RC", by: By = ()) -> DataFrame:
+    """``[*by, total]``: the counts, each times its class's weight, summed up."""
+    w = dict(zip(CLASSES, weighting(weights)))
+    own = F.element_at(F.create_map(*(F.lit(x) for pair in w.items() for x in pair)), F.col("triad"))
+    return census.groupBy(*by).agg(F.sum(F.col("count") * own).alias("total"))
+
+
 def tau_statistic(edges: DataFrame, nodes=None, weights: str | list[float] = "RC", n_samples: int = 500, seed: int = 20260101) -> DataFrame:
     """One row: the weighted census against ``n_samples`` random graphs of the same mutual and one-way dyads, all in one job.
 
     Each sample draws its dyads from pair numbers by seeded hashes: N(N-1)/2 numbers are ranked for each sample, in its own group.
     """
     spark = edges.sparkSession
-    w = weighting(weights)
     r = cut(roster(edges, nodes))
     d = dyad_census(edges, r).first()
     n, m, a = r.count(), d["M"], d["A"]
-    lam = spark.createDataFrame(list(zip(CLASSES, w)), "triad string, w double")
-    score = lambda c, by=(): c.join(F.broadcast(lam), "triad").groupBy(*by).agg(F.sum(F.col("count") * F.col("w")).alias("t"))
+    score = lambda c, by=(): weighted_census(c, weights, by).withColumnRenamed("total", "t")
     seen = score(triad_census(edges, r)).first()["t"]
     pairs = n * (n - 1) // 2
     grid = spark.range(n_samples).withColumnRenamed("id", "sample").select("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pairs - 1).cast("long"))).alias("pair"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from contextlib import contextmanager
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
@@ -82,6 +83,36 @@ def read_graphml(spark: SparkSession, path: str) -> Network:
     return Network(typed("edge", ["src", "dst"]), typed("node", ["id"]), {k: v in ("true", "1") if k in ("directed", "weighted", "is_binary") else v for k, v in meta.items()})
 
 
+@contextmanager
+def _writer(spark: SparkSession, path: str):
+    """A text file at a path of the cluster's storage, written through Hadoop's file systems."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+
+    class Sink:
+        held: list[str] = []
+        size = 0
+
+        def write(self, text: str) -> None:
+            self.held.append(text)
+            self.size += len(text)
+            if self.size > 1 << 20:
+                self.flush()
+
+        def flush(self) -> None:
+            out.write(bytearray("".join(self.held).encode()))
+            self.held, self.size = [], 0
+
+    sink = Sink()
+    sink.held = []
+    try:
+        yield sink
+        sink.flush()
+    finally:
+        out.close()
+
+
 def _kind(dtype: str) -> str:
     return {"bigint": "int", "int": "int", "double": "double", "float": "double", "boolean": "boolean"}.get(dtype, "string")
 
@@ -91,11 +122,11 @@ def _shown(v) -> str:
 
 
 def write_graphml(net: Network, path: str) -> None:
-    """One network to a local file, row by row; nulls are left out. Parquet is the sink for many or large ones."""
+    """One network to one file on any storage that Spark reaches, row by row; nulls are left out. Parquet is the sink for many or large ones."""
     for df, need in ((net.edges, ("src", "dst")), (net.nodes, ("id",))):
         if missing := [c for c in need if c not in df.columns]:
             raise ValueError(f"columns {missing} are missing")
-    with open(path, "w", encoding="utf-8") as f:
+    with _writer(net.edges.sparkSession, path) as f:
         put = f.write
         put('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
         for k, v in net.meta.items():
