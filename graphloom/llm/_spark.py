@@ -19,11 +19,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the cluster's shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made.
+    The folder is ``spark.checkpoint.dir``; only where that is unset in local mode (tests) a temporary one is made.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint(eager=True)
 
 
