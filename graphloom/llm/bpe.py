@@ -4,8 +4,10 @@ For a merge list, ``lookahead`` computes how far to the right of a token's end t
 (a, b) can only be prevented from the right by an earlier merge whose left part is on the right edge of b, and so on through
 ever earlier merges; the longest such chain bounds the reach. ``Transducer`` feeds on text piece by piece, keeps no more
 than a fixed window of a word's symbols, and emits a token as soon as its end is that far from the window's end, so that
-memory is constant however long a word or text is. Short words, which end inside the window, are remembered in a bounded
-cache. ``TextMachine`` turns bytes back into text one at a time, with replacement characters where bytes are no UTF-8.
+memory is constant however long a word is; words pass it one by one, and words of at most 256 characters are remembered in a
+bounded cache. Texts are worked off in blocks that end at white space, ids go on to the decoder as they come, and only digests
+are kept. ``TextMachine`` turns bytes back into text piece by piece, wherever the pieces end, with replacement characters where
+bytes are no UTF-8.
 
 Null texts count as empty and give no ids. Repeated rows give repeated results; empty tables give empty ones.
 """
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame
 from ._spark import by_slice, slim
 from ._text import worker_cache
 
-#: Words that a worker remembers.
-CACHE_WORDS = 1_000_000
+#: Words that a worker remembers; characters of a text that are worked off at a time, about; bytes that are decoded at a time.
+CACHE_WORDS, BLOCK, WINDOW = 1_000_000, 1 << 16, 1 << 14
 # Unicode's White_Space, and the pattern of the word vocabulary's pieces.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 _SPACES = re.compile(f"[{SPACE}]+")
@@ -108,7 +110,7 @@ class Transducer:
     """Ids of one word, from its bytes as they come; at most ``window`` of them are held.
 
     Runs are merged by a compiled kernel that ranks a pair by the token it makes. That is the merge list's own order if every
-    token, alone, is made by its own merge (the tests check this for the vocabulary in use).
+    token, alone, is made by its own merge (the tests check this for every merge of the vocabulary in use).
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -150,12 +152,8 @@ class WordEncoder:
         self.window = Transducer(self.v).window
 
     def _piece(self, piece: str) -> list[int]:
-        data = piece.encode("utf-8", "surrogatepass")
         run = Transducer(self.v)
-        if len(data) <= run.window:
-            run.held = data
-            return run.end()
-        return [*run.feed(data), *run.end()]
+        return [*run.feed(piece.encode("utf-8", "surrogatepass")), *run.end()]
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of a run without white space."""
@@ -170,23 +168,31 @@ class WordEncoder:
             self.cache[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        if self.special and "<|" in text and self.special.search(text):
-            ids, at = [], 0
+    def blocks(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text, a block of it at a time."""
+        at = 0
+        if self.special and "<|" in text:
             for m in self.special.finditer(text):
-                ids += self._plain(text[at : m.start()])
-                ids.append(self.v.special[m[0]])
+                yield from self._plain(text, at, m.start())
+                yield [self.v.special[m[0]]]
                 at = m.end()
-            return ids + self._plain(text[at:])
-        return self._plain(text)
+        yield from self._plain(text, at, len(text))
+
+    def encode(self, text: str) -> list[int]:
+        return [i for block in self.blocks(text) for i in block]
 
-    def _plain(self, text: str) -> list[int]:
-        words = text.split() if not _ODD.search(text) else [w for w in _SPACES.split(text) if w]
+    def _plain(self, text: str, at: int, end: int) -> Iterator[list[int]]:
+        """Blocks end at white space, so no word is split."""
         held, new = self.cache.get, self.word
-        ids: list[int] = []
-        for w in words:
-            ids += held(w) or new(w)
-        return ids
+        while at < end:
+            gap = _SPACES.search(text, min(at + BLOCK, end), end)
+            to = gap.end() if gap else end
+            part = text[at:to]
+            ids: list[int] = []
+            for w in part.split() if not _ODD.search(part) else filter(None, _SPACES.split(part)):
+                ids += held(w) or new(w)
+            yield ids
+            at = to
 
 
 class TextMachine:
@@ -202,12 +208,24 @@ class TextMachine:
         return self._decoder.decode(b"", True)
 
 
+def decoded(blocks: Iterable[list[int]], tokens: list[str]) -> Iterator[str]:
+    """The tokens with a space between, as a tokenizer without a decoder gives them, in pieces: bytes pass the machine ``WINDOW`` at a time."""
+    machine, held, first = TextMachine(), b"", True
+    for ids in blocks:
+        if not ids:
+            continue
+        held += (("" if first else " ") + " ".join(map(tokens.__getitem__, ids))).encode()
+        first = False
+        whole = len(held) - len(held) % WINDOW
+        for at in range(0, whole, WINDOW):
+            yield machine.feed(held[at : at + WINDOW])
+        held = held[whole:]
+    yield machine.feed(held)
+    yield machine.end()
+
+
 def decode(ids: list[int], tokens: list[str]) -> str:
-    """The tokens with a space between, as a tokenizer without a decoder gives them."""
-    machine, out = TextMachine(), []
-    for at in range(0, len(ids), 4096):
-        out.append(machine.feed(((" " if at else "") + " ".join(map(tokens.__getitem__, ids[at : at + 4096]))).encode()))
-    return "".join(out) + machine.end()
+    return "".join(decoded([ids], tokens))
 
 
 def decode_bytes(ids: Iterable[int], vocabulary: Vocabulary) -> str:
@@ -229,10 +247,21 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
         shown = worker_cache(("decimal", len(enc.v.tokens)), lambda: [str(i) for i in range(len(enc.v.tokens))])
         n, ids_sha, text_sha = [], [], []
         for t in part.column("text").to_pylist():
-            ids = enc.encode(t)
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(" ".join(map(shown.__getitem__, ids)).encode()).hexdigest())
-            text_sha.append(hashlib.sha256(decode(ids, enc.v.tokens).encode()).hexdigest())
+            count, ids_hash, text_hash = 0, hashlib.sha256(), hashlib.sha256()
+
+            def counted(t=t, ids_hash=ids_hash):
+                nonlocal count
+                for ids in enc.blocks(t):
+                    if ids:
+                        ids_hash.update(((" " if count else "") + " ".join(map(shown.__getitem__, ids))).encode())
+                        count += len(ids)
+                        yield ids
+
+            for piece in decoded(counted(), enc.v.tokens):
+                text_hash.update(piece.encode())
+            n.append(count)
+            ids_sha.append(ids_hash.hexdigest())
+            text_sha.append(text_hash.hexdigest())
         return {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
 
     return by_slice(slim(docs), kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

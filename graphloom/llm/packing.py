@@ -13,7 +13,7 @@ ordered by document, piece and content. An empty table gives an empty result. Ot
 from __future__ import annotations
 
 import array
-import base64
+import json
 import zlib
 
 import numpy as np
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ._spark import by_slice, cut, slim
 from ._text import worker_cache
+from .bpe import byte_symbols
 
 LENGTH = 2048
 END = 0
@@ -64,8 +65,11 @@ class ByteEncoder:
     def __init__(self, path: str):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        back = {c: b for b, c in enumerate(byte_symbols())}
+        # merges are listed in the order of the ids of what they make
+        ranks = {bytes(back[c] for c in token): i for token, i in vocabulary.items() if token not in SPECIAL}
         core = tiktoken.Encoding("byte_bpe", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.whole = core.encode_ordinary
         self.chunks = _Chunks(core.encode_ordinary, core.encode_single_piece)
@@ -130,8 +134,8 @@ def patterns(lengths: np.ndarray, size: int = LENGTH) -> np.ndarray:
     return np.unique(-np.sort(-np.concatenate(out), axis=1), axis=0)
 
 
-def fit(counts: np.ndarray, pats: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative repeat counts x of the patterns that minimise ||A x - counts||^2, by accelerated projected gradient."""
+def fit(counts: np.ndarray, pats: np.ndarray, rounds: int = 2000, tol: float = 1e-4) -> np.ndarray:
+    """Non-negative repeat counts x of the patterns that minimise ||A x - counts||^2, by accelerated projected gradient until a round moves x by less than ``tol`` of it."""
     size = len(counts)
     scale = 1 / np.sqrt(np.maximum(counts, 1.0))  # a relative fit: rare lengths count as well
     used = (pats > 0).astype(float)
@@ -148,7 +152,9 @@ def fit(counts: np.ndarray, pats: np.ndarray, rounds: int = 300) -> np.ndarray:
         new = np.maximum(0, y - back(scale**2 * (weigh(y) - counts)) / (1.02 * top))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t2 * (new - x)
-        x, t = new, t2
+        moved, x, t = np.linalg.norm(new - x), new, t2
+        if moved <= tol * np.linalg.norm(x):
+            break
     return x
 
 
