@@ -147,7 +147,10 @@ def agreeing(a: str, b: str) -> int:
 
 
 def repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, start, stop, n_chars, first_doc_id) of each passage that an earlier document has too; places in code points, stop exclusive."""
+    """(doc_id, start, stop, n_chars, first_doc_id, first_doc_ids) of each passage that earlier documents have too; places in code points, stop exclusive.
+
+    Passages that overlap or touch are one, also where they come from several documents: first_doc_ids has them all, first_doc_id the smallest.
+    """
     found = cut(anchors(docs))
     end = (F.col("place") + F.col("stop") - F.col("start")).cast("int")
     there = found.select(F.col("first").alias("doc_id"), F.col("place").alias("start"), end.alias("stop")).distinct()
@@ -167,8 +170,8 @@ def repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("start", "stop", "first")
     apart = F.coalesce((F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
     runs = wide.withColumn("_gap", apart).withColumn("_run", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = runs.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first").alias("first_doc_id"))
-    return spans.withColumn("n_chars", F.col("stop") - F.col("start")).filter(F.col("n_chars") >= min_chars).select("doc_id", "start", "stop", "n_chars", "first_doc_id")
+    spans = runs.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first").alias("first_doc_id"), F.array_sort(F.collect_set("first")).alias("first_doc_ids"))
+    return spans.withColumn("n_chars", F.col("stop") - F.col("start")).filter(F.col("n_chars") >= min_chars).select("doc_id", "start", "stop", "n_chars", "first_doc_id", "first_doc_ids")
 
 
 def remove(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -176,14 +179,16 @@ def remove(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     ``n_chars``, where present, follows. Documents without repeats are left as they are.
     """
-    spans = repeats(docs, min_chars).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("_spans"))
-    joined = docs.join(spans.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
+    spare = (n for i in range(len(docs.columns) + 4) if (n := f"_s{i}") not in docs.columns)
+    doc, own, kept = next(spare), next(spare), next(spare)
+    spans = repeats(docs, min_chars).groupBy(F.col("doc_id").alias(doc)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(own))
+    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col(doc), "left")
     # what stands between the spans: from each stop (or 0) to the next start (or the end)
-    stops = F.concat(F.array(F.lit(0).cast("long")), F.transform("_spans", lambda s: s["stop"]))
-    starts = F.concat(F.transform("_spans", lambda s: s["start"]), F.array(F.length("text").cast("long")))
-    kept = F.array_join(F.transform(F.arrays_zip(stops.alias("a"), starts.alias("b")), lambda z: F.substring(F.col("text"), (z["a"] + 1).cast("int"), (z["b"] - z["a"]).cast("int"))), "")
-    out = joined.withColumn("_kept", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept))
-    out = out.filter(F.col("_spans").isNull() | (F.trim("_kept") != "")).withColumn("text", F.col("_kept"))
+    stops = F.concat(F.array(F.lit(0).cast("long")), F.transform(own, lambda s: s["stop"]))
+    starts = F.concat(F.transform(own, lambda s: s["start"]), F.array(F.length("text").cast("long")))
+    rest = F.array_join(F.transform(F.arrays_zip(stops.alias("a"), starts.alias("b")), lambda z: F.substring(F.col("text"), (z["a"] + 1).cast("int"), (z["b"] - z["a"]).cast("int"))), "")
+    out = joined.withColumn(kept, F.when(F.col(own).isNull(), F.col("text")).otherwise(rest))
+    out = out.filter(F.col(own).isNull() | (F.trim(kept) != "")).withColumn("text", F.col(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -2,8 +2,9 @@
 restored by a Viterbi decode of their character lattice under a character language model, and the restored text is scored.
 
 The character model counts letter triples over all training texts (a table of fixed size, summed in Spark). The classifier is
-fitted on a documented, bounded sample of labelled documents: words and word beginnings that toxic documents have far more
-often than others get a weight, and a logistic curve over a document's weights gives the score.
+fitted on a documented, bounded sample of labelled documents that aren't held out: words and word beginnings that toxic documents
+have far more often than others get a weight, and a logistic curve over a document's weights gives the score. How many toxic
+documents must have a feature, and how much likelier it must be there, is chosen by cross-validation within that sample.
 
 Only texts enter a score. Null and empty texts score as texts without evidence. Texts are read whole. Repeated rows give
 repeated results; a document with several labels counts with each. Without labels of both kinds every score is the prior.
@@ -13,6 +14,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from ._spark import by_slice, cut, slim
 from ._text import _LOWER, worker_cache
 
-#: Labelled documents that the classifier is fitted on, at most, and features that it keeps, at most.
-TRAINING_DOCS, FEATURES = 20_000, 50_000
-#: Toxic documents that a feature must occur in, and how much likelier than elsewhere (log odds) it must be.
-SUPPORT, LEAST_ODDS = 10, 3.0
+#: Labelled documents that the classifier is fitted on, at most.
+TRAINING_DOCS = 20_000
+#: What cross-validation chooses from: toxic documents that a feature must occur in, and how much likelier than elsewhere (log odds) it must be.
+SUPPORTS, LEAST_ODDS, FOLDS = (2, 3, 5, 10, 20), (2.0, 3.0, 4.0), 5
+#: Characters of a token after which the decode writes out what all its readings agree on.
+FLUSH = 256
 STEMS = (4, 5, 6)
 SYMBOLS = 27  # a to z, and 26 for everything else
 # What a disguised character may stand for.
@@ -64,7 +68,11 @@ def triples(docs: DataFrame) -> np.ndarray:
                 continue
             c = code[_LOWER[np.frombuffer(col.buffers()[2], np.uint8)[off[0] : off[-1]]]]
             if len(c) > 2:
-                total += np.bincount(c[:-2] * SYMBOLS**2 + c[1:-1] * SYMBOLS + c[2:], minlength=SYMBOLS**3)
+                inside = np.ones(len(c), bool)  # where a triple starts that ends in the same text
+                for back in (1, 2):
+                    inside[np.maximum(off[1:] - off[0] - back, 0)] = False
+                at = np.flatnonzero(inside[:-2])
+                total += np.bincount(c[at] * SYMBOLS**2 + c[at + 1] * SYMBOLS + c[at + 2], minlength=SYMBOLS**3)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SYMBOLS**3)), pa.array(total)], names=["k", "n"])
 
     rows = slim(docs).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # 27^3 rows
@@ -79,10 +87,8 @@ def triples(docs: DataFrame) -> np.ndarray:
 
 def restore(token: str, lm: np.ndarray) -> str:
     """The likeliest plain word behind a disguised one: Viterbi over its character lattice, states being the last two letters."""
-    if len(token) > 256:
-        return "".join(restore(token[i : i + 256], lm) for i in range(0, len(token), 256))
     states: dict[tuple[int, int], tuple[float, str]] = {(26, 26): (0.0, "")}
-    before = ""
+    before, done = "", []
     for c in token.lower():
         reads = [(c, 0.0)] if c in _LETTERS else [(r, SUBSTITUTE) for r in LOOKS.get(c, "")]
         skip = None
@@ -103,7 +109,11 @@ def restore(token: str, lm: np.ndarray) -> str:
                     new[b, k] = (q, word + r)
         states = new
         before = c
-    return max((p + lm[a * SYMBOLS + b, 26], w) for (a, b), (p, w) in states.items())[1] if states else ""
+        if len(next(iter(states.values()))[1]) >= FLUSH:
+            common = os.path.commonprefix([w for _, w in states.values()])
+            done.append(common)
+            states = {k: (p, w[len(common) :]) for k, (p, w) in states.items()}
+    return "".join(done) + max((p + lm[a * SYMBOLS + b, 26], w) for (a, b), (p, w) in states.items())[1] if states else ""
 
 
 def disguises(token: str) -> set[str]:
@@ -130,7 +140,7 @@ def readings(text: str, lm: np.ndarray) -> set[str]:
     words = {w.strip(_EDGE) for w in tokens}
     held = worker_cache("restored", dict)
     out = {w for w in words if w}
-    odd = {w for w in words if _STRETCH.search(w) or len(w) > 3 and not w.isalpha() and _MASKED.search(w)}
+    odd = {w for w in words if _STRETCH.search(w) or not w.isalpha() and _MASKED.search(w)}
     odd |= {w for t in tokens if not t.isalpha() for w in disguises(t)}
     odd |= {m.group(0) for m in _SPACED.finditer(low)}
     for w in odd:
@@ -184,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS)
     lm = triples(d.filter(~held_out()))
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").filter(~held_out())
     chosen = own.distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "toxic").limit(training_docs)
-    train = cut(d.join(F.broadcast(chosen), "doc_id").withColumn("_copy", F.xxhash64("text")).dropDuplicates(["_copy", "toxic"]).drop("_copy"))
+    train = cut(d.join(F.broadcast(chosen), "doc_id").withColumn("_copy", F.xxhash64("text")).dropDuplicates(["_copy", "toxic"]))
     table = d.sparkSession.sparkContext.broadcast(lm)
 
     def count(part):
@@ -202,24 +212,87 @@ def fit(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS)
         return flat
     counts = by_slice(train, count, "f string, c0 long, c1 long").groupBy("f").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     odds = F.log((F.col("c1") + 0.2) / (n1 + 0.4)) - F.log((F.col("c0") + 0.2) / (n0 + 0.4))
-    rows = counts.withColumn("w", odds).filter((F.col("c1") >= SUPPORT) & (F.col("w") >= LEAST_ODDS)).orderBy(F.desc("c1"), "f").limit(FEATURES).collect()
-    model = Model({r["f"]: float(r["w"]) for r in rows}, flat.curve, lm)
-    held = d.sparkSession.sparkContext.broadcast(model)
-
-    def weigh(part):
-        e = [held.value.evidence(t) for t in part.column("text").to_pylist()]
-        return {"top": pa.array([x for x, _ in e], pa.float64()), "total": pa.array([x for _, x in e], pa.float64()), "toxic": part.column("toxic").cast(pa.int32())}
-
-    seen = by_slice(train, weigh, "top double, total double, toxic int").toPandas()  # training_docs rows at most
-    x = np.stack([np.ones(len(seen)), seen["top"], np.log1p(seen["total"])], axis=1)
-    y = (seen["toxic"].to_numpy() > 0).astype(float)
-    curve = np.array([prior, 0.0, 0.0])
-    for _ in range(50):  # Newton's method with a little shrinkage
-        p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-        grad = x.T @ (y - p) - 0.1 * curve
-        curve = curve + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), grad)
-    model.curve = curve
-    return model
+    names = [r["f"] for r in counts.filter((F.col("c1") >= min(SUPPORTS)) & (odds >= min(LEAST_ODDS) - 1)).select("f").orderBy("f").collect()]  # of training_docs documents
+    number = d.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def describe(part):
+        """The candidate features of each document, word by word: a word and its beginnings, and -1 after each."""
+        out = []
+        for t in part.column("text").to_pylist():
+            own = []
+            for w in sorted(readings(t, table.value)):
+                have = [number.value[f] for f in (w, *(f"{w[:k]}~" for k in STEMS if w.isalpha() and len(w) > k)) if f in number.value]
+                if have:
+                    own += [*have, -1]
+            out.append(own)
+        return {"copy": part.column("_copy"), "toxic": part.column("toxic").cast(pa.int32()), "own": pa.array(out, pa.list_(pa.int64()))}
+
+    seen = by_slice(train, describe, "copy long, toxic int, own array<long>").toPandas().sort_values(["copy", "toxic"], ignore_index=True)  # training_docs rows at most
+    sample = Sample(seen["own"].tolist(), seen["toxic"].to_numpy() > 0, len(names))
+    support, least = sample.choose()
+    w = sample.weights(np.ones(len(seen), bool), support, least)
+    return Model({f: float(x) for f, x in zip(names, w) if x > 0}, sample.curve(sample.evidence(w), np.ones(len(seen), bool)), lm)
+
+
+class Sample:
+    """Training documents by their candidate features, for cross-validation in memory."""
+
+    def __init__(self, own: list[np.ndarray], toxic: np.ndarray, features: int):
+        self.toxic, self.features = toxic, features
+        flat = np.concatenate([np.asarray(x, np.int64) for x in own]) if len(own) else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        ends = flat < 0
+        word = np.cumsum(ends) - ends
+        self.flat, self.doc, self.word = flat[~ends], doc[~ends], word[~ends]
+        self.word_doc = doc[ends]
+        pairs = np.unique(np.stack([self.doc, self.flat], axis=1), axis=0) if len(self.flat) else np.zeros((0, 2), np.int64)
+        self.pair_doc, self.pair_feature = pairs[:, 0], pairs[:, 1]
+        self.fold = np.arange(len(own)) % FOLDS  # documents stand in the order of a hash
+
+    def weights(self, rows: np.ndarray, support: int, least: float) -> np.ndarray:
+        """Log odds of each feature over the given documents; 0 where it is too rare or not much likelier."""
+        have = rows[self.pair_doc]
+        toxic = self.toxic[self.pair_doc]
+        c1 = np.bincount(self.pair_feature[have & toxic], minlength=self.features)
+        c0 = np.bincount(self.pair_feature[have & ~toxic], minlength=self.features)
+        n1, n0 = int((rows & self.toxic).sum()), int((rows & ~self.toxic).sum())
+        w = np.log((c1 + 0.2) / (n1 + 0.4)) - np.log((c0 + 0.2) / (n0 + 0.4))
+        return np.where((c1 >= support) & (w >= least), w, 0.0)
+
+    def evidence(self, w: np.ndarray) -> np.ndarray:
+        """(1, strongest, log of 1 + sum) of each document, each word counting by its best feature."""
+        best = np.zeros(len(self.word_doc))
+        np.maximum.at(best, self.word, w[self.flat])
+        top, total = np.zeros(len(self.toxic)), np.bincount(self.word_doc, best, len(self.toxic))
+        np.maximum.at(top, self.word_doc, best)
+        return np.stack([np.ones(len(self.toxic)), top, np.log1p(total)], axis=1)
+
+    def curve(self, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Logistic regression by Newton's method, with a little shrinkage."""
+        x, y = x[rows], self.toxic[rows].astype(float)
+        out = np.array([math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)), 0.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ out, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3), x.T @ (y - p) - 0.1 * out)
+            out = out + step
+            if np.abs(step).max() < 1e-6:
+                break
+        return out
+
+    def choose(self) -> tuple[int, float]:
+        """The support and the least log odds with the best likelihood of documents left out; ties go to the stricter."""
+        best = (-math.inf, 0, 0.0)
+        for support in SUPPORTS:
+            for least in LEAST_ODDS:
+                total = 0.0
+                for k in range(FOLDS):
+                    rows = self.fold != k
+                    x = self.evidence(self.weights(rows, support, least))
+                    p = 1 / (1 + np.exp(-np.clip(x[~rows] @ self.curve(x, rows), -30, 30)))
+                    y = self.toxic[~rows]
+                    total += float(np.log(np.where(y, p, 1 - p)).sum())
+                best = max(best, (round(total, 9), support, least))
+        return best[1], best[2]
 
 
 def assess(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS) -> DataFrame:

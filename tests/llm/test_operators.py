@@ -250,6 +250,50 @@ def test_toxicity_learns_and_restores(spark):
     assert len({r["score"] for r in flat.values()}) == 1
 
 
+def test_decode_equals_enumeration():
+    """The Viterbi decode against all readings of short tokens, scored one by one; long tokens against no flushing."""
+    rng = np.random.default_rng(3)
+    lm = np.log(rng.dirichlet(np.ones(27) * 0.3, 27 * 27))
+
+    def readings(token):
+        out, before = [("", 0.0)], ""
+        for c in token:
+            reads = [(c, 0.0)] if c in toxicity._LETTERS else [(r, toxicity.SUBSTITUTE) for r in toxicity.LOOKS.get(c, "")]
+            if c in toxicity._SEPARATORS or (not reads and not c.isalpha()):
+                reads = [*reads, ("", toxicity.DROP)]
+            elif c == before:
+                reads = [*reads, ("", toxicity.REPEAT)]
+            out = [(w + r, p + cost) for w, p in out for r, cost in reads]
+            before = c
+        return out
+
+    def total(w, p):
+        k = [26, 26, *(toxicity._LETTERS.get(c, 26) for c in w), 26]
+        return p + sum(lm[a * 27 + b, c] for a, b, c in zip(k, k[1:], k[2:]))
+
+    for token in ("1d10t", "a.b.c", "5h1t", "id..i0t", "*ss", "b00+", "$t1", "aaa", "1|1"):
+        best = max(total(w, p) for w, p in readings(token))
+        got = toxicity.restore(token, lm)
+        assert any(w == got and total(w, p) == pytest.approx(best) for w, p in readings(token)), token
+    token = "".join(random.Random(1).choices("abcde013$.", k=3000))
+    flushed = toxicity.restore(token, lm)
+    held, toxicity.FLUSH = toxicity.FLUSH, 10**9
+    try:
+        assert toxicity.restore(token, lm) == flushed
+    finally:
+        toxicity.FLUSH = held
+
+
+def test_toxicity_finds_held_out_documents(spark):
+    """On the small scale's own labels: none of what chooses the model has seen the held-out ones."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    out = toxicity.assess(spark.read.parquet(f"{d}/documents.parquet"), labels).join(labels, "doc_id").collect()
+    found, missed, false = (sum(1 for r in out if f(r)) for f in (lambda r: r["toxic"] and r["predicted"], lambda r: r["toxic"] and not r["predicted"], lambda r: not r["toxic"] and r["predicted"]))
+    # the labels are noisy: about a fifth of the toxic ones are texts without any word that others of them share
+    assert found >= 0.7 * (found + missed) and false <= 0.02 * len(out), (found, missed, false)
+
+
 def test_disguised_ends_are_restored(spark):
     rng = random.Random(3)
     plain = [f"{a}{b}" for a in ("lor", "mip", "dol", "sit", "con", "pur") for b in ("em", "sum", "or", "amet", "sec", "ip")] + ["idea", "stupor"]
