@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import by_slice, slim
+from ._spark import by_slice, cut, slim
 from ._text import Words, mix
 
 _SYMBOL = np.zeros(256, bool)
@@ -33,14 +33,14 @@ RULES = (
     ("repeats", "n_repeat_words * 10 > 3 * n_words", "false"),
     ("word_length", "word_chars < 2.5 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 3.5 * n_words AND 9 * n_words"),
     ("letters", "n_letters < 0.75 * word_chars", "n_letters >= 0.9 * word_chars"),
-    ("sentences", "n_stops * 300 < n_words AND n_words >= 50", "false"),
-    ("variety", "n_distinct * 5 < n_words AND n_words BETWEEN 50 AND 2000", "false"),
+    ("sentences", "n_stops * 300 + 50 < n_words", "false"),
+    ("variety", "n_distinct < 0.4 * pow(n_words, 0.85)", "false"),
 )
 ROUNDS = 50
 #: What a rule is taken for before any vote is seen, as P(vote | class) over (abstain, bad, good), and how much that counts
-#: against all documents' votes together.
+#: against all documents' votes together: only enough to say which class is the good one.
 START = np.array([[[0.55, 0.40, 0.05], [0.59, 0.01, 0.40]]])
-ANCHOR = 1.0
+ANCHOR = 0.01
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -88,8 +88,8 @@ def measures(docs: DataFrame) -> DataFrame:
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[float, np.ndarray]:
     """Prior of good, and P(vote | class) as [rule, class (bad, good), vote (abstain, bad, good)], from votes 0, 1, 2 and their counts.
 
-    ``START`` is a Dirichlet prior of weight ``ANCHOR`` for every rule: it keeps class 1 the one that "good" votes for, and keeps
-    one kind of junk that is common from taking the class of bad documents to itself.
+    ``START`` is where the rounds begin and a Dirichlet prior of weight ``ANCHOR`` for every rule: it keeps class 1 the one that
+    "good" votes for, and keeps probabilities off 0.
     """
     n, m = patterns.shape if patterns.size else (0, len(RULES))
     like = np.repeat(START, m, axis=0)
@@ -99,7 +99,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple
     weight = counts / counts.sum()
     for _ in range(rounds):
         good = posterior(patterns, prior, like)
-        prior = float(np.clip((weight * good).sum(), 0.05, 0.9))
+        prior = float(np.clip((weight * good).sum(), 0.01, 0.99))
         for r in range(m):
             for c, q in ((0, 1 - good), (1, good)):
                 s = np.bincount(patterns[:, r], weight * q, minlength=3) + ANCHOR * START[0, c]
@@ -118,7 +118,7 @@ def assess(docs: DataFrame) -> DataFrame:
     """One row per document: the base measures, ``base_failed``, ``quality`` (posterior of good) and ``kept``."""
     m = measures(docs)
     code = sum((F.when(F.expr(bad), 1).when(F.expr(good), 2).otherwise(0) * 3**i for i, (_, bad, good) in enumerate(RULES)), F.lit(0))
-    voted = m.withColumn("_votes", code.cast("int"))
+    voted = cut(m.withColumn("_votes", code.cast("int")))  # ten numbers a document: texts are read once
     rows = voted.groupBy("_votes").count().collect()  # 3^9 rows at most
     codes = np.array([r["_votes"] for r in rows], np.int64)
     patterns = np.stack([codes // 3**i % 3 for i in range(len(RULES))], axis=1) if len(codes) else np.zeros((0, len(RULES)), np.int64)
