@@ -118,14 +118,16 @@ def texts(docs: DataFrame) -> DataFrame:
     return slim(docs).withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def signatures(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def signatures(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, hashes=None) -> DataFrame:
     """(row, doc_id, key, n_shingles, h1, h2) of every row, and with some rows the hashes of sets' parts.
 
     Those stand together for ``BATCH`` hashes at a time: each once (sigs), with the first row of the batch that has it (row less
     ``back``), and the edges (a, b) from that row to the others that have it. So a hash that very many sets share is aggregated
-    before it is shuffled. Sets that the task has seen before have no hashes.
+    before it is shuffled. Sets that the task has seen before have no hashes. ``hashes`` gives other signatures than the parts':
+    from sets that follow each other and their sizes, the signatures and their owners, in the sets' order.
     """
     known = schemes(percent)
+    hashes = hashes or (lambda x, size: part_hashes(x, size, known))
 
     def run(batches):
         from pyspark import TaskContext
@@ -167,7 +169,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Dat
                     seen.add(s)
                     fresh[i] = True
             sizes = np.diff(at).astype(np.int64)
-            sig, owner = part_hashes(h[np.repeat(fresh, sizes)], sizes[fresh], known)
+            sig, owner = hashes(h[np.repeat(fresh, sizes)], sizes[fresh])
             ids = row + np.arange(len(part))
             row += len(part)
             held.append((sig, ids[np.flatnonzero(fresh)[owner]]))
@@ -336,9 +338,9 @@ def verified(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> Dat
     return edges.union(cut(dealt.groupBy("cluster", "block", "chunk").applyInPandas(_stray_links(percent), "a long, b long")))
 
 
-def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _labelled(docs: DataFrame, k: int, percent: int, hashes=None) -> tuple[DataFrame, DataFrame]:
     """Every row with its digest, and for each digest its component's smallest id and the key of the row that stands for it."""
-    held = cut(signatures(docs, k, percent))
+    held = cut(signatures(docs, k, percent, hashes))
     parts = held.filter("size(sigs) > 0").select("row", F.explode(F.arrays_zip("sigs", "back")).alias("_s")).select(F.col("_s.sigs").alias("sig"), (F.col("row") - F.col("_s.back")).alias("b"))
     among = parts.withColumn("a", F.min("b").over(Window.partitionBy("sig"))).filter("a <> b").select("a", "b")
     within = held.filter("size(a) > 0").select(F.explode(F.arrays_zip("a", "b")).alias("_s")).select("_s.a", "_s.b")
@@ -368,9 +370,9 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFra
     return rows, named
 
 
-def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, hashes=None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id: the smallest id reachable by links."""
-    held, named = _labelled(docs, k, percent)
+    held, named = _labelled(docs, k, percent, hashes)
     out = held.join(named, ["h1", "h2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

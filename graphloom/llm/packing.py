@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import array
 import json
+import re
 import zlib
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._spark import by_slice, cut, slim
 from ._text import worker_cache
-from .bpe import byte_symbols
+from .bpe import SPACE, byte_symbols
 
 LENGTH = 2048
 END = 0
@@ -35,6 +36,7 @@ SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # The byte vocabulary's pieces of text, and its special token.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = {"<|endoftext|>": 50256}
+_BLANK = re.compile(f"[{SPACE}]{{1000,}}")
 
 
 class _Chunks(dict):
@@ -71,10 +73,24 @@ class ByteEncoder:
         # merges are listed in the order of the ids of what they make
         ranks = {bytes(back[c] for c in token): i for token, i in vocabulary.items() if token not in SPECIAL}
         core = tiktoken.Encoding("byte_bpe", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.whole = core.encode_ordinary
+        self.whole, self.single = core.encode_ordinary, core.encode_single_piece
         self.chunks = _Chunks(core.encode_ordinary, core.encode_single_piece)
 
     def _plain(self, text: str) -> bytes:
+        """White space of a thousand and more characters is cut out: the pattern engine would run out of its stack there.
+
+        By the pattern such a run is one piece, but for its last character where something follows, which goes with that.
+        """
+        if not _BLANK.search(text):
+            return self._words(text) if text else b""
+        out, at = [], 0
+        for m in _BLANK.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += [self._words(text[at : m.start()]) if m.start() > at else b"", array.array("I", self.single(text[m.start() : end].encode())).tobytes()]
+            at = end
+        return b"".join([*out, self._words(text[at:]) if at < len(text) else b""])
+
+    def _words(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if "" in rest or not first:
             return array.array("I", self.whole(text)).tobytes()
