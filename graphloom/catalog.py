@@ -167,12 +167,13 @@ def dyad_census(spark, d):
     return triads.dyad_census(busy_trade(spark, d), nations(spark, d))
 
 
-def _bfs_sql(table: str) -> str:
-    hops = ["d0 AS (SELECT id s, id t, 0 d, 1.0 g FROM nodes)", "seen0 AS (SELECT s, t FROM d0)"]
+def _bfs_sql(table: str, d: str = "d", out: str = "apd") -> str:
+    """Distances and numbers of shortest paths up to six arcs; ``d`` and ``out`` name the rounds and the result."""
+    hops = [f"{d}0 AS (SELECT id s, id t, 0 d, 1.0 g FROM nodes)", f"seen_{d}0 AS (SELECT s, t FROM {d}0)"]
     for k in range(1, 7):
-        hops.append(f"d{k} AS (SELECT s, dst t, {k} d, sum(g) g FROM d{k - 1} JOIN {table} ON src = t WHERE NOT EXISTS (SELECT 1 FROM seen{k - 1} z WHERE z.s = d{k - 1}.s AND z.t = dst) GROUP BY 1, 2)")
-        hops.append(f"seen{k} AS (SELECT * FROM seen{k - 1} UNION ALL SELECT s, t FROM d{k})")
-    return ", ".join(hops) + ", apd AS (" + " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(7)) + ")"
+        hops.append(f"{d}{k} AS (SELECT s, dst t, {k} d, sum(g) g FROM {d}{k - 1} JOIN {table} ON src = t WHERE NOT EXISTS (SELECT 1 FROM seen_{d}{k - 1} z WHERE z.s = {d}{k - 1}.s AND z.t = dst) GROUP BY 1, 2)")
+        hops.append(f"seen_{d}{k} AS (SELECT * FROM seen_{d}{k - 1} UNION ALL SELECT s, t FROM {d}{k})")
+    return ", ".join(hops) + f", {out} AS (" + " UNION ALL ".join(f"SELECT * FROM {d}{k}" for k in range(7)) + ")"
 
 
 _APD = f"WITH {BUSY}, {NATIONS}, {_bfs_sql('busy')}"
@@ -779,3 +780,48 @@ def graphml_edges(spark, d):
 @query(f"WITH {NATIONS} SELECT id, 'nation <&> ' || id AS label, CAST(community AS BIGINT) community, community > 2 AS far FROM nodes")
 def graphml_nodes(spark, d):
     return _graphml(spark, d).nodes.select("id", "label", "community", "far")
+
+
+def _through(table: str, half: str = "1") -> str:
+    return f"SELECT x.t id, sum(x.g * y.g / z.g) / {half} b FROM {table} x JOIN {table} y ON x.t = y.s JOIN {table} z ON z.s = x.s AND z.t = y.t AND z.d = x.d + y.d WHERE x.d > 0 AND y.d > 0 GROUP BY 1"
+
+
+_NODE_PATHS = f"WITH {BUSY}, {NATIONS}, sym AS (SELECT src, dst FROM busy UNION SELECT dst, src FROM busy), {_bfs_sql('busy')}, {_bfs_sql('sym', 'q', 'apq')}, near AS (SELECT s id, sum(1.0 / d) x FROM apq WHERE d > 0 GROUP BY 1), one AS ({_through('apd')}), two AS ({_through('apq', '2')}), n AS (SELECT count(*) n FROM nodes), own AS (SELECT nodes.id node, coalesce(near.x, 0) / (n - 1) closeness_harmonic_sym, coalesce(one.b, 0.0) betweenness_directed, coalesce(two.b, 0.0) betweenness_undirected FROM nodes LEFT JOIN near USING (id) LEFT JOIN one USING (id) LEFT JOIN two USING (id), n)"
+
+
+@query(f"{_NODE_PATHS} SELECT node, {r('closeness_harmonic_sym', 'closeness_harmonic_sym')}, {r('betweenness_directed', 'betweenness_directed')}, {r('betweenness_undirected', 'betweenness_undirected')} FROM own")
+def path_measures(spark, d):
+    return summary.path_measures(busy_trade(spark, d), nations(spark, d))
+
+
+@query(f"{_NODE_PATHS}, m AS (SELECT (SELECT sum(x) FROM near) / (n * (n - 1)) v, n FROM n) SELECT 'mean_inverse_distance' AS measure, {r('v', 'value')} FROM m UNION ALL SELECT 'mean_inverse_distance_scaled', round(v / ln(n), 6) + 0.0 FROM m UNION ALL SELECT 'mean_closeness_harmonic_sym', round(avg(closeness_harmonic_sym), 6) + 0.0 FROM own UNION ALL SELECT 'mean_betweenness_directed', round(avg(betweenness_directed), 6) + 0.0 FROM own UNION ALL SELECT 'mean_betweenness_undirected', round(avg(betweenness_undirected), 6) + 0.0 FROM own")
+def path_summary(spark, d):
+    return summary.path_summary(busy_trade(spark, d), nations(spark, d))
+
+
+@query(ORACLE_SQL["bonacich_fixed_beta"].replace("SELECT id, round(", "SELECT id AS node, round("))
+def bonacich_table(spark, d):
+    return summary.bonacich_table(busy_trade(spark, d), nations(spark, d), beta=0.05)
+
+
+_AREAS = _LAYERS[_LAYERS.index("lay AS MATERIALIZED") :]
+_WEIGHTED = f"{_PLAN}, {NATIONS}, size AS (SELECT CAST(least(greatest(ceil(8 * log10(z / a)), 8), 64) AS BIGINT) l, a, z FROM g), taus2 AS MATERIALIZED (SELECT pow(10, log10(a) + k * ((log10(z) - log10(a)) / (l - 1))) tau FROM (SELECT unnest(range(l)) k, l, a, z FROM size)), {_AREAS.replace('trade, taus ', 'trade, taus2 ').replace('FROM taus g', 'FROM taus2 g').replace('t AS (SELECT x.tau', 'tri AS (SELECT x.tau').replace('.k bc FROM c x', '.k bc FROM c x').replace(' i, ab, ac, bc FROM t)', ' i, ab, ac, bc FROM tri)')}, s AS (SELECT *, (lead(log10(tau)) OVER w - log10(tau)) * (lead(density) OVER w + density) / 2 area FROM dense WINDOW w AS (PARTITION BY triad ORDER BY tau)), peak AS (SELECT triad, max(density) peak FROM dense GROUP BY 1), own AS (SELECT triad, coalesce(sum(area), 0.0) aumc, min(CASE WHEN density = peak THEN tau END) tau_peak FROM s JOIN peak USING (triad) GROUP BY 1)"
+
+
+@query(f"{_WEIGHTED} SELECT 'trade' AS network, (SELECT count(*) FROM nodes) n_nodes, (SELECT count(*) FROM trade) n_edges, 'directed' AS graph_type, (SELECT top FROM top) \"T_max\", (SELECT l FROM size) \"L\", round((SELECT a FROM size), 6) + 0.0 tau_min, round((SELECT z FROM size), 6) + 0.0 tau_max, 'analytic' AS method, " + ", ".join(f"round(max(CASE WHEN triad = '{c}' THEN aumc END), 6) + 0.0 AS \"aumc_{c}\"" for c in triads.CLASSES) + ", " + ", ".join(f"round(max(CASE WHEN triad = '{c}' THEN tau_peak END), 6) + 0.0 AS \"peaktau_{c}\"" for c in triads.CLASSES) + " FROM own")
+def weighted_triads(spark, d):
+    return summary.weighted_triad_row(nation_trade(spark, d), nations(spark, d), "trade", method="analytic").drop("wall_clock_s")
+
+
+@query(f"WITH {PART_PAIRS}, e AS (SELECT src id FROM pairs UNION ALL SELECT dst FROM pairs), k AS (SELECT CAST(count(*) AS DOUBLE) degree FROM e GROUP BY id) SELECT degree, count(*) n FROM k GROUP BY 1")
+def degree_distribution(spark, d):
+    from .sources.synthetic import degree_distribution
+
+    return degree_distribution(part_pairs(spark, d))
+
+
+@query(f"WITH {NATION_TRADE} SELECT * FROM (VALUES ('ends_known', true), ('no_loops', (SELECT count(*) FROM trade WHERE src = dst) = 0), ('no_repeats', true), ('has_edges', true), ('n_nodes', true), ('n_edges', (SELECT count(*) FROM trade) = 625), ('directed_flag', true), ('weighted_flag', true), ('weights_least_1', (SELECT min(weight) FROM trade) >= 1), ('weights_vary', (SELECT count(DISTINCT weight) FROM trade) > 1)) t(\"check\", passed)")
+def network_checks(spark, d):
+    from .sources.synthetic import check_network
+
+    return check_network(M.Network(nation_trade(spark, d), nations(spark, d), {"directed": True, "weighted": True}), 25, 625, True, True)

@@ -22,12 +22,16 @@ MAX_ARCS = 5_000_000
 
 def propensity(centrality: DataFrame, rho: float, pi_node: float, k: int, score: str = "score", by: By = ()) -> DataFrame:
     """The nodes with their bin of k by position and their relative propensity to be missing, of mean about 1."""
-    n = centrality.groupBy(*by).count().agg(F.max("count")).first()[0]
-    missing = min(max(round(pi_node * n), 1), n - 1)
-    beta, _ = solve_tilt(rho, k, n - missing, missing)
-    q = [float(x) for x in tilt(beta, k)]
+    sizes = centrality.groupBy(*by).agg(F.count("*").alias("_n"))
+    shares = {}
+    for (n,) in sizes.select("_n").distinct().collect():  # the groups' sizes
+        missing = min(max(round(pi_node * n), 1), n - 1)
+        shares[n] = [float(x) * k for x in tilt(solve_tilt(rho, k, n - missing, missing)[0], k)]
+    table = centrality.sparkSession.createDataFrame(list(shares.items()) or [(0, [0.0] * k)], "_n long, _q array<double>")
+    sizes = sizes.join(F.broadcast(table), "_n")
     binned = centrality.withColumn("bin", position_bin(score, k, by))
-    return binned.withColumn("propensity", F.element_at(F.array(*map(F.lit, q)), F.col("bin")) * k)
+    binned = binned.join(sizes, list(by)) if by else binned.crossJoin(F.broadcast(sizes))  # one row
+    return binned.withColumn("propensity", F.element_at("_q", F.col("bin"))).drop("_n", "_q")
 
 
 def apply_weight_removal(edges: DataFrame, removed: DataFrame, by: By = ()) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import credible_interval
 from ..model import distance_to_counts, roster
+from .community import champ, leiden
+from .paths import passes
 from .reconstruct import Setup, compute_setup, reconstruction_corpus
 
 
@@ -38,16 +40,54 @@ def strength_gini(edges: pd.DataFrame, ids: list) -> float:
 METRICS = {"total_weight": total_weight, "density": density, "max_weight": max_weight, "top_strength": top_strength, "strength_gini": strength_gini}
 
 
-def network_intervals(edges: DataFrame, nodes: DataFrame | None = None, metrics: dict | None = None, directed: bool = True, weighted: bool = True, pi_node: float = 0.1, pi_edge: float = 0.1, rho: float = 0.0, labels: DataFrame | None = None, weight_semantics: str = "count", weight_method: str = "scaled_reciprocal", tau: float | None = None, n_replicates: int = 1000, prob: float = 0.89, seed: int = 1, **options) -> DataFrame:
-    """``[metric, lower, median, upper, mean, sd, prob, n_valid]`` over replicates of the completed network."""
+def node_strength(edges: pd.DataFrame, ids: list) -> pd.Series:
+    """Weight of each node's arcs, out and in."""
+    return edges.groupby("src")["weight"].sum().reindex(ids, fill_value=0.0) + edges.groupby("dst")["weight"].sum().reindex(ids, fill_value=0.0)
+
+
+def node_betweenness(edges: pd.DataFrame, ids: list) -> pd.Series:
+    """Betweenness of each node by tie strength, arcs of weight 0 left out."""
+    own = edges[(edges["weight"] > 0) & (edges["src"] != edges["dst"])].groupby(["src", "dst"], as_index=False)["weight"].sum()
+    names = pd.Index(ids)
+    s, t = names.get_indexer(own["src"]), names.get_indexer(own["dst"])
+    o = np.lexsort((t, s))
+    start = np.searchsorted(s[o], np.arange(len(names) + 1))
+    return pd.Series(passes(len(names), start, t[o], 1 / own["weight"].to_numpy()[o], list(range(len(names))), False)[2], index=ids)
+
+
+NODE_METRICS = {"strength": node_strength, "betweenness": node_betweenness}
+
+
+def node_metric(metric: str, node: str):
+    """A metric of a network: one node's score, for ``network_intervals`` and the bootstrap."""
+    return lambda edges, ids: float(NODE_METRICS[metric](edges, ids).get(node, 0.0))
+
+
+def community_labels(edges: DataFrame, nodes: DataFrame, directed: bool = True, weighted: bool = True, method: str = "champ", seed: int = 1) -> DataFrame:
+    """``[id, community]`` of every node of the roster, nodes without ties included, by CHAMP or Leiden."""
+    if method not in ("champ", "leiden"):
+        raise ValueError(f"unknown method {method!r}")
+    found = champ(edges, nodes, directed=directed, weighted=weighted, seed=seed)["membership"] if method == "champ" else leiden(edges, nodes, directed=directed, weighted=weighted, seed=seed)
+    return nodes.select("id").join(found.select("id", "community"), "id", "left")
+
+
+def network_intervals(edges: DataFrame, nodes: DataFrame | None = None, metrics: dict | None = None, directed: bool = True, weighted: bool = True, pi_node: float = 0.1, pi_edge: float = 0.1, rho: float = 0.0, labels: DataFrame | None = None, weight_semantics: str = "count", weight_method: str = "scaled_reciprocal", tau: float | None = None, n_replicates: int = 1000, prob: float = 0.89, seed: int = 1, detect: str | None = None, **options) -> DataFrame:
+    """``[metric, lower, median, upper, mean, sd, prob, n_valid]`` over replicates of the completed network.
+
+    Without ``labels``, ``detect`` ("champ" or "leiden") finds communities first. Replicates that fail the gate are left out.
+    """
     metrics = metrics or METRICS
     if weight_semantics == "distance":
         edges = distance_to_counts(edges, weight_method, tau)
+    if labels is None and detect:
+        labels = community_labels(edges, roster(edges, nodes), directed, weighted, detect, seed)
     setup = compute_setup(edges, roster(edges, nodes), labels, directed, weighted, pi_node, pi_edge, rho, **options)
     return summarize(reconstruction_corpus(edges.sparkSession, setup, n_replicates, rho, seed, metrics), list(metrics), prob)
 
 
 def summarize(corpus: DataFrame, metrics: list[str], prob: float = 0.89) -> DataFrame:
+    if "gate_passed" in corpus.columns:
+        corpus = corpus.filter("gate_passed")
     long = corpus.unpivot(["sample_id"], metrics, "metric", "value")
     return credible_interval(long, "value", prob, ["metric"])
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,55 @@ def triad_table(edges: DataFrame, nodes: DataFrame | None = None, directed: bool
     return triads.triad_census(edges, roster(edges, nodes, BY), directed, BY).groupBy(*BY).pivot("triad", list(triads.CLASSES)).agg(F.first("count"))
 
 
+def path_measures(edges: DataFrame, nodes: DataFrame | None = None, directed: bool = True, direction: str = "symmetric", by: list[str] = ()) -> DataFrame:
+    """``[*by, node, closeness_harmonic_sym, betweenness_directed, betweenness_undirected]`` of every node, weights ignored."""
+    r = roster(edges, nodes, by)
+    near = paths.closeness(edges, r, directed, direction, by=by).withColumnRenamed("closeness", "closeness_harmonic_sym")
+    one = paths.betweenness(edges, r, directed, by=by).withColumnRenamed("betweenness", "betweenness_directed")
+    both = paths.betweenness(edges, r, False, by=by).withColumnRenamed("betweenness", "betweenness_undirected")
+    return near.join(one, [*by, "id"]).join(both, [*by, "id"]).withColumnRenamed("id", "node")
+
+
+def path_summary(edges: DataFrame, nodes: DataFrame | None = None, directed: bool = True, direction: str = "symmetric") -> DataFrame:
+    """``[measure, value]``: mean inverse distance, as it is and over ln N, and mean closeness and betweenness."""
+    r = roster(edges, nodes)
+    mid = lambda scaled: paths.mean_inverse_distance(edges, r, directed, direction=direction, scale_by_log_n=scaled)
+    means = path_measures(edges, r, directed, direction).agg(*(F.avg(c).alias(f"mean_{c}") for c in ("closeness_harmonic_sym", "betweenness_directed", "betweenness_undirected")))
+    out = mid(True).select(F.lit("mean_inverse_distance_scaled").alias("measure"), F.col("mid").alias("value")).union(mid(False).select(F.lit("mean_inverse_distance"), "mid"))
+    return out.union(means.unpivot([], means.columns, "measure", "value"))
+
+
+def bonacich_table(edges: DataFrame, nodes: DataFrame | None = None, directed: bool = True, beta: float | None = None, normalize: str = "none") -> DataFrame:
+    """``[node, bonacich, beta_used]`` of every node."""
+    return spectral.bonacich(edges, roster(edges, nodes), directed, beta=beta, normalize=normalize).withColumnRenamed("id", "node")
+
+
+def weighted_triad_row(edges: DataFrame, nodes: DataFrame | None = None, network: str = "(unnamed)", directed: bool = True, method: str = "auto") -> DataFrame:
+    """One row: sizes, the recommended grid, and area and peak threshold of each class over that grid."""
+    r = roster(edges, nodes)
+    began = time.time()
+    plan = triads.recommend_layers(edges, r, directed, method)
+    layers = triads.layered_census(edges, r, triads.tau_grid(edges, plan["L"], plan["tau_min"], plan["tau_max"]), directed)
+    found = {x["triad"]: x for x in triads.layer_summary(layers).collect()}  # 16 rows
+    row = {"network": network, "n_nodes": r.count(), "n_edges": edges.count(), "graph_type": "directed" if directed else "undirected", "T_max": plan["T_max"], "L": plan["L"], "tau_min": plan["tau_min"], "tau_max": plan["tau_max"], "method": plan["method"]}
+    row["wall_clock_s"] = round(time.time() - began, 2)
+    row |= {f"aumc_{c}": float(found[c]["aumc"]) for c in triads.CLASSES} | {f"peaktau_{c}": float(found[c]["tau_peak"]) for c in triads.CLASSES}
+    kinds = {str: "string", int: "long", float: "double"}
+    return edges.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"`{k}` {kinds[type(v)]}" for k, v in row.items()))
+
+
+def write_csv(df: DataFrame, path: str) -> str:
+    """A CSV folder with a header in each part."""
+    df.write.mode("overwrite").csv(path, header=True)
+    return path
+
+
+def write_node_tables(edges: DataFrame, nodes: DataFrame | None, out: str, name: str, directed: bool = True, beta: float | None = None) -> dict[str, str]:
+    """Path measures, their summary, and Bonacich centralities of one network as CSV folders, by kind."""
+    jobs = {"path_measures": path_measures(edges, nodes, directed), "summary": path_summary(edges, nodes, directed), "bonacich": bonacich_table(edges, nodes, directed, beta)}
+    return {kind: write_csv(df, f"{out}/{name}_{kind}") for kind, df in jobs.items()}
+
+
 def point_conditions(pool: DataFrame, rho_targets: list[float], levels: str = "nominal_pi_node", tol: float = 0.03, n_per_cell: int = 500, seed: int = 20260605) -> tuple[DataFrame, DataFrame]:
     """(chosen rows, fill report): for each network, level and target, up to ``n_per_cell`` rows of realized rho within ``tol``, by seeded hashes."""
     from pyspark.sql import Window
@@ -73,4 +124,4 @@ def sign_bins(corpus: DataFrame, edge: float = 0.05) -> DataFrame:
 def write_tables(networks: DataFrame, nodes: DataFrame | None, out: str, directed: bool = True) -> None:
     """The binary, weighted and triad tables of all networks as CSV folders."""
     for name, df in (("binary", network_summary(networks, nodes, directed)), ("weighted", network_summary(networks, nodes, directed, True)), ("triads", triad_table(networks, nodes, directed))):
-        df.coalesce(1).write.mode("overwrite").csv(f"{out}/{name}", header=True)
+        write_csv(df, f"{out}/{name}")

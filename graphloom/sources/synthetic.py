@@ -70,3 +70,47 @@ def random_weighted(spark: SparkSession, n: int = 50, density: float = 0.08, rat
     pairs = ids.toDF("src").crossJoin(F.broadcast(ids.toDF("dst"))).filter("src <> dst")
     e = pairs.filter(uniform(seed, "src", "dst") < density)
     return Network(e.select("src", "dst", F.greatest(F.lit(1), poisson(F.lit(rate), seed + 1, "src", "dst")).cast("double").alias("weight")), ids, {"directed": True, "weighted": True})
+
+
+def write_corpus(spark: SparkSession, out: str, seed: int = 42) -> dict[str, str]:
+    """Block models and preferential attachment networks, each directed or not and weighted or not, as eight GraphML files by name."""
+    from .graphml import write_graphml
+
+    files = {}
+    for directed in (False, True):
+        for weighted in (False, True):
+            kind = f"{'directed' if directed else 'undirected'}_{'weighted' if weighted else 'unweighted'}"
+            grown = preferential_attachment(spark, directed=directed, weighted=weighted, seeds=[seed])
+            for name, net in ((f"block_model_{kind}", block_model(spark, directed=directed, weighted=weighted, seed=seed)), (f"preferential_attachment_{kind}", Network(grown.edges.drop("network"), grown.nodes.drop("network"), grown.meta))):
+                files[name] = f"{out}/{name}.graphml"
+                write_graphml(Network(net.edges, net.nodes, net.meta | {"network_name": name}), files[name])
+    return files
+
+
+def degree_distribution(edges: DataFrame, nodes: DataFrame | None = None, directed: bool = False) -> DataFrame:
+    """``[degree, n]``: how many nodes have so many ties."""
+    from ..operators.degree import total_degree
+
+    return total_degree(edges, nodes, weighted=False, directed=directed).groupBy(F.col("total_degree").alias("degree")).agg(F.count("*").alias("n"))
+
+
+def check_network(net: Network, n_nodes: int | None = None, n_edges: int | None = None, directed: bool | None = None, weighted: bool | None = None) -> DataFrame:
+    """``[check, passed]``: counts and flags as expected, ends in the roster, no loops or repeated pairs, weights of the kind that the network says."""
+    e, v = net.edges, net.nodes
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    pair = ["src", "dst"] if net.meta.get("directed") else [low.alias("src"), high.alias("dst")]
+    one = e.agg(F.count("*").alias("m"), F.count_if(F.col("src") == F.col("dst")).alias("loops"), F.min("weight").alias("lo"), F.max("weight").alias("hi"), F.count_distinct("weight").alias("kinds")).first()
+    strangers = e.select(F.col("src").alias("id")).union(e.select("dst")).join(v.select("id"), "id", "left_anti")
+    checks = {"ends_known": strangers.isEmpty(), "no_loops": one["loops"] == 0, "no_repeats": e.select(*pair).distinct().count() == one["m"], "has_edges": one["m"] > 0}
+    if n_nodes is not None:
+        checks["n_nodes"] = v.count() == n_nodes
+    if n_edges is not None:
+        checks["n_edges"] = one["m"] == n_edges
+    for flag, want in (("directed", directed), ("weighted", weighted)):
+        if want is not None:
+            checks[f"{flag}_flag"] = net.meta.get(flag) is want
+    if weighted:
+        checks |= {"weights_least_1": one["lo"] is not None and one["lo"] >= 1, "weights_vary": one["kinds"] > 1}
+    elif weighted is False:
+        checks["weights_all_1"] = one["lo"] == one["hi"] == 1
+    return e.sparkSession.createDataFrame([(k, bool(x)) for k, x in checks.items()], "check string, passed boolean")
