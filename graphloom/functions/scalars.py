@@ -47,22 +47,40 @@ def rand_index(df: DataFrame, a: str, b: str, by: By = ()) -> DataFrame:
     return j.select(*by, F.when(all_ == 0, 1.0).otherwise((all_ + 2 * F.col("both") - F.col("in_a") - F.col("in_b")) / all_).alias("rand_index"))
 
 
-def tied_rank(value: str, by: By = ()) -> Column:
-    """Average rank of ties, from 1."""
+def ranked(df: DataFrame, value: str, by: By = ()) -> DataFrame:
+    """The rows with ``_below`` (rows of a smaller value), ``_same`` (rows of the same value, itself included) and ``_n`` (all rows).
+
+    Rows are counted by value first: the ordered pass runs over distinct values, and no task sees all rows.
+    """
+    counts = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_same"))
     w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+    below = F.sum("_same").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("_below", F.coalesce(below, F.lit(0))).withColumn("_n", F.sum("_same").over(w))
+    counts = counts.select(*[F.col(b).alias(f"_by_{b}") for b in by], "_v", "_same", "_below", "_n")
+    on = F.col(value).eqNullSafe(F.col("_v"))
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
+    return df.join(counts, on).drop("_v", *[f"_by_{b}" for b in by])
 
 
-def position_bin(value: str, k: int, by: By = (), tie: str = "id") -> Column:
-    """Bin ceil(position * k / n) of rows ordered by value and then id."""
-    w = Window.partitionBy(*by)
-    return F.ceil(F.row_number().over(w.orderBy(value, tie)) * k / F.count("*").over(w)).cast("int")
+def _finished(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.withColumn(name, value).drop("_below", "_same", "_n")
+
+
+def with_tied_rank(df: DataFrame, value: str, name: str, by: By = ()) -> DataFrame:
+    """Average rank of ties, from 1, as column ``name``."""
+    return _finished(ranked(df, value, by), name, F.col("_below") + (F.col("_same") + 1) / 2)
+
+
+def with_position_bin(df: DataFrame, value: str, k: int, name: str = "bin", by: By = (), tie: str = "id") -> DataFrame:
+    """Bin ceil(position * k / n) of rows ordered by value and then ``tie``; only rows of one value are ordered together."""
+    within = F.row_number().over(Window.partitionBy(*by, value).orderBy(tie))
+    return _finished(ranked(df, value, by), name, F.ceil((F.col("_below") + within) * k / F.col("_n")).cast("int"))
 
 
-def rank_bin(value: str, k: int, by: By = ()) -> Column:
+def with_rank_bin(df: DataFrame, value: str, k: int, name: str = "bin", by: By = ()) -> DataFrame:
     """Bin ceil(average rank / n * k), at least 1."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    return F.greatest(F.lit(1), F.ceil(tied_rank(value, by) / n * k)).cast("int")
+    return _finished(ranked(df, value, by), name, F.greatest(F.lit(1), F.ceil((F.col("_below") + (F.col("_same") + 1) / 2) / F.col("_n") * k)).cast("int"))
 
 
 def tau_b(df: DataFrame, score: str, missing: str, by: By = ()) -> DataFrame:

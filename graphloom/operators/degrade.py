@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.priors import solve_tilt, tau_b, tilt, weighted_draw
-from ..functions.scalars import position_bin
+from ..functions.scalars import with_position_bin
 from ..model import By, aggregate, roster
 
 MAX_ARCS = 5_000_000
@@ -29,7 +29,7 @@ def propensity(centrality: DataFrame, rho: float, pi_node: float, k: int, score:
         shares[n] = [float(x) * k for x in tilt(solve_tilt(rho, k, n - missing, missing)[0], k)]
     table = centrality.sparkSession.createDataFrame(list(shares.items()) or [(0, [0.0] * k)], "_n long, _q array<double>")
     sizes = sizes.join(F.broadcast(table), "_n")
-    binned = centrality.withColumn("bin", position_bin(score, k, by))
+    binned = with_position_bin(centrality, score, k, "bin", by)
     binned = binned.join(sizes, list(by)) if by else binned.crossJoin(F.broadcast(sizes))  # one row
     return binned.withColumn("propensity", F.element_at("_q", F.col("bin"))).drop("_n", "_q")
 
@@ -76,7 +76,7 @@ def ei_profile(nodes: DataFrame, n_rank: int = 4, n_ei: int = 3, by: By = ()) ->
     """``[*by, rank_bin, ei_bin, share, n]`` of nodes (id, degree, ei): how each degree bin spreads over equal E/I bins."""
     from pyspark.sql import Window
 
-    b = nodes.filter("ei is not null").withColumn("rank_bin", position_bin("degree", n_rank, by)).withColumn("ei_bin", F.least(F.floor((F.col("ei") + 1) / 2 * n_ei) + 1, F.lit(n_ei)).cast("int"))
+    b = with_position_bin(nodes.filter("ei is not null"), "degree", n_rank, "rank_bin", by).withColumn("ei_bin", F.least(F.floor((F.col("ei") + 1) / 2 * n_ei) + 1, F.lit(n_ei)).cast("int"))
     c = b.groupBy(*by, "rank_bin", "ei_bin").agg(F.count("*").alias("c"))
     n = F.sum("c").over(Window.partitionBy(*by, "rank_bin"))
     return c.select(*by, "rank_bin", "ei_bin", (F.col("c") / n).alias("share"), n.alias("n"))

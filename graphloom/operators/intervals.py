@@ -102,9 +102,9 @@ def node_bias(scores: DataFrame, truth: DataFrame, spearman: bool = False) -> Da
     """One row: 1 - correlation between each node's median over replicates (sample_id, id, score) and its true score (id, score)."""
     m = scores.groupBy("id").agg(F.percentile("score", F.lit(0.5)).alias("m")).join(truth.select("id", F.col("score").alias("t")), "id")
     if spearman:
-        from ..functions.scalars import tied_rank
+        from ..functions.scalars import with_tied_rank
 
-        m = m.withColumn("m", tied_rank("m")).withColumn("t", tied_rank("t"))
+        m = with_tied_rank(with_tied_rank(m, "m", "_rm"), "t", "_rt").select("id", F.col("_rm").alias("m"), F.col("_rt").alias("t"))
     return m.agg((1 - F.corr("m", "t")).alias("bias"), F.count("*").alias("n"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.priors import solve_tilt, tau_b, tilt, weighted_draw
-from ..functions.scalars import rank_bin
+from ..functions.scalars import with_rank_bin
 from ..model import aggregate, roster, undirected
 from .degrade import MAX_ARCS, ei_scores
 
@@ -38,7 +38,7 @@ def binned(edges: DataFrame, nodes: DataFrame, labels: DataFrame | None, directe
     c = centrality(edges, nodes, directed, by)
     c = c.join(ei_scores(edges, labels, nodes, by), [*by, "id"], "left") if labels is not None else c.withColumn("ei", F.lit(None).cast("double"))
     ei_bin = F.when(F.col("ei") < -EI_EDGE, 1).when(F.col("ei") > EI_EDGE, 3).otherwise(2) if labels is not None else F.lit(1)
-    return c.withColumn("bin", rank_bin("score", k, by)).withColumn("ei_bin", ei_bin)
+    return with_rank_bin(c.withColumn("ei_bin", ei_bin), "score", k, "bin", by).select(*by, "id", "score", "ei", "bin", "ei_bin")
 
 
 def _cells(k: int, j: int, spark) -> DataFrame:
