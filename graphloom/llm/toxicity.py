@@ -30,6 +30,8 @@ from ._text import _LOWER, worker_cache
 TRAINING_DOCS = 20_000
 #: What cross-validation chooses from: toxic documents that a feature must occur in, and how much likelier than elsewhere (log odds) it must be.
 SUPPORTS, LEAST_ODDS, FOLDS = (2, 3, 5, 10, 20), (2.0, 3.0, 4.0), 5
+#: Disguised words that a worker remembers.
+RESTORED = 40_000
 #: Characters of a token after which the decode writes out what all its readings agree on.
 FLUSH = 256
 STEMS = (4, 5, 6)
@@ -145,12 +147,16 @@ def readings(text: str, lm: np.ndarray) -> set[str]:
     odd |= {m.group(0) for m in _SPACED.finditer(low)}
     for w in odd:
         if w not in held:
-            if len(held) > 200_000:
-                held.clear()
             plain = restore(w, lm)
             # a stretched letter may stand for one or for two
-            held[w] = {plain, re.sub(r"(.)\1+", r"\1", plain), re.sub(r"(.)\1{2,}", r"\1\1", plain)}
-        out |= held[w]
+            found = tuple({plain, re.sub(r"(.)\1+", r"\1", plain), re.sub(r"(.)\1{2,}", r"\1\1", plain)})
+            if len(held) >= RESTORED:
+                held.clear()
+            if len(w) <= 64:
+                held[w] = found
+        else:
+            found = held[w]
+        out.update(found)
     return out
 
 
