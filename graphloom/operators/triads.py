@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rand import uniform
 from ..model import By, cut, mutual_only, no_loops, roster, simple, with_weight
 from .clustering import triangles
 
@@ -184,7 +185,7 @@ def weighted_census(census: DataFrame, weights: str | list[float] = "RC", by: By
 def tau_statistic(edges: DataFrame, nodes=None, weights: str | list[float] = "RC", n_samples: int = 500, seed: int = 20260101) -> DataFrame:
     """One row: the weighted census against ``n_samples`` random graphs of the same mutual and one-way dyads, all in one job.
 
-    Each sample draws its dyads from pair numbers by seeded hashes: N(N-1)/2 numbers are ranked for each sample, in its own group.
+    Each sample draws its connected dyads from the numbers of all pairs, without replacement, by its own seed.
     """
     spark = edges.sparkSession
     r = cut(roster(edges, nodes))
@@ -192,17 +193,23 @@ def tau_statistic(edges: DataFrame, nodes=None, weights: str | list[float] = "RC
     n, m, a = r.count(), d["M"], d["A"]
     score = lambda c, by=(): weighted_census(c, weights, by).withColumnRenamed("total", "t")
     seen = score(triad_census(edges, r)).first()["t"]
-    pairs = n * (n - 1) // 2
-    grid = spark.range(n_samples).withColumnRenamed("id", "sample").select("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pairs - 1).cast("long"))).alias("pair"))
-    order = Window.partitionBy("sample").orderBy(uniform(seed, "sample", "pair"), "pair")
-    chosen = grid.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= m + a)
-    # pair number -> (i, j), i < j, by the triangular root
-    j = F.floor((1 + F.sqrt(1 + 8 * F.col("pair").cast("double"))) / 2).cast("long")
-    i = (F.col("pair") - j * (j - 1) / 2).cast("long")
-    ends = chosen.select("sample", "k", i.alias("i"), j.alias("j"), (uniform(seed + 1, "sample", "pair") < 0.5).alias("up"))
-    up = ends.filter((F.col("k") <= m) | F.col("up")).select("sample", F.col("i").cast("string").alias("src"), F.col("j").cast("string").alias("dst"))
-    down = ends.filter((F.col("k") <= m) | ~F.col("up")).select("sample", F.col("j").cast("string").alias("src"), F.col("i").cast("string").alias("dst"))
+
+    def draw(frames):
+        for pdf in frames:
+            for k in pdf["id"].tolist():
+                rng = np.random.default_rng([seed, k])
+                pair = rng.choice(n * (n - 1) // 2, m + a, replace=False) if m + a else np.zeros(0, np.int64)
+                j = ((1 + np.sqrt(1 + 8 * pair.astype(float))) / 2).astype(np.int64)  # pair number to (i, j), i < j
+                j -= j * (j - 1) // 2 > pair
+                j += j * (j + 1) // 2 <= pair
+                i = pair - j * (j - 1) // 2
+                up = rng.random(m + a) < 0.5
+                both = np.arange(m + a) < m
+                src, dst = np.concatenate([i[both | up], j[both | ~up]]), np.concatenate([j[both | up], i[both | ~up]])
+                yield pd.DataFrame({"sample": k, "src": src.astype(str), "dst": dst.astype(str)})
+
+    drawn = cut(spark.range(n_samples).repartition(max(1, min(n_samples, spark.sparkContext.defaultParallelism))).mapInPandas(draw, "sample long, src string, dst string"))
     ids = spark.range(n_samples).select(F.col("id").alias("sample"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("node")).select("sample", F.col("node").cast("string").alias("id"))
-    t = score(triad_census(up.union(down), ids, by=["sample"]), ["sample"])
+    t = score(triad_census(drawn, ids, by=["sample"]), ["sample"])
     s = t.agg(F.avg("t").alias("mean"), F.coalesce(F.stddev_samp("t"), F.lit(0.0)).alias("sd"))
     return s.select(F.lit(float(seen)).alias("observed"), "mean", "sd", F.when(F.col("sd") > 0, (F.lit(float(seen)) - F.col("mean")) / F.col("sd")).otherwise(0.0).alias("tau"), F.lit(n_samples).alias("n_samples"), F.lit(m).alias("M"), F.lit(a).alias("A"), F.lit(d["N"]).alias("N"))

@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rand import poisson, uniform
 from ..model import Network
 
 
@@ -20,15 +19,45 @@ def blocks(spark: SparkSession, n: int, k: int) -> DataFrame:
     return spark.range(n).select((i + 1).cast("string").alias("id"), b.cast("int").alias("block"))
 
 
+def chosen(rng: np.random.Generator, p: float, lo: int, hi: int) -> np.ndarray:
+    """The numbers from lo on below hi of which each is taken with probability p, by the gaps between them: work grows with what is taken."""
+    if p <= 0 or hi <= lo:
+        return np.zeros(0, np.int64)
+    out, at = [], lo - 1
+    while at < hi:
+        places = at + np.cumsum(rng.geometric(min(p, 1.0), int((hi - at) * p * 1.1) + 16))
+        out.append(places[places < hi])
+        at = int(places[-1])
+    return np.concatenate(out)
+
+
+def _drawn(spark: SparkSession, n: int, row) -> DataFrame:
+    """Arcs of each of n nodes, by ``row(i)``, which gives the ends' numbers and the weights."""
+
+    def run(frames):
+        for pdf in frames:
+            for i in pdf["id"].tolist():
+                to, w = row(i)
+                yield pd.DataFrame({"src": str(i + 1), "dst": (to + 1).astype(str), "weight": np.asarray(w, float)})
+
+    return spark.range(n).mapInPandas(run, "src string, dst string, weight double")
+
+
 def block_model(spark: SparkSession, n: int = 600, k: int = 6, p_in: float = 0.10, p_out: float = 0.008, directed: bool = False, weighted: bool = False, rate: float = 2.0, seed: int = 42) -> Network:
-    """Each pair is tied by chance, more often within a block. Pairs are drawn where they are made: n*n cheap rows, none shuffled."""
-    v = blocks(spark, n, k)
-    a, b = v.toDF("src", "bs"), v.toDF("dst", "bd")
-    order = F.col("src") != F.col("dst") if directed else F.col("src").cast("int") < F.col("dst").cast("int")
-    pairs = a.crossJoin(F.broadcast(b)).filter(order)  # a model over all pairs, n nodes on the broadcast side
-    e = pairs.filter(uniform(seed, "src", "dst") < F.when(F.col("bs") == F.col("bd"), p_in).otherwise(p_out))
-    w = 1.0 + poisson(F.lit(rate), seed + 1, "src", "dst") if weighted else F.lit(1.0)
-    return Network(e.select("src", "dst", w.cast("double").alias("weight")), v, {"directed": directed, "weighted": weighted})
+    """Each pair is tied by chance, more often within a block. Only tied pairs are made, each node's by its own seed."""
+    size, more = divmod(n, k)
+
+    def row(i: int):
+        b = i // (size + 1) if i < more * (size + 1) else more + (i - more * (size + 1)) // size
+        lo = b * size + min(b, more)
+        hi = lo + size + (b < more)
+        rng = np.random.default_rng([seed, i])
+        parts = ((0, lo, p_out), (lo, hi, p_in), (hi, n, p_out)) if directed else ((i + 1, hi, p_in), (hi, n, p_out))
+        to = np.concatenate([chosen(rng, p, a, z) for a, z, p in parts])
+        to = to[to != i]
+        return to, 1 + rng.poisson(rate, len(to)) if weighted else np.ones(len(to))
+
+    return Network(_drawn(spark, n, row), blocks(spark, n, k), {"directed": directed, "weighted": weighted})
 
 
 def attachment_edges(n: int, m: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +95,14 @@ def preferential_attachment(spark: SparkSession, n: int = 250, m: int = 2, direc
 
 def random_weighted(spark: SparkSession, n: int = 50, density: float = 0.08, rate: float = 3.0, seed: int = 42) -> Network:
     """Arcs by chance, with Poisson weights of at least 1."""
-    ids = spark.range(1, n + 1).select(F.col("id").cast("string"))
-    pairs = ids.toDF("src").crossJoin(F.broadcast(ids.toDF("dst"))).filter("src <> dst")
-    e = pairs.filter(uniform(seed, "src", "dst") < density)
-    return Network(e.select("src", "dst", F.greatest(F.lit(1), poisson(F.lit(rate), seed + 1, "src", "dst")).cast("double").alias("weight")), ids, {"directed": True, "weighted": True})
+
+    def row(i: int):
+        rng = np.random.default_rng([seed, i])
+        to = chosen(rng, density, 0, n)
+        to = to[to != i]
+        return to, np.maximum(1, rng.poisson(rate, len(to)))
+
+    return Network(_drawn(spark, n, row), spark.range(1, n + 1).select(F.col("id").cast("string")), {"directed": True, "weighted": True})
 
 
 def write_corpus(spark: SparkSession, out: str, seed: int = 42) -> dict[str, str]:

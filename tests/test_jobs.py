@@ -93,3 +93,27 @@ def test_weightings():
     assert sum(triads.weighting("RC")) == 8 and sum(triads.weighting("transitivity")) == 10
     with pytest.raises(ValueError):
         triads.weighting([1.0])
+
+
+def test_tau_statistic_tells_clusters_from_chance(spark, cliques):
+    import numpy as np
+
+    both = cliques.filter("src <> 'a0' or dst <> 'b0'").unionByName(cliques.filter("src <> 'a0' or dst <> 'b0'").selectExpr("dst src", "src dst", "weight"))
+    clustered = triads.tau_statistic(both, n_samples=40).first()
+    assert (clustered["M"], clustered["A"], clustered["N"]) == (30, 0, 36) and clustered["tau"] > 5 and clustered["sd"] > 0
+    rng = np.random.default_rng(4)
+    arcs = {(int(a), int(b)) for a, b in rng.integers(0, 20, (120, 2)) if a != b}
+    chance = triads.tau_statistic(spark.createDataFrame([(str(a), str(b), 1.0) for a, b in arcs], "src string, dst string, weight double"), weights="transitivity", n_samples=60).first()
+    assert abs(chance["tau"]) < 4
+    none = triads.tau_statistic(cliques.limit(0), spark.createDataFrame([("x",), ("y",), ("z",)], "id string"), n_samples=3).first()
+    assert none["M"] == none["A"] == 0 and none["N"] == 3 and none["tau"] == 0
+
+
+def test_draws_by_gaps():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for p, lo, hi in ((0.3, 5, 20_005), (0.001, 0, 100_000), (1.0, 3, 50), (0.0, 0, 9), (0.5, 7, 7)):
+        got = synthetic.chosen(rng, p, lo, hi)
+        n = hi - lo
+        assert len(set(got.tolist())) == len(got) and all(lo <= x < hi for x in got) and abs(len(got) - n * p) <= 5 * (n * p * (1 - p)) ** 0.5 + 1e-9
