@@ -75,7 +75,7 @@ def gini(spark, d):
     return scalars.gini(degree.total_degree(part_pairs(spark, d), directed=False), "total_degree")
 
 
-@query(f"WITH {NATION_TRADE}, s AS (SELECT dst, sum(weight) x FROM trade GROUP BY 1) SELECT {r('stddev_samp(x)', 'centralization')} FROM s")
+@query(f"WITH {NATION_TRADE}, n AS (SELECT src id FROM trade UNION SELECT dst FROM trade), s AS (SELECT id, coalesce(sum(weight), 0) x FROM n LEFT JOIN trade ON dst = id GROUP BY 1) SELECT {r('stddev_samp(x)', 'centralization')} FROM s")
 def centralization(spark, d):
     return scalars.centralization(degree.in_degree(nation_trade(spark, d)), "in_degree")
 
