@@ -765,7 +765,7 @@ def test_very_long_texts(spark, name):
     began = time.time()
     ids = {r["doc_id"] for r in run(docs).select("doc_id").collect()}
     assert ids >= ({*range(7), 8} if name in ("join", "substrings") else set(range(9)))
-    assert time.time() - began < 150
+    assert time.time() - began < 400
 
 
 def test_pipeline_against_its_stages(spark, sf_dir, tmp_path, base):
