@@ -185,6 +185,7 @@ def dominant(lines: DataFrame, lo: float, hi: float) -> DataFrame:
 
 def champ(edges: DataFrame, nodes=None, resolution_range: tuple[float, float] = (0.1, 1.8), n_resolutions: int = 30, n_runs: int = 5, directed: bool = False, weighted: bool = True, seed: int = 1) -> dict:
     """Leiden over a grid of resolutions; the partitions that are best somewhere; and of neighbouring ones with more than one community the step with the largest change in p, its lower side.
+    Without arcs every node is its own community, there are no lines, and gamma is the range's lower end.
 
     Returns ``membership`` (id, community), ``lines`` and ``dominant`` as DataFrames, and the chosen gamma.
     """
@@ -202,6 +203,9 @@ def champ(edges: DataFrame, nodes=None, resolution_range: tuple[float, float] =
     rows = sorted(top.filter("communities > 1").collect(), key=lambda r: r["low"])  # partitions on the upper hull: fewer than runs
     if not rows:
         rows = sorted(top.collect(), key=lambda r: r["low"])
+    if not rows and lines.isEmpty():  # no arcs: every run leaves each node on its own
+        alone = membership.join(F.broadcast(keys.agg(F.min("key").alias("key"))), "key").select("id", "community")  # one key
+        return {"membership": alone, "lines": lines, "dominant": top, "gamma": lo, "communities": alone.count()}
     best = max(zip(rows, rows[1:]), key=lambda ab: abs(ab[0]["p"] - ab[1]["p"]), default=(rows[0], rows[0]))
     chosen = min(best, key=lambda r: r["p"])
     return {"membership": membership.filter(F.col("key") == chosen["key"]).select("id", "community"), "lines": lines, "dominant": top, "gamma": (chosen["low"] + chosen["high"]) / 2, "communities": chosen["communities"]}

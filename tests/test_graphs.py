@@ -153,3 +153,12 @@ def test_groups_do_not_mix(spark):
     got = {r["network"]: r["largest_component"] for r in components.largest_component(both, by=["network"]).collect()}
     assert got == {"a": 0.5, "b": 0.5}
     assert {r["network"]: r["count"] for r in triads.triad_census(both, by=["network"]).filter("triad = '030C'").collect()} == {"a": 1, "b": 0}
+
+
+def test_champ_without_arcs(spark):
+    none = edges(spark, FOUNDATION).filter("src is null")
+    c = community.champ(none, directed=False, n_resolutions=2, n_runs=1)
+    assert c["membership"].columns == ["id", "community"] and c["membership"].count() == c["communities"] == 0
+    c = community.champ(none, ids(spark, 3), directed=False, n_resolutions=2, n_runs=1)
+    assert sorted(r["id"] for r in c["membership"].collect()) == ["1", "2", "3"] and c["communities"] == 3
+    assert c["membership"].select("community").distinct().count() == 3
