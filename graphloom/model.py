@@ -148,8 +148,12 @@ def contract(edges: DataFrame, membership: DataFrame, column: str = "community",
     return aggregate(e, "sum", by) if directed else undirected(e, "sum", by)
 
 
-def distance_to_counts(edges: DataFrame, method: str = "scaled_reciprocal", tau: float | None = None, target_median: float = 10.0, by: By = ()) -> DataFrame:
-    """Distances turned into whole counts of ties; rows of count 0 go. Ties are rounded half to even."""
+def distance_to_counts(edges: DataFrame, method: str = "scaled_reciprocal", tau: float | None = None, target_median: float = 10.0, by: By = (), underflow: float | None = None) -> DataFrame:
+    """Distances turned into whole counts of ties; rows of count 0 go. Ties are rounded half to even.
+
+    ``underflow``: the factor of ``exp_decay`` where the median decay is 0, as for distances of many hundred ``tau``; ``target_median``
+    if not given. Infinity gives what floating point division by 0 does: counts that are infinite, or NaN for a decay of 0.
+    """
     key = list(by)
     stats = edges.groupBy(*key).agg(F.max("weight").alias("_max"), F.percentile("weight", F.lit(0.5)).alias("_median"))
     e = edges.join(stats, key) if key else edges.crossJoin(F.broadcast(stats))  # one row
@@ -168,7 +172,8 @@ def distance_to_counts(edges: DataFrame, method: str = "scaled_reciprocal", tau:
         raw = F.exp(-w / tau)
         mid = e.withColumn("_raw", raw).groupBy(*key).agg(F.percentile("_raw", F.lit(0.5)).alias("_mid"))
         e = e.join(mid, key) if key else e.crossJoin(F.broadcast(mid))
-        n = F.bround(F.lit(target_median) / F.col("_mid") * raw)
+        factor = F.when(F.col("_mid") > 0, F.lit(float(target_median)) / F.col("_mid")).otherwise(float(target_median if underflow is None else underflow))
+        n = F.bround(factor * raw)
     else:
         raise ValueError(f"unknown method {method!r}")
     return e.withColumn("weight", n.cast("double")).filter("weight > 0").select(edges.columns)

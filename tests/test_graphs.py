@@ -162,3 +162,10 @@ def test_champ_without_arcs(spark):
     c = community.champ(none, ids(spark, 3), directed=False, n_resolutions=2, n_runs=1)
     assert sorted(r["id"] for r in c["membership"].collect()) == ["1", "2", "3"] and c["communities"] == 3
     assert c["membership"].select("community").distinct().count() == 3
+
+
+def test_decay_of_far_distances(spark):
+    far = edges(spark, [("1", "2", 60000), ("1", "3", 60001), ("2", "3", 30000)])
+    assert model.distance_to_counts(far, "exp_decay", tau=50.0).count() == 0
+    got = {r["dst"] + r["src"]: r["weight"] for r in model.distance_to_counts(far, "exp_decay", tau=50.0, underflow=math.inf).collect()}
+    assert math.isnan(got["21"]) and math.isnan(got["31"]) and got["32"] == math.inf
