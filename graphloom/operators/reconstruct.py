@@ -84,8 +84,8 @@ def ei_conditional(bins: DataFrame, k: int, j: int) -> DataFrame:
     return c.select("bin", "ei_bin", F.when(total > 0, F.col("n") / total).otherwise(1.0 / j).alias("share"))
 
 
-def bin_tendencies(edges: DataFrame, bins: DataFrame, k: int, silent: DataFrame | None = None) -> DataFrame:
-    """``[bin, degree, strength, out_share]``: mean in-plus-out degree and strength of respondents, and outgoing share; all nodes' means where a bin is empty."""
+def bin_tendencies(edges: DataFrame, bins: DataFrame, k: int, silent: DataFrame | None = None, empty: float = 0.0) -> DataFrame:
+    """``[bin, degree, strength, out_share]``: mean in-plus-out degree and strength of respondents, and outgoing share; all nodes' means where a bin is empty, and ``empty`` for a share of no ties at all."""
     ends = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.col("weight").alias("s")).union(edges.select(F.col("dst").alias("id"), F.lit(0), "weight"))
     own = ends.groupBy("id").agg(F.count("*").alias("t"), F.sum("o").alias("o"), F.sum("s").alias("s"))
     b = bins if silent is None else bins.join(silent.select("id"), "id", "left_anti")
@@ -93,7 +93,7 @@ def bin_tendencies(edges: DataFrame, bins: DataFrame, k: int, silent: DataFrame
     means = (F.avg("t").alias("degree"), F.avg("s").alias("strength"), F.when(F.sum("t") > 0, F.sum("o") / F.sum("t")).alias("out_share"))
     whole = b.agg(*means).select(F.col("degree").alias("gd"), F.col("strength").alias("gs"), F.col("out_share").alias("go"))
     rows = edges.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("bin")).join(b.groupBy("bin").agg(*means), "bin", "left").crossJoin(F.broadcast(whole))  # one row
-    return rows.select("bin", F.coalesce("degree", "gd", F.lit(0.0)).alias("degree"), F.coalesce("strength", "gs", F.lit(0.0)).alias("strength"), F.coalesce("out_share", "go", F.lit(0.0)).alias("out_share"))
+    return rows.select("bin", F.coalesce("degree", "gd", F.lit(0.0)).alias("degree"), F.coalesce("strength", "gs", F.lit(0.0)).alias("strength"), F.coalesce("out_share", "go", F.lit(empty)).alias("out_share"))
 
 
 def n_added(pi_node: float, n: int, nominated: int = 0) -> int:
