@@ -80,11 +80,12 @@ def directed_transitivity(edges: DataFrame, nodes=None, by: By = ()) -> DataFram
     return j.select(*by, "id", n.alias("triplets"), "closed", F.when(n > 0, F.col("closed") / n).otherwise(0.0).alias("transitivity"))
 
 
-def global_clustering(edges: DataFrame, nodes=None, directed: bool = True, method: str = "average", by: By = ()) -> DataFrame:
-    """``[*by, clustering]``: the mean local coefficient over nodes of two neighbours or more, or transitivity."""
+def global_clustering(edges: DataFrame, nodes=None, directed: bool = True, method: str = "average", by: By = (), empty: float | None = 0.0) -> DataFrame:
+    """``[*by, clustering]``: the mean local coefficient over nodes of two neighbours or more, or transitivity; ``empty`` where there are none."""
+    none = F.lit(empty).cast("double")
     if method == "average":
         c = local_density(edges, nodes, directed, by=by).join(local_clustering(edges, nodes, by).filter("degree >= 2").select(*by, "id"), [*by, "id"], "left_semi")
-        return c.groupBy(*by).agg(F.coalesce(F.avg("local_clustering"), F.lit(0.0)).alias("clustering"))
+        return c.groupBy(*by).agg(F.coalesce(F.avg("local_clustering"), none).alias("clustering"))
     if directed:
         a = directed_transitivity(edges, nodes, by).groupBy(*by).agg(F.sum("closed").alias("c"), F.sum("triplets").alias("t"))
     else:
