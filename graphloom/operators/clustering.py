@@ -90,4 +90,4 @@ def global_clustering(edges: DataFrame, nodes=None, directed: bool = True, metho
         a = directed_transitivity(edges, nodes, by).groupBy(*by).agg(F.sum("closed").alias("c"), F.sum("triplets").alias("t"))
     else:
         a = local_clustering(edges, nodes, by).groupBy(*by).agg((2 * F.sum("triangles")).alias("c"), F.sum(F.col("degree") * (F.col("degree") - 1)).alias("t"))
-    return a.select(*by, F.when(F.col("t") > 0, F.col("c") / F.col("t")).otherwise(0.0).alias("clustering"))
+    return a.select(*by, F.when(F.col("t") > 0, F.col("c") / F.col("t")).otherwise(none).alias("clustering"))
