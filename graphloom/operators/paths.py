@@ -149,13 +149,13 @@ def betweenness(edges: DataFrame, nodes=None, directed: bool = True, interpretat
     return d.select(*by, "id", (F.when(most > 0, b / most).otherwise(0.0) if normalize else b).alias("betweenness"))
 
 
-def mean_inverse_distance(edges: DataFrame, nodes=None, directed: bool = True, interpretation: str = "ignore", direction: str = "symmetric", scale_by_log_n: bool = True, by: By = ()) -> DataFrame:
-    """``[*by, mid]``: mean 1/d over ordered pairs, over ln N if scaled; ``direction`` as for closeness."""
+def mean_inverse_distance(edges: DataFrame, nodes=None, directed: bool = True, interpretation: str = "ignore", direction: str = "symmetric", scale_by_log_n: bool = True, by: By = (), empty: float | None = 0.0) -> DataFrame:
+    """``[*by, mid]``: mean 1/d over ordered pairs, over ln N if scaled, and ``empty`` where no path is; ``direction`` as for closeness."""
     d = _sized(all_pairs(edges, nodes, directed and direction != "symmetric", interpretation, by=by), by)
     c = F.col("inv_in" if direction == "in" else "inv_out")
     a = d.groupBy(*by).agg(F.sum(c).alias("s"), F.first("_n").alias("n"))
     v = F.col("s") / (F.col("n") * (F.col("n") - 1))
-    return a.select(*by, F.when(F.col("n") > 1, v / F.log("n") if scale_by_log_n else v).otherwise(0.0).alias("mid"))
+    return a.select(*by, F.when(F.col("s") > 0, v / F.log("n") if scale_by_log_n else v).otherwise(F.lit(empty).cast("double")).alias("mid"))
 
 
 def bfs_levels(edges: DataFrame, sources: DataFrame, directed: bool = True, max_depth: int = 1000, by: By = ()) -> DataFrame:
