@@ -57,10 +57,10 @@ def path_measures(edges: DataFrame, nodes: DataFrame | None = None, directed: bo
     return near.join(one, [*by, "id"]).join(both, [*by, "id"]).withColumnRenamed("id", "node")
 
 
-def path_summary(edges: DataFrame, nodes: DataFrame | None = None, directed: bool = True, direction: str = "symmetric") -> DataFrame:
-    """``[measure, value]``: mean inverse distance, as it is and over ln N, and mean closeness and betweenness."""
+def path_summary(edges: DataFrame, nodes: DataFrame | None = None, directed: bool = True, direction: str = "symmetric", empty: float | None = 0.0) -> DataFrame:
+    """``[measure, value]``: mean inverse distance, as it is and over ln N (``empty`` where no path is), and mean closeness and betweenness."""
     r = roster(edges, nodes)
-    mid = lambda scaled: paths.mean_inverse_distance(edges, r, directed, direction=direction, scale_by_log_n=scaled)
+    mid = lambda scaled: paths.mean_inverse_distance(edges, r, directed, direction=direction, scale_by_log_n=scaled, empty=empty)
     means = path_measures(edges, r, directed, direction).agg(*(F.avg(c).alias(f"mean_{c}") for c in ("closeness_harmonic_sym", "betweenness_directed", "betweenness_undirected")))
     out = mid(True).select(F.lit("mean_inverse_distance_scaled").alias("measure"), F.col("mid").alias("value")).union(mid(False).select(F.lit("mean_inverse_distance"), "mid"))
     return out.union(means.unpivot([], means.columns, "measure", "value"))
