@@ -1,5 +1,5 @@
 """Substring dedup by content-defined chunking: a gear rolling hash cuts texts into variable chunks, chunks are compared by
-digest, and matching chunks are anchors from which a passage is followed to its exact ends.
+64-bit digest, and matching chunks are anchors: once their texts agree, a passage is followed from them to its exact ends.
 
 A cut stands where the hash of the last 16 bytes is the least within ``REACH`` bytes on both sides, so it depends on what is
 near and on no earlier cut: a passage is cut alike in all texts but for its edges. The first document (by id) that has a chunk
@@ -76,7 +76,7 @@ def cuts(data: np.ndarray) -> list[int]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(d1, d2, doc_id, start, length, fresh) of each chunk: its 128-bit digest, its place in code points, and whether its text had none like it before."""
+    """(digest, doc_id, start, length, fresh) of each chunk: its 64-bit digest, its place in code points, and whether its text had none like it before."""
 
     def kernel(part):
         d, ids, starts, lengths, fresh = [], [], [], [], []
@@ -89,8 +89,8 @@ def chunks(docs: DataFrame) -> DataFrame:
             plain = len(t) == len(raw)
             at = [0, *ends]
             chars = at if plain else np.append(0, np.cumsum((data & 0xC0) != 0x80))[at].tolist()
-            own = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(at, ends)]
-            seen: set[bytes] = set()
+            own = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(at, ends)]
+            seen: set[int] = set()
             fresh += [not (x in seen or seen.add(x)) for x in own]
             d += own
             ids += [i] * len(ends)
@@ -98,10 +98,9 @@ def chunks(docs: DataFrame) -> DataFrame:
             lengths += [b - a for a, b in zip(chars, chars[1:])]
         if not d:
             return None
-        digest = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
-        return {"d1": digest[:, 0].copy(), "d2": digest[:, 1].copy(), "doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "length": pa.array(lengths, pa.int32()), "fresh": pa.array(fresh, pa.bool_())}
+        return {"digest": np.array(d, np.uint64).view(np.int64), "doc_id": pa.array(ids, pa.int64()), "start": pa.array(starts, pa.int32()), "length": pa.array(lengths, pa.int32()), "fresh": pa.array(fresh, pa.bool_())}
 
-    return by_slice(slim(docs).filter("doc_id is not null and text <> ''"), kernel, "d1 long, d2 long, doc_id long, start int, length int, fresh boolean")
+    return by_slice(slim(docs).filter("doc_id is not null and text <> ''"), kernel, "digest long, doc_id long, start int, length int, fresh boolean")
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -111,8 +110,8 @@ def anchors(docs: DataFrame) -> DataFrame:
     back splits where one digest has many places.
     """
     found = chunks(docs)
-    held = found.filter("fresh").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("place")).filter("first < last").select("d1", "d2", "first", "place")
-    again = found.drop("fresh").join(held, ["d1", "d2"]).filter("first < doc_id").select("doc_id", "start", "length", "first", (F.col("start") - F.col("place")).alias("shift")).dropDuplicates(["doc_id", "start"])
+    held = found.filter("fresh").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("start", "doc_id").alias("place")).filter("first < last").select("digest", "first", "place")
+    again = found.drop("fresh").join(held, "digest").filter("first < doc_id").select("doc_id", "start", "length", "first", (F.col("start") - F.col("place")).alias("shift")).dropDuplicates(["doc_id", "start"])
     order = Window.partitionBy("doc_id").orderBy("start")
     same = (F.col("start") == F.lag(F.col("start") + F.col("length")).over(order)) & (F.col("first") == F.lag("first").over(order)) & (F.col("shift") == F.lag("shift").over(order))
     runs = again.withColumn("_gap", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_gap").over(order))
@@ -120,16 +119,16 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def edges(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """The given rows (doc_id, start, stop, first, place), each with what stands ``before`` and ``after`` it in its text."""
+    """The given rows (doc_id, start, stop, first, place), each with what stands ``before`` and ``after`` it in its text, and a 128-bit digest of its ``own`` text."""
 
     def kernel(part):
-        out = [(i, p["start"], p["stop"], p["first"], p["place"], t[max(0, p["start"] - EDGE) : p["start"]], t[p["stop"] : p["stop"] + EDGE]) for i, t, own in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("places").to_pylist()) for p in own]
-        kinds = {"doc_id": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "first": pa.int64(), "place": pa.int32(), "before": pa.string(), "after": pa.string()}
+        out = [(i, p["start"], p["stop"], p["first"], p["place"], t[max(0, p["start"] - EDGE) : p["start"]], t[p["stop"] : p["stop"] + EDGE], xxhash.xxh3_128_digest(t[p["start"] : p["stop"]].encode("utf-8", "surrogatepass"))) for i, t, own in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("places").to_pylist()) for p in own]
+        kinds = {"doc_id": pa.int64(), "start": pa.int32(), "stop": pa.int32(), "first": pa.int64(), "place": pa.int32(), "before": pa.string(), "after": pa.string(), "own": pa.binary()}
         return {c: pa.array([row[k] for row in out], kind) for k, (c, kind) in enumerate(kinds.items())}
 
     own = places.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop", "first", "place")).alias("places"))
     texts = slim(docs).filter("text <> ''").join(own, "doc_id").dropDuplicates(["doc_id"])
-    return by_slice(texts, kernel, "doc_id long, start int, stop int, first long, place int, before string, after string")
+    return by_slice(texts, kernel, "doc_id long, start int, stop int, first long, place int, before string, after string, own binary")
 
 
 def agreeing(a: str, b: str) -> int:
@@ -146,17 +145,13 @@ def agreeing(a: str, b: str) -> int:
     return lo
 
 
-def repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, start, stop, n_chars, first_doc_id, first_doc_ids) of each passage that earlier documents have too; places in code points, stop exclusive.
-
-    Passages that overlap or touch are one, also where they come from several documents: first_doc_ids has them all, first_doc_id the smallest.
-    """
-    found = cut(anchors(docs))
+def widened(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, first) of the anchors whose texts agree, widened as far as both texts do; digests that only collide go."""
     end = (F.col("place") + F.col("stop") - F.col("start")).cast("int")
     there = found.select(F.col("first").alias("doc_id"), F.col("place").alias("start"), end.alias("stop")).distinct()
     theirs = edges(docs, there.withColumn("first", F.col("doc_id")).withColumn("place", F.col("start")))
-    theirs = theirs.select("first", "place", F.col("stop").alias("_end"), F.col("before").alias("_before"), F.col("after").alias("_after"))
-    both = edges(docs, found).withColumn("_end", end).join(theirs, ["first", "place", "_end"])
+    theirs = theirs.select("first", "place", F.col("stop").alias("_end"), F.col("before").alias("_before"), F.col("after").alias("_after"), F.col("own").alias("_own"))
+    both = edges(docs, found).withColumn("_end", end).join(theirs, ["first", "place", "_end"]).filter("own = _own")
 
     @F.pandas_udf("int")
     def ahead(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -166,7 +161,15 @@ def repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     def back(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([agreeing(x[::-1], y[::-1]) for x, y in zip(a, b)], dtype="int32")
 
-    wide = both.select("doc_id", (F.col("start") - back("before", "_before")).cast("long").alias("start"), (F.col("stop") + ahead("after", "_after")).cast("long").alias("stop"), "first")
+    return both.select("doc_id", (F.col("start") - back("before", "_before")).cast("long").alias("start"), (F.col("stop") + ahead("after", "_after")).cast("long").alias("stop"), "first")
+
+
+def repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, start, stop, n_chars, first_doc_id, first_doc_ids) of each passage that earlier documents have too; places in code points, stop exclusive.
+
+    Passages that overlap or touch are one, also where they come from several documents: first_doc_ids has them all, first_doc_id the smallest.
+    """
+    wide = widened(docs, cut(anchors(docs)))
     order = Window.partitionBy("doc_id").orderBy("start", "stop", "first")
     apart = F.coalesce((F.col("start") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
     runs = wide.withColumn("_gap", apart).withColumn("_run", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -110,6 +110,13 @@ SECRETS = [
 ]
 
 
+def test_digests_are_short_and_agreements_real(spark):
+    docs = frame(spark, ["one passage that stands in two of the texts", "one passage that stands in two of the texts", "quite another one, of the very same length.."])
+    assert [t for _, t in substrings.chunks(docs).dtypes] == ["bigint", "bigint", "int", "int", "boolean"]
+    found = spark.createDataFrame([(1, 4, 24, 0, 4), (2, 4, 24, 0, 4)], "doc_id long, start int, stop int, first long, place int")
+    assert [(r["doc_id"], r["start"], r["stop"]) for r in substrings.widened(docs, found).collect()] == [(1, 0, 43)]
+
+
 @pytest.mark.parametrize(("text", "n"), SECRETS)
 def test_base_secrets(text, n):
     assert sum(k == "assign" for _, _, k in secretscan.base(text)) == n
