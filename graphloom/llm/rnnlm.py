@@ -43,13 +43,15 @@ TABLE = 1 << 19
 LANES, STEPS, PIECE = 320, 32, 1024
 #: Training tokens of a shard, about; tokens that are handled at a time.
 SHARD, BUFFER = 2_000_000, 1_500_000
+LONG = 64  # letter pairs of words that are gone through place by place
 UNIGRAM = 0.02
 RATES = (6e-3, 5e-3, 4e-3, 2e-3, 1e-3)
 END = int(mix(np.array([0xE0D], np.uint64))[0])
 _CLASSES = FREQUENT // WIDTH
 _IDS = FREQUENT + TAILS  # the end and the start of a text are tokens like others
-_SYMBOL = np.full(256, 27, np.int64)  # a to z, digits, other signs, and four kinds of bytes of other characters
+_SYMBOL = np.full(256, 27, np.uint8)  # a to z, digits, other signs, and four kinds of bytes of other characters
 _SYMBOL[97:123], _SYMBOL[48:58], _SYMBOL[128:] = np.arange(26), 26, 28 + np.arange(128) % 4
+_SYMBOL = _SYMBOL.tobytes()
 _PAIRS = 32 * 32
 
 
@@ -66,14 +68,35 @@ def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, place, at
 
 
-def _letter_pairs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of neighbouring symbols inside the given words, and the words that they stand in; one symbol alone is a pair with itself."""
+def _symbols(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(_SYMBOL), np.uint8)
+
+
+def _letter_pairs(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Codes of neighbouring symbols inside the given words, word by word; one symbol alone is a pair with itself."""
     size = np.maximum(end - start - 1, 1)
-    owner = np.repeat(np.arange(len(size)), size)
-    first = np.cumsum(size) - size
-    at = np.arange(len(owner)) - first[owner] + start[owner]
-    s = _SYMBOL[data]
-    return s[at] * 32 + s[np.minimum(at + 1, end[owner] - 1)], owner
+    at = np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+    return s[at] * np.int32(32) + s[np.minimum(at + 1, np.repeat(end - 1, size))]
+
+
+def _neighbours(w: Words) -> np.ndarray:
+    """Codes of letter pairs and the ending of the word before, for every letter pair of words that have one before them in their text."""
+    s = _symbols(w.data)
+    ending = s[np.maximum(w.end - 2, w.start)] * np.int32(32) + s[w.end - 1]
+    follows = np.append(False, w.doc[1:] == w.doc[:-1])
+    one = w.end - w.start == 1
+    inside = ~(w.ws[1:] | w.ws[:-1])  # this place and the next are in one word
+    edge = w.off[(w.off > 0) & (w.off < len(s))]
+    inside[edge - 1] = False
+    lead = np.flatnonzero(~follows & ~one)  # texts' first words
+    size = w.end[lead] - w.start[lead] - 1
+    inside[np.arange(int(size.sum())) + np.repeat(w.start[lead] - np.cumsum(size) + size, size)] = False
+    code = (s[:-1] * np.int32(32) + s[1:])[inside]
+    code *= _PAIRS
+    before = np.append(np.int32(0), ending[:-1])
+    code += np.repeat(before, np.where(follows, w.end - w.start - 1, 0))
+    single = np.flatnonzero(follows & one)
+    return np.concatenate([code, s[w.start[single]] * np.int32(33 * _PAIRS) + before[single]])
 
 
 def gather(docs: DataFrame) -> DataFrame:
@@ -91,14 +114,8 @@ def gather(docs: DataFrame) -> DataFrame:
             held.append(_tokens(w)[0])
             size += len(held[-1])
             if len(w.start):
-                code, owner = _letter_pairs(w.data, w.start, w.end)
-                s = _SYMBOL[w.data]
-                ending = s[np.maximum(w.end - 2, w.start)] * 32 + s[w.end - 1]
-                follows = np.append(False, w.doc[1:] == w.doc[:-1])
-                before = np.append(0, ending[:-1])
-                ok = follows[owner]
-                pairs += np.bincount(code[ok] * _PAIRS + before[owner[ok]], minlength=len(pairs))
-            if size >= BUFFER:
+                pairs += np.bincount(_neighbours(w), minlength=len(pairs))
+            if size >= 3 * BUFFER:
                 yield out()
                 held, size = [], 0
         if held:
@@ -136,7 +153,7 @@ class Table:
         self.words, self.n = words[o], n[o]
         self.tokens, self.distinct = tokens, distinct
         self.whole = distinct <= len(words)  # every word is here: others were never seen
-        self.weight, self.pair = groups[0].astype(np.float32), np.ascontiguousarray(groups[1].T.astype(np.float32))
+        self.weight, self.pair = groups[0].astype(np.float32), np.ascontiguousarray(groups[1].astype(np.float32))
         top = np.lexsort((self.words, -self.n))[:FREQUENT]
         self.ids = np.full(len(self.words), -1, np.int32)  # of frequent words, by frequency
         self.ids[top] = np.arange(len(top))
@@ -166,14 +183,32 @@ class Table:
         """The likeliest group of each word, by its letter pairs."""
         if not len(start):
             return np.zeros(0, np.int64)
-        code, _ = _letter_pairs(data, start, end)
-        first = np.append(0, np.cumsum(np.maximum(end - start - 1, 1))[:-1])
+        s = _symbols(data)
+        size = np.maximum(end - start - 1, 1)
+        out = np.zeros(len(start), np.int64)
+        order = np.argsort(-np.minimum(size, LONG + 1).astype(np.int16), kind="stable")  # the longest first
+        long, order = np.split(order, [int((size > LONG).sum())])
+        if len(long):
+            out[long] = self._group_of_long(s, start[long], end[long])
+        at, last = start[order], end[order] - 1
+        total = np.tile(self.weight, (len(order), 1))
+        for live in np.searchsorted(-size[order], -np.arange(int(size[order[:1]].sum())), "left").tolist():  # words that have so many pairs
+            at, last = at[:live], last[:live]
+            at = at + 1
+            total[:live] += np.take(self.pair, s[at - 1] * np.int32(32) + s[np.minimum(at, last)], axis=0)
+        out[order] = total.argmax(axis=1)
+        return out
+
+    def _group_of_long(self, s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The same group by group, for words whose places would be too many steps."""
+        code = _letter_pairs(s, start, end)
+        first = np.append(0, np.cumsum(end - start - 1)[:-1])
         best = np.full(len(start), -np.inf, np.float32)
         out = np.zeros(len(start), np.int64)
         for g in range(GROUPS):
-            s = np.add.reduceat(self.pair[g][code], first) + self.weight[g]
-            better = s > best
-            best[better], out[better] = s[better], g
+            total = np.add.reduceat(self.pair[:, g][code], first) + self.weight[g]
+            better = total > best
+            best[better], out[better] = total[better], g
         return out
 
 
@@ -213,7 +248,11 @@ def encode(docs: DataFrame, t) -> DataFrame:
         for part in slices(batches, limit=3 << 20):
             w = Words(part.column("text"), lower=True)
             h, place, at = _tokens(w)
-            u, first, which = np.unique(h, return_index=True, return_inverse=True)
+            o = np.argsort(h)
+            new = np.append(True, h[o[1:]] != h[o[:-1]])
+            first = o[new]  # a place of each distinct hash
+            u, which = h[first], np.empty(len(h), np.int64)
+            which[o] = np.cumsum(new) - 1
             word = np.full(len(h), -1, np.int64)
             word[place] = np.arange(len(place))
             own = word[first]  # a word of the slice for each distinct hash, -1 for the end
@@ -289,120 +328,147 @@ class Network:
         net.bw[:] = np.log((n + 1e-6) / (n + 1e-6).sum(axis=1, keepdims=True))
         return net
 
-    def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """States [steps, HIDDEN, lanes] after each step, from the steps' input ids and a state [HIDDEN, lanes]; ``fresh``: the step starts a document."""
+    def _scaled(self, dtype) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs and recurrent weights with the hard sigmoids' slope, and half of one for the inputs' gates, put in."""
         k = 2 * HIDDEN
-        scale = np.ones((3 * HIDDEN, 1), h.dtype)
+        scale = np.ones((3 * HIDDEN, 1), dtype)
         scale[:k] = self.SLOPE
-        inputs, wh = self.X * scale, self.Wh * scale
+        inputs = self.X * scale
         inputs[:k] += 0.5
+        return inputs, self.Wh * scale
+
+    def states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """States [steps, HIDDEN, lanes] after each step, from the steps' input ids and a state [HIDDEN, lanes]; ``fresh``: the step starts a document.
+
+        They lie in memory as [HIDDEN, steps, lanes]. All else is done a step at a time, which stays in a core's cache.
+        """
+        k = 2 * HIDDEN
+        inputs, wh = self._scaled(h.dtype)
         steps, m = ids.shape
-        x = np.take(inputs, ids.ravel(), axis=1).reshape(3 * HIDDEN, steps, m)
-        out = np.empty((steps, HIDDEN, m), x.dtype)
-        gates, candidate, inner, before = (np.empty((steps if keep is not None else 1, n, m), x.dtype) for n in (k, HIDDEN, HIDDEN, HIDDEN))
-        g = np.empty((3 * HIDDEN, m), x.dtype)
+        out = np.empty((HIDDEN, steps, m), inputs.dtype)
+        own = steps if keep is not None else 1
+        gates, candidate, inner = (np.empty((own, n, m), out.dtype) for n in (k, HIDDEN, HIDDEN))
+        before = np.empty_like(out) if keep is not None else None
+        g, turns = np.empty((3 * HIDDEN, m), out.dtype), np.empty((2, HIDDEN, m), out.dtype)
         begins = fresh.any(axis=1)
         for t in range(steps):
             i = t if keep is not None else 0
             if begins[t]:
                 h = h * ~fresh[t]
+            x = np.take(inputs, ids[t], axis=1)
             np.dot(wh, h, out=g)
             zr, n = gates[i], candidate[i]
-            np.add(x[:k, t], g[:k], out=zr)
-            np.maximum(zr, 0, out=zr)
-            np.minimum(zr, 1, out=zr)
+            np.add(x[:k], g[:k], out=zr)
+            np.clip(zr, 0, 1, out=zr)
             np.multiply(zr[HIDDEN:], g[k:], out=n)
-            n += x[k:, t]
+            n += x[k:]
             np.tanh(n, out=n)
             if keep is not None:
                 inner[t] = g[k:]
-                before[t] = h
-            new = out[t]
-            np.subtract(h, n, out=new)
+                before[:, t] = h
+            new = np.subtract(h, n, out=turns[t % 2])
             new *= zr[:HIDDEN]
             new += n
-            h = new
+            out[:, t] = h = new
         if keep is not None:
-            keep |= {"gates": gates, "candidate": candidate, "inner": inner, "before": before}
-        return out
+            keep |= {"gates": gates, "candidate": candidate, "inner": inner, "before": before, "wh": wh}
+        return out.transpose(1, 0, 2)
 
     def output(self, h: np.ndarray, y: np.ndarray, grad: "Network | None" = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target (of its class, for tail words) given states [rows, HIDDEN]; with ``grad``, adds gradients of the negative sum."""
         cls = np.where(y < FREQUENT, y // WIDTH, _CLASSES + y - FREQUENT)
         order = np.argsort(cls.astype(np.uint8), kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(_CLASSES + 1)).tolist()
-        h, y, cls = h[order], y[order], cls[order]
+        y, cls = y[order], cls[order]
+        edge = np.searchsorted(cls, np.arange(_CLASSES + 1)).tolist()
+        h = np.take(h.T, order, axis=1)
         logp, dh = np.empty(len(y), h.dtype), np.empty_like(h) if grad is not None else None
         bias = self.bc - (np.abs(self.Wc).sum(axis=0) + self.bc).max()  # states lie within [-1, 1], so no logit is above 0
         jobs = [(a, min(a + 2048, len(y)), cls, self.Wc, bias, None) for a in range(0, len(y), 2048)]
         word = y % WIDTH
-        jobs += [(edge[c], edge[c + 1], word, self.Ww[c], self.bw[c] - (np.abs(self.Ww[c]).sum(axis=0) + self.bw[c]).max(), c) for c in range(_CLASSES) if edge[c] < edge[c + 1]]
+        above = (np.abs(self.Ww).sum(axis=1) + self.bw).max(axis=1)
+        jobs += [(edge[c], edge[c + 1], word, self.Ww[c], self.bw[c] - above[c], c) for c in range(_CLASSES) if edge[c] < edge[c + 1]]
         rows = np.arange(len(y))
+        ones = np.ones(max(WIDTH, _CLASSES + TAILS), h.dtype)
         for a, b, targets, weight, bias, c in jobs:
-            own, k, target = h[a:b], rows[: b - a], targets[a:b]
-            logit = own @ weight
+            own = h[:, a:b]
+            logit = own.T @ weight
             logit += bias
-            hit = logit[k, target]
+            place = rows[: b - a] * logit.shape[1]
+            place += targets[a:b]
+            flat = logit.reshape(-1)
+            hit = flat[place]
             p = np.exp(logit, out=logit)
-            total = p @ np.ones(p.shape[1], p.dtype)
+            total = p @ ones[: p.shape[1]]
             hit -= np.log(total)
             if c is None:
                 logp[a:b] = hit
             else:
                 logp[a:b] += hit
-            if grad is not None:
-                p *= (1 / total)[:, None]
-                p[k, target] -= 1
+            if grad is not None:  # p stays a multiple of the probabilities; the sums are divided out of what is narrower
+                flat[place] -= total
+                part = 1 / total
                 gw, gb = (grad.Wc, grad.bc) if c is None else (grad.Ww[c], grad.bw[c])
-                gw += own.T @ p
-                gb += np.ones(b - a, p.dtype) @ p
+                gw += (own * part) @ p
+                gb += part @ p
+                back = weight @ p.T
+                back *= part
                 if c is None:
-                    np.dot(p, weight.T, out=dh[a:b])
+                    dh[:, a:b] = back
                 else:
-                    dh[a:b] += p @ weight.T
+                    dh[:, a:b] += back
         back = np.empty_like(order)
         back[order] = rows
-        return logp[back], dh[back] if grad is not None else None
+        return logp[back], np.take(dh, back, axis=1).T if grad is not None else None
 
     def gradient(self, ids, fresh, h0, y, valid, grad: "Network") -> np.ndarray:
         """Adds the window's gradients, by backpropagation to its first step; gives the state after it."""
         keep: dict = {}
         states = self.states(ids, fresh, h0, keep)
         steps, m = ids.shape
-        flat = np.zeros((ids.size, HIDDEN), states.dtype)
-        on = np.flatnonzero(valid.ravel())
-        flat[on] = self.output(states.transpose(0, 2, 1).reshape(-1, HIDDEN)[on], y.ravel()[on], grad)[1]
-        dout = flat.reshape(steps, m, HIDDEN).transpose(0, 2, 1)
+        every = states.transpose(1, 0, 2).reshape(HIDDEN, -1)
+        if valid.all():
+            dout = self.output(every.T, y.ravel(), grad)[1].T
+        else:
+            on = np.flatnonzero(valid.ravel())
+            dout = np.zeros_like(every)
+            dout[:, on] = self.output(np.take(every, on, axis=1).T, y.ravel()[on], grad)[1].T
+        dout = dout.reshape(HIDDEN, steps, m)
         k = 2 * HIDDEN
-        gates, n, inner, before = keep["gates"], keep["candidate"], keep["inner"], keep["before"]
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        # what a change of the state does to the candidate's, the update gate's and the reset gate's argument
-        slope = ((gates > 0) & (gates < 1)) * states.dtype.type(self.SLOPE)
-        to_n = (1 - z) * (1 - n * n)
-        to_z = (before - n) * slope[:, :HIDDEN]
-        to_r = inner * slope[:, HIDDEN:]
-        dg, dn = np.empty((steps, 3 * HIDDEN, m), states.dtype), np.empty((steps, HIDDEN, m), states.dtype)
+        before = keep["before"]
+        # what the arguments of update gate, reset gate, recurrent part of the candidate and candidate add to the loss, without the slope
+        dg = np.empty((4 * HIDDEN, steps, m), states.dtype)
         begins = fresh.any(axis=1)
-        wt = np.ascontiguousarray(self.Wh.T)
-        dh, back = np.zeros_like(states[0]), np.empty_like(states[0])
+        wt = np.ascontiguousarray(keep["wh"].T)
+        dh, back, held = np.zeros((HIDDEN, m), states.dtype), np.empty((HIDDEN, m), states.dtype), np.empty((HIDDEN, m), states.dtype)
+        own = np.empty((4 * HIDDEN, m), states.dtype)
+        to_z, to_r, inner, dn = (own[i : i + HIDDEN] for i in range(0, 4 * HIDDEN, HIDDEN))
         for t in range(steps - 1, -1, -1):
-            dh += dout[t]
-            own = dg[t]
-            np.multiply(dh, to_n[t], out=dn[t])
-            np.multiply(dh, to_z[t], out=own[:HIDDEN])
-            np.multiply(dn[t], to_r[t], out=own[HIDDEN:k])
-            np.multiply(dn[t], r[t], out=own[k:])
-            dh *= z[t]
-            dh += np.dot(wt, own, out=back)
+            zr, n = keep["gates"][t], keep["candidate"][t]
+            z, r = zr[:HIDDEN], zr[HIDDEN:]
+            dh += dout[:, t]
+            np.subtract(before[:, t], n, out=to_z)
+            to_z *= dh
+            np.multiply(dh, z, out=held)
+            np.subtract(dh, held, out=dh)
+            np.multiply(n, n, out=dn)
+            dn *= dh
+            np.subtract(dh, dn, out=dn)
+            np.multiply(dn, keep["inner"][t], out=to_r)
+            np.multiply(dn, r, out=inner)
+            own[:k] *= (zr > 0) & (zr < 1)
+            dg[:, t] = own
+            np.dot(wt, own[: 3 * HIDDEN], out=back)
+            dh = np.add(held, back, out=dh)
             if begins[t]:
                 dh *= ~fresh[t]
-        wide = lambda x: x.transpose(1, 0, 2).reshape(x.shape[1], -1)
-        dg = wide(dg)
-        grad.Wh += dg @ wide(before).T
-        dg[k:] = wide(dn)
+        dg = dg.reshape(4 * HIDDEN, -1)
+        wh = dg[: 3 * HIDDEN] @ before.reshape(HIDDEN, -1).T
+        wh[:k] *= self.SLOPE
+        grad.Wh += wh
         place = ids.ravel()
+        dg[:k] *= self.SLOPE
         for f in range(3 * HIDDEN):
-            grad.X[f] += np.bincount(place, dg[f], _IDS)
+            np.add.at(grad.X[f], place, dg[f if f < k else f + HIDDEN])
         return states[-1]
 
 
@@ -449,17 +515,21 @@ def lanes(lengths: np.ndarray, n: int) -> list[list[int]]:
 def windows(at: np.ndarray, steps: int, n: int):
     """Windows (places [steps, lanes] or -1, is a text's first token) over texts' tokens; lanes that have ended drop out."""
     own = lanes(np.diff(at), n)
-    runs = [np.concatenate([np.arange(at[d], at[d + 1]) for d in docs]) if docs else np.zeros(0, np.int64) for docs in own]
+    size = np.array([sum(int(at[d + 1] - at[d]) for d in docs) for docs in own], np.int64)
+    run = np.concatenate([np.arange(at[d], at[d + 1]) for docs in own for d in docs] or [np.zeros(0, np.int64)])
+    end = np.cumsum(size)
     first = np.zeros(at[-1], bool)
     first[at[:-1][np.diff(at) > 0]] = True
-    size = np.array([len(r) for r in runs])
     for t in range(0, int(size[0]) if len(size) else 0, steps):
         live = int((size > t).sum())
-        place = np.full((min(steps, int(size[0]) - t), live), -1)
-        for i in range(live):
-            piece = runs[i][t : t + steps]
-            place[: len(piece), i] = piece
-        yield place, first[place] & (place >= 0)
+        spot = np.arange(t, min(t + steps, int(size[0])))[:, None] + (end - size)[:live]
+        on = spot < end[:live]
+        if on.all():
+            place = run[spot]
+            yield place, first[place]
+        else:
+            place = np.where(on, run[np.minimum(spot, len(run) - 1)], -1)
+            yield place, first[place] & on
 
 
 def _inputs(y: np.ndarray, at: np.ndarray, end: int) -> np.ndarray:
@@ -559,35 +629,40 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches):
         flat, tail, all_, end, order, frequent = held.value
         net = Network(flat)
+        frequent = np.append(frequent, np.zeros(TAILS)) - all_ + math.log(UNIGRAM)
 
         def scores(ids: list[bytes]) -> np.ndarray:
             y = order[np.frombuffer(b"".join(ids), "<u2")]
             at = np.concatenate([[0], np.cumsum([len(x) // 2 for x in ids])])
             before = _inputs(y, at, end)
             logp = np.empty(len(y))
-            state = np.zeros((HIDDEN, 2 * LANES), np.float32)
+            state = np.zeros((HIDDEN, LANES), np.float32)
             kept, places, size = [], [], 0
 
             def flush():
                 place = np.concatenate(places)
-                logp[place] = net.output(np.concatenate(kept), y[place])[0]
+                logp[place] = net.output(np.concatenate(kept, axis=1).T, y[place])[0]
 
-            for place, fresh in windows(at, STEPS, 2 * LANES):
+            for place, fresh in windows(at, STEPS, LANES):
                 states = net.states(before[place], fresh, np.ascontiguousarray(state[:, : place.shape[1]]))
                 state = states[-1]
-                on = place >= 0
-                kept.append(states.transpose(0, 2, 1)[on])
-                places.append(place[on])
-                size += len(places[-1])
+                every, place = states.transpose(1, 0, 2).reshape(HIDDEN, -1), place.ravel()
+                on = np.flatnonzero(place >= 0)
+                kept.append(every if len(on) == len(place) else np.take(every, on, axis=1))
+                places.append(place if len(on) == len(place) else place[on])
+                size += len(on)
                 if size > 1 << 15:
                     flush()
                     kept, places, size = [], [], 0
             if size:
                 flush()
-            known = y < FREQUENT
-            own = logp - np.where(known, 0.0, tail[np.maximum(y - FREQUENT, 0)])
-            uni = np.where(known, frequent[np.minimum(y, FREQUENT - 1)], 0.0) - all_  # of a tail word its count comes as a factor of both
-            mixed = np.logaddexp(math.log(1 - UNIGRAM) + own, math.log(UNIGRAM) + uni)
+            rare = np.flatnonzero(y >= FREQUENT)
+            logp[rare] -= tail[y[rare] - FREQUENT]
+            logp += math.log(1 - UNIGRAM)
+            uni = frequent[y]  # of a tail word its count comes as a factor of both
+            high = np.maximum(logp, uni)
+            mixed = np.log1p(np.exp(np.minimum(logp, uni) - high))
+            mixed += high
             return np.add.reduceat(mixed, at[:-1]) / math.log(10)
 
         def out(rows: list[pa.RecordBatch]):

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -424,6 +425,63 @@ def test_network_gradients():
         assert (up - down) / (2 * step) == pytest.approx(grad.flat[k], rel=1e-3, abs=1e-5)
 
 
+def test_network_works_a_step_at_a_time():
+    """What a window of 32 steps needs beside its states and what backpropagation reads again is a few steps' arrays."""
+    rng = np.random.default_rng(0)
+    net = rnnlm.Network(rng.normal(0, 0.2, rnnlm.Network.size()).astype(np.float32))
+    grad = rnnlm.Network(np.zeros_like(net.flat))
+    shape = (rnnlm.STEPS, 640)
+    ids, y = rng.integers(0, 2064, shape), rng.integers(0, 2064, shape)
+    fresh, h = rng.random(shape) < 0.01, np.zeros((rnnlm.HIDDEN, 640), np.float32)
+    states = 4 * ids.size * rnnlm.HIDDEN
+    for job, most in ((lambda: net.states(ids, fresh, h), 2 * states), (lambda: net.gradient(ids, fresh, h, y, np.ones(shape, bool), grad), 14 * states)):
+        tracemalloc.start()
+        job()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, (peak / states, most / states)
+
+
+def test_letter_pairs_and_groups_by_definition(base, monkeypatch):
+    rng = np.random.default_rng(0)
+    odd = ["a", "", "ab", " a b  c", "a b ", "x" * 64 + " " + "y" * 65 + " " + "z" * 66 + " q", "word" * 900 + " end", "é ü\tß\r\nΣ"]
+    w = Words(pa.array([t or "" for t in odd + ODD + base], pa.large_string()), lower=True)
+    symbol = lambda x: x - 97 if 97 <= x < 123 else 26 if 48 <= x < 58 else 27 if x < 128 else 28 + x % 4
+    spell = [[symbol(x) for x in bytes(w.data[a:b])] for a, b in zip(w.start, w.end)]
+    codes = [[a * 32 + b for a, b in zip(x, x[1:] or x)] for x in spell]
+    want = Counter()
+    for i in range(1, len(spell)):
+        if w.doc[i] == w.doc[i - 1]:
+            last = spell[i - 1][-2:]
+            want.update(c * 1024 + last[0] * 32 + last[-1] for c in codes[i])
+    got = rnnlm._neighbours(w)
+    assert Counter(got.tolist()) == want
+    pair = rng.normal(size=(1024, rnnlm.GROUPS))
+    t = rnnlm.Table(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0, (rng.normal(size=rnnlm.GROUPS), pair))
+    best = [int((pair[c].sum(axis=0) + t.weight).argmax()) for c in codes]
+    assert t.group_of(w.data, w.start, w.end).tolist() == best
+    laid = []
+    monkeypatch.setattr(rnnlm, "_letter_pairs", lambda s, a, b, own=rnnlm._letter_pairs: laid.append(len(a)) or own(s, a, b))
+    assert t.group_of(w.data, w.start, w.end).tolist() == best
+    assert laid == [sum(len(c) > rnnlm.LONG for c in codes)]  # only long words' pairs are laid out
+
+
+def test_windows_have_every_token_once():
+    rng = np.random.default_rng(0)
+    for sizes, steps, n in (([5], 4, 3), ([1, 1, 1], 2, 2), (rng.integers(1, 90, 50), 8, 7), ([], 4, 4)):
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        seen, starts, last = [], set(), {}
+        for place, fresh in rnnlm.windows(at, steps, n):
+            for lane in range(place.shape[1]):
+                for x, new in zip(place[:, lane].tolist(), fresh[:, lane].tolist()):
+                    if x >= 0:
+                        assert new or last[lane] == x - 1  # the state goes on with the text
+                        last[lane] = x
+                        seen.append(x)
+                    starts |= {x} if new else set()
+        assert sorted(seen) == list(range(at[-1])) and starts == set(at[:-1].tolist())
+
+
 def test_ngram_components(spark, base, monkeypatch):
     rng = random.Random(5)
     texts = [*ODD, *base]
