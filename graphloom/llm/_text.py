@@ -73,6 +73,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def mapped(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[raw]`` of bytes by a table of 256 one-byte values; read only."""
+    return np.frombuffer(raw.tobytes().translate(table.tobytes()), table.dtype)
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts, as spans of bytes."""
 
@@ -82,8 +87,8 @@ class Words:
         raw = np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]] if column.buffers()[2] is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
         self.n, self.off = n, off - off[0]
         self.raw = raw
-        self.data = _LOWER[raw] if lower else raw
-        ws = _WS[raw]
+        self.data = mapped(raw, _LOWER) if lower else raw
+        ws = mapped(raw, _WS)
         self.ws = ws
         edge = np.ones(len(raw) + 1, bool)  # positions where a word may start: after white space or at a text's start
         edge[1:] = np.append(ws[1:] != ws[:-1], True) if len(raw) else edge[1:]
@@ -99,7 +104,9 @@ class Words:
         """64-bit hash of each word's bytes."""
         p, inv = _powers(len(self.data) + 1)
         total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * p[: len(self.data)], out=total[1:])
+        terms = np.take(_BYTE, self.data)
+        terms *= p[: len(self.data)]
+        np.cumsum(terms, out=total[1:])
         h = (total[self.end] - total[self.start]) * inv[self.start]
         return mix(h + (self.end - self.start).astype(np.uint64) * _MULT)
 

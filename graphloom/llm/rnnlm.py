@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut, slim
-from ._text import Words, mix, slices
+from ._text import Words, mapped, mix, slices
 
 FREQUENT, WIDTH = 2048, 64  # frequent words, words of a class
 GROUPS = TAILS = 16
@@ -51,7 +51,6 @@ _CLASSES = FREQUENT // WIDTH
 _IDS = FREQUENT + TAILS  # the end and the start of a text are tokens like others
 _SYMBOL = np.full(256, 27, np.uint8)  # a to z, digits, other signs, and four kinds of bytes of other characters
 _SYMBOL[97:123], _SYMBOL[48:58], _SYMBOL[128:] = np.arange(26), 26, 28 + np.arange(128) % 4
-_SYMBOL = _SYMBOL.tobytes()
 _PAIRS = 32 * 32
 
 
@@ -68,10 +67,6 @@ def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, place, at
 
 
-def _symbols(data: np.ndarray) -> np.ndarray:
-    return np.frombuffer(data.tobytes().translate(_SYMBOL), np.uint8)
-
-
 def _letter_pairs(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Codes of neighbouring symbols inside the given words, word by word; one symbol alone is a pair with itself."""
     size = np.maximum(end - start - 1, 1)
@@ -81,7 +76,7 @@ def _letter_pairs(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 def _neighbours(w: Words) -> np.ndarray:
     """Codes of letter pairs and the ending of the word before, for every letter pair of words that have one before them in their text."""
-    s = _symbols(w.data)
+    s = mapped(w.data, _SYMBOL)
     ending = s[np.maximum(w.end - 2, w.start)] * np.int32(32) + s[w.end - 1]
     follows = np.append(False, w.doc[1:] == w.doc[:-1])
     one = w.end - w.start == 1
@@ -183,7 +178,7 @@ class Table:
         """The likeliest group of each word, by its letter pairs."""
         if not len(start):
             return np.zeros(0, np.int64)
-        s = _symbols(data)
+        s = mapped(data, _SYMBOL)
         size = np.maximum(end - start - 1, 1)
         out = np.zeros(len(start), np.int64)
         order = np.argsort(-np.minimum(size, LONG + 1).astype(np.int16), kind="stable")  # the longest first
@@ -380,19 +375,20 @@ class Network:
         order = np.argsort(cls.astype(np.uint8), kind="stable")
         y, cls = y[order], cls[order]
         edge = np.searchsorted(cls, np.arange(_CLASSES + 1)).tolist()
-        h = np.take(h.T, order, axis=1)
-        logp, dh = np.empty(len(y), h.dtype), np.empty_like(h) if grad is not None else None
-        bias = self.bc - (np.abs(self.Wc).sum(axis=0) + self.bc).max()  # states lie within [-1, 1], so no logit is above 0
-        jobs = [(a, min(a + 2048, len(y)), cls, self.Wc, bias, None) for a in range(0, len(y), 2048)]
+        own = np.ones((HIDDEN + 1, len(y)), h.dtype)  # the last feature is 1, its weights are the biases
+        np.take(h.T, order, axis=1, out=own[:HIDDEN], mode="clip")
+        logp, dh = np.empty(len(y), h.dtype), np.empty((HIDDEN, len(y)), h.dtype) if grad is not None else None
+        # states lie within [-1, 1], so no logit is above 0
+        wc = np.concatenate([self.Wc, (self.bc - (np.abs(self.Wc).sum(axis=0) + self.bc).max())[None]])
+        ww = np.concatenate([self.Ww, (self.bw - (np.abs(self.Ww).sum(axis=1) + self.bw).max(axis=1)[:, None])[:, None]], axis=1)
+        jobs = [(a, min(a + 2048, len(y)), cls, wc, None) for a in range(0, len(y), 2048)]
         word = y % WIDTH
-        above = (np.abs(self.Ww).sum(axis=1) + self.bw).max(axis=1)
-        jobs += [(edge[c], edge[c + 1], word, self.Ww[c], self.bw[c] - above[c], c) for c in range(_CLASSES) if edge[c] < edge[c + 1]]
+        jobs += [(edge[c], edge[c + 1], word, ww[c], c) for c in range(_CLASSES) if edge[c] < edge[c + 1]]
         rows = np.arange(len(y))
         ones = np.ones(max(WIDTH, _CLASSES + TAILS), h.dtype)
-        for a, b, targets, weight, bias, c in jobs:
-            own = h[:, a:b]
-            logit = own.T @ weight
-            logit += bias
+        for a, b, targets, weight, c in jobs:
+            x = own[:, a:b]
+            logit = x.T @ weight
             place = rows[: b - a] * logit.shape[1]
             place += targets[a:b]
             flat = logit.reshape(-1)
@@ -407,10 +403,11 @@ class Network:
             if grad is not None:  # p stays a multiple of the probabilities; the sums are divided out of what is narrower
                 flat[place] -= total
                 part = 1 / total
+                g = (x * part) @ p
                 gw, gb = (grad.Wc, grad.bc) if c is None else (grad.Ww[c], grad.bw[c])
-                gw += (own * part) @ p
-                gb += part @ p
-                back = weight @ p.T
+                gw += g[:-1]
+                gb += g[-1]
+                back = weight[:-1] @ p.T
                 back *= part
                 if c is None:
                     dh[:, a:b] = back
