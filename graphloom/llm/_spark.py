@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ._text import slices
 
 
+#: Spark's own switch: a query that is planned while it is on removes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -19,15 +23,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The frame, computed once and kept in the cluster's shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset in local mode (tests) a temporary one is made.
+    The shuffles that it took go at once: nothing reads them any more, and else they stay until the driver happens to collect
+    its garbage, beside those of the next step. The folder is ``spark.checkpoint.dir``; only where that is unset in local mode
+    (tests) a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint(eager=True)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        planned = df.select("*")  # a query takes the switch as it stands when it is made
+    finally:
+        spark.conf.set(CLEANUP, was)
+    return planned.checkpoint(eager=True)
 
 
 def by_slice(df: DataFrame, kernel: Callable[[pa.RecordBatch], "pa.RecordBatch | dict | None"], schema: str, column: str = "text") -> DataFrame:

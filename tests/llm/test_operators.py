@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, components, fingerprints, ngram_join, packing, pii, quality, rnnlm, secretscan, substrings, toxicity
+from graphloom.llm import _spark, bpe, components, fingerprints, ngram_join, packing, pii, quality, rnnlm, secretscan, substrings, toxicity
 from graphloom.llm._text import Words, slices
 
 P = pytest.importorskip("public_tokenizers")
@@ -70,6 +70,33 @@ def test_empty_tables(spark):
         assert df.count() == 0
 
 
+def shuffle_files(spark):
+    """Names of the shuffle files that the local executor has on its disk."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    names = set()
+    while found.hasNext():
+        name = found.next().getName()
+        if name.startswith("shuffle_"):
+            names.add(name)
+    return names
+
+
+def test_cut_leaves_no_shuffle_files(spark, base):
+    docs = frame(spark, base[:20] * 2)
+    before, was = shuffle_files(spark), spark.conf.get(_spark.CLEANUP)
+    found = substrings.anchors(docs)
+    rows_ = sorted(map(tuple, found.collect()))
+    assert rows_ and shuffle_files(spark) - before  # held: ``found`` is still there
+    before = shuffle_files(spark)
+    kept = _spark.cut(found)
+    until = time.time() + 20  # executors remove files when they are told, not before the driver goes on
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left
+    assert sorted(map(tuple, kept.collect())) == rows_ == sorted(map(tuple, found.collect()))  # the frame itself can be used again
+    assert spark.conf.get(_spark.CLEANUP) == was
+
+
 def test_repeated_passages(spark, base):
     words_ = " ".join(f"word{i}x{i * 7 % 13}" for i in range(55))
     texts = [f"{b} {i} {words_} {b[::-1]}" if i in (3, 9, 20) else b for i, b in enumerate(dict.fromkeys(base))]
