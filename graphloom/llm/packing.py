@@ -29,7 +29,8 @@ from .bpe import SPACE, byte_symbols
 
 LENGTH = 2048
 END = 0
-CACHE_CHUNKS = 1_000_000
+#: Chunks that a worker remembers; workers outlive the stage, so what they hold is held beside the next ones'.
+CACHE_CHUNKS = 100_000
 #: Pieces of one length that one task ranks, about.
 RANKED = 20_000
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"

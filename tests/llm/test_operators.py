@@ -759,6 +759,16 @@ def test_long_blanks_are_encoded_like_others():
             assert np.frombuffer(enc.encode(x), np.uint32).tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_remembered_chunks_are_few():
+    chunks = packing._Chunks(lambda t: [1, 2], lambda b: [1, 2])
+    tracemalloc.start()
+    for i in range(400_000):
+        assert chunks[f"chunk{i}"] == b"\1\0\0\0\2\0\0\0"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+
+
 def test_plan_places_everything():
     rng = np.random.default_rng(0)
     counts = np.zeros(2049, np.int64)
